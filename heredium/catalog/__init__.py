@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, Query
 
-MODULES: tuple[str, ...] = ("genotypes",)
+MODULES: tuple[str, ...] = ("genotypes", "overlaps", "aggregates", "phase")
 
 
 def load() -> dict[str, Query]:

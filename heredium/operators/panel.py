@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -92,3 +93,31 @@ def robust_z(df: DataFrame, keys: list[str], value: str, floor: float = 0.02) ->
     d = d.join(mad, keys) if keys else d.join(F.broadcast(mad))
     d = d.withColumn("scale", F.greatest(F.col("__mad") * 1.4826, F.lit(floor))).drop("__mad")
     return d.withColumn("rz", (F.col(value) - F.col("med")) / F.col("scale"))
+
+
+def leave_one_out_linear_percentile(df: DataFrame, keys: list[str], value: str, q: float, is_control: Column, name: str) -> DataFrame:
+    """Adds the linear percentile of a key's control values without the row itself (all of them for a non-control).
+
+    Dropping one value from a sorted list shifts the later ones by one place, so three order statistics of the
+    key answer every row; nothing is joined row to row.
+    """
+    d = df.withColumn("__ctl", is_control & F.col(value).isNotNull())
+    w = W.partitionBy(*keys)
+    c = d.where("__ctl").select(*keys, F.col(value).alias("__v"), F.row_number().over(w.orderBy(value)).alias("__i"), F.count("*").over(w).alias("__n"))
+
+    def order_stats(n: Column, tag: str) -> list[Column]:
+        h = (n - 1) * F.lit(q)
+        return [F.max(F.when(F.col("__i") == F.floor(h) + 1 + k, F.col("__v"))).alias(f"__{tag}{k}") for k in range(3)]
+
+    s = c.groupBy(*keys).agg(F.max("__n").alias("__n"), *order_stats(F.col("__n") - 1, "l"), *order_stats(F.col("__n"), "a"))
+    d = d.join(s, keys, "left")
+
+    def interpolate(n: Column, lo: Column, hi: Column) -> Column:
+        h = (n - 1) * F.lit(q)
+        return lo + (F.coalesce(hi, lo) - lo) * (h - F.floor(h))
+
+    v, n = F.col(value), F.col("__n")
+    kept = lambda k: F.when(F.col(f"__l{k}") < v, F.col(f"__l{k}")).otherwise(F.col(f"__l{k + 1}"))
+    without = F.when(n > 1, interpolate(n - 1, kept(0), kept(1)))
+    out = F.when(F.col("__ctl"), without).otherwise(interpolate(n, F.col("__a0"), F.col("__a1")))
+    return d.withColumn(name, out).drop("__ctl", "__n", *[f"__{t}{k}" for t in "la" for k in range(3)])

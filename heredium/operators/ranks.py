@@ -140,3 +140,18 @@ def index_percentile(df: DataFrame, keys: list[str], value: str, quantiles: dict
 
     hit = lambda q: (F.col("before") <= at(q)) & (at(q) < F.col("before") + F.col("cnt"))
     return d.groupBy(*keys).agg(F.sum("cnt").alias("n"), *[F.max(F.when(hit(q), F.col(value))).alias(n) for n, q in quantiles.items()])
+
+
+def linear_percentile(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], small: bool = False) -> DataFrame:
+    """Linearly interpolated percentiles, exact, from the ordered distribution."""
+    d = distribution(df, keys, value, small=small)
+
+    def at(index: Column) -> Column:
+        return F.max(F.when((F.col("before") <= index) & (index < F.col("before") + F.col("cnt")), F.col(value)))
+
+    aggs = []
+    for n, q in quantiles.items():
+        h = (F.col("total") - 1) * F.lit(q)
+        aggs += [at(F.floor(h)).alias(f"__lo_{n}"), at(F.ceil(h)).alias(f"__hi_{n}"), F.max(h - F.floor(h)).alias(f"__f_{n}")]
+    g = d.groupBy(*keys).agg(*aggs)
+    return g.select(*keys, *[(F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__f_{n}")).alias(n) for n in quantiles])

@@ -27,3 +27,14 @@ def with_tests(counts: DataFrame) -> DataFrame:
     return counts.withColumns({
         "t_frac": F.when(n > 0, t / n), "p_tail": nm.binom_doubled_tail(t, n),
         "p_minlik": nm.binom_min_likelihood(t, n), "p_normal": nm.binom_normal_cc(t, n)})
+
+
+def transmission_sets(wide: DataFrame, sets: list[list[str]]) -> DataFrame:
+    """T and NT for several groupings in one pass; a column outside a grouping is NULL in its rows."""
+    fl = trio.transmission_flags()
+    cols = list(dict.fromkeys(c for s in sets for c in s))
+    d = wide.withColumns({"parent": fl["parent"], "__t": fl["t"], "__nt": fl["nt"]}).where(fl["informative"])
+    # one base aggregate, then the subtotals from it
+    base = d.groupBy(*cols).agg(F.count_if("__t").alias("__t"), F.count_if("__nt").alias("__nt"))
+    g = base.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in cols])
+    return g.agg(F.sum("__t").alias("t"), F.sum("__nt").alias("nt"))

@@ -155,7 +155,7 @@ FIXTURES["fx_cpg"] = """
 SELECT sample_id, cpg_id, concat('chr', CAST(1 + cpg_id % 22 AS VARCHAR(4))) AS chrom, 3000000 + 40 * cpg_id AS pos,
        beta, depth, hap
 FROM (SELECT event_id % 24 AS sample_id, CAST(floor(event_id / 24) AS BIGINT) AS cpg_id,
-             CASE WHEN value > 500 THEN 1.0E0 ELSE value / 500 END AS beta, event_id % 40 AS depth,
+             value / 563.0E0 AS beta, event_id % 40 AS depth,
              CASE event_type WHEN 'click' THEN 'hap1' WHEN 'view' THEN 'hap2' ELSE 'combined' END AS hap
       FROM {events}) x
 """

@@ -122,7 +122,7 @@ def tri_state(asked: Column, answer: Column, present: Column) -> Column:
 
 
 def skew_band(skew: Column) -> Column:
-    return F.when(skew >= 0.90, "extreme").when(skew >= 0.80, "high").when(skew >= 0.70, "moderate").otherwise("balanced")
+    return F.when(skew >= 0.90, "extreme").when(skew >= 0.80, "marked").when(skew >= 0.70, "skewed").otherwise("")
 
 
 def trio_skew(mean_signed_diff: Column, span: Column) -> Column:

@@ -11,3 +11,14 @@ def coverage(df: DataFrame, keys: list[str], valid: Column, positive: Column) ->
     return df.groupBy(*keys).agg(
         F.count("*").alias("n"), F.count(valid).alias("n_valid"), (F.count(valid) / F.count("*")).alias("coverage"),
         F.avg(F.when(valid.isNotNull(), positive.cast("double"))).alias("frac_positive"))
+
+
+def own_rank(scores: DataFrame) -> DataFrame:
+    """Rank of each carrier on its own syndrome among everyone scored on it, and p = share scoring at least as high.
+
+    ``scores`` has subject_id, own, syndrome, score.
+    """
+    from ..operators import ranks
+
+    r = ranks.rank_desc(scores, ["syndrome"], "score").withColumn("p", (F.col("before") + F.col("cnt")) / F.col("total"))
+    return scores.where(F.col("own") == F.col("syndrome")).join(r, ["syndrome", "score"])

@@ -5,17 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numeric import bind
+
 # First and last base of the two pseudoautosomal regions of GRCh38 chrX.
 PAR_X = ((10001, 2781479), (155701383, 156030895))
 # Contigs that never carry a biparental autosomal genotype.
 NON_BIPARENTAL = ("chrY", "Y", "chrM", "MT", "chrEBV")
 
 
-def bind(value: Column, body) -> Column:
-    """``body(value)`` with the value worked out once, however often the body mentions it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def canonical_allele(pos: Column, ref: Column, alt: Column) -> Column:
     """struct(pos, ref, alt) with the shared prefix, then the shared suffix, removed; a core may become empty."""
 

@@ -7,6 +7,11 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # Lanczos coefficients for g = 7, n = 9.
 LANCZOS = (
     0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
@@ -51,6 +56,7 @@ def normal_two_sided(z: Column) -> Column:
 
 def binom_doubled_tail(t: Column, n: Column) -> Column:
     """Exact two-sided binomial p at 1/2: twice the smaller tail, at most 1."""
+    # terms are summed from the smaller count down, so the sequence is as short as the smaller tail
     lo = F.least(t, n - t)
     tail = F.aggregate(
         F.sequence(F.lit(0).cast("long"), lo.cast("long")), F.lit(0.0),
@@ -61,14 +67,13 @@ def binom_doubled_tail(t: Column, n: Column) -> Column:
 
 def binom_min_likelihood(k: Column, n: Column, p: float = 0.5) -> Column:
     """Exact two-sided binomial p: total probability of outcomes no likelier than the observed one."""
-    obs = F.exp(log_binom(k.cast("double"), n.cast("double"), p))
-    total = F.aggregate(
-        F.sequence(F.lit(0).cast("long"), n.cast("long")), F.lit(0.0),
-        lambda acc, i: acc + F.when(
-            F.exp(log_binom(i.cast("double"), n.cast("double"), p)) <= obs * (1 + 1e-7),
-            F.exp(log_binom(i.cast("double"), n.cast("double"), p))).otherwise(0.0),
-    )
-    return F.when(n > 0, F.least(F.lit(1.0), total))
+    terms = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long")), lambda i: F.exp(log_binom(i.cast("double"), n.cast("double"), p)))
+
+    def total(ts: Column) -> Column:
+        return bind(F.element_at(ts, (k + 1).cast("int")) * (1 + 1e-7), lambda obs: F.aggregate(
+            ts, F.lit(0.0), lambda acc, x: acc + F.when(x <= obs, x).otherwise(0.0)))
+
+    return F.when(n > 0, F.least(F.lit(1.0), bind(terms, total)))
 
 
 def binom_normal_cc(t: Column, n: Column) -> Column:
@@ -87,11 +92,9 @@ def fisher_two_sided(a: Column, b: Column, c: Column, d: Column) -> Column:
                 - log_choose(n.cast("double"), r1.cast("double")))
 
     lo, hi = F.greatest(F.lit(0), r1 + c1 - n), F.least(r1, c1)
-    obs = logp(a)
-    total = F.aggregate(
-        F.sequence(lo.cast("long"), hi.cast("long")), F.lit(0.0),
-        lambda acc, x: acc + F.when(logp(x) <= obs + 1e-7, F.exp(logp(x))).otherwise(0.0),
-    )
+    terms = F.transform(F.sequence(lo.cast("long"), hi.cast("long")), logp)
+    total = bind(terms, lambda ts: bind(F.element_at(ts, (a - lo + 1).cast("int")) + 1e-7, lambda obs: F.aggregate(
+        ts, F.lit(0.0), lambda acc, x: acc + F.when(x <= obs, F.exp(x)).otherwise(0.0))))
     return F.least(F.lit(1.0), total)
 
 
@@ -121,5 +124,7 @@ def log_sum_exp(values: list[Column]) -> Column:
 
 
 def array_log_sum_exp(values: Column) -> Column:
-    top = F.array_max(values)
-    return top + F.log(F.aggregate(values, F.lit(0.0), lambda acc, v: acc + F.exp(v - top)))
+    def summed(v: Column) -> Column:
+        return bind(F.array_max(v), lambda top: top + F.log(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))))
+
+    return bind(values, summed)

@@ -53,3 +53,10 @@ def match_baseline(events: DataFrame, baseline: DataFrame, id_cols: list[str], b
     basis = F.when(near_s & near_e, 0).when(F.col("svtype").isin("DEL", "DUP", "INV"), F.when(rec, 1)).when(near_s, 2)
     hit = hit.withColumn("basis", basis).where("basis IS NOT NULL")
     return sel.best_per_key(hit, id_cols, [F.col("basis"), F.col(base_id)], [base_id, "basis"])
+
+
+def panel_max_ac(events: DataFrame, panel: DataFrame, id_cols: list[str], frac: float = 0.5) -> DataFrame:
+    """Largest panel allele count over reciprocal matches from other families, 0 without a match."""
+    hit = iv.overlap_join(events, panel, keys=("chrom", "svtype")).where("p_family <> family_id")
+    best = iv.reciprocal(hit, ("start", "end"), ("b_start", "b_end"), frac).groupBy(*id_cols).agg(F.max("ac").alias("__m"))
+    return events.join(best, id_cols, "left").withColumn("max_ac", F.coalesce("__m", F.lit(0).cast("long"))).drop("__m")

@@ -135,7 +135,7 @@ def _(t):
 
 @query("report_counts", "C37,A27", """SELECT chrom, CAST(sum(CASE WHEN svtype = 'DEL' THEN 1 ELSE 0 END) AS BIGINT) AS "DEL", CAST(sum(CASE WHEN svtype = 'DUP' THEN 1 ELSE 0 END) AS BIGINT) AS "DUP", CAST(sum(CASE WHEN svtype = 'INS' THEN 1 ELSE 0 END) AS BIGINT) AS "INS" FROM fx_sv GROUP BY chrom""")
 def _(t):
-    return t("fx_sv").groupBy("chrom").pivot("svtype", ["DEL", "DUP", "INS"]).agg(F.count("*")).na.fill(0)
+    return t("fx_sv").groupBy("chrom").pivot("svtype", ["DEL", "DUP", "INS"]).agg(F.count("sv_id")).na.fill(0)
 
 
 @query("acceptance_check", "C37", """SELECT e.sv_id, CASE WHEN s.sv_id IS NULL THEN 0 ELSE 1 END AS found FROM (SELECT l_orderkey AS sv_id FROM lineitem WHERE l_linenumber = 7 GROUP BY 1) e LEFT JOIN fx_sv s ON s.sv_id = e.sv_id AND s.svtype = 'DEL'""")
@@ -158,9 +158,9 @@ def _(t):
     return inheritance.inherited_sv(svs(t), features(t, "kind = 'CDS'"), car).select("sv_id", "symbol", "transmitted_from")
 
 
-@query("inherited_repeats", "C38,A4", f"""WITH {TR_TRIO} SELECT child_id, site_id, CASE WHEN greatest(f1, f2) > threshold AND greatest(m1, m2) > threshold THEN 'both' WHEN greatest(f1, f2) > threshold THEN 'father' ELSE 'mother' END AS transmitted_from FROM tt WHERE greatest(c1, c2) > threshold AND (greatest(f1, f2) > threshold OR greatest(m1, m2) > threshold)""")
+@query("inherited_repeats", "C38,A4", f"""WITH {TR_TRIO} SELECT child_id, site_id, CASE WHEN greatest(f1, f2) > threshold - 12 AND greatest(m1, m2) > threshold - 12 THEN 'both' WHEN greatest(f1, f2) > threshold - 12 THEN 'father' ELSE 'mother' END AS transmitted_from FROM tt WHERE greatest(c1, c2) > threshold - 12 AND (greatest(f1, f2) > threshold - 12 OR greatest(m1, m2) > threshold - 12)""")
 def _(t):
-    return inheritance.inherited_repeats(repeats.trio_repeats(repeat_calls(t), t("fx_pedigree"))).select("child_id", "site_id", "transmitted_from")
+    return inheritance.inherited_repeats(repeats.trio_repeats(repeat_calls(t), t("fx_pedigree")).withColumn("threshold", F.col("threshold") - 12)).select("child_id", "site_id", "transmitted_from")
 
 
 @query("inheritance_models", "C39", """WITH s AS (SELECT site_id, symbol, gnomad_af, site_id % 4 AS n_hom, chrom FROM fx_site WHERE coalesce(gnomad_af, -1) < 0.005), g AS (SELECT * FROM fx_genotype WHERE gq >= 20 AND dp >= 10),

@@ -41,25 +41,31 @@ def log_binom(k: Column, n: Column, p: Column | float) -> Column:
 
 def normal_two_sided(z: Column) -> Column:
     """2(1 - Phi(|z|)) by the continued fraction of erfc for large z and its series for small z."""
-    x = F.abs(z) / math.sqrt(2.0)
-    term, total = x, x
-    for k in range(1, 60):
-        term = term * (-(x * x)) / float(k)
-        total = total + term / float(2 * k + 1)
-    small = 1 - 2 / math.sqrt(math.pi) * total
-    frac = F.lit(0.0)
-    for k in range(60, 0, -1):
-        frac = (k / 2.0) / (x + frac)
-    large = F.exp(-(x * x)) / math.sqrt(math.pi) / (x + frac)
-    return F.when(z.isNull(), F.lit(None).cast("double")).when(x < 2.5, small).otherwise(large)
+    def tail(x: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.lit(60))
+        start = F.struct(x.alias("term"), x.alias("total"))
+
+        def step(acc: Column, k: Column) -> Column:
+            term = acc["term"] * (-(x * x)) / k
+            return F.struct(term.alias("term"), (acc["total"] + term / (2 * k + 1)).alias("total"))
+
+        series = 1 - 2 / math.sqrt(math.pi) * F.aggregate(steps, start, step)["total"]
+        frac = F.aggregate(F.reverse(steps), F.lit(0.0), lambda acc, k: (k / 2.0) / (x + acc))
+        return F.when(x < 2.5, series).otherwise(F.exp(-(x * x)) / math.sqrt(math.pi) / (x + frac))
+
+    return F.when(z.isNotNull(), bind(F.abs(z) / math.sqrt(2.0), tail))
+
+
+def _reach(n: Column) -> Column:
+    """Terms further than this from the mode or the observed count are below double precision."""
+    return F.ceil(10 * F.sqrt(n.cast("double"))) + 50
 
 
 def binom_doubled_tail(t: Column, n: Column) -> Column:
     """Exact two-sided binomial p at 1/2: twice the smaller tail, at most 1."""
-    # terms are summed from the smaller count down, so the sequence is as short as the smaller tail
-    lo = F.least(t, n - t)
+    lo = F.least(t, n - t).cast("long")
     tail = F.aggregate(
-        F.sequence(F.lit(0).cast("long"), lo.cast("long")), F.lit(0.0),
+        F.sequence(F.greatest(lo - _reach(n), F.lit(0).cast("long")), lo), F.lit(0.0),
         lambda acc, i: acc + F.exp(log_choose(n.cast("double"), i.cast("double")) - n * math.log(2.0)),
     )
     return F.when(n > 0, F.least(F.lit(1.0), 2 * tail))
@@ -67,10 +73,13 @@ def binom_doubled_tail(t: Column, n: Column) -> Column:
 
 def binom_min_likelihood(k: Column, n: Column, p: float = 0.5) -> Column:
     """Exact two-sided binomial p: total probability of outcomes no likelier than the observed one."""
-    terms = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long")), lambda i: F.exp(log_binom(i.cast("double"), n.cast("double"), p)))
+    mode, reach = F.floor(n * p), _reach(n)
+    first = F.greatest(F.least(k, mode) - reach, F.lit(0).cast("long")).cast("long")
+    last = F.least(F.greatest(k, mode) + reach, n).cast("long")
+    terms = F.transform(F.sequence(first, last), lambda i: F.exp(log_binom(i.cast("double"), n.cast("double"), p)))
 
     def total(ts: Column) -> Column:
-        return bind(F.element_at(ts, (k + 1).cast("int")) * (1 + 1e-7), lambda obs: F.aggregate(
+        return bind(F.element_at(ts, (k - first + 1).cast("int")) * (1 + 1e-7), lambda obs: F.aggregate(
             ts, F.lit(0.0), lambda acc, x: acc + F.when(x <= obs, x).otherwise(0.0)))
 
     return F.when(n > 0, F.least(F.lit(1.0), bind(terms, total)))
@@ -91,7 +100,9 @@ def fisher_two_sided(a: Column, b: Column, c: Column, d: Column) -> Column:
                 + log_choose((n - c1).cast("double"), (r1 - x).cast("double"))
                 - log_choose(n.cast("double"), r1.cast("double")))
 
-    lo, hi = F.greatest(F.lit(0), r1 + c1 - n), F.least(r1, c1)
+    mean, reach = F.floor(r1 * c1 / n), _reach(n)
+    lo = F.greatest(F.lit(0).cast("long"), r1 + c1 - n, F.least(a, mean) - reach)
+    hi = F.least(r1, c1, F.greatest(a, mean) + reach)
     terms = F.transform(F.sequence(lo.cast("long"), hi.cast("long")), logp)
     total = bind(terms, lambda ts: bind(F.element_at(ts, (a - lo + 1).cast("int")) + 1e-7, lambda obs: F.aggregate(
         ts, F.lit(0.0), lambda acc, x: acc + F.when(x <= obs, F.exp(x)).otherwise(0.0))))

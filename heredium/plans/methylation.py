@@ -69,3 +69,69 @@ def impute(matrix: DataFrame, probe: str, value: str, max_missing: float = 0.5)
     keep = s.where((F.col("__t") - F.col("__n")) <= max_missing * F.col("__t")).select(probe, "__m")
     d = matrix.join(keep, probe)
     return d.withColumn("imputed", F.col(value).isNull()).withColumn(value, F.coalesce(value, "__m")).drop("__m")
+
+
+def promoter_islands(islands: DataFrame, genes: DataFrame, window: int) -> DataFrame:
+    """Islands within ``window`` of a transcription start (``genes``: symbol, chrom, tss)."""
+    b = genes.withColumns({"b_start": F.col("tss") - window, "b_end": F.col("tss") + window + 1})
+    return iv.overlap_join(islands, b)
+
+
+def haplotype_islands(cpg: DataFrame, regions: DataFrame, min_cpgs: int = 1) -> DataFrame:
+    """Per sample and island: mean of haplotype 1, haplotype 2 and all reads, wide."""
+    hit = iv.point_join(cpg.select("sample_id", "chrom", "pos", "beta", "hap"), regions)
+    of = lambda h: F.when(F.count_if(F.col("hap") == h) >= min_cpgs, F.avg(F.when(F.col("hap") == h, F.col("beta"))))
+    return hit.groupBy("sample_id", "region_id").agg(of("hap1").alias("h1"), of("hap2").alias("h2"), F.avg("beta").alias("combined"))
+
+
+def asm_calls(hap: DataFrame, origins: DataFrame, min_diff: float = 0.30, max_p: float = 1e-3, min_sites: int = 2, agree: float = 0.9) -> DataFrame:
+    """Allele-specific islands of each child with the methylated parent where nearby sites agree.
+
+    ``hap``: sample_id, region_id, h1, h2, p. ``origins``: sample_id, region_id, n_sites, n_mat (hap 1 maternal votes).
+    """
+    d = hap.where((F.col("p") < max_p) & (F.abs(F.col("h1") - F.col("h2")) >= min_diff)).join(origins, ["sample_id", "region_id"], "left")
+    fm = F.col("n_mat") / F.col("n_sites")
+    hap1_mat = F.when(F.col("n_sites") >= min_sites, F.when(fm >= agree, True).when(fm <= 1 - agree, False))
+    parent = F.when(hap1_mat.isNull(), "unassigned").when(hap1_mat == (F.col("h1") > F.col("h2")), "maternal").otherwise("paternal")
+    return d.withColumn("methylated_parent", parent)
+
+
+def asm_catalogue(calls: DataFrame, hap: DataFrame) -> DataFrame:
+    """Island catalogue: children with data, with a call, by methylated parent, and the class."""
+    data = hap.where("h1 IS NOT NULL AND h2 IS NOT NULL").groupBy("region_id").agg(F.count("*").alias("n_data"))
+    of = lambda v: F.count_if(F.col("methylated_parent") == v)
+    c = calls.groupBy("region_id").agg(F.count("*").alias("n_asm"), of("maternal").alias("n_maternal"), of("paternal").alias("n_paternal"), of("unassigned").alias("n_unassigned"))
+    a = F.col("n_maternal") + F.col("n_paternal")
+    share = F.col("n_maternal") / a
+    cls = (F.when((a >= 5) & (F.greatest(share, 1 - share) >= 0.9), F.when(F.col("n_maternal") > F.col("n_paternal"), "imprinted_like_maternal_methylated").otherwise("imprinted_like_paternal_methylated"))
+           .when((F.col("n_asm") >= 5) & (a >= 4) & share.between(0.25, 0.75), "sequence_dependent_ASM").when(F.col("n_asm") >= 5, "frequent_ASM_unclassified").otherwise("sporadic_ASM"))
+    return c.join(data, "region_id").withColumn("class", cls)
+
+
+def imprinting_loss(hap: DataFrame, islands: DataFrame, max_diff: float = 0.15, low: float = 0.2, high: float = 0.8) -> DataFrame:
+    """Samples without allele difference and with extreme combined methylation at imprinted-like islands."""
+    d = hap.join(islands.select("region_id"), "region_id", "left_semi").where(F.abs(F.col("h1") - F.col("h2")) < max_diff)
+    pattern = F.when(F.col("combined") <= low, "both_unmethylated").when(F.col("combined") >= high, "both_methylated")
+    return d.withColumn("pattern", pattern).where("pattern IS NOT NULL")
+
+
+def cis_scan(variants: DataFrame, islands: DataFrame, methylation: DataFrame, covariates: list[str], window: int) -> DataFrame:
+    """Dosage of each variant near an island against its methylation; best variant per island, Bonferroni inside, then BH.
+
+    ``variants``: variant_id, sample_id, chrom, pos, dosage (carriers); ``methylation``: sample_id, region_id, value, covariates.
+    A tested pair has one row per sample with data, summed map-side to its cross-products before the fit.
+    """
+    from ..operators import ranks, selection
+    from ..operators.regression import ols
+
+    b = islands.withColumns({"b_start": F.col("start") - window, "b_end": F.col("end") + window}).select("region_id", "chrom", "b_start", "b_end")
+    sites = variants.select("variant_id", "chrom", "pos").distinct()
+    pairs = iv.point_join(sites, b).select("variant_id", "region_id")
+    d = pairs.join(methylation, "region_id").join(variants.select("variant_id", "sample_id", "dosage"), ["variant_id", "sample_id"], "left")
+    d = d.withColumn("dosage", F.coalesce("dosage", F.lit(0)).cast("double"))
+    fit = ols(d, ["variant_id", "region_id"], "value", ["dosage", *covariates]).where("p IS NOT NULL AND NOT isnan(p)")
+    tests = fit.groupBy("region_id").agg(F.count("*").alias("n_tests"))
+    best = selection.best_per_key(fit, ["region_id"], [F.col("p"), F.col("variant_id")], ["variant_id", "beta", "se", "p"])
+    best = best.join(tests, "region_id").withColumn("p_bonf", F.least(F.lit(1.0), F.col("p") * F.col("n_tests")))
+    q = ranks.benjamini_hochberg(best, [], "p_bonf", small=True).select("p_bonf", "q")
+    return best.join(q, "p_bonf")

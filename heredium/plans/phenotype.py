@@ -22,3 +22,39 @@ def own_rank(scores: DataFrame) -> DataFrame:
 
     r = ranks.rank_desc(scores, ["syndrome"], "score").withColumn("p", (F.col("before") + F.col("cnt")) / F.col("total"))
     return scores.where(F.col("own") == F.col("syndrome")).join(r, ["syndrome", "score"])
+
+
+def compare_numeric(df: DataFrame, keys: list[str], value: str, carrier: Column) -> DataFrame:
+    """Rank test of carriers against the rest with index-rule medians of both groups."""
+    from ..operators import ranks
+
+    d = df.withColumn("__c", carrier.cast("int"))
+    mw = ranks.mann_whitney(d, keys, value, F.col("__c"))
+    med = ranks.index_percentile(d, [*keys, "__c"], value, {"m": 0.5}, "floor_index").groupBy(*keys).agg(
+        F.max(F.when(F.col("__c") == 1, F.col("m"))).alias("median_carrier"), F.max(F.when(F.col("__c") == 0, F.col("m"))).alias("median_other"))
+    return mw.join(med, keys)
+
+
+def compare_categorical(df: DataFrame, keys: list[str], positive: Column, carrier: Column) -> DataFrame:
+    """2x2 counts and Fisher's exact p per key, unknown answers left out."""
+    from ..functions.numeric import fisher_two_sided
+
+    d = df.where(positive.isNotNull() & carrier.isNotNull())
+    g = d.groupBy(*keys).agg(F.count_if(carrier & positive).alias("a"), F.count_if(carrier & ~positive).alias("b"), F.count_if(~carrier & positive).alias("c"), F.count_if(~carrier & ~positive).alias("d"))
+    return g.withColumn("p", fisher_two_sided(*[F.col(x) for x in "abcd"]))
+
+
+def syndrome_scores(features: DataFrame, definition: DataFrame) -> DataFrame:
+    """Subject by syndrome score: weighted present features over the weights that could be judged (unknown is not absent).
+
+    ``features``: subject_id, feature, state. ``definition``: syndrome, feature, weight.
+    """
+    d = features.where("state <> 'unknown'").join(definition, "feature")
+    g = d.groupBy("subject_id", "syndrome").agg(F.sum(F.when(F.col("state") == "present", F.col("weight")).otherwise(0)).alias("hit"), F.sum("weight").alias("judged"), F.count("*").alias("n_known"))
+    return g.withColumn("score", F.col("hit") / F.col("judged"))
+
+
+def specificity(features: DataFrame, definition: DataFrame) -> DataFrame:
+    """How common each defining feature is among everyone with an answer."""
+    d = features.where("state <> 'unknown'").join(definition, "feature")
+    return d.groupBy("syndrome", "feature").agg(F.count("*").alias("n_known"), F.avg((F.col("state") == "present").cast("double")).alias("frac_present"))

@@ -45,7 +45,8 @@ def loo_regions(region_values: DataFrame, is_control: Column) -> DataFrame:
     d = d.join(s, "region_id")
     n, tot, sq = F.col("__n") - has, F.col("__s") - own, F.col("__q") - own * own
     d = d.withColumns({"mu": F.when(n > 0, tot / n), "sd": F.when(n > 1, F.sqrt(F.greatest((sq - tot * tot / n) / (n - 1), F.lit(0.0))))})
-    return panel.leave_one_out_linear_percentile(d, ["region_id"], "b", 0.05, F.col("ctl"), "p5").drop("__n", "__s", "__q", "cv", "ctl")
+    d = d.drop("__n", "__s", "__q", "cv")
+    return panel.leave_one_out_linear_percentile(d, ["region_id"], "b", 0.05, F.col("ctl"), "p5").drop("ctl")
 
 
 def score_sets(values: DataFrame, sets: DataFrame, min_regions: int = 5, by: list[str] | None = None) -> DataFrame:

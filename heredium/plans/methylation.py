@@ -60,7 +60,7 @@ def sum_counts(parts: DataFrame, keys: list[str], min_depth: int) -> DataFrame:
     """Modified and unmodified counts summed over the parts of one track; beta where the depth floor is met."""
     d = parts.groupBy(*keys).agg(F.sum("mod").alias("mod"), F.sum("unmod").alias("unmod"))
     depth = F.col("mod") + F.col("unmod")
-    return d.where(depth >= min_depth).withColumns({"depth": depth, "beta": F.col("mod") / depth})
+    return d.where(depth >= min_depth).withColumns({"depth": depth, "beta": F.when(depth > 0, F.col("mod") / depth)})
 
 
 def impute(matrix: DataFrame, probe: str, value: str, max_missing: float = 0.5) -> DataFrame:
@@ -90,7 +90,7 @@ def asm_calls(hap: DataFrame, origins: DataFrame, min_diff: float = 0.30, max_p:
     ``hap``: sample_id, region_id, h1, h2, p. ``origins``: sample_id, region_id, n_sites, n_mat (hap 1 maternal votes).
     """
     d = hap.where((F.col("p") < max_p) & (F.abs(F.col("h1") - F.col("h2")) >= min_diff)).join(origins, ["sample_id", "region_id"], "left")
-    fm = F.col("n_mat") / F.col("n_sites")
+    fm = F.when(F.col("n_sites") > 0, F.col("n_mat") / F.col("n_sites"))
     hap1_mat = F.when(F.col("n_sites") >= min_sites, F.when(fm >= agree, True).when(fm <= 1 - agree, False))
     parent = F.when(hap1_mat.isNull(), "unassigned").when(hap1_mat == (F.col("h1") > F.col("h2")), "maternal").otherwise("paternal")
     return d.withColumn("methylated_parent", parent)
@@ -102,7 +102,7 @@ def asm_catalogue(calls: DataFrame, hap: DataFrame) -> DataFrame:
     of = lambda v: F.count_if(F.col("methylated_parent") == v)
     c = calls.groupBy("region_id").agg(F.count("*").alias("n_asm"), of("maternal").alias("n_maternal"), of("paternal").alias("n_paternal"), of("unassigned").alias("n_unassigned"))
     a = F.col("n_maternal") + F.col("n_paternal")
-    share = F.col("n_maternal") / a
+    share = F.when(a > 0, F.col("n_maternal") / a)
     cls = (F.when((a >= 5) & (F.greatest(share, 1 - share) >= 0.9), F.when(F.col("n_maternal") > F.col("n_paternal"), "imprinted_like_maternal_methylated").otherwise("imprinted_like_paternal_methylated"))
            .when((F.col("n_asm") >= 5) & (a >= 4) & share.between(0.25, 0.75), "sequence_dependent_ASM").when(F.col("n_asm") >= 5, "frequent_ASM_unclassified").otherwise("sporadic_ASM"))
     return c.join(data, "region_id").withColumn("class", cls)

@@ -51,7 +51,7 @@ def syndrome_scores(features: DataFrame, definition: DataFrame) -> DataFrame:
     """
     d = features.where("state <> 'unknown'").join(definition, "feature")
     g = d.groupBy("subject_id", "syndrome").agg(F.sum(F.when(F.col("state") == "present", F.col("weight")).otherwise(0)).alias("hit"), F.sum("weight").alias("judged"), F.count("*").alias("n_known"))
-    return g.withColumn("score", F.col("hit") / F.col("judged"))
+    return g.withColumn("score", F.when(F.col("judged") > 0, F.col("hit") / F.col("judged")))
 
 
 def specificity(features: DataFrame, definition: DataFrame) -> DataFrame:

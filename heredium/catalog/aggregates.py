@@ -8,12 +8,13 @@ from ..operators import panel
 from ..plans import repeats as rp
 from .registry import query
 
-FOUNDER = F.col("slot") < 2
+def founder():
+    return F.col("slot") < 2
 
 
 @query("panel_counts", "A1", """SELECT site_id, CAST(sum(a1 + a2) AS BIGINT) AS ac, 2 * count(*) AS an, round(sum(a1 + a2) / (2.0E0 * count(*)), 6) AS af FROM fx_genotype WHERE slot < 2 GROUP BY site_id""")
 def _(t):
-    d = t("fx_genotype").where(FOUNDER).groupBy("site_id").agg(F.sum(F.col("a1") + F.col("a2")).alias("ac"), (F.count("*") * 2).alias("an"))
+    d = t("fx_genotype").where(founder()).groupBy("site_id").agg(F.sum(F.col("a1") + F.col("a2")).alias("ac"), (F.count("*") * 2).alias("an"))
     return d.withColumn("af", F.round(F.col("ac") / F.col("an"), 6))
 
 
@@ -49,7 +50,7 @@ FOUNDER_ALLELES = """fa AS (SELECT site_id, family_id, al1 AS len FROM fx_tr WHE
 
 @query("founder_percentiles", "A4", f"""WITH {FOUNDER_ALLELES} SELECT site_id, count(*) AS n_founder_alleles, quantile_disc(len, 0.5) AS p50, quantile_disc(len, 0.99) AS p99, max(len) AS founder_max FROM fa GROUP BY site_id HAVING count(*) >= 8""")
 def _(t):
-    return rp.locus_stats(rp.alleles_long(t("fx_tr").where(FOUNDER), 5).where("ok"), 8)
+    return rp.locus_stats(rp.alleles_long(t("fx_tr").where(founder()), 5).where("ok"), 8)
 
 
 @query("founder_percentiles_loo", "A4", f"""WITH {FOUNDER_ALLELES}, n AS (SELECT site_id, count(*) AS n FROM fa GROUP BY site_id HAVING count(*) >= 8), fam AS (SELECT DISTINCT site_id, family_id FROM fa),
@@ -58,7 +59,7 @@ al AS (SELECT site_id, quantile_disc(len, 0.99) AS p, max(len) AS m FROM fa GROU
 SELECT fam.site_id, fam.family_id, CASE WHEN coalesce(r.n_rest, 0) >= 6 THEN r.p ELSE al.p END AS pct_loo, CASE WHEN coalesce(r.n_rest, 0) >= 6 THEN r.m ELSE al.m END AS max_loo
 FROM fam JOIN n ON n.site_id = fam.site_id JOIN al ON al.site_id = fam.site_id LEFT JOIN r ON r.site_id = fam.site_id AND r.family_id = fam.family_id""")
 def _(t):
-    a = rp.alleles_long(t("fx_tr").where(FOUNDER), 5).where("ok")
+    a = rp.alleles_long(t("fx_tr").where(founder()), 5).where("ok")
     return panel.leave_one_out_percentile(a, ["site_id"], "family_id", "len", 0.99, 8, 6).select("site_id", "family_id", "pct_loo", "max_loo")
 
 
@@ -69,7 +70,7 @@ calls AS (SELECT t.*, CASE WHEN coalesce(r.n_rest, 0) >= 6 THEN r.p ELSE n.p99 E
 
 
 def repeat_calls(t):
-    return rp.outlier_calls(t("fx_tr"), FOUNDER, F.lit(9), 5, 8, 6)
+    return rp.outlier_calls(t("fx_tr"), founder(), F.lit(9), 5, 8, 6)
 
 
 @query("repeat_outliers", "A5,C28", f"""WITH {THRESH}

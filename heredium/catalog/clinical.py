@@ -9,7 +9,7 @@ from ..functions import rules
 from ..operators import intervals as iv
 from ..operators import trio
 from ..plans import burden, clinical, inheritance, repeats, tiering
-from .aggregates import FOUNDER, TR_TRIO, repeat_calls
+from .aggregates import TR_TRIO, repeat_calls
 from .evidence import CLASSED, classified
 from .genotypes import TRIO
 from .overlaps import OV, features, svs
@@ -26,7 +26,7 @@ def _(t):
 
 
 @query("denovo_tiers", "C30", f"""WITH {TRIO}, d AS (SELECT child_id, site_id FROM trio WHERE c_a1 <> c_a2 AND f_a1 + f_a2 = 0 AND m_a1 + m_a2 = 0)
-SELECT d.child_id, d.site_id, CASE WHEN s.consequence IN {LOF} THEN CASE WHEN s.s_het >= 0.18 THEN 'LoF_1' WHEN s.s_het >= 0.03 THEN 'LoF_2' ELSE 'LoF_3' END WHEN s.consequence = 'missense_variant' THEN CASE coalesce((s.s_het > 0.1)::INT, 0) + coalesce((s.s_het > 0.2)::INT, 0) + coalesce((s.s_het > 0.3)::INT, 0) WHEN 3 THEN 'missense_1' WHEN 2 THEN 'missense_2' WHEN 1 THEN 'missense_3' ELSE 'missense_0' END ELSE 'other' END AS tier
+SELECT d.child_id, d.site_id, CASE WHEN s.consequence IN {LOF} THEN CASE WHEN s.s_het >= 0.18 THEN 'LoF_1' WHEN s.s_het >= 0.03 THEN 'LoF_2' ELSE 'LoF_3' END WHEN s.consequence = 'missense_variant' THEN CASE coalesce((s.s_het > 0.05)::INT, 0) + coalesce((s.s_het > 0.1)::INT, 0) + coalesce((s.s_het > 0.2)::INT, 0) + coalesce((s.s_het > 0.3)::INT, 0) WHEN 4 THEN 'missense_1' WHEN 3 THEN 'missense_2' WHEN 2 THEN 'missense_3' WHEN 1 THEN 'missense_4' ELSE 'missense_0' END ELSE 'other' END AS tier
 FROM d JOIN fx_site s ON s.site_id = d.site_id WHERE coalesce(s.gnomad_af, -1) < 0.001""")
 def _(t):
     w = trio.trio_wide(t("fx_genotype"), t("fx_pedigree"), ["a1", "a2"]).where(trio.het("c") & trio.hom_ref("f") & trio.hom_ref("m"))
@@ -204,11 +204,11 @@ def _(t):
     return d.orderBy((F.col("t") - F.col("nt")).desc(), "symbol").limit(10)
 
 
-@query("ascertainment", "C42,U4", """WITH m AS (SELECT g.sample_id, CASE coalesce((s.s_het > 0.1)::INT, 0) + coalesce((s.s_het > 0.2)::INT, 0) + coalesce((s.s_het > 0.3)::INT, 0) WHEN 3 THEN 1 WHEN 2 THEN 2 WHEN 1 THEN 3 ELSE 0 END AS tier FROM fx_genotype g JOIN fx_site s ON s.site_id = g.site_id WHERE s.consequence = 'missense_variant' AND g.a1 + g.a2 > 0 AND g.gq >= 20 AND g.dp >= 10)
+@query("ascertainment", "C42,U4", """WITH m AS (SELECT g.sample_id, CASE coalesce((s.s_het > 0.05)::INT, 0) + coalesce((s.s_het > 0.1)::INT, 0) + coalesce((s.s_het > 0.2)::INT, 0) + coalesce((s.s_het > 0.3)::INT, 0) WHEN 4 THEN 1 WHEN 3 THEN 2 WHEN 2 THEN 3 WHEN 1 THEN 4 ELSE 0 END AS tier FROM fx_genotype g JOIN fx_site s ON s.site_id = g.site_id WHERE s.consequence = 'missense_variant' AND g.a1 + g.a2 > 0 AND g.gq >= 20 AND g.dp >= 10)
 SELECT CASE WHEN p.affected = 1 THEN 'cohort' ELSE 'pool' END AS grp, count(DISTINCT m.sample_id) AS n_samples, CAST(sum(CASE WHEN tier = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tier1, CAST(sum(CASE WHEN tier = 2 THEN 1 ELSE 0 END) AS BIGINT) AS tier2 FROM m JOIN fx_pedigree p ON p.sample_id = m.sample_id GROUP BY 1""")
 def _(t):
     s = F.col("s_het")
-    tiers = t("fx_site").where("consequence = 'missense_variant'").withColumn("tier", rules.missense_tier(s > 0.1, s > 0.2, s > 0.3))
+    tiers = t("fx_site").where("consequence = 'missense_variant'").withColumn("tier", rules.missense_tier(s > 0.05, s > 0.1, s > 0.2, s > 0.3))
     per = tiering.counts_per_sample(t("fx_genotype"), tiers, ["site_id"])
     d = per.join(t("fx_pedigree").select("sample_id", "affected"), "sample_id")
     return d.groupBy(F.when(F.col("affected") == 1, "cohort").otherwise("pool").alias("grp")).agg(F.count("*").alias("n_samples"), F.sum("tier1").alias("tier1"), F.sum("tier2").alias("tier2"))

@@ -58,10 +58,10 @@ def _(t):
 
 
 @query("variant_tiers", "F11,F13", """SELECT site_id, CASE WHEN s_het >= 0.18 THEN 1 WHEN s_het >= 0.03 THEN 2 ELSE 3 END AS lof_tier, CASE WHEN s_het IS NULL THEN 'unknown' WHEN s_het >= 0.18 THEN 'high' WHEN s_het >= 0.03 THEN 'moderate' ELSE 'low' END AS band,
- CASE coalesce((gnomad_af < 0.001)::INT, 0) + coalesce((s_het > 0.2)::INT, 0) + (site_id % 2 = 0)::INT WHEN 3 THEN 1 WHEN 2 THEN 2 WHEN 1 THEN 3 ELSE 0 END AS missense_tier FROM fx_site""")
+ CASE coalesce((gnomad_af < 0.001)::INT, 0) + coalesce((s_het > 0.2)::INT, 0) + (site_id % 2 = 0)::INT + (site_id % 3 = 0)::INT WHEN 4 THEN 1 WHEN 3 THEN 2 WHEN 2 THEN 3 WHEN 1 THEN 4 ELSE 0 END AS missense_tier FROM fx_site""")
 def _(t):
     s = F.col("s_het")
-    return t("fx_site").select("site_id", rules.lof_tier(s).alias("lof_tier"), rules.s_het_band(s).alias("band"), rules.missense_tier(F.col("gnomad_af") < 0.001, s > 0.2, F.col("site_id") % 2 == 0).alias("missense_tier"))
+    return t("fx_site").select("site_id", rules.lof_tier(s).alias("lof_tier"), rules.s_het_band(s).alias("band"), rules.missense_tier(F.col("gnomad_af") < 0.001, s > 0.2, F.col("site_id") % 2 == 0, F.col("site_id") % 3 == 0).alias("missense_tier"))
 
 
 @query("sv_lengths", "F14", """SELECT svtype, count(*) AS n, CAST(sum(coalesce(CASE WHEN sv_id % 3 = 0 THEN sv_id % 5000 END, CASE WHEN svtype IN ('DEL', 'DUP', 'INV') THEN "end" - start END, 0)) AS BIGINT) AS len_sum FROM fx_sv GROUP BY svtype""")
@@ -151,3 +151,19 @@ def _(t):
     k = svs(t).join(event_kinds(svs(t), features(t), ["sv_id"]), "sv_id", "left")
     kinds = F.coalesce("kinds", F.array().cast("array<string>"))
     return k.groupBy("svtype", rules.sv_impact(F.col("svtype"), kinds).alias("impact")).agg(F.count("*").alias("n"))
+
+
+@query("coding_consequence", "F19,P5", """WITH e AS (SELECT interval_id, chrom, start, "end" FROM fx_interval WHERE kind = 'CDS'), v AS (SELECT interval_id, start + (7 * interval_id) % 60 AS p0, (7 * interval_id) % 60 AS ci, CASE interval_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'G' ELSE 'T' END AS alt FROM e),
+c AS (SELECT *, ci % 9 AS m FROM v), n AS (SELECT *, substr('ATGGCTTAC', CAST(m - m % 3 + 1 AS INT), 3) AS codon FROM c), w AS (SELECT *, substr(codon, 1, CAST(m % 3 AS INT)) || alt || substr(codon, CAST(m % 3 AS INT) + 2) AS new FROM n),
+a AS (SELECT *, CASE codon WHEN 'ATG' THEN 'M' WHEN 'GCT' THEN 'A' ELSE 'Y' END AS a0, CASE new WHEN 'ATG' THEN 'M' WHEN 'GTG' THEN 'V' WHEN 'TTG' THEN 'L' WHEN 'AAG' THEN 'K' WHEN 'AGG' THEN 'R' WHEN 'ATA' THEN 'I' WHEN 'ATT' THEN 'I' WHEN 'GCT' THEN 'A' WHEN 'ACT' THEN 'T' WHEN 'TCT' THEN 'S' WHEN 'GAT' THEN 'D' WHEN 'GGT' THEN 'G' WHEN 'GTT' THEN 'V' WHEN 'GCA' THEN 'A' WHEN 'GCG' THEN 'A'
+ WHEN 'TAC' THEN 'Y' WHEN 'AAC' THEN 'N' WHEN 'GAC' THEN 'D' WHEN 'TGC' THEN 'C' WHEN 'TTC' THEN 'F' WHEN 'TAA' THEN '*' WHEN 'TAG' THEN '*' WHEN 'TAT' THEN 'Y' END AS a1 FROM w)
+SELECT interval_id, CASE WHEN a0 = a1 THEN 'synonymous' WHEN a1 = '*' THEN 'nonsense' WHEN ci < 3 THEN 'start_loss' ELSE 'missense' END AS class, 'p.' || a0 || CAST(ci // 3 + 1 AS STRING) || a1 AS detail FROM a""")
+def _(t):
+    from ..plans.consequence import coding_consequence
+
+    e = t("fx_interval").where("kind = 'CDS'").withColumn("symbol", F.col("interval_id").cast("string"))
+    alt = F.element_at(F.array(F.lit("A"), F.lit("G"), F.lit("T")), (F.col("interval_id") % 3 + 1).cast("int"))
+    v = e.select("interval_id", "chrom", (F.col("start") + (7 * F.col("interval_id")) % 60 + 1).alias("pos"), F.lit("N").alias("ref"), alt.alias("alt"), F.col("symbol").alias("own"))
+    exons = e.select("symbol", "chrom", F.col("start").alias("e_start"), F.col("end").alias("e_end"), F.lit(0).alias("c_start"))
+    tx = e.select("symbol", F.lit(1).alias("strand"), F.repeat(F.lit("ATGGCTTAC"), F.ceil((F.col("end") - F.col("start")) / 9).cast("int")).alias("cds"))
+    return coding_consequence(v, exons, tx, ["interval_id", "own"]).where("own = symbol").select("interval_id", "class", "detail")

@@ -30,10 +30,19 @@ def lof_tier(s_het: Column) -> Column:
     return F.when(s_het >= 0.18, 1).when(s_het >= 0.03, 2).otherwise(3)
 
 
+# Score columns and the rank score each must reach.
+MISSENSE_SCORES = {"ClinPred_rankscore": 0.4298, "AlphaMissense_rankscore": 0.9603, "popEVE_converted_rankscore": 0.9209, "MPC_rankscore": 0.8947}
+
+
+def missense_passed() -> list[Column]:
+    """The four score tests; scores may be text."""
+    return [F.col(c).try_cast("double") >= t for c, t in MISSENSE_SCORES.items()]
+
+
 def missense_tier(*passed: Column) -> Column:
-    """Tier by the number of scores passed; an absent score is not passed. 0 = none."""
+    """Tier 1 when all four scores pass, down to 4 for one; an absent score is not passed. 0 = none."""
     n = sum((F.coalesce(p, F.lit(False)).cast("int") for p in passed), F.lit(0))
-    return F.when(n >= 3, 1).when(n == 2, 2).when(n == 1, 3).otherwise(0)
+    return F.when(n > 0, 5 - n).otherwise(0)
 
 
 def s_het_band(s_het: Column) -> Column:

@@ -91,7 +91,7 @@ def asm_calls(hap: DataFrame, origins: DataFrame, min_diff: float = 0.30, max_p:
     """
     d = hap.where((F.col("p") < max_p) & (F.abs(F.col("h1") - F.col("h2")) >= min_diff)).join(origins, ["sample_id", "region_id"], "left")
     fm = F.when(F.col("n_sites") > 0, F.col("n_mat") / F.col("n_sites"))
-    hap1_mat = F.when(F.col("n_sites") >= min_sites, F.when(fm >= agree, True).when(fm <= 1 - agree, False))
+    hap1_mat = F.when(F.col("n_sites") >= min_sites, F.when(fm >= agree, True).when(1 - fm >= agree, False))
     parent = F.when(hap1_mat.isNull(), "unassigned").when(hap1_mat == (F.col("h1") > F.col("h2")), "maternal").otherwise("paternal")
     return d.withColumn("methylated_parent", parent)
 

@@ -24,11 +24,14 @@ def counts_per_sample(genotypes: DataFrame, tiers: DataFrame, key: list[str], n_
     return d.groupBy("sample_id").agg(*[F.count_if(F.col("tier") == i).alias(f"tier{i}") for i in range(1, n_tiers + 1)])
 
 
-def denovo_tiers(calls: DataFrame, sites: DataFrame, key: list[str], max_af: float) -> DataFrame:
-    """Final tier of each rare de novo call: constraint for loss of function, passed scores for missense."""
+def denovo_tiers(calls: DataFrame, sites: DataFrame, key: list[str], max_af: float, passed: list | None = None) -> DataFrame:
+    """Final tier of each rare de novo call: constraint for loss of function, passed scores for missense.
+
+    ``passed`` are the score tests (see :func:`rules.missense_passed`); by default four cuts of the constraint score.
+    """
     s = F.col("s_het")
     cls = rules.consequence_class(F.col("consequence"))
-    mis = rules.missense_tier(s > 0.1, s > 0.2, s > 0.3)
+    mis = rules.missense_tier(*(passed or [s > 0.05, s > 0.1, s > 0.2, s > 0.3]))
     tier = F.when(cls == "lof", F.concat(F.lit("LoF_"), rules.lof_tier(s))).when(cls == "missense", F.concat(F.lit("missense_"), mis)).otherwise("other")
     d = sites.where(g.rare(F.col("gnomad_af"), max_af)).select(*key, "symbol", tier.alias("tier"))
     return calls.join(d, key)

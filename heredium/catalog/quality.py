@@ -130,3 +130,27 @@ def _(t):
  UNION ALL SELECT 'FAIL' FROM fx_pedigree p WHERE (SELECT count(*) FROM fx_sv s WHERE s.sample_id = p.sample_id) < 130) x GROUP BY level""")
 def _(t):
     return audit.failures(audit.findings(audit.vocabulary(t("fx_sv"), "svtype", ["DEL", "DUP", "INS", "CNV"]), audit.minimum_events(t("fx_sv"), t("fx_pedigree"), "sample_id", 130)))
+
+
+@query("island_profile_rows", "S10", """SELECT sample_id, count(*) AS n, round(sum(beta), 4) AS total FROM (SELECT CASE sample_id WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS sample_id, round(beta, 6) AS beta FROM fx_cpg WHERE sample_id < 3) x GROUP BY 1""")
+def _(t):
+    of = lambda s: F.coalesce(F.max(F.when(F.col("sample_id") == s, F.round("beta", 6))).cast("string"), F.lit("."))
+    c = t("fx_cpg").where("sample_id < 3").groupBy("chrom", "pos").agg(of(0).alias("a"), of(1).alias("b"), of(2).alias("c"))
+    row = lambda cols: F.concat_ws("\t", "chrom", F.col("pos").cast("string"), (F.col("pos") + 1).cast("string"), F.lit("i"), *cols).alias("line")
+    # two files list their samples in different column orders
+    lines = c.select(F.lit("p").alias("file"), row(["a", "b"])).unionByName(c.select(F.lit("q").alias("file"), row(["c"])))
+    heads = t.spark.createDataFrame([("p", "chrom\tstart\tend\tlabel\ta\tb"), ("q", "chrom\tstart\tend\tlabel\tc")], "file string, line string")
+    d = text.island_profile(lines.unionByName(heads)).where("value IS NOT NULL")
+    return d.groupBy("sample_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("catalogue_entries", "S11", """SELECT interval_id, symbol, read_id FROM (SELECT interval_id, symbol, unnest([interval_id * 2, interval_id * 2 + 1]) AS read_id FROM fx_interval) x""")
+def _(t):
+    entry = F.to_json(F.struct("interval_id", "symbol", F.array(F.col("interval_id") * 2, F.col("interval_id") * 2 + 1).alias("reads")))
+    lines = t("fx_interval").select(entry.alias("line"))
+    return text.parse_catalogue(lines, "interval_id bigint, symbol string, reads array<bigint>", "reads").select("interval_id", "symbol", F.col("reads").alias("read_id"))
+
+
+@query("hashed_read_names", "S14", """SELECT read_id, substr(sha256('salt' || CAST(read_id AS STRING)), 1, 16) AS hashed FROM (SELECT DISTINCT read_id FROM fx_read) x""")
+def _(t):
+    return t("fx_read").select("read_id").distinct().withColumn("hashed", sinks.hashed(F.col("read_id"), "salt"))

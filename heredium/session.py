@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: str = "*", shuffle: int = 8, memory: str = "20g") -> SparkSession:
-    spark = (
+def local_session(cpus: str = "*", shuffle: int = 8, memory: str = "20g", shared: str | None = None) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("heredium")
         .config("spark.sql.shuffle.partitions", str(shuffle))
@@ -16,7 +16,9 @@ def local_session(cpus: str = "*", shuffle: int = 8, memory: str = "20g") -> Spa
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

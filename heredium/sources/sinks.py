@@ -13,9 +13,13 @@ def write_table(df: DataFrame, path: str, partition: str = "family_id") -> None:
     flat.write.partitionBy(partition).csv(f"{path}/tsv", sep="\t", header=True, nullValue=".")
 
 
+def hashed(name: Column, salt: str) -> Column:
+    return F.substring(F.sha2(F.concat(F.lit(salt), name.cast("string")), 256), 1, 16)
+
+
 def write_reads(df: DataFrame, path: str, name: str, salt: str) -> None:
     """Per-read JSON lines; read names leave only as salted hashes."""
-    df.withColumn(name, F.substring(F.sha2(F.concat(F.lit(salt), F.col(name).cast("string")), 256), 1, 16)).write.json(path)
+    df.withColumn(name, hashed(F.col(name), salt)).write.json(path)
 
 
 def info_text(fields: dict[str, Column]) -> Column:

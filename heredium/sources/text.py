@@ -137,6 +137,12 @@ def read_catalogue(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def parse_catalogue(lines: DataFrame, schema: str, explode: str) -> DataFrame:
+    """Catalogue entries held as one JSON object per line, one row per element of ``explode``."""
+    d = lines.select(F.from_json("line", schema).alias("j")).select("j.*")
+    return d.withColumn(explode, F.explode(explode))
+
+
 def probes_to_cpgs(probes: DataFrame, manifest: DataFrame) -> DataFrame:
     """Array probes to CpG intervals by probe id without its design suffix; unmapped probes stay, marked."""
     d = probes.withColumn("probe", g.without_probe_suffix(F.col("probe")))

@@ -42,7 +42,7 @@ def _(t):
 @query("bed_features", "S6,S5", """SELECT chrom, kind, count(*) AS n, CAST(sum("end" - start) AS BIGINT) AS bp FROM fx_interval GROUP BY 1, 2""")
 def _(t):
     lines = t("fx_interval").select(F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string"), "kind").alias("line"))
-    d = text.parse_bed(lines.unionByName(t("fx_interval").limit(1).select(F.lit("#header").alias("line"))), ["kind"])
+    d = text.parse_bed(lines.unionByName(t.spark.createDataFrame([("#header",), ("track name=x",)], "line string")), ["kind"])
     return d.groupBy("chrom", "kind").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("bp"))
 
 

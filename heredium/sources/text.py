@@ -28,7 +28,7 @@ def parse_vcf(lines: DataFrame) -> DataFrame:
     f = F.split("line", "\t")
     body = lines.where(~F.col("line").startswith("#")).select("file", f.alias("f"))
     flags = F.transform(F.split(F.col("f")[7], ";"), lambda kv: F.when(kv.contains("="), kv).otherwise(F.concat(kv, F.lit("=1"))))
-    d = body.join(F.broadcast(head), "file")
+    d = body.join(head, "file")
     d = d.select(
         "file", F.col("f")[0].alias("chrom"), F.col("f")[1].cast("long").alias("pos"), _value(F.col("f")[2]).alias("id"), F.col("f")[3].alias("ref"), F.col("f")[4].alias("alt"),
         F.col("f")[5].try_cast("double").alias("qual"), F.col("f")[6].alias("filter"), F.when(F.col("f")[7] != ".", F.str_to_map(F.array_join(flags, ";"), F.lit(";"), F.lit("="))).alias("info"),
@@ -127,7 +127,7 @@ def island_profile(lines: DataFrame) -> DataFrame:
     """Long island rows from a profile with one column per sample: matched by island key and column name, never by position."""
     head = lines.where(F.col("line").startswith("chrom\t")).select("file", F.slice(F.split("line", "\t"), 5, 1 << 20).alias("names"))
     f = F.split("line", "\t")
-    d = lines.where(~F.col("line").startswith("chrom\t")).select("file", f.alias("f")).join(F.broadcast(head), "file")
+    d = lines.where(~F.col("line").startswith("chrom\t")).select("file", f.alias("f")).join(head, "file")
     d = d.select(F.col("f")[0].alias("chrom"), F.col("f")[1].cast("long").alias("start"), F.col("f")[2].cast("long").alias("end"), F.posexplode(F.slice("f", 5, 1 << 20)).alias("i", "v"), "names")
     return d.select("chrom", "start", "end", F.get("names", F.col("i")).alias("sample_id"), _value(F.col("v")).try_cast("double").alias("value"))
 

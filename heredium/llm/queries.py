@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, pii
+from . import packing, pii, quality
 
 QUERIES = {
+    "op3_quality": quality.op3_quality,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_personal_data": pii.op8_personal_data,
 }

@@ -108,7 +108,7 @@ def grams(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     total[0] = 0
     np.cumsum((h if not seed else mix(h + U64(seed))) * t.up[:n], out=total[1:])
     g = (total[k:] - total[:-k]) * t.down[: n - k + 1]
-    g += U64(k) * U64(0x9FB21C651E98DF25)
+    g += U64((k * 0x9FB21C651E98DF25) & 0xFFFFFFFFFFFFFFFF)
     return mix(g)
 
 

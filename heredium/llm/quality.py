@@ -113,6 +113,15 @@ def _rows(texts: pd.Series, labels: pd.Series, bits: int) -> list[tuple[np.ndarr
     return out
 
 
+def _learner(sent, bits: int, passes: int):
+    def learn(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["turn", "text"])
+        m = _ftrl(_rows(part["text"], part["label"], bits), sent.value, passes)
+        return pd.DataFrame({"weight": [m.weight.astype("<f4").tobytes()], "bias": [m.bias], "n": [len(part)]})
+
+    return learn
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS, shards: int = SHARDS,
           rounds: int = ROUNDS, passes: int = PASSES) -> Model:
     """Learns from labelled rows that are not held out; ``sample`` bounds how many are expected."""
@@ -127,13 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
     model = Model(np.zeros(1 << bits), 0.0)
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)
-
-        def learn(part: pd.DataFrame, sent=sent) -> pd.DataFrame:
-            part = part.sort_values(["turn", "text"])
-            m = _ftrl(_rows(part["text"], part["label"], bits), sent.value, passes)
-            return pd.DataFrame({"weight": [m.weight.astype("<f4").tobytes()], "bias": [m.bias], "n": [len(part)]})
-
-        got = rows.groupBy("shard").applyInPandas(learn, "weight binary, bias double, n long").collect()   # at most ``shards`` rows
+        got = rows.groupBy("shard").applyInPandas(_learner(sent, bits, passes), "weight binary, bias double, n long").collect()   # at most ``shards`` rows
         if got:
             total = sum(g.n for g in got)
             model = Model(sum(np.frombuffer(g.weight, "<f4").astype(float) * g.n for g in got) / total, sum(g.bias * g.n for g in got) / total)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, pii, quality
+from . import counts, fixity, packing, pii, quality
 
 QUERIES = {
     "op3_quality": quality.op3_quality,
+    "op6_token_rollups": counts.op6_token_rollups,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_personal_data": pii.op8_personal_data,
+    "op9_fixity_audit": fixity.op9_fixity_audit,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_fixity_audit": fixity.OP9_SQL}

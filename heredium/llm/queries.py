@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import counts, fixity, packing, pii, quality
+from . import counts, decontaminate, fingerprint, fixity, packing, pii, quality
 
 QUERIES = {
     "op3_quality": quality.op3_quality,
+    "op4_fingerprints": fingerprint.op4_fingerprints,
     "op6_token_rollups": counts.op6_token_rollups,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_personal_data": pii.op8_personal_data,
     "op9_fixity_audit": fixity.op9_fixity_audit,
+    "op10_decontamination": decontaminate.op10_decontamination,
 }
-ORACLES: dict[str, str] = {"op9_fixity_audit": fixity.OP9_SQL}
+ORACLES: dict[str, str] = {"op9_fixity_audit": fixity.OP9_SQL, "op10_decontamination": decontaminate.OP10_SQL}

@@ -57,20 +57,33 @@ class Encoder:
             self.ids.update(zip(part, [raw[a:b] for a, b in zip([0, *(cut + 4)], [*cut, len(raw)], strict=True)], strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        cut = [None if irregular(t) else t.replace("\n", "\n\n").replace(" ", "\n ").split("\n") if t else [] for t in texts]
-        every: set[str] = set()
-        for p in cut:
-            if p:
-                every.update(p)
-        every.discard("")
-        known = self.ids
-        if new := every.difference(known):
+        """Ids of each text: every piece is looked up once; texts with pieces not met before follow when those are learnt."""
+        known, out, later, new = self.ids, [b""] * len(texts), [], set()
+        known[""] = self.line   # an empty piece stands for a line break
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if irregular(t):
+                out[i] = self.whole(t)
+                continue
+            pieces = t.replace("\n", "\n\n").replace(" ", "\n ").split("\n")
+            found = list(map(known.get, pieces))
+            try:
+                out[i] = b"".join(found)
+            except TypeError:
+                missed = [k for k, v in enumerate(found) if v is None]
+                new.update(pieces[k] for k in missed)
+                later.append((i, pieces, found, missed))
+        if later:
             if len(known) + len(new) > self.kept:
                 known.clear()
-                new = every
+                known[""] = self.line
             self._learn(new)
-        known[""] = self.line   # an empty piece stands for a line break
-        return [self.whole(t) if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, cut, strict=True)]
+            for i, pieces, found, missed in later:
+                for k in missed:
+                    found[k] = known[pieces[k]]
+                out[i] = b"".join(found)
+        return out
 
 
 @lru_cache(maxsize=8)

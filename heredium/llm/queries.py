@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import counts, decontaminate, fingerprint, fixity, jaccard, packing, pii, quality
+from . import counts, decontaminate, fingerprint, fixity, jaccard, packing, passages, pii, quality
 
 QUERIES = {
+    "op1_repeated_passages": passages.op1_repeated_passages,
     "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op3_quality": quality.op3_quality,
     "op4_fingerprints": fingerprint.op4_fingerprints,

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import counts, decontaminate, fingerprint, fixity, jaccard, packing, passages, pii, quality
+from . import counts, decontaminate, fingerprint, fixity, jaccard, packing, passages, pii, quality, tokenfiles
 
 QUERIES = {
     "op1_repeated_passages": passages.op1_repeated_passages,
     "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op3_quality": quality.op3_quality,
     "op4_fingerprints": fingerprint.op4_fingerprints,
+    "op5_token_files": tokenfiles.op5_token_files,
     "op6_token_rollups": counts.op6_token_rollups,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_personal_data": pii.op8_personal_data,

@@ -1,14 +1,33 @@
-"""A training-corpus pipeline: each stage works on all its predecessor kept, written and read again between stages."""
+"""A training-corpus pipeline: each stage works on all its predecessor kept, written and read again between stages.
+
+Every stage but the last returns the columns of ``documents``; extra columns of the input travel with
+their rows. Null texts and ids, repeated rows and empty tables are handled as the operators say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heredium.llm import packing, pii
+from heredium.llm import decontaminate, jaccard, packing, pii, quality
 from heredium.llm.frames import documents
 from heredium.storage import cut
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the bar go."""
+    return quality.accepted(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked texts stays, the one with the smallest id."""
+    return jaccard.one_of_each(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; every document stays."""
     return pii.redacted(docs)
@@ -19,9 +38,15 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.packed(docs)
 
 
-STAGES = [("pii", personal_data), ("best_fit_packing", best_fit_packing)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("jaccard_join", jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("pii", personal_data),
+    ("best_fit_packing", best_fit_packing),
+]
 
-#: Training, tokenisation and regular expressions are beyond SQL; the stages are tested one by one.
+#: Training, tokenisation and packing are beyond SQL; the stages are tested one by one against brute force.
 ORACLE_SQL = None
 
 

@@ -309,11 +309,20 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that stay when one document of each group of linked texts is kept: the one with the group's smallest id."""
-    j = join(docs, threshold)
-    stay = j.where(F.coalesce("doc_id", F.lit(NO_ID)) == F.col("class_id")).select(F.col("class_id").alias("__stay")).distinct()
+    """The rows that stay when one document of each group of linked texts is kept: the one with the group's smallest id.
+
+    Of rows that repeat an id, one stays for each of its texts.
+    """
+    j = cut(join(docs, threshold))
+    stay = j.where(F.coalesce("doc_id", F.lit(NO_ID)) == F.col("class_id")).groupBy(F.col("class_id").alias("__stay")).agg(F.count("*").alias("__rows"))
+    columns = docs.columns
     d = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    return d.join(stay, d["__id"] == stay["__stay"], "left_semi").select(*docs.columns)
+    once = d.join(stay.where("__rows = 1"), F.col("__id") == F.col("__stay"), "left_semi").select(*columns)
+    more = stay.where("__rows > 1")
+    if more.isEmpty():
+        return once
+    again = d.join(more, F.col("__id") == F.col("__stay"), "left_semi").dropDuplicates(["__id", "text"]).select(*columns)
+    return once.unionByName(again)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,10 +20,9 @@ expressions only.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .frames import documents, row_key, text_of
+from .frames import NO_ID, documents, row_key, text_of, unused
 from .native import NOT_ALNUM, let, shingle_hashes, shingle_texts, words
 
 THRESHOLD, TINY, BROADCAST_ROWS = 0.8, 8, 500_000
@@ -90,10 +89,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of documents that contain no item, as they are."""
-    bad = matches(docs, benchmark, threshold).select(F.col("k1").alias("__bad1"), F.col("k2").alias("__bad2")).distinct()
-    columns = docs.columns
-    d = docs.withColumns({"__k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__k2": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    return d.join(bad, (F.col("__k1") == F.col("__bad1")) & (F.col("__k2") == F.col("__bad2")), "left_anti").select(*columns)
+    columns, (k1, k2, bad1, bad2) = docs.columns, unused(docs, "k1", "k2", "bad1", "bad2")
+    bad = matches(docs, benchmark, threshold).select(F.col("k1").alias(bad1), F.col("k2").alias(bad2)).distinct()
+    d = docs.withColumns({k1: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), k2: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    return d.join(bad, (F.col(k1) == F.col(bad1)) & (F.col(k2) == F.col(bad2)), "left_anti").select(*columns)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import cut
-from .frames import NO_ID, documents, partitions, text_of
+from .frames import NO_ID, documents, partitions, text_of, unused
 from .words import U64, grams, mix, slices, words_of
 
 THRESHOLD, SIZE = 0.8, 5
@@ -314,14 +314,14 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Of rows that repeat an id, one stays for each of its texts.
     """
     j = cut(join(docs, threshold))
-    stay = j.where(F.coalesce("doc_id", F.lit(NO_ID)) == F.col("class_id")).groupBy(F.col("class_id").alias("__stay")).agg(F.count("*").alias("__rows"))
-    columns = docs.columns
-    d = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    once = d.join(stay.where("__rows = 1"), F.col("__id") == F.col("__stay"), "left_semi").select(*columns)
-    more = stay.where("__rows > 1")
+    columns, (own, stays, rows) = docs.columns, unused(docs, "own", "stays", "rows")
+    stay = j.where(F.coalesce("doc_id", F.lit(NO_ID)) == F.col("class_id")).groupBy(F.col("class_id").alias(stays)).agg(F.count("*").alias(rows))
+    d = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    once = d.join(stay.where(F.col(rows) == 1), F.col(own) == F.col(stays), "left_semi").select(*columns)
+    more = stay.where(F.col(rows) > 1)
     if more.isEmpty():
         return once
-    again = d.join(more, F.col("__id") == F.col("__stay"), "left_semi").dropDuplicates(["__id", "text"]).select(*columns)
+    again = d.join(more, F.col(own) == F.col(stays), "left_semi").dropDuplicates([own, "text"]).select(*columns)
     return once.unionByName(again)
 
 

@@ -4,7 +4,7 @@ Both public vocabularies used here split a text into pre-tokens before merging,
 reaches across a single space or line break that has visible characters on both sides. A text is cut
 there (the space stays with what follows it), and the ids of its pieces, joined, are the ids of the
 whole text. A text in which two white-space characters meet, or which begins or ends with one, is
-encoded whole. Pieces not met before are encoded together, parted by a special token.
+encoded whole. Pieces not met before are encoded together, parted by a mark that has its own id.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 _WHITE = re.compile(r"\s\s")
-MOST_KEPT = 600_000
+MOST_KEPT = 800_000
 
 
 def irregular(text: str) -> bool:
@@ -23,12 +23,11 @@ def irregular(text: str) -> bool:
 
 
 @lru_cache(maxsize=8)
-def tokenizer(path: str, plain: bool = True):
-    """``plain``: the strings of special tokens in a text are ordinary text."""
+def tokenizer(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = plain
+    t.encode_special_tokens = True   # their strings in a text are ordinary text
     return t
 
 
@@ -36,22 +35,23 @@ class Encoder:
     """Ids as little-endian unsigned 32-bit integers in bytes objects."""
 
     def __init__(self, path: str, kept: int = MOST_KEPT):
-        self.plain, self.parted, self.kept = tokenizer(path), tokenizer(path, False), kept
-        self.mark = "<|endoftext|>"
-        self.mark_id = self.parted.token_to_id(self.mark)
+        self.tokenizer, self.kept = tokenizer(path), kept
         self.ids: dict[str, bytes] = {}
         self.line = self.whole("\n")
+        # What parts new pieces: a line break if it has an id of its own, else a bar between spaces.
+        self.mark = "\n" if len(self.line) == 4 else " | "
+        self.mark_id = int(np.frombuffer(self.whole(self.mark), "<u4")[0])
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
-        odd = [p for p in pieces if "<|" in p]
-        even = [p for p in pieces if "<|" not in p]
+        odd = [p for p in pieces if "|" in p]
+        even = [p for p in pieces if "|" not in p]
         self.ids.update((p, self.whole(p)) for p in odd)
         for lo in range(0, len(even), 1000):
             part = even[lo: lo + 1000]
-            ids = np.asarray(self.parted.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.asarray(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             cut = np.flatnonzero(ids == self.mark_id) * 4
             raw = ids.tobytes()
             self.ids.update(zip(part, [raw[a:b] for a, b in zip([0, *(cut + 4)], [*cut, len(raw)], strict=True)], strict=True))

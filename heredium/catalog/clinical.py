@@ -196,12 +196,12 @@ def _(t):
     return d.select("symbol", "t", "nt", F.round("t_frac", 6).alias("t_frac"), F.round("p_tail", 6).alias("p_tail"))
 
 
-@query("ranked_gene_burden", "C41,T2,U4", f"""WITH {TDT} SELECT symbol, t, nt FROM cn WHERE symbol NOT IN (SELECT DISTINCT symbol FROM fx_interval WHERE kind = 'mask' AND "end" - start > 2900) ORDER BY t - nt DESC, symbol LIMIT 10""")
+@query("ranked_gene_burden", "C41,U4", f"""WITH {TDT} SELECT symbol, t, nt FROM cn WHERE symbol NOT IN (SELECT DISTINCT symbol FROM fx_interval WHERE kind = 'mask' AND "end" - start > 2900) ORDER BY t - nt DESC, symbol""")
 def _(t):
     w = trio.trio_wide(t("fx_genotype"), t("fx_pedigree"), ["a1", "a2", "gq", "dp"]).join(t("fx_site").select("site_id", "symbol"), "site_id")
     flagged = t("fx_interval").where("kind = 'mask' AND end - start > 2900").select("symbol").distinct()
     d = burden.transmission_counts(w, ["symbol"]).join(flagged, "symbol", "left_anti")
-    return d.orderBy((F.col("t") - F.col("nt")).desc(), "symbol").limit(10)
+    return d.orderBy((F.col("t") - F.col("nt")).desc(), "symbol")
 
 
 @query("ascertainment", "C42,U4", """WITH m AS (SELECT g.sample_id, CASE coalesce((s.s_het > 0.05)::INT, 0) + coalesce((s.s_het > 0.1)::INT, 0) + coalesce((s.s_het > 0.2)::INT, 0) + coalesce((s.s_het > 0.3)::INT, 0) WHEN 4 THEN 1 WHEN 3 THEN 2 WHEN 2 THEN 3 WHEN 1 THEN 4 ELSE 0 END AS tier FROM fx_genotype g JOIN fx_site s ON s.site_id = g.site_id WHERE s.consequence = 'missense_variant' AND g.a1 + g.a2 > 0 AND g.gq >= 20 AND g.dp >= 10)
@@ -215,10 +215,10 @@ def _(t):
 
 
 @query("combined_priority_list", "C32,T1", """WITH u AS (SELECT 'sv' AS cls, sv_id AS id, CASE svtype WHEN 'DEL' THEN 1 WHEN 'DUP' THEN 2 ELSE 3 END AS pr, "end" - start AS size FROM fx_sv UNION ALL SELECT 'small', site_id, CASE WHEN consequence = 'stop_gained' THEN 1 WHEN consequence = 'missense_variant' THEN 2 ELSE 4 END, 1 FROM fx_site UNION ALL SELECT 'tr', cand, 3, 60 FROM fx_candidate WHERE variant_class = 'TR')
-SELECT cls, id, pr FROM u ORDER BY pr, size DESC, cls, id LIMIT 200""")
+SELECT cls, id, pr FROM u ORDER BY pr, size DESC, cls, id""")
 def _(t):
     sv = t("fx_sv").select(F.lit("sv").alias("cls"), F.col("sv_id").alias("id"), F.when(F.col("svtype") == "DEL", 1).when(F.col("svtype") == "DUP", 2).otherwise(3).alias("pr"), (F.col("end") - F.col("start")).alias("size"))
     cons = F.col("consequence")
     sm = t("fx_site").select(F.lit("small").alias("cls"), F.col("site_id").alias("id"), F.when(cons == "stop_gained", 1).when(cons == "missense_variant", 2).otherwise(4).alias("pr"), F.lit(1).cast("long").alias("size"))
     tr = t("fx_candidate").where("variant_class = 'TR'").select(F.lit("tr").alias("cls"), F.col("cand").alias("id"), F.lit(3).alias("pr"), F.lit(60).cast("long").alias("size"))
-    return sv.unionByName(sm).unionByName(tr).orderBy("pr", F.col("size").desc(), "cls", "id").limit(200).select("cls", "id", "pr")
+    return sv.unionByName(sm).unionByName(tr).orderBy("pr", F.col("size").desc(), "cls", "id").select("cls", "id", "pr")

@@ -212,13 +212,13 @@ def _(t):
 
 
 @query("canonical_allele_join", "J7,F1", """SELECT site_id, CASE WHEN site_id % 10 = 9 THEN pos + 1 ELSE pos END AS core_pos,
-  CASE WHEN site_id % 10 = 9 THEN '' ELSE ref END AS core_ref, CASE WHEN site_id % 10 = 9 THEN 'AT' ELSE alt END AS core_alt FROM fx_site WHERE site_id % 3 = 0""")
+  CASE WHEN site_id % 10 = 9 THEN '' ELSE ref END AS core_ref, CASE WHEN site_id % 10 = 9 THEN 'AT' ELSE alt END AS core_alt FROM fx_site""")
 def _(t):
     def keyed(d):
         c = g.canonical_allele(F.col("pos"), F.col("ref"), F.col("alt"))
         return d.withColumn("c", c).select("site_id", "chrom", F.col("c.pos").alias("core_pos"), F.col("c.ref").alias("core_ref"), F.col("c.alt").alias("core_alt"))
 
-    padded = t("fx_site").where("site_id % 3 = 0").select(
+    padded = t("fx_site").select(
         F.col("site_id"), "chrom", (F.col("pos") - 2).alias("pos"), F.concat(F.lit("gc"), "ref", F.lit("GGC")).alias("ref"),
         F.concat(F.lit("GC"), "alt", F.lit("GGC")).alias("alt"))
     return keyed(padded).join(keyed(t("fx_site")).drop("site_id"), ["chrom", "core_pos", "core_ref", "core_alt"]).select(

@@ -215,7 +215,7 @@ def _(t):
 
 @query("island_sets", "C58,P8")
 def _(t):
-    grp = F.when(F.col("chrom") == "chr7", "x_like").when(F.col("chrom").isin("chr1", "chr2"), "autosome")
+    grp = F.when(F.col("chrom") == "chr7", "x_like").otherwise("autosome")
     return xi.island_sets(t("fx_region"), grp, 100, 10000, 3, 5).select("region_id", "grp")
 
 
@@ -254,11 +254,11 @@ def _(t):
     return xi.skew(v, inf, v.select("region_id").distinct().where("region_id % 4 = 1"), orient, 3)
 
 
-@query("gene_xci_status", "C61", f"""WITH {INFORMATIVE}, gn AS (SELECT symbol, min(chrom) AS chrom, min(start) AS start, min(start) + 3000 AS e, min(start) AS tss FROM fx_interval WHERE kind = 'gene' AND chrom = 'chr3' GROUP BY symbol),
+@query("gene_xci_status", "C61", f"""WITH {INFORMATIVE}, gn AS (SELECT symbol, min(chrom) AS chrom, min(start) AS start, min(start) + 3000 AS e, min(start) AS tss FROM fx_interval WHERE kind = 'gene' GROUP BY symbol),
 h AS (SELECT gn.symbol, r.region_id, iv.mm, iv.fm, row_number() OVER (PARTITION BY gn.symbol ORDER BY iv.mm - iv.fm, r.region_id) AS rn FROM gn JOIN fx_region r ON r.chrom = gn.chrom AND (abs(r.start - gn.tss) <= 20000 OR (r.start >= gn.start AND r."end" <= gn.e)) JOIN iv ON iv.region_id = r.region_id)
 SELECT gn.symbol, CASE WHEN h.symbol IS NULL THEN 'no covered island' WHEN h.mm < 0.2 AND h.fm >= 0.04 THEN 'subject' WHEN h.mm < 0.2 THEN 'escapes' ELSE 'uninformative' END AS status FROM gn LEFT JOIN h ON h.symbol = gn.symbol AND h.rn = 1""")
 def _(t):
-    g = t("fx_interval").where("kind = 'gene' AND chrom = 'chr3'").groupBy("symbol").agg(F.min("chrom").alias("chrom"), F.min("start").alias("start"))
+    g = t("fx_interval").where("kind = 'gene'").groupBy("symbol").agg(F.min("chrom").alias("chrom"), F.min("start").alias("start"))
     g = g.withColumns({"end": F.col("start") + 3000, "tss": F.col("start")})
     med = x_values(t).groupBy("region_id").agg(F.median(F.when(F.col("sex") == "M", F.col("combined"))).alias("male_median"), F.median(F.when(F.col("sex") == "F", F.col("combined"))).alias("female_median"))
     return xi.gene_status(g, t("fx_region"), med, 20000, 0.2, 0.04).select("symbol", "status")

@@ -116,20 +116,20 @@ def _(t):
     return match_baseline(d.where("sv_id % 3 <> 0"), base, ["sv_id"], "base_id")
 
 
-@query("nearest_segment", "J16", """WITH seg AS (SELECT interval_id, chrom, start, "end" FROM fx_interval WHERE interval_id % 3 = 0),
+@query("nearest_segment", "J16", """WITH seg AS (SELECT interval_id, chrom, start, "end" FROM fx_interval),
 d AS (SELECT s.sv_id, g.interval_id, greatest(g.start - s.start, s.start - g."end", 0) AS dist, g.start AS gs FROM fx_sv s JOIN seg g ON g.chrom = s.chrom AND s.start >= g.start - 30000 AND s.start <= g."end" + 30000),
-r AS (SELECT *, row_number() OVER (PARTITION BY sv_id ORDER BY dist, gs) AS rn FROM d) SELECT sv_id, interval_id, dist AS seg_dist FROM r WHERE rn = 1""")
+r AS (SELECT *, row_number() OVER (PARTITION BY sv_id ORDER BY dist, gs, interval_id) AS rn FROM d) SELECT sv_id, interval_id, dist AS seg_dist FROM r WHERE rn = 1""")
 def _(t):
     q = svs(t).select("sv_id", "chrom", F.col("start").alias("pos"))
-    return iv.nearest_segment(q, features(t, "interval_id % 3 = 0"), ["sv_id"], 30000, ["interval_id"]).select("sv_id", "interval_id", "seg_dist")
+    return iv.nearest_segment(q, features(t, "true"), ["sv_id"], 30000, ["interval_id"], tie=["b_start", "interval_id"]).select("sv_id", "interval_id", "seg_dist")
 
 
-@query("nearest_point", "J17", """WITH p AS (SELECT DISTINCT chrom, start AS pt FROM fx_interval WHERE interval_id % 5 = 0), d AS (SELECT s.sv_id, min(abs(s.start - p.pt)) AS dist,
+@query("nearest_point", "J17", """WITH p AS (SELECT DISTINCT chrom, start AS pt FROM fx_interval), d AS (SELECT s.sv_id, min(abs(s.start - p.pt)) AS dist,
  max(CASE WHEN p.pt <= s.start THEN p.pt END) AS prev_point, min(CASE WHEN p.pt >= s.start THEN p.pt END) AS next_point FROM fx_sv s LEFT JOIN p ON p.chrom = s.chrom GROUP BY s.sv_id)
 SELECT sv_id, coalesce(dist, -1) AS dist_point, coalesce(prev_point, -1) AS prev_point, coalesce(next_point, -1) AS next_point FROM d""")
 def _(t):
     q = svs(t).select("sv_id", "chrom", F.col("start").alias("pos"))
-    d = iv.nearest_points(q, t("fx_interval").where("interval_id % 5 = 0").select("chrom", F.col("start").alias("pos")))
+    d = iv.nearest_points(q, t("fx_interval").select("chrom", F.col("start").alias("pos")))
     none = F.lit(-1).cast("long")
     return d.select("sv_id", *[F.coalesce(c, none).alias(c) for c in ("dist_point", "prev_point", "next_point")])
 

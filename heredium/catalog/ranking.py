@@ -88,8 +88,15 @@ def _(t):
     return sel.pair_neighbours(d, ["fold"], [(F.col("sample_id") * 7919) % 10007, F.col("sample_id")], "sample_id")
 
 
-@query("priority_order", "T1,T2", """SELECT sv_id, CASE svtype WHEN 'DEL' THEN 1 WHEN 'DUP' THEN 2 WHEN 'INS' THEN 3 ELSE 4 END AS priority FROM fx_sv ORDER BY 2, "end" - start DESC, sv_id LIMIT 100""")
+@query("priority_order", "T1", """SELECT sv_id, CASE svtype WHEN 'DEL' THEN 1 WHEN 'DUP' THEN 2 WHEN 'INS' THEN 3 ELSE 4 END AS priority FROM fx_sv ORDER BY 2, "end" - start DESC, sv_id""")
 def _(t):
+    pr = F.when(F.col("svtype") == "DEL", 1).when(F.col("svtype") == "DUP", 2).when(F.col("svtype") == "INS", 3).otherwise(4)
+    return t("fx_sv").withColumn("priority", pr).orderBy("priority", (F.col("end") - F.col("start")).desc(), "sv_id").select("sv_id", "priority")
+
+
+@query("top_priority", "T2", """SELECT sv_id, CASE svtype WHEN 'DEL' THEN 1 WHEN 'DUP' THEN 2 WHEN 'INS' THEN 3 ELSE 4 END AS priority FROM fx_sv ORDER BY 2, "end" - start DESC, sv_id LIMIT 100""")
+def _(t):
+    """The hundred first of the priority order: the top-k operator."""
     pr = F.when(F.col("svtype") == "DEL", 1).when(F.col("svtype") == "DUP", 2).when(F.col("svtype") == "INS", 3).otherwise(4)
     return t("fx_sv").withColumn("priority", pr).orderBy("priority", (F.col("end") - F.col("start")).desc(), "sv_id").limit(100).select("sv_id", "priority")
 

@@ -94,23 +94,16 @@ def point_filter(points: DataFrame, b: DataFrame, how: str, pos: str = "pos", b_
     levels = _levels(q)
     if not levels:
         return points if how == "left_anti" else points.limit(0)
-    if how == "left_semi":
-        cells = F.explode(F.array(*[F.struct(F.lit(lv).alias("l"), _bin(F.col(pos), F.lit(lv)).alias("b")) for lv in levels]))
-        if len(levels) > 1:
-            hits = point_join(points, b, pos, b_span, bounds, keys)
-            return hits.select(*points.columns).distinct()
-        out = points.withColumn("__c", cells).withColumns({"__l": F.col("__c.l"), "__b": F.col("__c.b")}).drop("__c")
-        side = _spread(q, "__bs", "__be", [], False, True).drop("__lv")
-        cond = [out[k] == side[k] for k in keys] + [out["__l"] == side["__l"], out["__b"] == side["__b"],
-                                                    side["__bs"] <= out[pos], out[pos] < side["__be"]]
-        return out.join(side, cond, "left_semi").drop("__l", "__b")
-    out = points
-    for lv in levels:
+    out, hits = points, None
+    for lv in levels:                              # each level sees the points no level before it has taken, so no point is taken twice
         side = _spread(q.where(F.col("__lv") == lv), "__bs", "__be", [], False, True).drop("__lv", "__l")
         left = out.withColumn("__pb", _bin(F.col(pos), F.lit(lv)))
         cond = [left[k] == side[k] for k in keys] + [left["__pb"] == side["__b"], side["__bs"] <= left[pos], left[pos] < side["__be"]]
+        if how == "left_semi":
+            part = left.join(side, cond, "left_semi").drop("__pb")
+            hits = part if hits is None else hits.unionByName(part)
         out = left.join(side, cond, "left_anti").drop("__pb")
-    return out
+    return out if how == "left_anti" else hits
 
 
 def interval_anti(a: DataFrame, b: DataFrame, id_cols: list[str], a_span: tuple[str, str] = ("start", "end"),

@@ -33,6 +33,14 @@ def value_bin(df: DataFrame, value: str, name: str, bins: int = 64) -> DataFrame
     return out.withColumn(name, F.col(name).cast("int")).drop("__v")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Equality join on ``keys`` in which NULL equals NULL; the left side's keys stay."""
+    names = {k: f"__r{i}" for i, k in enumerate(keys)}
+    r = right.withColumnsRenamed(names)
+    on = [left[k].eqNullSafe(r[n]) for k, n in names.items()]
+    return left.join(r, on, how).drop(*names.values())
+
+
 def scan(df: DataFrame, keys: list[str], bin: str, order: list[str], value: Column, name: str, how: str,
          inclusive: bool = True) -> DataFrame:
     """Adds ``name``: running sum, max, last non-null value at or before, or first non-null value at or after.
@@ -62,7 +70,7 @@ def scan(df: DataFrame, keys: list[str], bin: str, order: list[str], value: Colu
     else:
         raise ValueError(how)
     per_bin = src.groupBy(*part).agg(summary.alias("__s")).withColumn(_CARRY, carry).drop("__s")
-    out = src.withColumn(_LOCAL, local).join(per_bin, part, "left")
+    out = join_null_safe(src.withColumn(_LOCAL, local), per_bin, part, "left")
     return out.withColumn(name, joined).drop(v, _LOCAL, _CARRY)
 
 

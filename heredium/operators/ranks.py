@@ -8,17 +8,16 @@ nothing, and the order is cut into value bins so that no key is one task.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import normal_two_sided
-from .ordered import scan, value_bin
+from .ordered import join_null_safe, scan, value_bin
 
 
 def distribution(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column] | None = None,
-                 descending: bool = False, small: bool = False) -> DataFrame:
+                 descending: bool = False) -> DataFrame:
     """Per distinct non-null value: ``cnt``, ``before`` (rows strictly earlier), ``total`` and for each of ``sums``
-    its own sum and ``<name>_before``, ``<name>_total``. ``small`` says the keys are known to be small."""
+    its own sum and ``<name>_before``, ``<name>_total``. A NULL key is a key like any other."""
     sums = sums or {}
     k = list(keys) or ["__all"]
     d = df.where(F.col(value).isNotNull())
@@ -27,12 +26,6 @@ def distribution(df: DataFrame, keys: list[str], value: str, sums: dict[str, Col
     d = d.groupBy(*k, value).agg(F.count("*").alias("cnt"), *[F.sum(c).alias(n) for n, c in sums.items()])
     measures = ["cnt", *sums]
     names = {"cnt": ("before", "total"), **{n: (f"{n}_before", f"{n}_total") for n in sums}}
-    if small:
-        w = W.partitionBy(*k).orderBy(F.col(value).desc() if descending else F.col(value).asc())
-        upto = w.rowsBetween(W.unboundedPreceding, -1)
-        d = d.withColumns({names[m][0]: F.coalesce(F.sum(m).over(upto), F.lit(0)) for m in measures})
-        d = d.withColumns({names[m][1]: F.sum(m).over(W.partitionBy(*k)) for m in measures})
-        return d.drop("__all")
     d = value_bin(d, value, "__bin")
     o = value
     if descending:
@@ -41,57 +34,53 @@ def distribution(df: DataFrame, keys: list[str], value: str, sums: dict[str, Col
     totals = d.groupBy(*k).agg(*[F.sum(m).alias(names[m][1]) for m in measures])
     for m in measures:
         d = scan(d, k, "__bin", [o], F.col(m), names[m][0], "sum", inclusive=False)
-    return d.join(totals, k).drop("__bin", "__neg", "__all")
+    return join_null_safe(d, totals, k, "inner").drop("__bin", "__neg", "__all")
 
 
-def rank_desc(df: DataFrame, keys: list[str], value: str, small: bool = False) -> DataFrame:
+def rank_desc(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Distinct values with ``rank`` (ties take the minimum, largest first) and ``pct`` = (rank-1)/(n-1)."""
-    d = distribution(df, keys, value, descending=True, small=small)
+    d = distribution(df, keys, value, descending=True)
     return d.withColumns({"rank": F.col("before") + 1, "pct": F.when(F.col("total") > 1, F.col("before") / (F.col("total") - 1))})
 
 
-def average_rank(df: DataFrame, keys: list[str], value: str, small: bool = False) -> DataFrame:
+def average_rank(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Distinct values with the mean rank of their ties, smallest first."""
-    return distribution(df, keys, value, small=small).withColumn("avg_rank", F.col("before") + (F.col("cnt") + 1) / 2)
+    return distribution(df, keys, value).withColumn("avg_rank", F.col("before") + (F.col("cnt") + 1) / 2)
 
 
-def empirical_quantile(df: DataFrame, reference: DataFrame, keys: list[str], value: str, name: str = "q",
-                       small: bool = False) -> DataFrame:
+def empirical_quantile(df: DataFrame, reference: DataFrame, keys: list[str], value: str, name: str = "q") -> DataFrame:
     """Adds the fraction of the key's reference values strictly below each row's value."""
     u = df.select(*keys, value).distinct().withColumn("__r", F.lit(0)).unionByName(
         reference.select(*keys, value).withColumn("__r", F.lit(1)))
-    d = distribution(u, keys, value, {"__nr": F.col("__r")}, small=small)
+    d = distribution(u, keys, value, {"__nr": F.col("__r")})
     q = d.select(*keys, value, F.when(F.col("__nr_total") > 0, F.col("__nr_before") / F.col("__nr_total")).alias(name))
     return df.join(q, [*keys, value], "left")
 
 
-def benjamini_hochberg(df: DataFrame, keys: list[str], p: str, small: bool = False) -> DataFrame:
+def benjamini_hochberg(df: DataFrame, keys: list[str], p: str) -> DataFrame:
     """Distinct p-values with the step-up ``q``: the smallest p*m/rank over this and larger p-values, at most 1."""
-    d = distribution(df, keys, p, small=small)
+    d = distribution(df, keys, p)
     d = d.withColumn("__raw", F.col(p) * F.col("total") / (F.col("before") + F.col("cnt")))
     k = list(keys) or ["__all"]
     if not keys:
         d = d.withColumn("__all", F.lit(0))
-    if small:
-        w = W.partitionBy(*k).orderBy(F.col(p).desc()).rowsBetween(W.unboundedPreceding, 0)
-        return d.withColumn("q", F.least(F.lit(1.0), F.min("__raw").over(w))).drop("__raw", "__all")
     d = value_bin(d, p, "__bin").withColumns({"__neg": -F.col(p), "__bin": -F.col("__bin")})
     d = scan(d, k, "__bin", ["__neg"], -F.col("__raw"), "__m", "max")
     return d.withColumn("q", F.least(F.lit(1.0), -F.col("__m"))).drop("__raw", "__m", "__bin", "__neg", "__all")
 
 
-def precision_recall(df: DataFrame, keys: list[str], score: str, label: str, small: bool = False) -> DataFrame:
+def precision_recall(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """Per distinct score, highest first: cumulative positives, calls, precision, recall and false-positive rate."""
-    d = distribution(df, keys, score, {"pos": F.col(label).cast("long")}, descending=True, small=small)
+    d = distribution(df, keys, score, {"pos": F.col(label).cast("long")}, descending=True)
     tp, n = F.col("pos_before") + F.col("pos"), F.col("before") + F.col("cnt")
     neg = F.col("total") - F.col("pos_total")
     return d.withColumns({"tp": tp, "n_called": n, "precision": tp / n, "recall": F.when(F.col("pos_total") > 0, tp / F.col("pos_total")),
                           "fpr": F.when(neg > 0, (n - tp) / neg)})
 
 
-def auc(df: DataFrame, keys: list[str], score: str, label: str, small: bool = False) -> DataFrame:
+def auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """ROC-AUC by ranks (ties count half), average precision over distinct scores, Brier score when scores are in [0,1]."""
-    d = distribution(df, keys, score, {"pos": F.col(label).cast("long")}, descending=True, small=small)
+    d = distribution(df, keys, score, {"pos": F.col(label).cast("long")}, descending=True)
     neg, neg_total = F.col("cnt") - F.col("pos"), F.col("total") - F.col("pos_total")
     neg_before = F.col("before") - F.col("pos_before")
     wins = F.col("pos") * (neg_total - neg_before - neg) + F.col("pos") * neg / 2
@@ -105,9 +94,9 @@ def auc(df: DataFrame, keys: list[str], score: str, label: str, small: bool = Fa
                     F.when(F.col("n_pos") > 0, F.col("a") / F.col("n_pos")).alias("pr_auc"), (F.col("b") / F.col("n")).alias("brier"))
 
 
-def mann_whitney(df: DataFrame, keys: list[str], value: str, group: Column, small: bool = False) -> DataFrame:
+def mann_whitney(df: DataFrame, keys: list[str], value: str, group: Column) -> DataFrame:
     """U of the rows where ``group`` is 1, tie-corrected z and two-sided normal p."""
-    d = distribution(df, keys, value, {"g": group.cast("long")}, small=small)
+    d = distribution(df, keys, value, {"g": group.cast("long")})
     r = F.col("g") * (F.col("before") + (F.col("cnt") + 1) / 2)
     g = d.groupBy(*keys).agg(F.sum(r).alias("r"), F.sum("g").alias("n1"), F.sum("cnt").alias("n"),
                              F.sum(F.pow(F.col("cnt"), 3) - F.col("cnt")).alias("ties"))
@@ -119,19 +108,18 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, group: Column, smal
     return g.select(*keys, "n1", n2.alias("n2"), u.alias("u"), z.alias("z"), normal_two_sided(z).alias("p"))
 
 
-def spearman(df: DataFrame, keys: list[str], x: str, y: str, small: bool = False) -> DataFrame:
+def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation over rows where both values are present."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rx = average_rank(both, keys, x, small).select(*keys, x, F.col("avg_rank").alias("__rx"))
-    ry = average_rank(both, keys, y, small).select(*keys, y, F.col("avg_rank").alias("__ry"))
+    rx = average_rank(both, keys, x).select(*keys, x, F.col("avg_rank").alias("__rx"))
+    ry = average_rank(both, keys, y).select(*keys, y, F.col("avg_rank").alias("__ry"))
     d = both.select(*keys, x, y).join(rx, [*keys, x]).join(ry, [*keys, y])
     return d.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("__rx", "__ry").alias("rho"))
 
 
-def index_percentile(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], rule: str,
-                     small: bool = False) -> DataFrame:
+def index_percentile(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], rule: str) -> DataFrame:
     """Percentiles by row index: ``floor_index`` takes sorted[int(q*n)] (zero-based), ``nearest_rank`` sorted[ceil(q*n)-1]."""
-    d = distribution(df, keys, value, small=small)
+    d = distribution(df, keys, value)
 
     def at(q: float) -> Column:
         if rule == "floor_index":
@@ -142,9 +130,9 @@ def index_percentile(df: DataFrame, keys: list[str], value: str, quantiles: dict
     return d.groupBy(*keys).agg(F.sum("cnt").alias("n"), *[F.max(F.when(hit(q), F.col(value))).alias(n) for n, q in quantiles.items()])
 
 
-def linear_percentile(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], small: bool = False) -> DataFrame:
+def linear_percentile(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """Linearly interpolated percentiles, exact, from the ordered distribution."""
-    d = distribution(df, keys, value, small=small)
+    d = distribution(df, keys, value)
 
     def at(index: Column) -> Column:
         return F.max(F.when((F.col("before") <= index) & (index < F.col("before") + F.col("cnt")), F.col(value)))

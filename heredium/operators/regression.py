@@ -87,27 +87,40 @@ def residuals(df: DataFrame, keys: list[str], y: str, xs: list[str], name: str)
     return d.withColumn(name, F.col(y) - pred).drop("coef")
 
 
+def _subset_moments(u: np.ndarray, v: np.ndarray, m: int) -> tuple[float, float]:
+    """Mean and variance of the exposure sum over all choices of ``m`` members, weighted by the product of their ``u``."""
+    total, first, second = np.zeros(m + 1), np.zeros(m + 1), np.zeros(m + 1)
+    total[0] = 1.0
+    for a, x in zip(u, v):
+        second[1:] += a * (second[:-1] + 2 * x * first[:-1] + x * x * total[:-1])
+        first[1:] += a * (first[:-1] + x * total[:-1])
+        total[1:] += a * total[:-1]
+    mean = first[m] / total[m]
+    return float(mean), float(second[m] / total[m] - mean * mean)
+
+
 def conditional_logistic(members: DataFrame, keys: list[str], stratum: str, case: str, x: str) -> DataFrame:
-    """Per key: log odds ratio and SE of ``x`` with one case per stratum, conditioning on strata.
+    """Per key: log odds ratio and SE of ``x`` by the exact conditional likelihood of strata with any number of cases.
 
-    Strata with the same exposures are one pattern with a count, so a fit sees few rows however many families there are.
+    Strata with the same exposures and as many cases are one pattern with a count, so a fit sees few rows however many
+    families there are. Strata without a case, without a control or with one exposure say nothing and are left out.
     """
-    s = members.groupBy(*keys, stratum).agg(F.sum(F.when(F.col(case) == 1, F.col(x))).cast("double").alias("cx"), F.count_if(F.col(case) == 1).alias("nc"),
-                                            F.sort_array(F.collect_list(F.col(x).cast("double"))).alias("xs"))
-    pat = s.where((F.col("nc") == 1) & (F.size("xs") > 1) & (F.array_min("xs") != F.array_max("xs"))).groupBy(*keys, "cx", "xs").agg(F.count("*").alias("w"))
+    seen = members.where(F.col(x).isNotNull() & F.col(case).isNotNull())
+    s = seen.groupBy(*keys, stratum).agg(F.sum(F.when(F.col(case) == 1, F.col(x))).cast("double").alias("cx"), F.count_if(F.col(case) == 1).alias("nc"),
+                                         F.sort_array(F.collect_list(F.col(x).cast("double"))).alias("xs"))
+    tells = (F.col("nc") >= 1) & (F.col("nc") < F.size("xs")) & (F.array_min("xs") != F.array_max("xs"))
+    pat = s.where(tells).groupBy(*keys, "nc", "cx", "xs").agg(F.count("*").alias("w"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pat.select(*keys).schema.fields) + ", n_strata long, beta double, se double, z double"
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         beta, info = 0.0, 0.0
-        xs, w, cx = [np.asarray(v) for v in pdf["xs"]], pdf["w"].to_numpy(), pdf["cx"].to_numpy()
+        xs, w, cx, nc = [np.asarray(v) for v in pdf["xs"]], pdf["w"].to_numpy(), pdf["cx"].to_numpy(), pdf["nc"].to_numpy()
         for _ in range(50):
             grad = info = 0.0
-            for v, n, c in zip(xs, w, cx):
-                e = np.exp(beta * (v - v.max()))
-                p = e / e.sum()
-                m = float((p * v).sum())
-                grad += n * (c - m)
-                info += n * float((p * v * v).sum() - m * m)
+            for v, n, c, m in zip(xs, w, cx, nc):
+                mean, var = _subset_moments(np.exp(beta * (v - v.max())), v, int(m))
+                grad += n * (c - mean)
+                info += n * var
             if info <= 1e-12:
                 break
             step = max(-2.0, min(2.0, grad / info))

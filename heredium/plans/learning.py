@@ -50,9 +50,9 @@ def reliability(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFr
     return df.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(F.col(label).cast("double")).alias("observed"))
 
 
-def threshold_at(df: DataFrame, keys: list[str], score: str, label: str, max_fpr: float, small: bool = False) -> DataFrame:
+def threshold_at(df: DataFrame, keys: list[str], score: str, label: str, max_fpr: float) -> DataFrame:
     """Lowest score whose false-positive rate stays within the limit, and the recall there."""
-    d = ranks.precision_recall(df, keys, score, label, small).where(F.col("fpr") <= max_fpr)
+    d = ranks.precision_recall(df, keys, score, label).where(F.col("fpr") <= max_fpr)
     return d.groupBy(*keys).agg(F.min(score).alias("threshold"), F.max("recall").alias("recall"))
 
 

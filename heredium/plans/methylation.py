@@ -133,5 +133,5 @@ def cis_scan(variants: DataFrame, islands: DataFrame, methylation: DataFrame, co
     tests = fit.groupBy("region_id").agg(F.count("*").alias("n_tests"))
     best = selection.best_per_key(fit, ["region_id"], [F.col("p"), F.col("variant_id")], ["variant_id", "beta", "se", "p"])
     best = best.join(tests, "region_id").withColumn("p_bonf", F.least(F.lit(1.0), F.col("p") * F.col("n_tests")))
-    q = ranks.benjamini_hochberg(best, [], "p_bonf", small=True).select("p_bonf", "q")
+    q = ranks.benjamini_hochberg(best, [], "p_bonf").select("p_bonf", "q")
     return best.join(q, "p_bonf")

@@ -50,7 +50,7 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def anchor_runs(w: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: (document, first window, windows, anchor) and, last, how many places the anchor has in the run."""
+    """Runs of windows with one anchor: (document, first window, windows, anchor) and, last, in how many places of the run the anchor stands, or more."""
     n = len(w.hash)
     none = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, U64, np.int64))
     if n < window:
@@ -69,11 +69,13 @@ def anchor_runs(w: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.nd
     number = np.cumsum(begins) - 1
     length = np.bincount(number[valid], minlength=len(first))
     value = anchor[first]
-    # Places of the anchor among the grams of the run: first .. first + length + width - 2.
-    hits = np.zeros(len(g) + 1, dtype=np.int64)
+    # An anchor stands in two places of a run where the smallest gram repeats: two such places follow each other.
     padded = np.concatenate((np.zeros(width - 1, U64), np.where(valid, anchor, U64(0)), np.zeros(len(g) - len(anchor), U64)))
-    hits[1:] = np.cumsum(g == _sliding(padded, width, np.maximum))
-    places = hits[first + length + width - 1] - hits[first]
+    chosen = np.flatnonzero(g == _sliding(padded, width, np.maximum))
+    again = np.zeros(len(g) + 1, dtype=np.int64)
+    again[chosen[1:][g[chosen[1:]] == g[chosen[:-1]]] + 1] = 1
+    again = np.cumsum(again)
+    places = 1 + again[first + length + width - 1] - again[first + 1]
     return doc[first], at[first] - w.first[doc[first]], length, value, places
 
 

@@ -33,9 +33,9 @@ class _Models:
         self.id2, self.hit2 = np.zeros((n, 1 << _T2), np.uint16), np.zeros((n, 1 << _T2), np.uint8)
         self.id1, self.hit1 = np.zeros((n, 1 << _T1), np.uint16), np.zeros((n, 1 << _T1), np.uint8)
         self.id0, self.hit0 = np.zeros(n, np.uint16), np.zeros(n, np.int64)
-        self.seen = [np.full((n, 4, 4), 8, np.int64) for _ in range(3)]
-        self.weight = np.full((n, 3), 256, np.int64)
-        self.high, self.next = np.full((n, 16), 4, np.int64), np.full((n, 16, 16), 4, np.int64)
+        self.seen = [np.full((n, 4, 4), 8, np.int32) for _ in range(3)]
+        self.weight = np.full((3, n), 256, np.int32)
+        self.high, self.next = np.full((n, 16), 4, np.int32), np.full((n, 16, 16), 4, np.int32)
         self.before, self.before2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
     def predict(self, k: int):
@@ -48,20 +48,22 @@ class _Models:
         c2, c1 = np.minimum(self.hit2[rows, p2], 3), np.minimum(self.hit1[rows, p1], 3)
         c0 = 2 * (says2 == says1) + (self.hit0[:k] > 4)
         views = [self.seen[0][rows, c2], self.seen[1][rows, c1], self.seen[2][rows, c0]]
-        shares = [(v << 10) // v.sum(axis=1)[:, None] + 1 for v in views]
-        w = self.weight[:k]
-        mixed = (shares[0] * w[:, :1] + shares[1] * w[:, 1:2] + shares[2] * w[:, 2:]) >> 6
+        shares = [(v << 10) // (v[:, 0] + v[:, 1] + v[:, 2] + v[:, 3])[:, None] + 1 for v in views]
+        w = self.weight[:, :k]
+        mixed = (shares[0] * w[0][:, None] + shares[1] * w[1][:, None] + shares[2] * w[2][:, None]) >> 6
         return rows, (p2, p1), (says2, says1, says0), (c2, c1, c0), shares, mixed + 1
 
     def update(self, ids: np.ndarray, who: np.ndarray, rows, places, says, contexts, shares) -> None:
         k = len(rows)
-        told = np.stack([s[rows, who] for s in shares], axis=1)
-        w = self.weight[:k]
-        w += (told - told.mean(axis=1, dtype=np.int64)[:, None]) >> 3
-        np.clip(w, 16, 1024, out=w)
+        told = [s[rows, who] for s in shares]
+        mean = (told[0] + told[1] + told[2]) // 3
+        for i, x in enumerate(told):
+            w = self.weight[i, :k]
+            np.clip(w + ((x - mean) >> 3), 16, 1024, out=w)
         for table, c in zip(self.seen, contexts, strict=True):
-            table[rows, c, who] += 24
-            full = np.flatnonzero(table[rows, c].sum(axis=1) > 1024)
+            n = table[rows, c, who] + 24
+            table[rows, c, who] = n
+            full = np.flatnonzero(n > 768)
             if len(full):
                 table[full, c[full]] = (table[full, c[full]] >> 1) + 1
         for table, hits, p, s in ((self.id2, self.hit2, places[0], says[0]), (self.id1, self.hit1, places[1], says[1])):
@@ -77,15 +79,16 @@ class _Models:
         self.before[:k] = ids
 
     def learn_half(self, table: np.ndarray, at: tuple, half: np.ndarray) -> None:
-        table[(*at, half)] += 12
-        rows = table[at]
-        full = rows.sum(axis=1) > 2048
-        if full.any():
-            table[tuple(x[full] for x in at)] = (rows[full] >> 1) + 1
+        n = table[(*at, half)] + 12
+        table[(*at, half)] = n
+        full = np.flatnonzero(n > 1536)
+        if len(full):
+            which = tuple(x[full] for x in at)
+            table[which] = (table[which] >> 1) + 1
 
 
 def _bounds(freq: np.ndarray, symbol: np.ndarray):
-    upto = np.cumsum(freq, axis=1)
+    upto = np.cumsum(freq, axis=1, dtype=np.int32)
     r = np.arange(len(symbol))
     f = freq[r, symbol]
     return upto[r, symbol] - f, f, upto[:, -1]
@@ -137,7 +140,7 @@ class _Reader:
             symbol = np.minimum((code - low) // unit, U64(255)).astype(np.int64)
             start, f = symbol, np.ones(len(who), np.int64)
         else:
-            upto = np.cumsum(freq, axis=1)
+            upto = np.cumsum(freq, axis=1, dtype=np.int32)
             unit = span // upto[:, -1].astype(U64)
             target = np.minimum((code - low) // unit, (upto[:, -1] - 1).astype(U64)).astype(np.int64)
             symbol = (upto <= target[:, None]).sum(axis=1)

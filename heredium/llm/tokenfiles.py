@@ -27,7 +27,7 @@ from . import idcoder
 from .frames import documents, partitions, text_of
 from .tokens import encoded, vocabulary
 
-PART, END = 1 << 22, 2
+PART, END = 1 << 23, 2
 _FILE = "range int, part int, doc_ids array<long>, lengths array<long>, blocks array<binary>"
 _TYPES = pa.schema([("range", pa.int32()), ("part", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("blocks", pa.list_(pa.binary()))])
 

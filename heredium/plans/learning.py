@@ -76,16 +76,20 @@ def grouped_cv(df: DataFrame, features: dict[str, list[str]], n_folds: int, name
 
     ``df``: label, fold and the features without NULLs. The loop is over folds, sets and models; rows stay on the cluster.
     """
-    balance = df.groupBy("label").agg(F.count("*").alias("__n"))
-    total = balance.agg(F.sum("__n").alias("__t"))
-    df = df.join(F.broadcast(balance.crossJoin(total).select("label", (F.col("__t") / (2 * F.col("__n"))).alias("weight"))), "label")
     df = cut(df)
+
+    def weighted(train: DataFrame) -> DataFrame:
+        """Class weights from the training folds alone."""
+        balance = train.groupBy("label").agg(F.count("*").alias("__n"))
+        total = balance.agg(F.sum("__n").alias("__t"))
+        return train.join(F.broadcast(balance.crossJoin(total).select("label", (F.col("__t") / (2 * F.col("__n"))).alias("weight"))), "label")   # two rows
+
     out = None
     for set_name, cols in features.items():
         for name in names:
             held = None
             for k in range(n_folds):
-                fitted = fit(df.where(F.col("fold") != k), cols, name)
+                fitted = fit(weighted(df.where(F.col("fold") != k)), cols, name)
                 p = predict(fitted, df.where(F.col("fold") == k)).select("label", F.round("p", 6).alias("score"))
                 held = p if held is None else held.unionByName(p)
             r = ranks.auc(held.withColumn("__k", F.lit(0)), ["__k"], "score", "label").select(F.lit(set_name).alias("features"), F.lit(name).alias("model"), "n", "n_pos", "roc_auc", "pr_auc")
@@ -94,8 +98,9 @@ def grouped_cv(df: DataFrame, features: dict[str, list[str]], n_folds: int, name
 
 
 def calibrate(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Isotonic calibration of held-out scores."""
-    m = IsotonicRegression(featuresCol=score, labelCol=label, predictionCol="calibrated").fit(df.withColumn(label, F.col(label).cast("double")))
+    """Isotonic calibration of held-out scores; rows of one score are one point with their number as weight."""
+    points = df.groupBy(score).agg(F.avg(F.col(label).cast("double")).alias(label), F.count("*").cast("double").alias("__w"))
+    m = IsotonicRegression(featuresCol=score, labelCol=label, weightCol="__w", predictionCol="calibrated").fit(points)
     return m.transform(df)
 
 

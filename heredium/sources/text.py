@@ -110,7 +110,9 @@ def parse_gff(lines: DataFrame) -> DataFrame:
 
 def resolve_symbols(features: DataFrame) -> DataFrame:
     """Symbol of every feature through its transcript to its gene (two equality joins)."""
-    names = features.where("id IS NOT NULL").select(F.col("id").alias("parent"), F.col("symbol").alias("s1"), F.col("parent").alias("p1")).dropDuplicates(["parent"])
+    pair = F.struct(F.col("symbol").isNull().alias("none"), "symbol", "parent")     # of rows that share an id, the least named one
+    names = features.where("id IS NOT NULL").groupBy(F.col("id").alias("__id")).agg(F.min(pair).alias("__n"))
+    names = names.select(F.col("__id").alias("parent"), F.col("__n.symbol").alias("s1"), F.col("__n.parent").alias("p1"))
     up = names.select(F.col("parent").alias("p1"), F.col("s1").alias("s2"))
     d = features.join(names, "parent", "left").join(up, "p1", "left")
     return d.withColumn("symbol", F.coalesce("s2", "s1", "symbol")).drop("s1", "s2", "p1")

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .frames import documents, partitions, row_key, text_of
 from .words import U64, Words, grams, slices, words_of
 
-WINDOW, GRAM, HOT, SHARD = 35, 8, 4096, 4096
+WINDOW, GRAM, HOT, SHARD = 35, 8, 1024, 1024
 
 
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -125,8 +125,8 @@ def _hot_windows(batches) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for a, s, words in zip(*(b.column(c).to_pylist() for c in ("anchor", "salts", "words")), strict=True):
             w = words.split()
-            seen.update((a, s, b" ".join(w[i: i + WINDOW])) for i in range(len(w) - WINDOW + 1))
-        rows = [(a, s, hashlib.blake2b(x, digest_size=16).digest(), n) for (a, s, x), n in seen.items()]
+            seen.update((a, s, _digest(w[i: i + WINDOW])) for i in range(len(w) - WINDOW + 1))
+        rows = [(a, s, x, n) for (a, s, x), n in seen.items()]
         types = (pa.int64(), pa.int32(), pa.binary(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["anchor", "salts", "digest", "n"])
 
@@ -205,14 +205,19 @@ def _located(batches) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
+def keyed_documents(docs: DataFrame) -> DataFrame:
+    """The columns every join on the texts sends, so that their shuffle is written once and reused."""
+    return text_of(docs).select(*row_key(), "doc_id", "text")
+
+
 def recurring_spans(docs: DataFrame) -> DataFrame:
     """k1, k2, spans (array of start, end in words): documents with words under recurring windows."""
     n = partitions(docs.sparkSession)
-    keyed = text_of(docs).select(*row_key(), "text")
+    keyed = keyed_documents(docs)
     counts = keyed.select("text").mapInArrow(_counts, "anchor long, places long, runs long")
     anchors = counts.groupBy("anchor").agg(F.sum("places").alias("places"), F.sum("runs").alias("runs")).where("places > 1")
     anchors = anchors.select("anchor", F.ceil(F.col("runs") / HOT).cast("int").alias("salts"))
-    runs = keyed.mapInArrow(_runs, "k1 long, k2 long, first int, length int, anchor long").join(anchors, "anchor")
+    runs = keyed.select("k1", "k2", "text").mapInArrow(_runs, "k1 long, k2 long, first int, length int, anchor long").join(anchors, "anchor")
 
     def segments_of(r: DataFrame) -> DataFrame:
         flags = r.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "length", "anchor", "salts")).alias("flags"))    # within one document
@@ -231,8 +236,8 @@ def recurring_spans(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept: the words outside recurring windows, joined by one space."""
-    keyed = text_of(docs).select(*row_key(), "doc_id", "text")
-    j = keyed.join(recurring_spans(docs), ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    keyed = keyed_documents(docs)
+    j = keyed.join(recurring_spans(docs), ["k1", "k2"], "left")
 
     def run(batches):
         for b in batches:

@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 _WHITE = re.compile(r"\s\s")
-MOST_KEPT = 800_000
+MOST_KEPT = 300_000
 
 
 def irregular(text: str) -> bool:

@@ -7,7 +7,7 @@ the top: only branches whose hashes differ are followed, so equal parts are neve
 node that vouches for them. Records under a differing leaf are named by what became of them:
 ``corrupt`` (bytes differ), ``moved`` (same bytes at another offset), ``missing`` or ``extra``.
 
-Null page ids lie in a segment of their own; null urls and bodies count as empty; repeated rows are
+Null page ids lie in a segment of their own (``NO_PAGE``; told as null); null urls and bodies count as empty; repeated rows are
 separate records (ordered by their hash, so equal rows are interchangeable). Empty replicas have no
 root and agree with each other.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..storage import cut
 
 SEGMENT, FANOUT = 1024, 16
-NO_PAGE = -1
+NO_PAGE = -(1 << 62)     # below the segment of every page id
 
 
 def record(url: Column, body: Column) -> Column:
@@ -48,11 +48,23 @@ def _node(position: Column, first: str, end: str) -> list[Column]:
             F.min(first).alias("first"), F.max(end).alias("end")]
 
 
-def tree(leaves: DataFrame) -> list[DataFrame]:
+def _base(*sides: DataFrame) -> int:
+    """The smallest segment of page ids on any side: trees to be compared count their parts from the same one."""
+    least = [x.where(F.col("segment") != NO_PAGE).agg(F.min("segment")).first()[0] for x in sides]
+    return min((int(x) for x in least if x is not None), default=0)
+
+
+def _part(base: int) -> Column:
+    """Segments counted from 1, null page ids at 0, so that division by ``FANOUT`` brings all of them to 0."""
+    return F.when(F.col("segment") == NO_PAGE, F.lit(0)).otherwise(F.col("segment") - F.lit(base) + 1).cast("long")
+
+
+def tree(leaves: DataFrame, base: int | None = None) -> list[DataFrame]:
     """Levels from the leaves up to the one root: part (segment group), node, hash, first, end; ``up_*`` is the parent's key."""
-    level = leaves.select(F.col("segment").alias("part"), F.col("record_no").alias("node"),
+    part = _part(_base(leaves) if base is None else base)
+    level = leaves.select(part.alias("part"), F.col("record_no").alias("node"),
                           F.sha2(F.concat_ws(":", "at", "length", "digest").cast("binary"), 256).alias("hash"), F.col("at").alias("first"), (F.col("at") + F.col("length")).alias("end"))
-    size = leaves.agg(F.max("record_no").alias("r"), F.min("segment").alias("lo"), F.max("segment").alias("hi")).first()
+    size = leaves.agg(F.max("record_no").alias("r"), F.min(part).alias("lo"), F.max(part).alias("hi")).first()
     levels, most = [level], int(size.r or 0)
     while most:                                          # inside segments
         level = level.groupBy("part", F.floor(F.col("node") / FANOUT).cast("long").alias("up")).agg(*_node(F.col("node"), "first", "end")).withColumnRenamed("up", "node")
@@ -78,7 +90,8 @@ def _inside(levels: int, leaves: DataFrame) -> int:
 
 def compare(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """(segment, record_no) of leaves that differ, found from the roots down; both are results of ``records``."""
-    a, b = tree(ours), tree(theirs)
+    base = _base(ours, theirs)
+    a, b = tree(ours, base), tree(theirs, base)
     inside_a, inside_b = _inside(len(a), ours), _inside(len(b), theirs)
     spark = ours.sparkSession
     none = spark.createDataFrame([], "segment long, record_no long")
@@ -104,7 +117,8 @@ def compare(ours: DataFrame, theirs: DataFrame) -> DataFrame:
             key = bad.select(F.col("part").alias("up_part"), F.col("node").alias("up"))
             below = [t[k].join(key, (F.col("part") == F.col("up_part")) & (F.floor(F.col("node") / FANOUT).cast("long") == F.col("up")), "left_semi") for t in (a, b)]
         bad = cut(unlike(*below))
-    return bad.select(F.col("part").alias("segment"), F.col("node").alias("record_no"))
+    segment = F.when(F.col("part") == 0, F.lit(NO_PAGE)).otherwise(F.col("part") + F.lit(base - 1)).cast("long")
+    return bad.select(segment.alias("segment"), F.col("node").alias("record_no"))
 
 
 def audit(pages: DataFrame, replica: DataFrame) -> DataFrame:
@@ -119,7 +133,7 @@ def audit(pages: DataFrame, replica: DataFrame) -> DataFrame:
     j = mine.join(other, match, "full")
     status = (F.when(F.col("digest").isNull(), "extra").when(F.col("__bad").isNull(), "ok").when(F.col("d2").isNull(), "missing")
               .when(F.col("digest") != F.col("d2"), "corrupt").when(F.col("at") != F.col("a2"), "moved").otherwise("ok"))
-    return j.select(F.coalesce("page_id", "p2").alias("page_id"), F.coalesce("segment", "s2").alias("segment"), F.coalesce("at", "a2").alias("at"),
+    return j.select(F.coalesce("page_id", "p2").alias("page_id"), F.nullif(F.coalesce("segment", "s2"), F.lit(NO_PAGE)).alias("segment"), F.coalesce("at", "a2").alias("at"),
                     F.coalesce("length", "l2").alias("length"), F.coalesce("digest", "d2").alias("digest"), status.alias("status"))
 
 

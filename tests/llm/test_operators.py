@@ -254,6 +254,27 @@ def test_fixity(spark):
     assert {r.status for r in fixity.audit(none, pages).collect()} == {"extra"}
 
 
+def test_fixity_null_and_negative_ids(spark, monkeypatch):
+    steps, cut = [], fixity.cut
+
+    def counted(df):                                     # a tree that never closes stops here
+        steps.append(1)
+        assert len(steps) < 40
+        return cut(df)
+
+    monkeypatch.setattr(fixity, "cut", counted)
+    ids = [None, None, -30000, -1024, -1, 0, 5, 1023, 1024, 40000]
+    pages = spark.createDataFrame([(p, "u", f"body {i}") for i, p in enumerate(ids)], "page_id long, url string, html string")
+    other = pages.where("html <> 'body 0' and html <> 'body 9'").withColumn("html", F.when(F.col("page_id") == -1, "Body 4").otherwise(F.col("html")))
+    got = fixity.audit(pages, other).collect()
+    assert Counter((r.page_id, r.status) for r in got if r.page_id is not None) == Counter({(p, {-1: "corrupt", 40000: "missing"}.get(p, "ok")): 1 for p in ids if p is not None})
+    assert {r.segment for r in got if r.page_id is None}.isdisjoint({r.segment for r in got if r.page_id is not None})
+    assert {r.page_id: r.segment for r in got if r.page_id is not None} == {p: p // 1024 for p in ids if p is not None}
+    assert sum(r.status == "missing" for r in got) == 2 and len(got) == len(ids)
+    steps.clear()
+    assert Counter(r.status for r in fixity.audit(pages.where("page_id is null"), other.where("page_id is not null")).collect()) == {"missing": 2, "extra": 7}
+
+
 def test_decontamination(spark, docs, none):
     items = spark.createDataFrame([(1, "p3 p4 p5 p6 p7 p8 p9 p10 p11 p12 p13 p14 p15"), (2, "a b c d e"), (3, "absent words that are not in there at all"), (4, None), (5, "few words"), (6, "p3 p4 p5 p6 p7 p8 p9 p10 qq p12 p13 p14 p15 p16")],
                                   "item_id long, text string")

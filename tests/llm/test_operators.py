@@ -156,6 +156,28 @@ def test_fingerprint_query(spark):
         assert by_text.setdefault(t, got[i].fingerprint) == got[i].fingerprint
 
 
+def test_fingerprint_query_over_all_lengths(spark):
+    got = {r.doc_id: r for r in queries.QUERIES["op4_fingerprints"](spark, SF).collect()}
+    texts = dict(duckdb.connect().sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall())
+    order = sorted(texts, reverse=True)
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for i, n in zip(order, order[1:] + order[:1], strict=True):
+        m = len(texts[i]) // 3
+        a, b, c = (jaccard.shingles_of(t) for t in (texts[i], texts[i][: len(texts[i]) - m] + texts[n][:m], texts[n]))
+        if min(len(x) for x in (a, b, c)) > 0:
+            assert abs(got[i].near_edited - alike(a, b)) < 1e-9 and abs(got[i].near_next - alike(a, c)) < 1e-9
+
+
+def test_fingerprints_of_short_texts(spark):
+    texts = [" ".join(f"s{k}x{i}" for i in range(5 + k % 16)) for k in range(60)]
+    rows = [(k, t, f"{t} and then {LONG[:20000]}") for k, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "k long, a string, b string").withColumns({"sa": fingerprint.sketch(F.col("a")), "sb": fingerprint.sketch(F.col("b"))})
+    d = d.withColumns({"c": fingerprint.containment(F.col("sa"), F.col("sb")), "m": fingerprint.merge(F.col("sa"), F.col("sb")), "l": fingerprint.likeness(F.col("sa"), F.col("sa"))})
+    got = d.select("c", "l", (F.col("m") == F.col("sb")).alias("union")).collect()
+    assert all(r.c in (None, 1.0) and r.l in (None, 1.0) and r.union for r in got)
+    assert any(r.c is None for r in got) and any(r.c == 1.0 for r in got)
+
+
 def test_token_files(spark, docs, none, tmp_path):
     path, vocab = f"file://{tmp_path}/ids", tokens.vocabulary("byte_bpe_50k.json")
     tokenfiles.write(docs, path, vocab, part=3000)

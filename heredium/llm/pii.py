@@ -99,11 +99,22 @@ def score(text: str, start: int, end: int, kind: str) -> float:
     return min(1.0, max(0.0, s))
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Of each match the longest run of its groups that passes mod-97: words in capitals may follow one, or come before it."""
+    m = _IBAN.search(text)
+    while m:
+        ends = [m.end(), *(m.start() + i for i in range(len(m[0]) - 1, 0, -1) if m[0][i] == " ")]
+        end = next((e for e in ends if mod97(text[m.start():e])), None)
+        if end is not None:
+            yield m.start(), end
+        m = _IBAN.search(text, m.start() + 1 if end is None else end)
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of the added kinds that pass their check and the bar and touch no base span."""
     if not _DIGIT.search(text):
         return []
-    found = [(m.start(), m.end(), 4) for m in _IBAN.finditer(text) if mod97(m[0])]
+    found = [(s, e, 4) for s, e in _ibans(text)]
     for m in _LOCAL_PHONE.finditer(text):
         if score(text, m.start(), m.end(), "local_phone") >= BAR:
             found.append((m.start(), m.end(), 5))

@@ -297,6 +297,15 @@ def test_fixity_null_and_negative_ids(spark, monkeypatch):
     assert Counter(r.status for r in fixity.audit(pages.where("page_id is null"), other.where("page_id is not null")).collect()) == {"missing": 2, "extra": 7}
 
 
+def test_ibans_beside_capitals():
+    for iban in ("BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "BE68539007547034"):
+        for before in ("", "IBAN ", "XY99 ", "to XY99 CDEF 1234 "):
+            for after in ("", " BIC", " CALL", " NOW PAY THIS", " 1234", " now", ". X"):
+                assert [(s, e) for s, e, k in pii.spans(before + iban + after) if k == 4] == [(len(before), len(before) + len(iban))], (before, iban, after)
+    assert [k for *_, k in pii.spans("BE68 5390 0754 7034 ES91 2100 0418 4502 0005 1332")] == [4, 4]
+    assert pii.redact("BE68 5390 0754 7034 BIC") == "<IBAN> BIC"
+
+
 def test_decontamination(spark, docs, none):
     items = spark.createDataFrame([(1, "p3 p4 p5 p6 p7 p8 p9 p10 p11 p12 p13 p14 p15"), (2, "a b c d e"), (3, "absent words that are not in there at all"), (4, None), (5, "few words"), (6, "p3 p4 p5 p6 p7 p8 p9 p10 qq p12 p13 p14 p15 p16")],
                                   "item_id long, text string")

@@ -49,7 +49,10 @@ def write(docs: DataFrame, path: str, vocab: str, end: int = END, part: int = PA
         for b in batches:
             doc = b.column("doc_id").to_pylist()
             for i, ids in encoded(vocab, b.column("text").to_pylist()):
-                held.append(np.frombuffer(ids + tail, "<u4").astype(np.uint16))
+                wide = np.frombuffer(ids + tail, "<u4")
+                if wide.max() > 0xFFFF:                  # before the cast, which would wrap it
+                    raise ValueError("ids of 65,536 and above do not fit this format")
+                held.append(wide.astype(np.uint16))
                 names.append(doc[i])
                 total += len(held[-1])
                 if total >= part:

@@ -195,6 +195,11 @@ def test_token_files(spark, docs, none, tmp_path):
     assert tokenfiles.read(spark, f"{path}-none").count() == 0
 
 
+def test_token_files_refuse_large_ids(docs, tmp_path):
+    with pytest.raises(Exception, match="65,536 and above"):
+        tokenfiles.write(docs, f"file://{tmp_path}/large", tokens.vocabulary("byte_bpe_50k.json"), end=70000)
+
+
 def test_rollups(spark, docs, none, tmp_path):
     vocab = {"v1": tokens.vocabulary("word_bpe_49k.json")}
     c = counts.token_counts(docs, vocab)

@@ -23,6 +23,7 @@ from .frames import documents
 from .tokens import encoded, vocabulary
 
 KEYS, SUMS = ["source", "lang", "tokenizer"], ["docs", "tokens", "chars"]
+BEGUN = 32768            # characters of a text that the first batch of the query counts
 _STORED = "source string, lang string, tokenizer string, docs long, tokens long, chars long"
 
 
@@ -98,16 +99,24 @@ class Store:
 
 
 def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in, toxic ones out again, counts above 8192 tokens revised to 8192; the last two batches are sent twice."""
+    """All documents in, long ones first by their beginning only; toxic ones out again, and the others' counts revised to those of the
+    whole text. The last two batches are sent twice. Totals are those of a recount of all documents that stay."""
     import uuid
 
-    counts = cut(token_counts(documents(spark, sf_dir), {"byte_bpe_50k": vocabulary("byte_bpe_50k.json"), "word_bpe_49k": vocabulary("word_bpe_49k.json")}))
+    vocabs = {"byte_bpe_50k": vocabulary("byte_bpe_50k.json"), "word_bpe_49k": vocabulary("word_bpe_49k.json")}
+    docs = documents(spark, sf_dir)
+    whole = cut(token_counts(docs, vocabs))
+    begun = cut(token_counts(docs.where(F.length("text") > BEGUN).withColumn("text", F.substring("text", 1, BEGUN)), vocabs))
+    held = whole.where(F.col("chars") <= BEGUN).unionByName(begun)
     toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.col("toxic") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     store = Store(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
-    store.commit("000001", inserts(counts))
-    kept = counts.join(toxic, "doc_id", "left_anti")
-    long = kept.where(F.col("tokens") > 8192).withColumns({"new_tokens": F.lit(8192), "new_chars": F.col("chars")})
+    store.commit("000001", inserts(held))
+    # A revision is a difference, so old and new rows need not meet: repeated and null ids are no matter.
+    zero = F.lit(0).cast("long")
+    old = begun.join(toxic, "doc_id", "left_anti").withColumns({"new_tokens": zero, "new_chars": zero})
+    new = whole.where(F.col("chars") > BEGUN).join(toxic, "doc_id", "left_anti")
+    new = new.withColumns({"new_tokens": F.col("tokens"), "new_chars": F.col("chars")}).withColumns({"tokens": zero, "chars": zero})
     for _ in range(2):
-        store.commit("000002", deletes(counts.join(toxic, "doc_id", "left_semi")))
-        store.commit("000003", revisions(long))
+        store.commit("000002", deletes(held.join(toxic, "doc_id", "left_semi")))
+        store.commit("000003", revisions(old), revisions(new))
     return store.totals()

@@ -225,6 +225,21 @@ def test_rollups(spark, docs, none, tmp_path):
     assert {tuple(r[k] for k in counts.KEYS): tuple(r[k] for k in counts.SUMS) for r in store.totals().collect()} == after
 
 
+def test_rollup_query_equals_a_recount(spark, docs, tmp_path):
+    at = f"file://{tmp_path}/sf"
+    docs.select("doc_id", "text", "lang", "source").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(10, 1), (7, 1), (8, 0)], "doc_id long, toxic int").write.parquet(f"{at}/labels.parquet")
+    assert len(LONG) > 32768
+    want = Counter()
+    for name in ("byte_bpe_50k", "word_bpe_49k"):
+        t = tokens.tokenizer(tokens.vocabulary(f"{name}.json"))
+        for i, text, lang, source in ROWS:
+            n = len(t.encode(text or "", add_special_tokens=False).ids)
+            want.update({(source, lang, name, k): 0 if i in (7, 10) else v for k, v in (("docs", 1), ("tokens", n), ("chars", len(text or "")))})
+    got = {(*(r[k] for k in counts.KEYS), s): r[s] for r in counts.op6_token_rollups(spark, at).collect() for s in counts.SUMS}
+    assert got == dict(want)
+
+
 def check_packing(got, capacity):
     by = {}
     for r in got:

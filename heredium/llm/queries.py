@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import counts, decontaminate, fingerprint, fixity, jaccard, packing, passages, pii, quality, tokenfiles
+from . import counts, decontaminate, fingerprint, fixity, jaccard, negatives, packing, passages, pii, quality, search, secrets, tokenfiles
 
 QUERIES = {
     "op1_repeated_passages": passages.op1_repeated_passages,
@@ -15,5 +15,9 @@ QUERIES = {
     "op8_personal_data": pii.op8_personal_data,
     "op9_fixity_audit": fixity.op9_fixity_audit,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_secret_scan": secrets.op12_secret_scan,
+    "op13_ranked_search": search.op13_ranked_search,
 }
-ORACLES: dict[str, str] = {"op9_fixity_audit": fixity.OP9_SQL, "op10_decontamination": decontaminate.OP10_SQL}
+ORACLES: dict[str, str] = {"op9_fixity_audit": fixity.OP9_SQL, "op10_decontamination": decontaminate.OP10_SQL,
+                           "op11_hard_negatives": negatives.OP11_SQL, "op13_ranked_search": search.OP13_SQL}

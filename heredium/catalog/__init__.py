@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, Query
 
-MODULES: tuple[str, ...] = ("genotypes", "overlaps", "aggregates", "phase", "ranking", "scalars", "evidence", "clinical", "statistics", "methyl", "quality")
+MODULES: tuple[str, ...] = ("genotypes", "overlaps", "aggregates", "phase", "ranking", "scalars", "evidence", "observed", "clinical", "statistics", "methyl", "quality")
 
 
 def load() -> dict[str, Query]:

@@ -165,16 +165,6 @@ def _(t):
     return decided(t).where("rf_q IS NULL").select("cand", "decision_reason", "dnm_call", "call_mode")
 
 
-@query("interval_depth", "A14")
-def _(t):
-    s = t("fx_sv").where("svtype IN ('DEL', 'DUP') AND end - start >= 300").select("sv_id", "chrom", "start", "end")
-    role = F.element_at(F.array(F.lit("F"), F.lit("M"), F.lit("C")), (F.least(F.col("sample_id") % 4, F.lit(2)) + 1).cast("int"))
-    pooled = t("fx_read").withColumn("sample_id", role)
-    members = s.select("sv_id", F.explode(F.array(F.lit("C"), F.lit("F"), F.lit("M"))).alias("role")).withColumn("sample_id", F.col("role"))
-    d = ev.interval_depth(s, pooled, members, ["sv_id"], 0.5)
-    return d.select("sv_id", "role", *[F.round(c, 4).alias(c) for c in ("dp_in", "dp_fl", "ratio_all", "tagged_loss", "ratio_1", "ratio_2")])
-
-
 @query("interval_read_depth", "A14", """WITH s AS (SELECT sv_id, chrom, start, "end", "end" - start AS n FROM fx_sv WHERE svtype IN ('DEL', 'DUP') AND "end" - start >= 300),
 a AS (SELECT *, CASE WHEN n - 600 >= 200 THEN start + 300 ELSE start + n // 4 END AS lo, CASE WHEN n - 600 >= 200 THEN "end" - 300 ELSE "end" - n // 4 END AS hi FROM s), b AS (SELECT *, greatest(hi - lo, 1) AS span FROM a),
 k AS (SELECT *, CASE WHEN span <= 2000 THEN 1 ELSE least(3, greatest(1, span // 2000)) END AS k, least(2000, span) // 2 AS half FROM b),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as nm
+from ..functions import reads as rd
 from ..functions import rules
 from ..functions.genotype import error_allowance
 from ..operators import intervals as iv
@@ -326,10 +327,10 @@ def decide(d: DataFrame, p: FinalParams = FinalParams()) -> DataFrame:
                           "mosaic_flag": cls.isin(*MOSAIC).cast("int")}).drop("__fail", "__t1", "__t2")
 
 
-def probe_points(events: DataFrame, id_cols: list[str], window: int = 300, probe: int = 2000, points: int = 5) -> DataFrame:
+def probe_points(events: DataFrame, id_cols: list[str], window: int = 300, probe: int = 2000, points: int = 5, room: int = 200) -> DataFrame:
     """Depth probe points of each interval event: up to three windows inside, one either side, a few points per window."""
     n = F.col("end") - F.col("start")
-    roomy = n - 2 * window >= 200
+    roomy = n - 2 * window >= room
     d = events.withColumns({"__lo": F.when(roomy, F.col("start") + window).otherwise(F.col("start") + F.floor(n / 4)), "__hi": F.when(roomy, F.col("end") - window).otherwise(F.col("end") - F.floor(n / 4))})
     d = d.withColumn("__span", F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1)))
     k = F.when(F.col("__span") <= probe, 1).otherwise(F.least(F.lit(3), F.greatest(F.lit(1), F.floor(F.col("__span") / probe)))).cast("int")
@@ -340,29 +341,65 @@ def probe_points(events: DataFrame, id_cols: list[str], window: int = 300, probe
     inside = F.transform(F.sequence(F.lit(0), F.col("__k") - 1), lambda i: win("in", centre(i) - F.col("__half"), centre(i) + F.col("__half")))
     zero = F.lit(0)
     flanks = F.array(win("fl", F.greatest(zero, F.col("start") - window - probe), F.greatest(zero, F.col("start") - window)), win("fl", F.col("end") + window, F.col("end") + window + probe))
-    d = d.select(*id_cols, "chrom", F.col("__k").alias("n_in"), F.explode(F.concat(inside, flanks)).alias("w"))
+    d = d.select(*id_cols, "chrom", F.col("__k").alias("n_in"), F.explode(F.concat(inside, flanks)).alias("w")).where(F.col("w.b") > F.col("w.a"))
     pts = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("w.a") + F.floor((i + 0.5) * (F.col("w.b") - F.col("w.a")) / points))
     weight = 1.0 / points / F.when(F.col("w.side") == "in", F.col("n_in")).otherwise(2)
     return d.select(*id_cols, "chrom", F.col("w.side").alias("side"), weight.alias("weight"), F.explode(pts).alias("pos"))
 
 
-def interval_depth(events: DataFrame, reads: DataFrame, members: DataFrame, id_cols: list[str], min_flank: float = 5, min_mapq: int = 5) -> DataFrame:
+def aligned_blocks(reads: DataFrame, min_mapq: int) -> DataFrame:
+    """``chrom, sample_id, b_start, b_end, hp``: the reference blocks a primary read is aligned to, deletions and skips left out. A read without a CIGAR is one block."""
+    d = reads.where(F.col("mapq") >= min_mapq)
+    if "supplementary" in d.columns:
+        d = d.where(F.col("supplementary") == 0)
+    hp = F.coalesce(F.when(F.col("hp").isin(1, 2), F.col("hp")), F.lit(0)).alias("hp")
+    if "cigar" not in d.columns:
+        return d.select("chrom", "sample_id", F.col("ref_start").alias("b_start"), F.col("ref_end").alias("b_end"), hp)
+    block = F.filter(rd.placed(F.col("cigar"), F.col("ref_start")), lambda c: c["op"].isin(*rd.BOTH))
+    return d.select("chrom", "sample_id", hp, F.explode(block).alias("c")).select("chrom", "sample_id", F.col("c.r").alias("b_start"), (F.col("c.r") + F.col("c.len")).alias("b_end"), "hp")
+
+
+def interval_depth(events: DataFrame, reads: DataFrame, members: DataFrame, id_cols: list[str], min_flank: float = 5, min_mapq: int = 5, window: int = 300, probe: int = 2000, room: int = 200) -> DataFrame:
     """Per event and role: mean depth inside and in the flanks per haplotype, ratios and loss of tagged fraction.
 
-    ``members`` maps an event to its samples (``id_cols, role, sample_id``); reads join probe points by sample and bin.
-    Pre-aggregates to one row per (event, role), never collecting reads.
+    ``members`` maps an event to its samples (``id_cols, role, sample_id``); every one of them has a row, with zero depth where no read is
+    aligned. Probe points join aligned blocks by sample and bin; one row per (event, role) comes out, never collected reads.
     """
-    pts = probe_points(events, id_cols).join(members, id_cols)
-    blocks = reads.where(F.col("mapq") >= min_mapq).select("chrom", "sample_id", F.col("ref_start").alias("b_start"), F.col("ref_end").alias("b_end"), F.coalesce("hp", F.lit(0)).alias("hp"))
-    hit = iv.point_join(pts, blocks, keys=("chrom", "sample_id"))
-    aggs = [F.sum(F.when((F.col("side") == s) & (F.col("hp") == h), F.col("weight")).otherwise(0.0)).alias(f"{s}_{h}") for s in ("in", "fl") for h in (0, 1, 2)]
-    d = hit.groupBy(*id_cols, "role").agg(*aggs)
+    pts = probe_points(events, id_cols, window, probe, room=room).join(members, id_cols)
+    hit = iv.point_join(pts, aligned_blocks(reads, min_mapq), keys=("chrom", "sample_id"))
+    names = [f"{s}_{h}" for s in ("in", "fl") for h in (0, 1, 2)]
+    aggs = [F.sum(F.when((F.col("side") == n[:2]) & (F.col("hp") == int(n[3])), F.col("weight")).otherwise(0.0)).alias(n) for n in names]
+    d = members.select(*id_cols, "role").join(events.select(*id_cols), id_cols).distinct().join(hit.groupBy(*id_cols, "role").agg(*aggs), [*id_cols, "role"], "left").fillna(0.0, names)
     tot = {s: F.col(f"{s}_0") + F.col(f"{s}_1") + F.col(f"{s}_2") for s in ("in", "fl")}
     tag = {s: F.when(tot[s] > 0, (F.col(f"{s}_1") + F.col(f"{s}_2")) / tot[s]) for s in ("in", "fl")}
-    return d.withColumns({"dp_in": tot["in"], "dp_fl": tot["fl"], "ratio_all": F.when(tot["fl"] >= min_flank, tot["in"] / tot["fl"]), "tagged_loss": tag["fl"] - tag["in"]}
+    return d.withColumns({"dp_in": tot["in"], "dp_fl": tot["fl"], "ratio_all": F.when(tot["fl"] >= min_flank, tot["in"] / tot["fl"]), "tagged_in": tag["in"], "tagged_fl": tag["fl"], "tagged_loss": tag["fl"] - tag["in"]}
                          | {f"ratio_{h}": F.when(F.col(f"fl_{h}") >= min_flank, F.col(f"in_{h}") / F.col(f"fl_{h}")) for h in (1, 2)})
 
 
+def junction_counts(events: DataFrame, reads: DataFrame, members: DataFrame, named: DataFrame, id_cols: list[str], window: int = 300, len_tol: float = 0.3, sa_tol: int = 2000) -> DataFrame:
+    """Per event and role: reads at either breakpoint that carry this event's junction, by haplotype, and whether both ends have two.
+
+    A split read counts only if it ends at one breakpoint and its other part lands at the other one. ``named`` (``id_cols, read_id``) lists reads
+    the caller gives as supporting. A read counts once at each breakpoint; events and roles without such reads have zeros."""
+    ends = F.array(F.struct(F.lit(1).alias("side"), F.col("start").alias("p")), F.struct(F.lit(2).alias("side"), F.col("end").alias("p")))
+    q = events.drop("sample_id").join(members, id_cols).withColumn("at", F.explode(F.when(F.col("start") == F.col("end"), F.slice(ends, 1, 1)).otherwise(ends)))
+    q = q.select(*id_cols, "role", "sample_id", "chrom", "start", "end", "svtype", "svlen", F.col("at.side").alias("side"), F.greatest(F.lit(0), F.col("at.p") - window - 1).alias("w_lo"), (F.col("at.p") + window).alias("w_hi"))
+    r = reads.select("sample_id", "chrom", "read_id", "supplementary", F.col("ref_start").alias("b_start"), (F.col("ref_start") + rd.reference_span(F.col("cigar"))).alias("b_end"), "hp", "cigar", "sa")
+    hit = iv.overlap_join(q, r, ("w_lo", "w_hi"), keys=("chrom", "sample_id"))
+    s, e, a, b = F.col("start"), F.col("end"), F.col("b_start"), F.col("b_end")
+    covers = rd.spans(a, b, s - window, s + window) | rd.spans(a, b, e - window, e + window)
+    touches = ((a <= s) & (s <= b)) | ((a <= e) & (e <= b))
+    sign = rd.junction_signature(rd.placed(F.col("cigar"), a), a, b, F.col("chrom"), F.col("sa"), F.col("svtype"), F.col("svlen"), s, e, window, len_tol, sa_tol)
+    hit = hit.join(named.select(*id_cols, "read_id", F.lit(True).alias("__named")).distinct(), [*id_cols, "read_id"], "left")
+    yes = rd.support_sv(F.coalesce("__named", F.lit(False)), sign, covers, touches) == "ALT"
+    # The first alignment of a read at a breakpoint speaks for it.
+    first = hit.groupBy(*id_cols, "role", "side", "read_id").agg(F.min(F.struct(a, F.col("supplementary"), yes.alias("yes"), F.coalesce(F.when(F.col("hp").isin(1, 2), F.col("hp")), F.lit(0)).alias("hp"))).alias("r"))
+    g = first.where("r.yes").groupBy(*id_cols, "role").agg(*[F.count_if(F.col("r.hp") == h).alias(f"junc_{h}") for h in (0, 1, 2)], *[F.count_if(F.col("side") == k).alias(f"__n{k}") for k in (1, 2)])
+    names = ["junc_0", "junc_1", "junc_2", "__n1", "__n2"]
+    d = members.select(*id_cols, "role").join(events.select(*id_cols), id_cols).distinct().join(g, [*id_cols, "role"], "left").fillna(0, names)
+    return d.withColumn("junc_both_ends", ((F.col("__n1") >= 2) & (F.col("__n2") >= 2)).cast("int")).drop("__n1", "__n2")
+
+
 def het_persistence(events: DataFrame, genotypes: DataFrame, id_cols: list[str], flank: int = 20000, window: int = 300, min_sites: int = 20) -> DataFrame:
     """Heterozygous fraction inside an event over its mean in the two flanks; no site inside means loss of heterozygosity."""
     zone = lambda z, a, b: F.struct(F.lit(z).alias("z"), a.alias("a"), b.alias("b"))

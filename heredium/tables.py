@@ -208,6 +208,55 @@ FROM (SELECT CAST(floor(l_orderkey / 15) AS BIGINT) AS cand,
       FROM {lineitem}) x
 """
 
+# A read's id holds order, line, part and supplier, which together are unique in lineitem.
+# Candidates asked of reads: two indels, a small variant and a deletion around each place of fx_candidate, and the alignments that reach them.
+FIXTURES["fx_asked"] = """
+SELECT 4 * cand + k AS cand, chrom, sample_id, family_id, CASE k WHEN 0 THEN 'SNV' WHEN 3 THEN 'SV' ELSE 'INDEL' END AS variant_class,
+       pos + CASE k WHEN 0 THEN 75 + cand % 12 WHEN 1 THEN 200 WHEN 2 THEN 300 ELSE 500 END AS start,
+       pos + CASE k WHEN 0 THEN 75 + cand % 12 WHEN 1 THEN 200 WHEN 2 THEN 303 ELSE 600 END AS "end",
+       CASE k WHEN 0 THEN CASE WHEN cand % 2 = 0 THEN 'A' ELSE 'G' END WHEN 2 THEN 'ACGT' ELSE 'A' END AS ref,
+       CASE k WHEN 0 THEN CASE WHEN cand % 3 = 0 THEN 'C' ELSE 'T' END WHEN 1 THEN 'ACG' WHEN 2 THEN 'A' ELSE '<DEL>' END AS alt,
+       CASE WHEN k = 3 THEN 'DEL' END AS svtype, CASE WHEN k = 3 THEN -100 END AS svlen
+FROM {fx_candidate} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) ks
+"""
+
+FIXTURES["fx_align"] = """
+SELECT read_id, 4 * (cand % 25) + CASE role WHEN 'C' THEN 2 WHEN 'F' THEN 0 ELSE 1 END AS sample_id, concat('chr', CAST(1 + cand % 22 AS VARCHAR(4))) AS chrom, ref_start,
+       concat(CASE WHEN clip > 0 THEN concat(CAST(clip AS VARCHAR(9)), 'S') ELSE '' END, CAST(m1 AS VARCHAR(9)), 'M', CASE WHEN ins > 0 THEN concat(CAST(ins AS VARCHAR(9)), 'I') ELSE '' END,
+              CAST(m2 AS VARCHAR(9)), 'M', CASE WHEN del > 0 THEN concat(CAST(del AS VARCHAR(9)), 'D') ELSE '' END, CAST(m3 AS VARCHAR(9)), 'M',
+              CASE WHEN sv > 0 THEN concat(CAST(sv AS VARCHAR(9)), 'D') ELSE '' END, CASE WHEN short = 0 THEN '150M' ELSE '' END) AS cigar_text,
+       substr(repeat('ACGT', 300), CAST(1 + read_id % 4 AS INT), CAST(clip + m1 + ins + m2 + m3 + CASE WHEN short = 0 THEN 150 ELSE 0 END AS INT)) AS seq,
+       hp, 100 + read_id % 2 AS ps, mapq, nm, clip AS clipped, 0 AS supplementary,
+       CASE WHEN short = 1 AND part % 2 = 0 THEN base + 600 + (supp % 3) * 40 END AS sa_pos
+FROM (SELECT *, base + 200 + j1 - ref_start AS m1, 100 + j2 - j1 AS m2, 200 + CASE WHEN short = 0 THEN (supp % 7) * 10 - 30 ELSE 0 END - j2 - del AS m3
+      FROM (SELECT *, base + part % 160 - 60 AS ref_start, supp % 9 - 4 AS j1, read_id % 5 - 2 AS j2, ord % 4 AS ins, part % 5 AS del, CASE WHEN short = 1 THEN 0 WHEN part % 3 = 1 THEN 100 WHEN part % 3 = 2 THEN 60 ELSE 0 END AS sv
+            FROM (SELECT (10 * l_orderkey + l_linenumber) * 100000000000 + l_partkey * 100000 + l_suppkey AS read_id, CAST(floor(l_orderkey / 15) AS BIGINT) AS cand, l_orderkey AS ord, l_partkey AS part, l_suppkey AS supp,
+                         3000000 + 5000 * CAST(floor(l_orderkey / 15) AS BIGINT) AS base, CASE l_partkey % 3 WHEN 0 THEN 'C' WHEN 1 THEN 'F' ELSE 'M' END AS role,
+                         CASE WHEN l_linenumber % 4 = 0 THEN 1 ELSE 0 END AS short, l_linenumber % 3 AS clip, CASE WHEN l_suppkey % 7 = 0 THEN 0 ELSE 1 + l_suppkey % 2 END AS hp,
+                         CASE WHEN l_tax > 0.07 THEN 4 ELSE 60 END AS mapq, CAST(floor(l_discount * 100) AS BIGINT) AS nm
+                  FROM {lineitem}) a) b) c
+"""
+
+# Repeat loci of the trios (every third place) and their spanning reads: flanks of 50 bases, a length near the child's or a parent's alleles.
+FIXTURES["fx_locus"] = """
+SELECT cand, concat('TR', CAST(cand AS VARCHAR(12))) AS trid, 1 + cand % 4 AS unit, 30 + cand % 9 AS target, 22 + cand % 5 AS other, 20 + cand % 7 AS f1, 24 + cand % 11 AS f2, 21 + cand % 3 AS m1, 29 + cand % 13 AS m2 FROM {fx_candidate}
+"""
+
+FIXTURES["fx_spanning"] = """
+SELECT read_id, 4 * (cand % 25) + CASE part % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END AS sample_id, concat('TR', CAST(cand AS VARCHAR(12))) AS trid,
+       CASE WHEN part % 41 = 0 THEN 60 ELSE 100 + 19 + quantity % 21 END AS query_length, hp, 100 AS ps, 60 AS mapq, nm, 0 AS clipped, 0 AS supplementary
+FROM (SELECT (10 * l_orderkey + l_linenumber) * 100000000000 + l_partkey * 100000 + l_suppkey AS read_id, CAST(floor(l_orderkey / 15) AS BIGINT) AS cand, l_partkey AS part, CAST(l_quantity AS BIGINT) AS quantity,
+             CASE WHEN l_suppkey % 7 = 0 THEN 0 ELSE 1 + l_suppkey % 2 END AS hp, CAST(floor(l_discount * 100) AS BIGINT) AS nm FROM {lineitem}) x
+"""
+
+# Sites with up to two alternative alleles: the second one where site and sample say so; some members are not called.
+FIXTURES["fx_multi"] = """
+SELECT sample_id, family_id, slot, site_id, chrom, pos, ref, alt AS alt1, concat(ref, 'CC') AS alt2,
+       CASE WHEN (sample_id + site_id) % 41 = 0 THEN NULL ELSE a1 * (1 + CASE WHEN site_id % 3 = 0 THEN (sample_id + site_id) % 2 ELSE 0 END) END AS x1,
+       CASE WHEN (sample_id + site_id) % 41 = 0 THEN NULL ELSE a2 * (1 + CASE WHEN site_id % 3 = 0 THEN (sample_id + site_id + 1) % 2 ELSE 0 END) END AS x2, gq, dp
+FROM {fx_genotype}
+"""
+
 # Transmission-style phenotype rows.
 FIXTURES["fx_phenotype"] = """
 SELECT c_custkey AS subject_id, c_mktsegment AS grp, c_acctbal AS numeric_value, c_nationkey % 4 AS ordinal,

@@ -133,7 +133,7 @@ def _(t):
     return d.where(F.col("cand") % 10 / 10.0 >= tau).select("cand", tau.alias("tau"))
 
 
-@query("seeded_sample", "P8,T5")
+@query("seeded_sample", "P8,T5", """SELECT sample_id, site_id, chrom FROM (SELECT sample_id, site_id, chrom, row_number() OVER (PARTITION BY sample_id, chrom ORDER BY md5(concat_ws(':', 7, site_id)), site_id) AS rn FROM fx_genotype WHERE a1 <> a2) x WHERE rn <= 3""")
 def _(t):
     return sel.sample_n(t("fx_genotype").where("a1 <> a2").select("sample_id", "site_id", "chrom"), ["sample_id", "chrom"], ["site_id"], 3, 7)
 

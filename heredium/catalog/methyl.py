@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from ..operators import ranks
 from ..operators import regression as rg
+from ..operators import resampling as rs
 from ..operators import trio
 from ..plans import episignature as es
 from ..plans import methylation as me
 from ..plans import phenotype as ph
 from ..plans import xinactivation as xi
+from ..storage import cut
 from .aggregates import REGION, region_table
 from .genotypes import TRIO
 from .registry import query
@@ -156,17 +158,36 @@ def _(t):
     return d.select("sample_id", "set_id", "n_used", *[F.round(c, 5).alias(c) for c in ("mean_z", "shape_r", "frac_below_p5")])
 
 
-@query("permutation_null", "C53")
-def _(t):
-    from ..storage import cut
+def pool_table(t):
+    """Every region with its mean CpG count and its width, which differs a little from region to region."""
+    n = region_table(t).groupBy("region_id").agg(F.avg("n_cpg").alias("n_cpg"))
+    return n.withColumn("width", (7040 + 100 * (F.col("region_id") % 5)).cast("double"))
+
 
+N_DRAWS, N_BOOT = 1000, 200          # the reference's counts
+MD5 = "CAST(concat('0x', substr(md5({}), 1, 8)) AS BIGINT)"
+_SCORE = """CASE WHEN count(*) >= 5 THEN avg(z) END AS mean_z, CASE WHEN count(*) >= 5 AND var_pop(d) * count(*) > 1e-15 AND var_pop(t) * count(*) > 1e-15 THEN corr(d, t) END AS shape_r"""
+NULLS = f"""{REGION}, v AS (SELECT a.sample_id, a.region_id, a.b - avg(c.b) AS d, (a.b - avg(c.b)) / stddev_samp(c.b) AS z FROM rm a JOIN rm c ON c.region_id = a.region_id AND c.sample_id < 18 AND c.sample_id <> a.sample_id GROUP BY a.sample_id, a.region_id, a.b HAVING stddev_samp(c.b) > 0),
+pl AS (SELECT region_id, avg(n) AS n_cpg, CAST(7040 + 100 * (region_id % 5) AS DOUBLE) AS width FROM rm GROUP BY 1),
+ed AS (SELECT list_distinct(quantile_cont(n_cpg, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS en, list_distinct(quantile_cont(width, [1 / 3.0E0, 2 / 3.0E0])) AS ew FROM pl),
+bn AS (SELECT region_id, len(list_filter(en, lambda x: x < n_cpg)) * 100 + len(list_filter(ew, lambda x: x < width)) AS bin FROM pl, ed),
+po AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY region_id) - 1 AS at, count(*) OVER (PARTITION BY bin) AS size FROM bn),
+dr AS (SELECT s.region_id % 3 AS set_id, r.rep, CAST((s.region_id * 7) % 11 - 5 AS DOUBLE) AS t, p.region_id FROM (SELECT po.region_id, po.bin, po.size FROM fx_region f JOIN po ON po.region_id = f.region_id) s CROSS JOIN (SELECT unnest(range(1, {N_DRAWS + 1})) AS rep) r
+  JOIN po p ON p.bin = s.bin AND p.at = {MD5.format("concat_ws(':', 11, s.region_id % 3, s.region_id, r.rep)")} % s.size),
+nu AS (SELECT sample_id, set_id, rep, {_SCORE} FROM dr JOIN v ON v.region_id = dr.region_id GROUP BY 1, 2, 3),
+ob AS (SELECT sample_id, region_id % 3 AS set_id, {_SCORE} FROM (SELECT *, CAST((region_id * 7) % 11 - 5 AS DOUBLE) AS t FROM v) x GROUP BY 1, 2)"""
+
+
+@query("permutation_null", "C53,P8", f"""WITH {NULLS} SELECT o.sample_id, o.set_id, count(n.mean_z) AS n_null, round(CASE WHEN o.mean_z IS NOT NULL THEN (count(*) FILTER (abs(n.mean_z) >= abs(o.mean_z) - 1e-9) + 1) / (count(n.mean_z) + 1.0E0) END, 6) AS p_mean_z,
+ round(CASE WHEN o.shape_r IS NOT NULL THEN (count(*) FILTER (n.shape_r >= o.shape_r - 1e-9) + 1) / (count(n.shape_r) + 1.0E0) END, 6) AS p_shape_r FROM ob o JOIN nu n ON n.sample_id = o.sample_id AND n.set_id = o.set_id GROUP BY 1, 2, o.mean_z, o.shape_r""")
+def _(t):
     v = cut(scored_regions(t))
-    n = region_table(t).groupBy("region_id").agg(F.avg("n_cpg").alias("n_cpg"))
-    pool = es.quantile_bins(n, "n_cpg", 4, "bin").select("region_id", "bin")
-    draws = es.matched_draws(sets(t).join(pool, "region_id"), pool, 20, 11)
-    null = es.score_sets(v, draws, by=["rep"])
-    p = es.permutation_p(es.score_sets(v, sets(t)), null)
-    return p.select("sample_id", "set_id", F.round("p_mean_z", 6).alias("p_mean_z"), F.round("p_shape_r", 6).alias("p_shape_r"))
+    pool = pool_table(t)
+    s = sets(t).join(pool, "region_id")
+    s, pool = es.match_bins(s, pool, {"n_cpg": 10, "width": 3})
+    draws = es.matched_draws(s, pool, N_DRAWS, 11)
+    p = rs.matched_null(es.score_sets(v, sets(t)), v, draws, N_DRAWS)
+    return p.select("sample_id", "set_id", "n_null", F.round("p_mean_z", 6).alias("p_mean_z"), F.round("p_shape_r", 6).alias("p_shape_r"))
 
 
 @query("layer2_features", "C54,A21,A22", """WITH cl AS (SELECT c.sample_id, CASE WHEN r.region_id % 2 = 0 THEN 'island' ELSE 'shore' END AS cls, c.beta FROM fx_cpg c JOIN fx_region r ON r.chrom = c.chrom AND r.start <= c.pos AND c.pos < r."end") SELECT sample_id, cls, count(*) AS n_cpg, round(avg(beta), 6) AS mean_beta FROM cl GROUP BY 1, 2""")
@@ -184,21 +205,40 @@ def _(t):
     return es.panel_report(s, e, 0.25).select("sample_id", "set_id", "rank", "observed")
 
 
-@query("score_sensitivity", "C56")
+@query("bootstrap_ranks", "C56", f"""WITH {REGION}, cn AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS at, count(*) OVER () AS n FROM (SELECT DISTINCT sample_id FROM rm WHERE sample_id < 18) x),
+w AS (SELECT r.rep, c.sample_id, count(*) AS w FROM cn k CROSS JOIN (SELECT unnest(range(1, {N_BOOT + 1})) AS rep) r JOIN cn c ON c.at = {MD5.format("concat_ws(':', 7, r.rep, k.at)")} % k.n GROUP BY 1, 2),
+ct AS (SELECT w.rep, rm.region_id, sum(w) AS n, sum(w * b) AS s, sum(w * b * b) AS q FROM w JOIN rm ON rm.sample_id = w.sample_id GROUP BY 1, 2),
+wh AS (SELECT rep, sample_id, w, 1 AS own FROM w UNION ALL SELECT rep, sample_id, 0, 0 FROM (SELECT DISTINCT sample_id FROM rm WHERE sample_id >= 18) y CROSS JOIN (SELECT unnest(range(1, {N_BOOT + 1})) AS rep) r),
+l AS (SELECT wh.rep, wh.sample_id, wh.w, wh.own, rm.region_id, rm.b, ct.n - own AS m, ct.s - own * rm.b AS s, ct.q - own * rm.b * rm.b AS q FROM wh JOIN rm ON rm.sample_id = wh.sample_id JOIN ct ON ct.rep = wh.rep AND ct.region_id = rm.region_id),
+e AS (SELECT *, b - s / m AS d, CAST((region_id * 7) % 11 - 5 AS DOUBLE) AS t FROM l WHERE m > 1 AND (q - s * s / m) / (m - 1) > 1e-15),
+sh AS (SELECT rep, sample_id, w, own, region_id % 3 AS set_id, CASE WHEN count(*) >= 5 AND var_pop(d) * count(*) > 1e-15 AND var_pop(t) * count(*) > 1e-15 THEN corr(d, t) END AS r FROM e GROUP BY 1, 2, 3, 4, 5),
+k AS (SELECT a.sample_id, a.set_id, a.rep, a.r, 1 + coalesce(sum(c.w) FILTER (c.r > a.r), 0) AS rank, sum(c.w) + 1 AS n FROM sh a JOIN sh c ON c.set_id = a.set_id AND c.rep = a.rep AND c.own = 1 WHERE a.own = 0 GROUP BY 1, 2, 3, 4)
+SELECT sample_id, set_id, count(*) AS n_boot, round(avg(r), 6) AS mean_shape_r, CAST(median(rank) AS DOUBLE) AS median_rank, round(avg(CASE WHEN rank = 1 THEN 1.0E0 ELSE 0 END), 6) AS share_first, max(n)::BIGINT AS n FROM k WHERE r IS NOT NULL GROUP BY 1, 2""")
 def _(t):
-    """Scores over CpG floors, and over bootstrap replicates of the control samples by seeded weights."""
-    from ..functions.numeric import draw
-    from ..storage import cut
+    """All samples from 18 on against 200 resamples of the controls."""
+    v = cut(region_table(t).select("sample_id", "region_id", "b"))
+    w = rs.bootstrap_weights(v.where("sample_id < 18"), "sample_id", N_BOOT, 7)
+    d = rs.bootstrap_ranks(cut(rs.bootstrap_shapes(v, sets(t), w, F.col("sample_id") >= 18, N_BOOT))).where("shape_r IS NOT NULL")
+    return d.groupBy("sample_id", "set_id").agg(F.count("*").alias("n_boot"), F.round(F.avg("shape_r"), 6).alias("mean_shape_r"), F.median("rank").cast("double").alias("median_rank"),
+                                                F.round(F.avg((F.col("rank") == 1).cast("double")), 6).alias("share_first"), F.max("n").alias("n"))
+
+
+_ZS = "{0} AS (SELECT a.sample_id, a.region_id % 3 AS set_id, (a.b - avg(c.b)) / stddev_samp(c.b) AS z FROM {1} a JOIN {1} c ON c.region_id = a.region_id AND c.sample_id < 18 AND c.sample_id <> a.sample_id GROUP BY a.sample_id, a.region_id, a.b HAVING stddev_samp(c.b) > 0)"
+_SM = "SELECT '{0}' AS setting, sample_id, set_id, CASE WHEN count(*) >= 5 THEN avg(z) END AS mean_z FROM {1} GROUP BY 2, 3"
+SENSITIVITY = f"""{REGION}, r8 AS (SELECT * FROM rm WHERE n >= 8), cr AS (SELECT region_id FROM rm WHERE sample_id < 18 GROUP BY 1 HAVING count(*) >= 8 AND stddev_pop(b) > 0 AND abs(corr(b, (sample_id * 5) % 7 / 7.0E0)) > 0.3), rc AS (SELECT * FROM rm WHERE region_id NOT IN (SELECT region_id FROM cr)),
+{_ZS.format('z1', 'rm')}, {_ZS.format('z8', 'r8')}, {_ZS.format('zc', 'rc')}, al AS ({_SM.format('min_cpgs=1', 'z1')} UNION ALL {_SM.format('min_cpgs=8', 'z8')} UNION ALL {_SM.format('composition_clean', 'zc')})"""
 
+
+@query("score_sensitivity", "C56", f"""WITH {SENSITIVITY} SELECT setting, set_id, count(mean_z) AS n, round(avg(mean_z), 5) AS mean_z, round(stddev(mean_z), 5) AS sd_z FROM al GROUP BY 1, 2""")
+def _(t):
+    """Scores over CpG floors, and over the regions that do not follow a cell fraction."""
     base = cut(region_table(t))
+    fractions = base.select("sample_id").distinct().withColumn("fraction", (F.col("sample_id") * 5) % 7 / 7.0)
+    clean = es.composition_clean(base, fractions, F.col("sample_id") < 18, 0.3)
     out = None
-    for floor in (1, 8):
-        v = es.loo_regions(base.withColumn("b", F.when(F.col("n_cpg") >= floor, F.col("b"))), F.col("sample_id") < 18)
-        d = es.score_sets(v, sets(t)).select(F.concat(F.lit("min_cpgs="), F.lit(floor)).alias("setting"), "sample_id", "set_id", "mean_z")
+    for name, v in (("min_cpgs=1", base), ("min_cpgs=8", base.withColumn("b", F.when(F.col("n_cpg") >= 8, F.col("b")))), ("composition_clean", base.join(clean, "region_id"))):
+        d = es.score_sets(es.loo_regions(v, F.col("sample_id") < 18), sets(t)).select(F.lit(name).alias("setting"), "sample_id", "set_id", "mean_z")
         out = d if out is None else out.unionByName(d)
-    for rep in (1, 2):
-        v = es.loo_regions(base, (F.col("sample_id") < 18) & (draw(F.col("sample_id"), seed=rep) < 0.8))
-        out = out.unionByName(es.score_sets(v, sets(t)).select(F.lit(f"controls_{rep}").alias("setting"), "sample_id", "set_id", "mean_z"))
     return out.groupBy("setting", "set_id").agg(F.count("mean_z").alias("n"), F.round(F.avg("mean_z"), 5).alias("mean_z"), F.round(F.stddev("mean_z"), 5).alias("sd_z"))
 
 
@@ -213,7 +253,8 @@ def _(t):
     return es.na_by_threshold(region_table(t), [1, 4, 8, 9]).withColumn("na_frac", F.round("na_frac", 6))
 
 
-@query("island_sets", "C58,P8")
+@query("island_sets", "C58,P8", """WITH g AS (SELECT region_id, chrom, start, CASE WHEN chrom = 'chr7' THEN 'x_like' ELSE 'autosome' END AS grp FROM fx_region WHERE "end" - start BETWEEN 100 AND 10000),
+r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5(concat_ws(':', 5, chrom, start)), chrom, start) AS rn FROM g) SELECT region_id, grp FROM r WHERE rn <= 3""")
 def _(t):
     grp = F.when(F.col("chrom") == "chr7", "x_like").otherwise("autosome")
     return xi.island_sets(t("fx_region"), grp, 100, 10000, 3, 5).select("region_id", "grp")
@@ -245,8 +286,6 @@ def _(t):
 
 @query("inactivation_skew", "C60,F23")
 def _(t):
-    from ..storage import cut
-
     v = cut(x_values(t))
     v = v.withColumn("combined", F.when(F.col("sex") == "M", F.col("combined") / 3).otherwise(F.col("combined") * 2))
     inf = xi.informative_islands(v, 5, 0.2, (0.02, 0.9))

@@ -8,6 +8,7 @@ from ..functions import numeric as nm
 from ..operators import ranks
 from ..operators import regression as rg
 from ..plans import learning as ml
+from ..plans import methylation as me
 from .evidence import CLASSED, classified
 from .ranking import SCORED, scored
 from .registry import query
@@ -80,15 +81,40 @@ def _(t):
 @query("conditional_logistic", "M6")
 def _(t):
     g = t("fx_genotype").where("slot >= 2").join(t("fx_site").select("site_id", "consequence"), "site_id")
-    m = g.groupBy("consequence", "family_id", "sample_id", "slot").agg(F.count_if(F.col("a1") + F.col("a2") > 0).alias("x"))
-    d = rg.conditional_logistic(m.withColumn("case", (F.col("slot") == 2).cast("int")), ["consequence"], "family_id", "case", "x")
-    return d.select("consequence", "n_strata", *[F.round(c, 5).alias(c) for c in ("beta", "se", "z")])
+    carries = F.col("a1") + F.col("a2") > 0
+    m = g.groupBy("consequence", "family_id", "sample_id", "slot").agg(F.count_if(carries).alias("n_carried"), F.avg(F.col("dp").cast("double")).alias("depth"), F.count_if(F.col("gq") < 20).alias("n_low"))
+    d = rg.conditional_logistic(m.withColumn("case", (F.col("slot") == 2).cast("int")), ["consequence"], "family_id", "case", ["n_carried", "depth", "n_low"])
+    return d.select("consequence", "covariate", "n_strata", *[F.round(c, 5).alias(c) for c in ("beta", "se", "z")])
 
 
-@query("cell_fractions", "M7")
+_CELLS = ("neutrophil", "lymphocyte", "monocyte")
+#: All supports of three weights: each one's least squares by Cramer's rule; the best non-negative one is the solution.
+NNLS = """x AS (SELECT sample_id, beta AS y, (cpg_id * 31) % 97 / 97.0E0 AS a, (cpg_id * 57) % 97 / 97.0E0 AS b, (cpg_id * 83) % 97 / 97.0E0 AS c FROM fx_cpg),
+m AS (SELECT sample_id, count(*) AS n, sum(a*a) AS aa, sum(b*b) AS bb, sum(c*c) AS cc, sum(a*b) AS ab, sum(a*c) AS ac, sum(b*c) AS bc, sum(a*y) AS ay, sum(b*y) AS b_y, sum(c*y) AS cy, sum(y*y) AS yy FROM x GROUP BY 1),
+d AS (SELECT *, aa*(bb*cc - bc*bc) - ab*(ab*cc - bc*ac) + ac*(ab*bc - bb*ac) AS det FROM m),
+s AS (SELECT *, ay/aa AS w1, 0.0E0 AS w2, 0.0E0 AS w3 FROM d UNION ALL SELECT *, 0, b_y/bb, 0 FROM d UNION ALL SELECT *, 0, 0, cy/cc FROM d
+ UNION ALL SELECT *, (ay*bb - b_y*ab)/(aa*bb - ab*ab), (aa*b_y - ab*ay)/(aa*bb - ab*ab), 0 FROM d UNION ALL SELECT *, (ay*cc - cy*ac)/(aa*cc - ac*ac), 0, (aa*cy - ac*ay)/(aa*cc - ac*ac) FROM d
+ UNION ALL SELECT *, 0, (b_y*cc - cy*bc)/(bb*cc - bc*bc), (bb*cy - bc*b_y)/(bb*cc - bc*bc) FROM d
+ UNION ALL SELECT *, (ay*(bb*cc - bc*bc) - ab*(b_y*cc - bc*cy) + ac*(b_y*bc - bb*cy))/det, (aa*(b_y*cc - bc*cy) - ay*(ab*cc - bc*ac) + ac*(ab*cy - b_y*ac))/det, (aa*(bb*cy - b_y*bc) - ab*(ab*cy - b_y*ac) + ay*(ab*bc - bb*ac))/det FROM d),
+f AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY yy - 2*(w1*ay + w2*b_y + w3*cy) + w1*w1*aa + w2*w2*bb + w3*w3*cc + 2*(w1*w2*ab + w1*w3*ac + w2*w3*bc)) AS rn FROM s WHERE w1 >= 0 AND w2 >= 0 AND w3 >= 0),
+g AS (SELECT *, w1 + w2 + w3 AS t FROM f WHERE rn = 1), h AS (SELECT *, w1/t AS p, w2/t AS q, w3/t AS r FROM g)"""
+
+
+@query("cell_fractions", "M7", f"""WITH {NNLS} SELECT sample_id, n AS n_markers, round(p, 5) AS neutrophil, round(q, 5) AS lymphocyte, round(r, 5) AS monocyte, round(t, 5) AS raw_sum, round(yy - 2*(p*ay + q*b_y + r*cy) + p*p*aa + q*q*bb + r*r*cc + 2*(p*q*ab + p*r*ac + q*r*bc), 4) AS rss FROM h""")
 def _(t):
-    d = t("fx_cpg").select("sample_id", F.col("beta").alias("y"), *[((F.col("cpg_id") * p) % 97 / 97.0).alias(n) for n, p in (("neutrophil", 31), ("lymphocyte", 57), ("monocyte", 83))])
-    return rg.nnls(d, ["sample_id"], "y", ["neutrophil", "lymphocyte", "monocyte"]).select("sample_id", *[F.round(c, 5).alias(c) for c in ("neutrophil", "lymphocyte", "monocyte")])
+    d = t("fx_cpg").select("sample_id", F.col("beta").alias("y"), *[((F.col("cpg_id") * p) % 97 / 97.0).alias(n) for n, p in zip(_CELLS, (31, 57, 83), strict=True)])
+    return rg.nnls(d, ["sample_id"], "y", list(_CELLS)).select("sample_id", "n_markers", *[F.round(c, 5).alias(c) for c in (*_CELLS, "raw_sum")], F.round("rss", 4).alias("rss"))
+
+
+@query("two_compartments", "M7", """WITH m AS (SELECT sample_id, CASE cpg_id % 3 WHEN 0 THEN 'epithelium' WHEN 1 THEN 'granulocyte' ELSE 'other' END AS target, 1 - beta AS u FROM fx_cpg),
+s AS (SELECT sample_id, avg(u) FILTER (target = 'epithelium') AS ut, avg(u) FILTER (target = 'granulocyte') AS uc FROM m GROUP BY 1), z AS (SELECT avg(ut) AS z FROM s WHERE sample_id % 6 = 0)
+SELECT sample_id, round(ut, 6) AS u_tissue, round(greatest(0, least(1, (ut - z) / (0.95E0 - z))), 6) AS tissue_share, round(greatest(0, least(1, uc / 0.9E0)), 6) AS cell_share FROM s, z""")
+def _(t):
+    target = F.element_at(F.array(F.lit("epithelium"), F.lit("granulocyte"), F.lit("other")), (F.col("cpg_id") % 3 + 1).cast("int"))
+    m = t("fx_cpg").select("sample_id", target.alias("target"), (1 - F.col("beta")).alias("u"))
+    atlas = t.spark.createDataFrame([("epithelium", "epithelium", 0.95), ("epithelium", "blood", 0.05), ("granulocyte", "granulocyte", 0.9)], "target string, cell string, u double")
+    d = me.two_compartments(m, atlas, m.where("sample_id % 6 = 0").select("sample_id"))
+    return d.select("sample_id", *[F.round(c, 6).alias(c) for c in ("u_tissue", "tissue_share", "cell_share")])
 
 
 @query("fold_quantile_score", "M10,W6", """WITH s AS (SELECT o_orderkey, y.s AS seed, o_custkey % 3 AS fold, (o_orderkey * (y.s + 5)) % 211 AS score FROM orders, (VALUES (1), (2)) y(s)), r AS (SELECT o_custkey % 3 AS fold, y.s AS seed, (o_orderkey * (y.s + 11)) % 223 AS score FROM orders, (VALUES (1), (2)) y(s) WHERE o_orderstatus = 'F'),
@@ -107,12 +133,21 @@ def _(t):
     return classified(t).select("cand", ml.rerank(F.col("cand") % 100 / 100.0, F.col("phase_class")).alias("score"))
 
 
-@query("permutation_importance", "M12")
+_SHUFFLED = " UNION ALL ".join(
+    f"SELECT '{fam}' AS family, {i} AS shuffle, h.label, {expr} AS score FROM (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', {7 + 2 * i + 1}, id)), id) AS rn FROM d) h JOIN (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', {7 + 2 * i}, id)), id) AS rn FROM d) o ON o.rn = h.rn"
+    for fam, expr in (("amount", "round(o.q / 50 - 5 * h.disc, 4)"), ("discount", "round(h.q / 50 - 5 * o.disc, 4)"), ("tax", "round(h.q / 50 - 5 * h.disc, 4)")) for i in range(3))
+
+
+@query("permutation_importance", "M12", f"""WITH d AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_quantity AS q, l_discount AS disc, CASE WHEN l_discount < 0.03 OR l_quantity > 40 THEN 1 ELSE 0 END AS label FROM lineitem),
+e AS (SELECT '' AS family, 0 AS shuffle, label, round(q / 50 - 5 * disc, 4) AS score FROM d UNION ALL {_SHUFFLED}), g AS (SELECT family, shuffle, score, sum(label) AS p, count(*) - sum(label) AS n FROM e GROUP BY 1, 2, 3),
+c AS (SELECT *, sum(n) OVER (PARTITION BY family, shuffle ORDER BY score) - n AS below, sum(p) OVER (PARTITION BY family, shuffle) AS tp, sum(n) OVER (PARTITION BY family, shuffle) AS tn FROM g),
+a AS (SELECT family, shuffle, sum(p * (below + n / 2.0E0)) / (max(tp) * max(tn)) AS auc FROM c GROUP BY 1, 2), l AS (SELECT a.family, a.auc, b.auc - a.auc AS loss FROM a, (SELECT auc FROM a WHERE family = '') b WHERE a.family <> '')
+SELECT family, round(avg(auc), 5) AS auc, round(avg(loss), 5) AS importance, round(min(loss), 5) AS least, round(max(loss), 5) AS most FROM l GROUP BY 1""")
 def _(t):
-    d = t("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("oid"), F.col("l_partkey"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("disc"), F.col("l_tax").alias("tax"))
-    d = d.withColumn("label", ((F.col("disc") < 0.03) | (F.col("q") > 40)).cast("int")).withColumn("id", F.xxhash64("oid", "l_partkey", "q", "disc", "tax")).drop("oid", "l_partkey")
-    r = ml.permutation_importance(d, {"amount": ["q"], "discount": ["disc"], "tax": ["tax"]}, lambda: F.round(F.col("q") / 50 - 5 * F.col("disc") + 0.0 * F.col("tax"), 4), "label")
-    return r.select("family", F.round("auc", 4).alias("auc"), F.round("importance", 4).alias("importance"))
+    d = t("lineitem").select(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("id"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("disc"), F.col("l_tax").alias("tax"))
+    d = d.withColumn("label", ((F.col("disc") < 0.03) | (F.col("q") > 40)).cast("int"))
+    r = ml.permutation_importance(d, {"amount": ["q"], "discount": ["disc"], "tax": ["tax"]}, lambda x: x.withColumn("score", F.round(F.col("q") / 50 - 5 * F.col("disc") + 0.0 * F.col("tax"), 4)), "label")
+    return r.select("family", *[F.round(c, 5).alias(c) for c in ("auc", "importance", "least", "most")])
 
 
 @query("presence_guard", "M13,P9", """WITH d AS (SELECT CASE WHEN consequence = 'missense_variant' THEN 1 ELSE 0 END AS label, gnomad_af, s_het FROM fx_site), u AS (SELECT 'gnomad_af' AS feature, label, CASE WHEN gnomad_af IS NULL THEN 0.0E0 ELSE 1 END AS p FROM d UNION ALL SELECT 's_het', label, CASE WHEN s_het IS NULL THEN 0.0E0 ELSE 1 END FROM d)
@@ -145,10 +180,14 @@ def _(t):
     return ml.predict(fitted, d).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("p"), 4).alias("mean_p"))
 
 
-@query("family_folds", "C64,J31")
+@query("family_folds", "C64,J31", """WITH RECURSIVE z AS (SELECT family_id, count(*) AS n FROM fx_call GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY family_id % 9 = 0 DESC, n DESC, md5(concat_ws(':', 1, family_id)), family_id) AS i FROM z),
+g AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS family_id, 0::BIGINT AS k, [0, 0, 0, 0, 0]::BIGINT[] AS load
+  UNION ALL SELECT i, family_id, k, list_transform(load, lambda x, j: x + CASE WHEN j = k THEN n ELSE 0 END) FROM (SELECT o.i, o.family_id, o.n, g.load, CASE WHEN o.family_id % 9 = 0 THEN 1 ELSE list_position(g.load, list_min(g.load)) END AS k FROM g JOIN o ON o.i = g.i + 1) s)
+SELECT family_id, CAST(k - 1 AS INT) AS fold FROM g WHERE i > 0""")
 def _(t):
-    sizes = t("fx_call").groupBy("family_id").agg(F.count("*").alias("n"))
-    return ml.family_folds(sizes, "family_id", 5)
+    sizes = t("fx_call").groupBy("family_id").agg(F.count("*").alias("n")).withColumn("blood", F.col("family_id") % 9 == 0)
+    return ml.family_folds(sizes, "family_id", 5, first="blood", min_families=1)
 
 
 @query("isotonic_calibration", "M9", f"""WITH {SCORED}, g AS (SELECT score, CAST(sum(label) AS DOUBLE) AS s, count(*) AS n FROM sc GROUP BY 1), c AS (SELECT *, sum(s) OVER (ORDER BY score) AS cs, sum(n) OVER (ORDER BY score) AS cn FROM g),

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import join_null_safe
+
 
 def leave_one_out(df: DataFrame, item: list[str], family: str, sums: dict[str, Column]) -> DataFrame:
     """Per (item, family): each sum, its total over all families and ``<name>_loo`` without the family."""
     part = df.groupBy(*item, family).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     total = part.groupBy(*item).agg(*[F.sum(n).alias(f"{n}_total") for n in sums])
-    return part.join(total, item).withColumns({f"{n}_loo": F.col(f"{n}_total") - F.col(n) for n in sums})
+    return join_null_safe(part, total, item, "inner").withColumns({f"{n}_loo": F.col(f"{n}_total") - F.col(n) for n in sums})
 
 
 def leave_out_for(queries: DataFrame, df: DataFrame, item: list[str], family: str, sums: dict[str, Column],
@@ -20,10 +22,10 @@ def leave_out_for(queries: DataFrame, df: DataFrame, item: list[str], family: st
     part = df.groupBy(*item, family).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     total = part.groupBy(*item).agg(*[F.sum(n).alias(f"__t_{n}") for n in sums])
     own = part.select(*item, family, *[F.col(n).alias(f"__o_{n}") for n in sums])
-    out = queries.join(total, item, "left").join(own, [*item, family], "left")
+    out = join_null_safe(join_null_safe(queries, total, item, "left"), own, [*item, family], "left")
     if second_family:
         sec = part.select(*item, F.col(family).alias(second_family), *[F.col(n).alias(f"__s_{n}") for n in sums])
-        out = out.join(sec, [*item, second_family], "left")
+        out = join_null_safe(out, sec, [*item, second_family], "left")
     zero = F.lit(0)
     for n in sums:
         v = F.coalesce(f"__t_{n}", zero) - F.coalesce(f"__o_{n}", zero)
@@ -61,7 +63,7 @@ def leave_one_out_percentile(df: DataFrame, item: list[str], family: str, value:
                              "max_all": F.element_at("hist", -1)["v"]})
     own = cnt.groupBy(*item, family).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col(value).cast("long"), F.col("c")))).alias("own"), F.sum("c").alias("n_own"))
-    d = own.join(hist, item)
+    d = join_null_safe(own, hist, item, "inner")
     rest = F.filter(F.transform("hist", lambda h: F.struct(
         h["v"].alias("v"), (h["c"] - F.coalesce(F.try_element_at(F.col("own"), h["v"]), F.lit(0))).alias("c"))), lambda h: h["c"] > 0)
     d = d.withColumns({"rest": rest, "n_rest": F.col("n") - F.col("n_own")})
@@ -81,16 +83,16 @@ def leave_one_out_moments(df: DataFrame, keys: list[str], value: str) -> DataFra
     tot, sq = F.col("__s") - F.coalesce(v, F.lit(0.0)), F.col("__q") - F.coalesce(v * v, F.lit(0.0))
     mean = F.when(n > 0, tot / n)
     sd = F.when(n > 1, F.sqrt(F.greatest((sq - tot * tot / n) / (n - 1), F.lit(0.0))))
-    return df.join(s, keys).withColumns({"loo_n": n, "loo_mean": mean, "loo_sd": sd}).drop("__n", "__s", "__q")
+    return join_null_safe(df, s, keys, "inner").withColumns({"loo_n": n, "loo_mean": mean, "loo_sd": sd}).drop("__n", "__s", "__q")
 
 
 def robust_z(df: DataFrame, keys: list[str], value: str, floor: float = 0.02) -> DataFrame:
     """Adds ``med``, ``scale`` = max(1.4826 MAD, floor) and ``rz``."""
     med = df.groupBy(*keys).agg(F.median(value).alias("med")) if keys else df.agg(F.median(value).alias("med"))
-    d = df.join(med, keys) if keys else df.join(F.broadcast(med))
+    d = join_null_safe(df, med, keys, "inner") if keys else df.join(F.broadcast(med))
     dev = F.abs(F.col(value) - F.col("med"))
     mad = (d.groupBy(*keys) if keys else d.groupBy()).agg(F.median(dev).alias("__mad"))
-    d = d.join(mad, keys) if keys else d.join(F.broadcast(mad))
+    d = join_null_safe(d, mad, keys, "inner") if keys else d.join(F.broadcast(mad))
     d = d.withColumn("scale", F.greatest(F.col("__mad") * 1.4826, F.lit(floor))).drop("__mad")
     return d.withColumn("rz", (F.col(value) - F.col("med")) / F.col("scale"))
 
@@ -110,7 +112,7 @@ def leave_one_out_linear_percentile(df: DataFrame, keys: list[str], value: str,
         return [F.max(F.when(F.col("__i") == F.floor(h) + 1 + k, F.col("__v"))).alias(f"__{tag}{k}") for k in range(3)]
 
     s = c.groupBy(*keys).agg(F.max("__n").alias("__n"), *order_stats(F.col("__n") - 1, "l"), *order_stats(F.col("__n"), "a"))
-    d = d.join(s, keys, "left")
+    d = join_null_safe(d, s, keys, "left")
 
     def interpolate(n: Column, lo: Column, hi: Column) -> Column:
         h = (n - 1) * F.lit(q)

@@ -54,7 +54,7 @@ def empirical_quantile(df: DataFrame, reference: DataFrame, keys: list[str], val
         reference.select(*keys, value).withColumn("__r", F.lit(1)))
     d = distribution(u, keys, value, {"__nr": F.col("__r")})
     q = d.select(*keys, value, F.when(F.col("__nr_total") > 0, F.col("__nr_before") / F.col("__nr_total")).alias(name))
-    return df.join(q, [*keys, value], "left")
+    return join_null_safe(df, q, [*keys, value], "left")
 
 
 def benjamini_hochberg(df: DataFrame, keys: list[str], p: str) -> DataFrame:
@@ -110,11 +110,16 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, group: Column) -> D
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation over rows where both values are present."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rx = average_rank(both, keys, x).select(*keys, x, F.col("avg_rank").alias("__rx"))
-    ry = average_rank(both, keys, y).select(*keys, y, F.col("avg_rank").alias("__ry"))
-    d = both.select(*keys, x, y).join(rx, [*keys, x]).join(ry, [*keys, y])
-    return d.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("__rx", "__ry").alias("rho"))
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count("*").alias("__c"))
+    d = both
+    for v, name in ((x, "__rx"), (y, "__ry")):             # ranks meet distinct pairs, so a value many rows share is a few rows
+        u = both.groupBy(*keys, v).agg(F.sum("__c").alias("__w"))
+        r = distribution(u, keys, v, {"__k": F.col("__w")})
+        r = r.select(*keys, v, (F.col("__k_before") + (F.col("__k") + 1) / 2 - (F.col("__k_total") + 1) / 2).alias(name))
+        d = join_null_safe(d, r, [*keys, v], "inner")
+    c = F.col("__c")
+    s = {n: F.sum(c * F.col(a) * F.col(b)) for n, a, b in (("xy", "__rx", "__ry"), ("xx", "__rx", "__rx"), ("yy", "__ry", "__ry"))}
+    return d.groupBy(*keys).agg(F.sum(c).alias("n"), F.when((s["xx"] > 0) & (s["yy"] > 0), s["xy"] / F.sqrt(s["xx"] * s["yy"])).alias("rho"))
 
 
 def index_percentile(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], rule: str) -> DataFrame:

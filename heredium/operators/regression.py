@@ -29,7 +29,17 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return h
 
 
-_lgamma = np.vectorize(__import__("math").lgamma, otypes=[float])
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function for x > 0: the argument is raised above 15, where Stirling's series has double precision."""
+    x = np.asarray(x, dtype=float)
+    product, z = np.ones_like(x), x.copy()
+    for _ in range(15):
+        low = z < 15
+        product = np.where(low, product * z, product)
+        z = np.where(low, z + 1, z)
+    i = 1 / (z * z)
+    series = (1 / 12 - i * (1 / 360 - i * (1 / 1260 - i * (1 / 1680 - i / 1188)))) / z
+    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + series - np.log(product)
 
 
 def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
@@ -87,59 +97,117 @@ def residuals(df: DataFrame, keys: list[str], y: str, xs: list[str], name: str)
     return d.withColumn(name, F.col(y) - pred).drop("coef")
 
 
-def _subset_moments(u: np.ndarray, v: np.ndarray, m: int) -> tuple[float, float]:
-    """Mean and variance of the exposure sum over all choices of ``m`` members, weighted by the product of their ``u``."""
-    total, first, second = np.zeros(m + 1), np.zeros(m + 1), np.zeros(m + 1)
-    total[0] = 1.0
-    for a, x in zip(u, v):
-        second[1:] += a * (second[:-1] + 2 * x * first[:-1] + x * x * total[:-1])
-        first[1:] += a * (first[:-1] + x * total[:-1])
-        total[1:] += a * total[:-1]
-    mean = first[m] / total[m]
-    return float(mean), float(second[m] / total[m] - mean * mean)
-
-
-def conditional_logistic(members: DataFrame, keys: list[str], stratum: str, case: str, x: str) -> DataFrame:
-    """Per key: log odds ratio and SE of ``x`` by the exact conditional likelihood of strata with any number of cases.
-
-    Strata with the same exposures and as many cases are one pattern with a count, so a fit sees few rows however many
-    families there are. Strata without a case, without a control or with one exposure say nothing and are left out.
+def _subset_moments(logw: np.ndarray, x: np.ndarray, m: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log of the summed weight, mean vector and covariance of the exposure sum over all choices of ``m`` members.
+
+    Members come one by one; for every size the subsets with and without the new member are mixed by their weights, which stay logarithms."""
+    k = x.shape[1]
+    total = np.full(m + 1, -np.inf)
+    total[0] = 0.0
+    mean, cov = np.zeros((m + 1, k)), np.zeros((m + 1, k, k))
+    for a, v in zip(logw, x, strict=True):
+        old, new = total[1:], total[:-1] + a
+        both = np.logaddexp(old, new)
+        with np.errstate(invalid="ignore"):
+            p = np.where(np.isfinite(both), np.exp(new - both), 0.0)[:, None]
+        gap = mean[:-1] + v - mean[1:]
+        cov[1:] = (1 - p)[:, :, None] * cov[1:] + p[:, :, None] * cov[:-1] + (p * (1 - p))[:, :, None] * gap[:, :, None] * gap[:, None, :]
+        mean[1:] = mean[1:] + p * gap
+        total[1:] = both
+    return float(total[m]), mean[m], cov[m]
+
+
+def conditional_logistic(members: DataFrame, keys: list[str], stratum: str, case: str, x: str | list[str]) -> DataFrame:
+    """Per key and covariate: log odds ratio, SE and z by the exact conditional likelihood of strata with any number of cases.
+
+    ``x`` names one covariate or several fitted together; members with a NULL in one of them are left out. Strata with the same
+    exposures and as many cases are one pattern with a count, so a fit sees few rows however many families there are. Strata without
+    a case, without a control or with equal exposures say nothing and are left out. Newton steps are halved while the likelihood falls;
+    covariates that cannot be told apart have NULL standard errors.
     """
-    seen = members.where(F.col(x).isNotNull() & F.col(case).isNotNull())
-    s = seen.groupBy(*keys, stratum).agg(F.sum(F.when(F.col(case) == 1, F.col(x))).cast("double").alias("cx"), F.count_if(F.col(case) == 1).alias("nc"),
-                                         F.sort_array(F.collect_list(F.col(x).cast("double"))).alias("xs"))
+    xs = [x] if isinstance(x, str) else list(x)
+    seen = members.dropna(subset=[case, *xs])
+    v = F.array(*[F.col(c).cast("double") for c in xs])
+    s = seen.groupBy(*keys, stratum).agg(F.array(*[F.sum(F.when(F.col(case) == 1, F.col(c))).cast("double") for c in xs]).alias("cx"), F.count_if(F.col(case) == 1).alias("nc"),
+                                         F.sort_array(F.collect_list(v)).alias("xs"))
     tells = (F.col("nc") >= 1) & (F.col("nc") < F.size("xs")) & (F.array_min("xs") != F.array_max("xs"))
     pat = s.where(tells).groupBy(*keys, "nc", "cx", "xs").agg(F.count("*").alias("w"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pat.select(*keys).schema.fields) + ", n_strata long, beta double, se double, z double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pat.select(*keys).schema.fields) + ", covariate string, n_strata long, beta double, se double, z double"
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        beta, info = 0.0, 0.0
-        xs, w, cx, nc = [np.asarray(v) for v in pdf["xs"]], pdf["w"].to_numpy(), pdf["cx"].to_numpy(), pdf["nc"].to_numpy()
-        for _ in range(50):
-            grad = info = 0.0
-            for v, n, c, m in zip(xs, w, cx, nc):
-                mean, var = _subset_moments(np.exp(beta * (v - v.max())), v, int(m))
-                grad += n * (c - mean)
-                info += n * var
-            if info <= 1e-12:
+        k = len(xs)
+        every = [np.stack(v).astype(float) for v in pdf["xs"]]
+        scale = np.maximum(np.concatenate(every).std(axis=0), 1e-12)
+        rows = [(e / scale, np.asarray(c, float) / scale, int(m), float(w)) for e, c, m, w in zip(every, pdf["cx"], pdf["nc"], pdf["w"], strict=True)]
+
+        def at(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+            like, grad, info = 0.0, np.zeros(k), np.zeros((k, k))
+            for e, c, m, w in rows:
+                total, mean, cov = _subset_moments(e @ beta, e, m)
+                like += w * (float(c @ beta) - total)
+                grad += w * (c - mean)
+                info += w * cov
+            return like, grad, info
+
+        beta = np.zeros(k)
+        like, grad, info = at(beta)
+        for _ in range(100):
+            step = np.linalg.pinv(info, rcond=1e-10) @ grad
+            step *= min(1.0, 4.0 / max(np.abs(step).max(), 1e-300))
+            for _half in range(30):
+                new = at(beta + step)
+                if new[0] >= like - 1e-12:
+                    break
+                step /= 2
+            beta, (like, grad, info) = beta + step, new
+            if np.abs(step).max() < 1e-10:
                 break
-            step = max(-2.0, min(2.0, grad / info))
-            beta += step
-            if abs(step) < 1e-9:
-                break
-        se = float(np.sqrt(1 / info)) if info > 1e-12 else float("nan")
-        return pd.DataFrame([[*pdf.iloc[0][keys].tolist(), int(w.sum()), beta, se, beta / se if se == se and se > 0 else float("nan")]], columns=[*keys, "n_strata", "beta", "se", "z"])
+        told = np.linalg.matrix_rank(info, tol=1e-9 * max(1.0, np.abs(info).max())) == k
+        se = np.sqrt(np.diag(np.linalg.inv(info))) / scale if told else np.full(k, np.nan)
+        beta = beta / scale
+        key = pdf.iloc[0][keys].tolist()
+        return pd.DataFrame([[*key, c, int(pdf["w"].sum()), beta[i], se[i], beta[i] / se[i] if se[i] > 0 else float("nan")] for i, c in enumerate(xs)],
+                            columns=[*keys, "covariate", "n_strata", "beta", "se", "z"])
 
     return pat.groupBy(*keys).applyInPandas(fit, schema)
 
 
+def _active_set(q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """w >= 0 with the least w'qw - 2b'w: variables enter by their gradient and leave at zero until no gradient is positive."""
+    k = len(b)
+    w, free = np.zeros(k), np.zeros(k, bool)
+    tol = 1e-12 * max(1.0, np.abs(b).max())
+    for _ in range(10 * k + 10):
+        grad = b - q @ w
+        grad[free] = -np.inf
+        if free.all() or grad.max() <= tol:
+            break
+        free[int(np.argmax(grad))] = True
+        while True:
+            s = np.zeros(k)
+            s[free] = np.linalg.lstsq(q[np.ix_(free, free)], b[free], rcond=None)[0]
+            if s[free].min() > 0:
+                w = s
+                break
+            low = free & (s <= 0)
+            move = np.min(w[low] / np.maximum(w[low] - s[low], 1e-300))
+            w = w + move * (s - w)
+            free &= w > tol * 1e-3
+            w[~free] = 0.0
+            if not free.any():
+                break
+    return w
+
+
 def nnls(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFrame:
-    """Non-negative least squares per key from cross-products, scaled to fractions that sum to one."""
+    """Non-negative least squares per key from cross-products, scaled to fractions that sum to one.
+
+    Also ``n_markers`` (rows used), ``raw_sum`` (of the weights before scaling) and ``rss`` of the fractions. Weights that are all zero stay so."""
     cols = [*xs, y]
     k = len(xs)
     pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
-    g = df.dropna(subset=cols).groupBy(*keys).agg(F.array(*[F.sum(F.col(cols[i]) * F.col(cols[j])) for i, j in pairs]).alias("s"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in g.select(*keys).schema.fields) + ", " + ", ".join(f"`{x}` double" for x in xs)
+    g = df.dropna(subset=cols).groupBy(*keys).agg(F.count("*").alias("n_markers"), F.array(*[F.sum(F.col(cols[i]) * F.col(cols[j])) for i, j in pairs]).alias("s"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in g.select(*keys).schema.fields) + ", " + ", ".join(f"`{x}` double" for x in xs) + ", n_markers long, raw_sum double, rss double"
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -149,15 +217,14 @@ def nnls(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFrame:
             full = np.zeros((len(pdf), k + 1, k + 1))
             for c, (i, j) in enumerate(pairs):
                 full[:, i, j] = full[:, j, i] = s[:, c]
-            q, b = full[:, :k, :k], full[:, :k, k]
-            w = np.full((len(pdf), k), 1.0 / k)
-            step = 1.0 / np.maximum(np.linalg.norm(q, axis=(1, 2)), 1e-12)
-            for _ in range(2000):
-                w = np.maximum(w - step[:, None] * (np.einsum("nij,nj->ni", q, w) - b), 0)
-            w = w / np.maximum(w.sum(axis=1, keepdims=True), 1e-12)
+            w = np.stack([_active_set(f[:k, :k], f[:k, k]) for f in full])
+            total = w.sum(axis=1)
+            share = w / np.where(total > 0, total, 1.0)[:, None]
             out = pdf[keys].copy()
             for i, x in enumerate(xs):
-                out[x] = w[:, i]
+                out[x] = share[:, i]
+            out["n_markers"], out["raw_sum"] = pdf["n_markers"], total
+            out["rss"] = np.maximum(np.einsum("ni,nij,nj->n", share, full[:, :k, :k], share) - 2 * np.einsum("ni,ni->n", share, full[:, :k, k]) + full[:, k, k], 0)
             yield out
 
     return g.mapInPandas(solve, schema)

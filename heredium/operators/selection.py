@@ -20,8 +20,8 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFr
 
 
 def sample_n(df: DataFrame, keys: list[str], id_cols: list[str], n: int, seed: int) -> DataFrame:
-    """A seeded sample of ``n`` rows per key that does not depend on partitioning."""
-    return top_n(df, keys, [F.xxhash64(*id_cols, F.lit(seed)), *[F.col(c) for c in id_cols]], n)
+    """A seeded sample of ``n`` rows per key, by md5 text of seed and ids: the same on any partitioning and any engine."""
+    return top_n(df, keys, [F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in id_cols])), *[F.col(c) for c in id_cols]], n)
 
 
 def first_source(sources: list[DataFrame], keys: list[str]) -> DataFrame:

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import numeric as nm
 from ..functions import rules
 from ..operators import intervals as iv
-from ..operators import ordered, panel, ranks
+from ..operators import ordered, panel, ranks, resampling
 
 
 def harmonise(cpgs: DataFrame, pad: int = 250, min_regions: int = 20) -> DataFrame:
@@ -42,7 +41,7 @@ def loo_regions(region_values: DataFrame, is_control: Column) -> DataFrame:
     d = region_values.withColumn("ctl", is_control).withColumn("cv", F.when(F.col("ctl"), F.col("b")))
     s = d.groupBy("region_id").agg(F.count("cv").alias("__n"), F.sum("cv").alias("__s"), F.sum(F.col("cv") * F.col("cv")).alias("__q"))
     own, has = F.coalesce("cv", F.lit(0.0)), F.col("cv").isNotNull().cast("int")
-    d = d.join(s, "region_id")
+    d = ordered.join_null_safe(d, s, ["region_id"], "inner")
     n, tot, sq = F.col("__n") - has, F.col("__s") - own, F.col("__q") - own * own
     d = d.withColumns({"mu": F.when(n > 0, tot / n), "sd": F.when(n > 1, F.sqrt(F.greatest((sq - tot * tot / n) / (n - 1), F.lit(0.0))))})
     d = d.drop("__n", "__s", "__q", "cv")
@@ -65,32 +64,52 @@ def score_sets(values: DataFrame, sets: DataFrame, min_regions: int = 5, by: lis
     return g.select(*keys, "n_used", "na_frac", F.when(enough, F.col("__mz")).alias("mean_z"), F.when(enough, F.col("__r")).alias("shape_r"), F.when(enough, F.col("__f")).alias("frac_below_p5"))
 
 
+def match_bins(regions: DataFrame, pool: DataFrame, by: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """Both tables with ``bin``: joint bins of the ``by`` columns at the pool's quantiles (column -> number of bins)."""
+    edges = None
+    for c, n in by.items():
+        e = ranks.linear_percentile(pool.select(F.lit(0).alias("__k"), c), ["__k"], c, {f"q{i}": i / n for i in range(1, n)})
+        e = e.select("__k", F.array_distinct(F.array(*[f"q{i}" for i in range(1, n)])).alias(f"__e_{c}"))
+        edges = e if edges is None else edges.join(e, "__k")
+    edges = F.broadcast(edges.drop("__k"))                         # one row of quantiles
+
+    def binned(d: DataFrame) -> DataFrame:
+        at = None
+        for c in by:
+            i = F.size(F.filter(f"__e_{c}", lambda x: x < F.col(c)))
+            at = i if at is None else at * 100 + i
+        return d.crossJoin(edges).withColumn("bin", at.cast("int")).drop(*[f"__e_{c}" for c in by])
+
+    return binned(regions), binned(pool)
+
+
 def matched_draws(regions: DataFrame, pool: DataFrame, n_perm: int, seed: int) -> DataFrame:
-    """Bin-matched random sets: each region of each replicate takes a pool region of its bin by a seeded hash.
+    """Bin-matched random sets: each region of each replicate takes a pool region of its bin, of the whole pool where its bin is empty.
 
-    ``regions``: set_id, region_id, target, bin. ``pool``: region_id, bin. The pool is numbered inside its bin; a draw is an
-    index computed from the hash, so replicates are rows and every draw is one equality join.
-    """
-    p = ordered.value_bin(pool.select("bin", "region_id"), "region_id", "__b")
-    p = ordered.scan(p, ["bin"], "__b", ["region_id"], F.lit(1), "__i", "sum").select("bin", F.col("region_id").alias("drawn"), (F.col("__i") - 1).cast("int").alias("at"))
-    sizes = pool.groupBy("bin").agg(F.count("*").alias("size"))
-    d = regions.join(sizes, "bin").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    d = d.withColumn("at", F.floor(nm.draw(F.col("set_id"), F.col("region_id"), F.col("rep"), seed=seed) * F.col("size")).cast("int"))
-    return d.join(p.select("bin", "drawn", "at"), ["bin", "at"]).select("set_id", "rep", F.col("drawn").alias("region_id"), "target")
+    ``regions``: set_id, region_id, target, bin. ``pool``: region_id, bin. The pool is numbered inside its bin and as a whole; a draw is a
+    place computed from md5 text, so every draw is one equality join. ``set_id, rep, region_id, target`` comes out."""
+    every = pool.select("bin", F.col("region_id").alias("drawn")).unionByName(pool.select(F.lit(-1).alias("bin"), F.col("region_id").alias("drawn")))
+    p = resampling.numbered(every, ["bin"], "drawn")
+    sizes = every.groupBy("bin").agg(F.count("*").alias("size"))
+    d = regions.join(sizes.select("bin", F.lit(1).alias("__has")), "bin", "left")
+    d = d.withColumn("bin", F.when(F.col("__has") == 1, F.col("bin")).otherwise(-1)).join(sizes, "bin")
+    d = d.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
+    d = d.withColumn("at", resampling.md5_int(F.lit(seed), "set_id", "region_id", "rep") % F.col("size"))
+    return d.join(p, ["bin", "at"]).select("set_id", "rep", F.col("drawn").alias("region_id"), "target")
 
 
-def permutation_p(observed: DataFrame, null: DataFrame) -> DataFrame:
-    """(hits + 1) / (n + 1): two-sided for mean_z, one-sided for shape_r."""
-    n = null.select("sample_id", "set_id", F.col("mean_z").alias("nz"), F.col("shape_r").alias("nr"))
-    d = observed.join(n, ["sample_id", "set_id"])
-    return d.groupBy("sample_id", "set_id").agg(
-        ((F.count_if(F.abs("nz") >= F.abs("mean_z")) + 1) / (F.count("nz") + 1)).alias("p_mean_z"), ((F.count_if(F.col("nr") >= F.col("shape_r")) + 1) / (F.count("nr") + 1)).alias("p_shape_r"))
+def composition_clean(values: DataFrame, fractions: DataFrame, is_control: Column, limit: float = 0.5, least: int = 8) -> DataFrame:
+    """``region_id`` of the regions whose control values do not follow a cell fraction: correlation within the limit, or too few values to say."""
+    d = values.where(is_control & F.col("b").isNotNull()).join(fractions.where(F.col("fraction").isNotNull()), "sample_id")
+    g = d.groupBy("region_id").agg(F.count("*").alias("n"), F.stddev_pop("b").alias("sb"), F.stddev_pop("fraction").alias("sf"), F.corr("b", "fraction").alias("r"))
+    drop = g.where((F.col("n") >= least) & (F.col("sb") > 0) & (F.col("sf") > 0) & (F.abs("r") > limit)).select("region_id")
+    return values.select("region_id").distinct().join(drop, "region_id", "left_anti")
 
 
 def quantile_bins(df: DataFrame, value: str, n: int, name: str) -> DataFrame:
     """Bins at the n-quantiles of a region table by exact ranks."""
     r = ranks.distribution(df, [], value).select(value, F.least(F.floor(F.col("before") * n / F.col("total")), F.lit(n - 1)).alias(name))
-    return df.join(r, value)
+    return ordered.join_null_safe(df, r, [value], "left")
 
 
 def sample_outliers(df: DataFrame, checks: dict[str, float], max_na: float) -> DataFrame:

@@ -14,16 +14,31 @@ from ..operators import ordered, ranks
 from ..storage import cut
 
 
-def family_folds(sizes: DataFrame, family: str, n_folds: int, seed: int = 1) -> DataFrame:
-    """Folds closed under family: families dealt in order of size, largest first, back and forth over the folds.
-
-    A family counts once whatever its size, so fold sizes differ by at most about one large family.
-    """
-    w = ordered.value_bin(sizes.withColumn("__h", F.xxhash64(F.col(family), F.lit(seed))), "n", "__b").withColumns({"__neg": -F.col("n"), "__b": -F.col("__b")})
-    d = ordered.scan(w.withColumn("__all", F.lit(0)), ["__all"], "__b", ["__neg", "__h"], F.lit(1), "__i", "sum")
-    lap, at = F.floor((F.col("__i") - 1) / n_folds), F.pmod(F.col("__i") - 1, F.lit(n_folds))
-    fold = F.when(F.pmod(lap, F.lit(2)) == 0, at).otherwise(n_folds - 1 - at)
-    return d.select(family, fold.cast("int").alias("fold"))
+def family_folds(sizes: DataFrame, family: str, n_folds: int, seed: int = 1, first: str | None = None, min_families: int = 1) -> DataFrame:
+    """Folds closed under family: the largest family goes to the fold with the least load so far, ties of size in seeded order.
+
+    ``sizes``: one row per family with ``n``; families whose column ``first`` is true all go to fold 0, before the others. The choice depends
+    on every one before it, so it runs over one row per family in one task that holds ``n_folds`` numbers. A fold with fewer than
+    ``min_families`` families is an error."""
+    front = F.coalesce(F.col(first), F.lit(False)) if first else F.lit(False)
+    d = sizes.select(family, F.col("n").cast("long").alias("n"), front.alias("front"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(family).cast("string"))).alias("h"))
+    d = d.repartition(1).sortWithinPartitions(F.desc("front"), F.desc("n"), "h", family)
+    kind = sizes.schema[family].dataType.simpleString()
+
+    def run(batches):
+        load, count = [0] * n_folds, [0] * n_folds
+        for b in batches:
+            folds = []
+            for n, pinned in zip(b["n"], b["front"], strict=True):
+                k = 0 if pinned else min(range(n_folds), key=lambda i: (load[i], i))
+                load[k] += n
+                count[k] += 1
+                folds.append(k)
+            yield b[[family]].assign(fold=folds)
+        if sum(count) and min(count) < min_families:
+            raise ValueError(f"a fold has fewer than {min_families} families: {count}")
+
+    return d.mapInPandas(run, f"`{family}` {kind}, fold int")
 
 
 def fold_quantile_score(scored: DataFrame, reference: DataFrame, keys: list[str], id_cols: list[str]) -> DataFrame:
@@ -104,22 +119,28 @@ def calibrate(df: DataFrame, score: str, label: str) -> DataFrame:
     return m.transform(df)
 
 
-def permutation_importance(df: DataFrame, families: dict[str, list[str]], score, label: str, seed: int = 7) -> DataFrame:
-    """Loss of ROC-AUC when a block of columns is shuffled across rows.
+def permutation_importance(df: DataFrame, families: dict[str, list[str]], score, label: str, seed: int = 7, shuffles: int = 3) -> DataFrame:
+    """Loss of ROC-AUC when a block of columns is shuffled across rows: mean and range over ``shuffles`` shuffles.
 
-    ``score`` builds the score column from column names. Rows are numbered in two hash orders by a binned running
-    count and matched by number, so the shuffle is one join and no ordering runs in one task.
+    ``score`` adds a column ``score`` to a frame: a formula or a fitted model. Rows (``id`` is unique) are numbered in two orders of md5 text
+    by a binned running count and matched by number, so a shuffle is one join and no ordering runs in one task.
     """
+    df = cut(df)
+
     def numbered(d: DataFrame, s: int, name: str) -> DataFrame:
-        h = d.withColumns({"__h": F.xxhash64("id", F.lit(s)), "__all": F.lit(0)}).withColumn("__b", F.shiftright("__h", 56))
+        h = d.withColumns({"__h": F.md5(F.concat_ws(":", F.lit(str(s)), F.col("id").cast("string"))), "__all": F.lit(0)}).withColumn("__b", F.conv(F.substring("__h", 1, 2), 16, 10).cast("int"))
         return ordered.scan(h, ["__all"], "__b", ["__h", "id"], F.lit(1), name, "sum").drop("__h", "__all", "__b")
 
-    one = lambda d: ranks.auc(d.select(score().alias("score"), label, F.lit(0).alias("__k")), ["__k"], "score", label)
-    base = one(df).select(F.col("roc_auc").alias("base_auc"))
-    out = None
+    def rows(d: DataFrame, fam: str, shuffle: int) -> DataFrame:
+        return score(d).select("score", label, F.lit(fam).alias("family"), F.lit(shuffle).alias("shuffle"))
+
+    every = rows(df, "", 0)
     for fam, cols in families.items():
-        donors = numbered(df.select("id", *cols), seed, "__i").drop("id")
-        hosts = numbered(df.drop(*cols), seed + 1, "__i")
-        r = one(hosts.join(donors, "__i")).select(F.lit(fam).alias("family"), F.col("roc_auc").alias("auc"))
-        out = r if out is None else out.unionByName(r)
-    return out.crossJoin(F.broadcast(base)).select("family", "auc", (F.col("base_auc") - F.col("auc")).alias("importance"))
+        for i in range(shuffles):
+            donors = numbered(df.select("id", *cols), seed + 2 * i, "__i").drop("id")
+            hosts = numbered(df.drop(*cols), seed + 2 * i + 1, "__i")
+            every = every.unionByName(rows(hosts.join(donors, "__i"), fam, i))
+    a = cut(ranks.auc(every, ["family", "shuffle"], "score", label).select("family", "shuffle", "roc_auc"))        # a row a family and shuffle
+    base = a.where("family = ''").select(F.col("roc_auc").alias("base"))
+    d = a.where("family <> ''").crossJoin(F.broadcast(base)).withColumn("loss", F.col("base") - F.col("roc_auc"))
+    return d.groupBy("family").agg(F.avg("roc_auc").alias("auc"), F.avg("loss").alias("importance"), F.min("loss").alias("least"), F.max("loss").alias("most"))

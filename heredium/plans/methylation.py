@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
+from ..operators.ordered import join_null_safe
 
 
 def region_means(cpg: DataFrame, regions: DataFrame, keys: list[str], min_cpgs: int = 3, min_depth: float = 5) -> DataFrame:
@@ -67,10 +68,27 @@ def impute(matrix: DataFrame, probe: str, value: str, max_missing: float = 0.5)
     """Long probe matrix without probes missing in more than ``max_missing``; gaps take the probe's cohort mean."""
     s = matrix.groupBy(probe).agg(F.avg(value).alias("__m"), F.count(value).alias("__n"), F.count("*").alias("__t"))
     keep = s.where((F.col("__t") - F.col("__n")) <= max_missing * F.col("__t")).select(probe, "__m")
-    d = matrix.join(keep, probe)
+    d = join_null_safe(matrix, keep, [probe], "inner")
     return d.withColumn("imputed", F.col(value).isNull()).withColumn(value, F.coalesce(value, "__m")).drop("__m")
 
 
+def two_compartments(markers: DataFrame, atlas: DataFrame, blood_samples: DataFrame, tissue: str = "epithelium", blood: str = "blood", cell: str = "granulocyte") -> DataFrame:
+    """Tissue share of each sample from the mean unmethylated fraction at the tissue's markers, between blood and the pure tissue; the share of one blood cell from its own markers.
+
+    ``markers``: sample_id, target, u (unmethylated fraction). ``atlas``: target, cell, u. The zero is the mean of ``blood_samples`` (sample_id), or the
+    atlas mean of blood cells where there are none. Shares are cut to 0..1."""
+    of = lambda t: F.avg(F.when(F.col("target") == t, F.col("u")))
+    s = markers.groupBy("sample_id").agg(of(tissue).alias("u_tissue"), of(cell).alias("u_cell"))
+    zero = s.join(blood_samples.select("sample_id").distinct(), "sample_id", "left_semi").agg(F.avg("u_tissue").alias("z"))
+    ref = lambda t, c: F.avg(F.when((F.col("target") == t) & (F.col("cell") == c), F.col("u")))
+    pure = atlas.agg(ref(tissue, tissue).alias("one"), ref(tissue, blood).alias("b"), ref(cell, cell).alias("c"))
+    d = s.crossJoin(F.broadcast(zero)).crossJoin(F.broadcast(pure))                      # one row each
+    z = F.coalesce("z", "b")
+    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    share = F.when(F.col("u_tissue").isNotNull() & (F.col("one") != z), clip((F.col("u_tissue") - z) / (F.col("one") - z)))
+    return d.select("sample_id", "u_tissue", share.alias("tissue_share"), F.when(F.col("u_cell").isNotNull() & (F.col("c") > 0), clip(F.col("u_cell") / F.col("c"))).alias("cell_share"))
+
+
 def promoter_islands(islands: DataFrame, genes: DataFrame, window: int) -> DataFrame:
     """Islands within ``window`` of a transcription start (``genes``: symbol, chrom, tss)."""
     b = genes.withColumns({"b_start": F.col("tss") - window, "b_end": F.col("tss") + window + 1})

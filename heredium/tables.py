@@ -294,6 +294,8 @@ def with_fixtures(body: str) -> str:
     for n in names:
         text = FIXTURES[n].replace("{slots}", "unnest(range(0, 4))").replace("{calls}", CALL_COLUMNS)
         ctes.append(f"{n} AS ({re.sub(r'{(\w+)}', r'\1', text).strip()})")
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[15:]
     head = "WITH " + ",\n".join(ctes)
     if body[:5].upper() == "WITH ":
         return head + ",\n" + body[5:]

@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from ..storage import cut, shared_folder
 from .frames import documents
-from .tokens import encoded, vocabulary
+from .pii import redact
+from .tokens import counted, vocabulary
 
 KEYS, SUMS = ["source", "lang", "tokenizer"], ["docs", "tokens", "chars"]
-BEGUN = 32768            # characters of a text that the first batch of the query counts
 _STORED = "source string, lang string, tokenizer string, docs long, tokens long, chars long"
 
 
@@ -36,8 +36,9 @@ def token_counts(docs: DataFrame, vocabs: dict[str, str]) -> DataFrame:
         for b in batches:
             texts = b.column("text").to_pylist()
             chars = pa.array([len(t) for t in texts], pa.int64())
-            for name, path in vocabs.items():
-                n = pa.array([len(ids) // 4 for _, ids in encoded(path, texts)], pa.int64())
+            counts = counted(tuple(vocabs.values()), texts)
+            for k, name in enumerate(vocabs):
+                n = pa.array([c[k] for c in counts], pa.int64())
                 cols = [b.column("doc_id"), b.column("source"), b.column("lang"), pa.array([name] * len(texts), pa.string()), n, chars]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "source", "lang", "tokenizer", "tokens", "chars"])
 
@@ -99,24 +100,37 @@ class Store:
 
 
 def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in, long ones first by their beginning only; toxic ones out again, and the others' counts revised to those of the
-    whole text. The last two batches are sent twice. Totals are those of a recount of all documents that stay."""
+    """All documents in; toxic ones out again; documents whose personal data is then redacted revised to the counts of their new text.
+    The last two batches are sent twice. Totals are those of a recount of all documents that stay, as they are then."""
     import uuid
 
     vocabs = {"byte_bpe_50k": vocabulary("byte_bpe_50k.json"), "word_bpe_49k": vocabulary("word_bpe_49k.json")}
     docs = documents(spark, sf_dir)
-    whole = cut(token_counts(docs, vocabs))
-    begun = cut(token_counts(docs.where(F.length("text") > BEGUN).withColumn("text", F.substring("text", 1, BEGUN)), vocabs))
-    held = whole.where(F.col("chars") <= BEGUN).unionByName(begun)
+    counts = cut(token_counts(docs, vocabs))
     toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.col("toxic") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    store = Store(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
-    store.commit("000001", inserts(held))
     # A revision is a difference, so old and new rows need not meet: repeated and null ids are no matter.
+    changed = cut(redactions(docs.join(toxic, docs["doc_id"].cast("long") == toxic["doc_id"], "left_anti")))
     zero = F.lit(0).cast("long")
-    old = begun.join(toxic, "doc_id", "left_anti").withColumns({"new_tokens": zero, "new_chars": zero})
-    new = whole.where(F.col("chars") > BEGUN).join(toxic, "doc_id", "left_anti")
-    new = new.withColumns({"new_tokens": F.col("tokens"), "new_chars": F.col("chars")}).withColumns({"tokens": zero, "chars": zero})
+    before = token_counts(changed.withColumn("text", F.col("old")), vocabs).withColumns({"new_tokens": zero, "new_chars": zero})
+    after = token_counts(changed, vocabs).withColumns({"new_tokens": F.col("tokens"), "new_chars": F.col("chars")}).withColumns({"tokens": zero, "chars": zero})
+    store = Store(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    store.commit("000001", inserts(counts))
     for _ in range(2):
-        store.commit("000002", deletes(held.join(toxic, "doc_id", "left_semi")))
-        store.commit("000003", revisions(old), revisions(new))
+        store.commit("000002", deletes(counts.join(toxic, "doc_id", "left_semi")))
+        store.commit("000003", revisions(before), revisions(after))
     return store.totals()
+
+
+def redactions(docs: DataFrame) -> DataFrame:
+    """doc_id, source, lang, old, text: the documents whose text changes when personal data is redacted."""
+    d = docs.select("doc_id", "source", "lang", F.col("text").cast("string").alias("old"))
+
+    def run(batches):
+        for b in batches:
+            old = b.column("old").to_pylist()
+            new = [None if t is None else redact(t) for t in old]
+            at = [i for i, (x, y) in enumerate(zip(old, new, strict=True)) if x != y]
+            if at:
+                yield pa.RecordBatch.from_arrays([*b.take(pa.array(at, pa.int64())).columns, pa.array([new[i] for i in at], pa.string())], names=["doc_id", "source", "lang", "old", "text"])
+
+    return d.mapInArrow(run, d.withColumn("text", F.col("old")).schema)

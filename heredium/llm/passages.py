@@ -25,6 +25,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -110,7 +111,7 @@ def _segments(batches) -> Iterator[pa.RecordBatch]:
             w = text.encode().split()
             for f in flags:
                 at, salts = f["first"], f["salts"]
-                rows.append((f["anchor"], (k1 * 31 + k2 + at) % salts, salts, k1, k2, at, b" ".join(w[at: at + f["length"] + WINDOW - 1])))
+                rows.append((f["anchor"], zlib.crc32(b"%d %d %d" % (k1, k2, at)) % salts, salts, k1, k2, at, b" ".join(w[at: at + f["length"] + WINDOW - 1])))
         types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["anchor", "salt", "salts", "k1", "k2", "at", "words"])
 

@@ -73,6 +73,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def _documents(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
     files = spark.read.schema(_FILE).parquet(path)
+    # Where each part starts among all ids is joined to the parts, a row each, before they are decoded: no document moves.
+    sums = files.select("range", "part", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+    ranges = sums.groupBy("range").agg(F.sum("n").alias("n"))                         # one row per write task
+    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("range", upto(W.orderBy("range")).alias("base"))
+    parts = sums.select("range", "part", upto(W.partitionBy("range").orderBy("part")).alias("more")).join(ranges, "range")
+    parts = parts.select("range", "part", (F.col("base") + F.col("more")).cast("long").alias("base"))
 
     def run(batches):
         for b in batches:
@@ -81,18 +88,10 @@ def _documents(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
                 raw = np.concatenate(idcoder.decode(r["blocks"])).astype("<u4").tobytes()
                 at = np.concatenate(([0], np.cumsum(r["lengths"])))
                 cut = [raw[4 * x: 4 * y] for x, y in zip(at[:-1], at[1:], strict=True)]
-                n = len(cut)
                 last = pa.array(cut, pa.binary()) if with_ids else pa.array([zlib.crc32(x) for x in cut], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([r["range"]] * n, pa.int32()), pa.array([r["part"]] * n, pa.int32()), pa.array(r["doc_ids"], pa.int64()),
-                                                  pa.array(at[:-1]), pa.array(r["lengths"], pa.int64()), last], names=["range", "part", "doc_id", "local", "n_tokens", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(at[:-1] + r["base"]), pa.array(r["lengths"], pa.int64()), last], names=["doc_id", "start", "n_tokens", "ids" if with_ids else "ids_crc32"])
 
-    rows = files.mapInArrow(run, f"range int, part int, doc_id long, local long, n_tokens long, last {'binary' if with_ids else 'long'}")
-    sums = files.select("range", "part", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    ranges = sums.groupBy("range").agg(F.sum("n").alias("n"))                         # one row per write task
-    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranges = ranges.select("range", upto(W.orderBy("range")).alias("base"))
-    parts = sums.select("range", "part", upto(W.partitionBy("range").orderBy("part")).alias("more")).join(ranges, "range")
-    return rows.join(parts, ["range", "part"]).select("doc_id", (F.col("base") + F.col("more") + F.col("local")).cast("long").alias("start"), "n_tokens", F.col("last").alias("ids" if with_ids else "ids_crc32"))
+    return files.join(parts, ["range", "part"]).mapInArrow(run, f"doc_id long, start long, n_tokens long, {'ids binary' if with_ids else 'ids_crc32 long'}")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

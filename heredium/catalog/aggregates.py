@@ -29,11 +29,13 @@ def _(t):
     return d.select("site_id", "family_id", "ac_loo", "an_loo", "carriers_loo")
 
 
-@query("panel_leave_two_out", "A2", f"""WITH {LOO} SELECT q.sv_id, CAST(coalesce((SELECT sum(f.ac) FROM f WHERE f.site_id = q.site_id AND f.family_id <> q.family_id AND f.family_id <> q.second_family), 0) AS BIGINT) AS ac_loo
-FROM (SELECT sv_id, sv_id % 300 AS site_id, sv_id % 25 AS family_id, (sv_id * 7) % 25 AS second_family FROM fx_sv) q""")
+@query("panel_leave_two_out", "A2", f"""WITH {LOO}, k AS (SELECT (SELECT count(*) FROM part) AS sites, (SELECT count(*) // 4 FROM supplier) AS fams), q AS (SELECT sv_id, (sv_id * 13) % sites AS site_id, sv_id % fams AS family_id, (sv_id * 7) % fams AS second_family FROM fx_sv, k),
+t AS (SELECT site_id, sum(ac) AS ac FROM f GROUP BY 1) SELECT q.sv_id, CAST(coalesce(t.ac, 0) - coalesce(a.ac, 0) - CASE WHEN q.family_id <> q.second_family THEN coalesce(b.ac, 0) ELSE 0 END AS BIGINT) AS ac_loo
+FROM q LEFT JOIN t ON t.site_id = q.site_id LEFT JOIN f a ON a.site_id = q.site_id AND a.family_id = q.family_id LEFT JOIN f b ON b.site_id = q.site_id AND b.family_id = q.second_family""")
 def _(t):
     i = F.col("sv_id")
-    q = t("fx_sv").select("sv_id", (i % 300).alias("site_id"), (i % 25).alias("family_id"), ((i * 7) % 25).alias("second_family"))
+    k = t("part").agg(F.count("*").alias("sites")).crossJoin(F.broadcast(t("supplier").agg(F.floor(F.count("*") / 4).alias("fams"))))       # one row
+    q = t("fx_sv").crossJoin(F.broadcast(k)).select("sv_id", ((i * 13) % F.col("sites")).alias("site_id"), (i % F.col("fams")).alias("family_id"), ((i * 7) % F.col("fams")).alias("second_family"))
     d = panel.leave_out_for(q, t("fx_genotype"), ["site_id"], "family_id", {"ac": F.col("a1") + F.col("a2")}, "second_family")
     return d.select("sv_id", "ac_loo")
 

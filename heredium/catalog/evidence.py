@@ -189,9 +189,59 @@ def _(t):
     return d.withColumn("het_persistence", F.round(F.coalesce("het_persistence", F.lit(-1.0)), 5))
 
 
-@query("feature_table", "C14,Q3")
+# Caller fields of the candidates, from their number: AD and PL lists, qualities, JSON payloads by class.
+FIELDS = """fl AS (SELECT cand, chrom, pos AS start, pos + cand % 30 AS "end", CASE WHEN cand % 3 = 0 AND cand % 2 = 0 THEN 'INDEL' ELSE variant_class END AS variant_class, CASE WHEN cand % 2 = 0 THEN 'A' ELSE 'ACT' END AS ref, CASE WHEN cand % 5 = 0 THEN 'TTTT' ELSE 'C' END AS alt,
+ CASE WHEN cand % 2 = 0 THEN 'M' ELSE 'F' END AS sex, CASE WHEN cand % 11 = 0 THEN NULL ELSE cand % 99 END AS caller_gq, cand % 40 AS caller_dp, CASE cand % 4 WHEN 0 THEN 'PASS' WHEN 1 THEN '.' WHEN 2 THEN 'lowq' END AS caller_filter,
+ CASE WHEN cand % 13 = 0 THEN NULL ELSE cand % 60 END AS father_gq, cand % 50 AS mother_gq, cand % 31 AS father_dp, cand % 37 AS mother_dp, cand % 23 AS ad0, 5 + cand % 17 AS ad1, 20 + cand % 9 AS f0, cand % 3 AS f1, 18 + cand % 7 AS m0, cand % 2 AS m1,
+ cand % 90 AS p0, cand % 7 AS p1, cand % 80 AS p2, cand % 19 = 0 AS no_pl FROM fx_candidate)"""
+
+
+def caller_fields(t):
+    i = F.col("cand")
+    arr = lambda *c: F.array(*[x.cast("long") for x in c])
+    pl = lambda *c: F.when(i % 19 != 0, arr(*c))
+    cls = F.when((i % 6 == 0), "INDEL").otherwise(F.col("variant_class"))
+    small = F.to_json(F.struct(F.lit(1).alias("allele_index"), (1 + i % 2).alias("n_alts")))
+    sv = F.to_json(F.struct((-(i % 900)).alias("svlen"), (i % 12).alias("homlen")))
+    tr = F.to_json(F.struct(F.array(30 + i % 9, 20 + i % 5).alias("child_al"), (i % 2).alias("outlier_allele_idx"), ((i % 40) / 4).alias("delta_units"), (1 + i % 6).alias("motif_unit_bp"), F.when(i % 3 == 2, "CAG,CA").otherwise("CAG").alias("motifs")))
+    return t("fx_candidate").select(
+        "cand", "chrom", F.col("pos").alias("start"), (F.col("pos") + i % 30).alias("end"), cls.alias("variant_class"), F.when(i % 2 == 0, "A").otherwise("ACT").alias("ref"), F.when(i % 5 == 0, "TTTT").otherwise("C").alias("alt"),
+        F.when(i % 2 == 0, "M").otherwise("F").alias("sex"), F.when(i % 11 != 0, i % 99).alias("caller_gq"), (i % 40).alias("caller_dp"), F.when(i % 4 == 0, "PASS").when(i % 4 == 1, ".").when(i % 4 == 2, "lowq").alias("caller_filter"),
+        F.when(i % 13 != 0, i % 60).alias("father_gq"), (i % 50).alias("mother_gq"), (i % 31).alias("father_dp"), (i % 37).alias("mother_dp"), arr(i % 23, 5 + i % 17).alias("child_ad"), arr(20 + i % 9, i % 3).alias("father_ad"), arr(18 + i % 7, i % 2).alias("mother_ad"),
+        pl(i % 90, i % 7, i % 80).alias("child_pl"), pl(i % 70, i % 9, i % 60).alias("father_pl"), pl(i % 50, i % 5, i % 40).alias("mother_pl"), F.when(cls == "SV", sv).when(cls == "TR", tr).otherwise(small).alias("payload"))
+
+
+def feature_rows(t):
+    e = ev.features(matrix(t)).drop("chrom", "pos", "variant_class")
+    return caller_fields(t).join(e, "cand")
+
+
+_SM = "CASE WHEN variant_class IN ('SNV', 'INDEL') THEN {} END"
+
+
+@query("feature_matrix", "C14,C17", f"""WITH {FIELDS}, {FEATURES} SELECT fl.cand, fl.variant_class, round({_SM.format('ad0 / (ad1 + 1.0E0)')}, 6) AS child_AR, round({_SM.format('least(f0 / (f1 + 1.0E0), m0 / (m1 + 1.0E0))')}, 6) AS min_AR, round({_SM.format('greatest(f0 / (f1 + 1.0E0), m0 / (m1 + 1.0E0))')}, 6) AS max_AR,
+ least(father_gq, mother_gq) AS min_GQ, greatest(father_gq, mother_gq) AS max_GQ, greatest(father_dp, mother_dp) AS max_DP, caller_gq AS child_GQ, {_SM.format('CASE WHEN NOT no_pl THEN p1 END')} AS child_PL1, {_SM.format('CASE WHEN NOT no_pl THEN least(fl.cand % 60, fl.cand % 40) END')} AS min_PL2,
+ round({_SM.format('ad1 / CAST(ad0 + ad1 AS DOUBLE)')}, 6) AS child_AB, {_SM.format("CASE WHEN variant_class = 'INDEL' THEN 1 ELSE 0 END")} AS indel_flag, CASE WHEN caller_filter = 'lowq' THEN 1 ELSE 0 END AS site_filter_fail, {_SM.format('CASE WHEN fl.cand % 2 = 1 THEN 1 ELSE 0 END')} AS multiallelic,
+ CASE WHEN variant_class = 'INDEL' THEN abs(length(ref) - length(alt)) END AS indel_len, CASE WHEN variant_class = 'SV' AND fl.cand % 900 <> 0 THEN round(log10(fl.cand % 900), 3) END AS svlen_log10, CASE WHEN variant_class = 'SV' THEN ad1 END AS child_sv_support,
+ CASE WHEN variant_class = 'TR' THEN CASE WHEN fl.cand % 2 = 0 THEN 30 + fl.cand % 9 ELSE 20 + fl.cand % 5 END END AS child_AL_expanded, CASE WHEN variant_class = 'TR' THEN CASE WHEN fl.cand % 2 = 1 THEN 30 + fl.cand % 9 ELSE 20 + fl.cand % 5 END END AS child_AL_other,
+ CASE WHEN variant_class = 'TR' THEN CASE WHEN fl.cand % 3 = 2 THEN 2 ELSE 1 END END AS n_motifs, CASE WHEN variant_class = 'TR' THEN "end" - start + 1 END AS locus_len_ref FROM fl JOIN fe ON fe.cand = fl.cand""".replace("SELECT w.*, c.child_hap1_is, c.f_hap, c.m_hap, c.variant_class,", "SELECT w.*, c.child_hap1_is, c.f_hap, c.m_hap,"))
 def _(t):
-    return dn.feature_report(dn.feature_table(ev.features(matrix(t))), ["cand"])
+    from ..plans import features as ft
+
+    d = ft.matrix(feature_rows(t), ["cand"])
+    r = {"child_AR", "min_AR", "max_AR", "child_AB"}
+    names = ["child_AR", "min_AR", "max_AR", "min_GQ", "max_GQ", "max_DP", "child_GQ", "child_PL1", "min_PL2", "child_AB", "indel_flag", "site_filter_fail", "multiallelic", "indel_len", "svlen_log10", "child_sv_support", "child_AL_expanded", "child_AL_other", "n_motifs", "locus_len_ref"]
+    return d.select("cand", "variant_class", *[F.round(n, 6).alias(n) if n in r else F.col(n) for n in names])
+
+
+@query("feature_table", "C14,Q3", f"""WITH {FIELDS}, n AS (SELECT count(*) AS n, count(*) FILTER (variant_class IN ('SNV', 'INDEL')) AS sm, count(*) FILTER (variant_class = 'TR') AS tr, count(*) FILTER (variant_class = 'SV') AS sv, count(caller_gq) AS gq, count(*) FILTER (variant_class = 'INDEL') AS indel FROM fl WHERE cand IN (SELECT cand FROM fx_obs WHERE mapq >= 20))
+SELECT f AS feature, k AS n, s AS status FROM n, LATERAL (VALUES ('indel_flag', sm, 'produced'), ('child_GQ', gq, 'produced'), ('child_AB', sm, 'produced'), ('motif_len', tr, 'produced'), ('child_sv_support', sv, 'produced'), ('indel_len', indel, 'produced'), ('gnomad_af', 0, 'never_produced'), ('cohort_ac_loo', 0, 'never_produced')) y(f, k, s)""")
+def _(t):
+    from ..plans import features as ft
+
+    rows = feature_rows(t)
+    d = ft.report(ft.matrix(rows, ["cand"]))
+    return d.where(F.col("feature").isin("indel_flag", "child_GQ", "child_AB", "motif_len", "child_sv_support", "indel_len", "gnomad_af", "cohort_ac_loo")).select("feature", "n", "status")
 
 
 @query("annotation_table", "C15", """WITH f AS (SELECT site_id, family_id, sum(a1 + a2) AS ac, sum(CASE WHEN slot < 2 AND a1 + a2 > 0 THEN 1 ELSE 0 END) AS fr FROM fx_genotype GROUP BY 1, 2), t AS (SELECT site_id, sum(ac) AS ac, sum(fr) AS fr FROM f GROUP BY 1),

@@ -90,13 +90,39 @@ def _(t):
     return me.imprinting_loss(hap_table(t), t("fx_region").where("region_id % 2 = 0"), 0.05, 0.05, 0.1).select("sample_id", "region_id", "pattern")
 
 
-@query("cis_scan", "C48,W8")
+def cis_variants(t):
+    """Genotypes and repeat lengths of the families, read as samples of the methylation cohort: sparse carriers in three arms."""
+    s, i = F.col("sample_id"), F.col("site_id")
+    arm = F.when(i % 10 == 9, "SV").otherwise("SNV")
+    at = [F.concat(F.lit("chr"), (1 + i % 22).cast("string")).alias("chrom"), (3000000 + 8 * i).alias("pos")]
+    v = t("fx_genotype").where("a1 + a2 > 0").select(i.alias("variant_id"), arm.alias("arm"), (s % 24).alias("sample_id"), *at, (F.col("a1") + F.col("a2")).alias("dosage"))
+    r = t("fx_tr").select((i + 1000000).alias("variant_id"), F.lit("TR").alias("arm"), (s % 24).alias("sample_id"), *at, F.greatest("al1", "al2").alias("dosage"))
+    return v.unionByName(r).groupBy("variant_id", "arm", "sample_id", "chrom", "pos").agg(F.max("dosage").alias("dosage"))
+
+
+CIS = f"""{REGION}, v0 AS (SELECT site_id AS variant_id, CASE WHEN site_id % 10 = 9 THEN 'SV' ELSE 'SNV' END AS arm, sample_id % 24 AS sample_id, concat('chr', 1 + site_id % 22) AS chrom, 3000000 + 8 * site_id AS pos, a1 + a2 AS dosage FROM fx_genotype WHERE a1 + a2 > 0
+ UNION ALL SELECT site_id + 1000000, 'TR', sample_id % 24, concat('chr', 1 + site_id % 22), 3000000 + 8 * site_id, greatest(al1, al2) FROM fx_tr), v AS (SELECT variant_id, arm, sample_id, chrom, pos, max(dosage) AS dosage FROM v0 GROUP BY ALL),
+pr AS (SELECT s.variant_id, s.arm, f.region_id FROM (SELECT DISTINCT variant_id, arm, chrom, pos FROM v) s JOIN fx_region f ON f.chrom = s.chrom AND f.start - 1000 <= s.pos AND s.pos < f."end" + 1000),
+x AS (SELECT pr.variant_id, pr.arm, rm.region_id, rm.b AS y, CAST(coalesce(v.dosage, 0) AS DOUBLE) AS d, CAST(rm.sample_id % 5 AS DOUBLE) AS c FROM pr JOIN rm ON rm.region_id = pr.region_id LEFT JOIN v ON v.variant_id = pr.variant_id AND v.sample_id = rm.sample_id),
+m AS (SELECT variant_id, arm, region_id, count(*) AS n, count(*) FILTER (d <> 0) AS nc, var_pop(d) * count(*) AS dd, var_pop(c) * count(*) AS cc, covar_pop(c, d) * count(*) AS cd, covar_pop(d, y) * count(*) AS dy, covar_pop(c, y) * count(*) AS cy, var_pop(y) * count(*) AS yy FROM x GROUP BY 1, 2, 3),
+b AS (SELECT *, dd * cc - cd * cd AS det FROM m WHERE nc >= CASE arm WHEN 'SNV' THEN 3 WHEN 'SV' THEN 2 ELSE 5 END AND n > 3),
+f AS (SELECT *, (dy * cc - cy * cd) / det AS beta, (cy * dd - dy * cd) / det AS gamma FROM b WHERE det > 1e-9),
+t AS (SELECT *, beta / sqrt((yy - beta * dy - gamma * cy) / (n - 3) * cc / det) AS t FROM f)"""
+
+
+@query("cis_fits", "C48", f"""WITH {CIS} SELECT region_id, variant_id, arm, nc AS n_carriers, n, round(beta, 6) AS beta, round(t, 5) AS t FROM t""")
 def _(t):
-    v = t("fx_genotype").where("a1 + a2 > 0").select(F.col("site_id").alias("variant_id"), (F.col("sample_id") % 24).alias("sample_id"), F.concat(F.lit("chr"), (1 + F.col("site_id") % 22).cast("string")).alias("chrom"), (3000000 + 8 * F.col("site_id")).alias("pos"), (F.col("a1") + F.col("a2")).alias("dosage"))
-    v = v.groupBy("variant_id", "sample_id", "chrom", "pos").agg(F.max("dosage").alias("dosage"))
     m = region_table(t).select("sample_id", "region_id", F.col("b").alias("value"), (F.col("sample_id") % 5).cast("double").alias("age"))
-    r = me.cis_scan(v, t("fx_region"), m, ["age"], 1000)
-    return r.select("region_id", "variant_id", "n_tests", F.round("beta", 5).alias("beta"), F.round("p_bonf", 5).alias("p_bonf"), F.round("q", 5).alias("q"))
+    d = me.cis_fits(cis_variants(t), t("fx_region"), m, ["age"], 1000, {"SNV": 3, "SV": 2, "TR": 5}).where("t IS NOT NULL AND NOT isnan(t)")
+    return d.select("region_id", "variant_id", "arm", "n_carriers", "n", F.round("beta", 6).alias("beta"), F.round("t", 5).alias("t"))
+
+
+@query("cis_scan", "C48,W8", f"""WITH {CIS}, r AS (SELECT *, row_number() OVER (PARTITION BY region_id, arm ORDER BY round(abs(t), 9) DESC, variant_id) AS rn, count(*) OVER (PARTITION BY region_id, arm) AS n_tests FROM t)
+SELECT region_id, arm, variant_id, n_tests, nc AS n_carriers, round(beta, 6) AS beta FROM r WHERE rn = 1""")
+def _(t):
+    m = region_table(t).select("sample_id", "region_id", F.col("b").alias("value"), (F.col("sample_id") % 5).cast("double").alias("age"))
+    d = me.cis_scan(cis_variants(t), t("fx_region"), m, ["age"], 1000, {"SNV": 3, "SV": 2, "TR": 5})
+    return d.select("region_id", "arm", "variant_id", "n_tests", "n_carriers", F.round("beta", 6).alias("beta"))
 
 
 SIG = """cp AS (SELECT CASE cpg_id % 3 WHEN 0 THEN 'sigA' WHEN 1 THEN 'sigB' ELSE 'sigC' END AS signature, CASE WHEN sample_id < 12 THEN 'src1' ELSE 'src2' END AS source, chrom, pos AS start, pos + 1 AS "end", CASE WHEN cpg_id % 5 = 0 AND sample_id >= 12 THEN -1 WHEN (cpg_id + sample_id) % 7 = 0 THEN NULL ELSE 1 END AS direction, CASE WHEN sample_id % 4 = 0 THEN beta END AS delta FROM fx_cpg)"""
@@ -190,12 +216,44 @@ def _(t):
     return p.select("sample_id", "set_id", "n_null", F.round("p_mean_z", 6).alias("p_mean_z"), F.round("p_shape_r", 6).alias("p_shape_r"))
 
 
-@query("layer2_features", "C54,A21,A22", """WITH cl AS (SELECT c.sample_id, CASE WHEN r.region_id % 2 = 0 THEN 'island' ELSE 'shore' END AS cls, c.beta FROM fx_cpg c JOIN fx_region r ON r.chrom = c.chrom AND r.start <= c.pos AND c.pos < r."end") SELECT sample_id, cls, count(*) AS n_cpg, round(avg(beta), 6) AS mean_beta FROM cl GROUP BY 1, 2""")
+def annotations(t):
+    """Two classes of overlapping intervals."""
+    r = t("fx_region")
+    one = r.select(F.when(F.col("region_id") % 2 == 0, "island").otherwise("shore").alias("cls"), "chrom", F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    return one.unionByName(r.where("region_id % 3 = 0").select(F.lit("island").alias("cls"), "chrom", (F.col("start") - 500).alias("b_start"), (F.col("start") + 900).alias("b_end")))
+
+
+@query("layer2_features", "C54,A21", """WITH an AS (SELECT CASE WHEN region_id % 2 = 0 THEN 'island' ELSE 'shore' END AS cls, chrom, start AS s, "end" AS e FROM fx_region UNION ALL SELECT 'island', chrom, start - 500, start + 900 FROM fx_region WHERE region_id % 3 = 0)
+SELECT sample_id, cls, count(*) AS ncpg, round(avg(beta), 6) AS beta FROM fx_cpg c JOIN (SELECT 'island' AS cls UNION ALL SELECT 'shore') k ON EXISTS (SELECT 1 FROM an WHERE an.cls = k.cls AND an.chrom = c.chrom AND an.s <= c.pos AND c.pos < an.e) GROUP BY 1, 2""")
 def _(t):
-    from ..operators import intervals as iv
+    return me.class_features(t("fx_cpg"), annotations(t)).withColumn("beta", F.round("beta", 6))
+
+
+CANYON_SETS = """cy AS (SELECT region_id, chrom, start + 300 AS s, "end" - 700 AS e FROM fx_region WHERE region_id % 2 = 1)"""
 
-    r = regions(t).withColumn("cls", F.when(F.col("region_id") % 2 == 0, "island").otherwise("shore"))
-    return iv.point_join(t("fx_cpg").select("sample_id", "chrom", "pos", "beta"), r).groupBy("sample_id", "cls").agg(F.count("*").alias("n_cpg"), F.round(F.avg("beta"), 6).alias("mean_beta"))
+
+def canyon_regions(t):
+    return t("fx_region").where("region_id % 2 = 1").select("region_id", "chrom", (F.col("start") + 300).alias("start"), (F.col("end") - 700).alias("end"))
+
+
+@query("canyon_features", "A22,C54", f"""WITH {CANYON_SETS}, z AS (SELECT chrom, 'interior' AS z, s AS a, e AS b FROM cy UNION ALL SELECT chrom, 'inner', s, least(s + 1500, e) FROM cy UNION ALL SELECT chrom, 'outer', greatest(s - 1500, 0), s FROM cy UNION ALL SELECT chrom, 'inner', greatest(e - 1500, s), e FROM cy UNION ALL SELECT chrom, 'outer', e, e + 1500 FROM cy),
+h AS (SELECT sample_id, avg(beta) FILTER (z = 'interior') AS i, avg(beta) FILTER (z = 'inner') AS n, avg(beta) FILTER (z = 'outer') AS o FROM fx_cpg c JOIN z ON z.chrom = c.chrom AND z.a <= c.pos AND c.pos < z.b GROUP BY 1),
+l AS (SELECT *, beta < 0.5 AS low, lag(beta < 0.5) OVER w AS pl, lag(pos) OVER w AS pp FROM fx_cpg WINDOW w AS (PARTITION BY sample_id, chrom ORDER BY pos)), r AS (SELECT *, sum(CASE WHEN low AND coalesce(pl, false) AND pos - pp <= 1000 THEN 0 ELSE 1 END) OVER (PARTITION BY sample_id, chrom ORDER BY pos) AS run FROM l),
+x AS (SELECT sample_id, chrom, run, min(pos) AS lo, max(pos) AS hi FROM r WHERE low GROUP BY 1, 2, 3), c AS (SELECT r.sample_id, cy.region_id, r.chrom, arg_min(r.low, r.pos) AS low, arg_min(r.run, r.pos) AS run FROM cy JOIN r ON r.chrom = cy.chrom AND (cy.s + cy.e) // 2 <= r.pos AND r.pos < cy.e GROUP BY 1, 2, 3),
+o AS (SELECT c.sample_id, sum(hi - lo + 2) AS w, avg(hi - lo + 2) AS m, count(*) AS n FROM c JOIN x ON x.sample_id = c.sample_id AND x.chrom = c.chrom AND x.run = c.run WHERE c.low AND hi > lo GROUP BY 1)
+SELECT p.sample_id, round(h.i, 6) AS canyon_interior_beta, round(h.o - h.n, 6) AS canyon_edge_slope, coalesce(o.w, 0)::BIGINT AS canyon_total_bp, round(o.m, 4) AS canyon_mean_width_bp, coalesce(o.n, 0) AS canyon_n FROM (SELECT DISTINCT sample_id FROM fx_cpg) p LEFT JOIN h ON h.sample_id = p.sample_id LEFT JOIN o ON o.sample_id = p.sample_id""")
+def _(t):
+    d = me.canyon_features(t("fx_cpg"), canyon_regions(t), 0.5, 1000, 1500)
+    return d.select("sample_id", F.round("canyon_interior_beta", 6).alias("canyon_interior_beta"), F.round("canyon_edge_slope", 6).alias("canyon_edge_slope"), "canyon_total_bp", F.round("canyon_mean_width_bp", 4).alias("canyon_mean_width_bp"), "canyon_n")
+
+
+@query("residual_features", "C54,M5", """WITH f AS (SELECT sample_id, CASE WHEN cpg_id % 2 = 0 THEN 'even' ELSE 'odd' END AS feature, avg(beta) AS value FROM fx_cpg GROUP BY 1, 2), x AS (SELECT *, CASE WHEN sample_id % 7 <> 3 THEN (sample_id * 5) % 11 * 1.0E0 END AS a0 FROM f),
+mm AS (SELECT avg(a0) AS m FROM (SELECT DISTINCT sample_id, a0 FROM x) d), y AS (SELECT sample_id, feature, value, coalesce(a0, m) AS a FROM x, mm), k AS (SELECT feature, regr_slope(value, a) AS b, regr_intercept(value, a) AS i FROM y WHERE sample_id < 20 GROUP BY 1),
+r AS (SELECT y.*, value - i - b * a AS resid FROM y JOIN k ON k.feature = y.feature), s AS (SELECT feature, sqrt(sum(resid * resid) / (count(*) - 2)) AS sd FROM r WHERE sample_id < 20 GROUP BY 1) SELECT r.sample_id, r.feature, round(resid / sd, 5) AS scaled FROM r JOIN s ON s.feature = r.feature""")
+def _(t):
+    f = t("fx_cpg").groupBy("sample_id", F.when(F.col("cpg_id") % 2 == 0, "even").otherwise("odd").alias("feature")).agg(F.avg("beta").alias("value"))
+    f = f.withColumn("age", F.when(F.col("sample_id") % 7 != 3, ((F.col("sample_id") * 5) % 11).cast("double")))
+    return me.residual_features(f, ["age"], F.col("sample_id") < 20).select("sample_id", "feature", F.round("scaled", 5).alias("scaled"))
 
 
 @query("panel_report_card", "C55,W1")

@@ -78,12 +78,11 @@ def _(t):
     return sinks.sites_bed(t("fx_genotype").where("a1 <> a2"), 1)
 
 
-@query("wide_mean_difference", "S18", """WITH w AS (SELECT cpg_id, max(CASE WHEN sample_id = 0 THEN beta END) AS a, max(CASE WHEN sample_id = 1 THEN beta END) AS b, max(CASE WHEN sample_id = 2 AND depth > 20 THEN beta END) AS c, max(CASE WHEN sample_id = 3 THEN beta END) AS d FROM fx_cpg GROUP BY 1)
-SELECT cpg_id, round((a + b) / 2 - CASE WHEN c IS NULL THEN d ELSE (c + d) / 2 END, 6) AS delta FROM w WHERE a IS NOT NULL AND b IS NOT NULL AND d IS NOT NULL""")
+@query("wide_mean_difference", "S18", """SELECT cpg_id, round(avg(beta) FILTER (sample_id % 2 = 0) - avg(beta) FILTER (sample_id % 2 = 1), 6) AS delta FROM (SELECT cpg_id, sample_id, CASE WHEN depth > 5 THEN beta END AS beta FROM fx_cpg) x GROUP BY 1""")
 def _(t):
-    of = lambda s, x=F.lit(True): F.max(F.when((F.col("sample_id") == s) & x, F.col("beta")))
-    w = t("fx_cpg").groupBy("cpg_id").agg(of(0).alias("a"), of(1).alias("b"), of(2, F.col("depth") > 20).alias("c"), of(3).alias("d"))
-    return text.mean_difference(w.where("a IS NOT NULL AND b IS NOT NULL AND d IS NOT NULL"), ["a", "b"], ["c", "d"]).select("cpg_id", F.round("delta", 6).alias("delta"))
+    of = lambda s: F.max(F.when((F.col("sample_id") == s) & (F.col("depth") > 5), F.col("beta"))).alias(f"s{s}")
+    w = t("fx_cpg").groupBy("cpg_id").agg(*[of(s) for s in range(24)])
+    return text.mean_difference(w, [f"s{s}" for s in range(0, 24, 2)], [f"s{s}" for s in range(1, 24, 2)]).select("cpg_id", F.round("delta", 6).alias("delta"))
 
 
 @query("summary_rows", "S17", """SELECT sample_id, count(*) AS n_sites, CAST(sum(CASE WHEN a1 <> a2 THEN 1 ELSE 0 END) AS BIGINT) AS n_het, round(avg(CASE WHEN a1 <> a2 THEN 1.0E0 ELSE 0 END), 6) AS het_frac, '1' AS params_version FROM fx_genotype GROUP BY 1""")
@@ -132,14 +131,18 @@ def _(t):
     return audit.failures(audit.findings(audit.vocabulary(t("fx_sv"), "svtype", ["DEL", "DUP", "INS", "CNV"]), audit.minimum_events(t("fx_sv"), t("fx_pedigree"), "sample_id", 130)))
 
 
-@query("island_profile_rows", "S10", """SELECT sample_id, count(*) AS n, round(sum(beta), 4) AS total FROM (SELECT CASE sample_id WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS sample_id, round(beta, 6) AS beta FROM fx_cpg WHERE sample_id < 3) x GROUP BY 1""")
+@query("island_profile_rows", "S10", """SELECT concat('s', sample_id) AS sample_id, count(*) AS n, round(sum(round(beta, 6)), 4) AS total FROM fx_cpg GROUP BY 1""")
 def _(t):
     of = lambda s: F.coalesce(F.max(F.when(F.col("sample_id") == s, F.round("beta", 6))).cast("string"), F.lit("."))
-    c = t("fx_cpg").where("sample_id < 3").groupBy("chrom", "pos").agg(of(0).alias("a"), of(1).alias("b"), of(2).alias("c"))
+    c = t("fx_cpg").groupBy("chrom", "pos").agg(*[of(s).alias(f"s{s}") for s in range(24)])
     row = lambda cols: F.concat_ws("\t", "chrom", F.col("pos").cast("string"), (F.col("pos") + 1).cast("string"), F.lit("i"), *cols).alias("line")
     # two files list their samples in different column orders
-    lines = c.select(F.lit("p").alias("file"), row(["a", "b"])).unionByName(c.select(F.lit("q").alias("file"), row(["c"])))
-    heads = t.spark.createDataFrame([("p", "chrom\tstart\tend\tlabel\ta\tb"), ("q", "chrom\tstart\tend\tlabel\tc")], "file string, line string")
+    files = {"p": [f"s{s}" for s in range(0, 24, 2)], "q": [f"s{s}" for s in range(23, 0, -2)]}
+    lines = None
+    for name, cols in files.items():
+        d = c.select(F.lit(name).alias("file"), row(cols))
+        lines = d if lines is None else lines.unionByName(d)
+    heads = t.spark.createDataFrame([(n, "\t".join(["chrom", "start", "end", "label", *cols])) for n, cols in files.items()], "file string, line string")
     d = text.island_profile(lines.unionByName(heads)).where("value IS NOT NULL")
     return d.groupBy("sample_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 

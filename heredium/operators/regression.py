@@ -59,7 +59,12 @@ def ols(df: DataFrame, keys: list[str], y: str, xs: list[str], min_rows: int = 5
     k = len(xs) + 1
     pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
     g = d.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*[F.sum(F.col(cols[i]).cast("double") * F.col(cols[j]).cast("double")) for i, j in pairs]).alias("s"))
-    g = g.where(F.col("n") >= max(min_rows, k + 1))
+    return solve_sums(g.where(F.col("n") >= max(min_rows, k + 1)), keys, k)
+
+
+def solve_sums(g: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Least squares from cross-products: ``g`` has the keys, ``n`` and ``s``, the upper triangle over intercept, k - 1 columns and the outcome."""
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in g.select(*keys).schema.fields) + ", n long, beta double, se double, t double, p double, coef array<double>"
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

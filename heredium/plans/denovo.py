@@ -39,33 +39,6 @@ def annotate(candidates: DataFrame, genotypes: DataFrame, sites: DataFrame) -> D
     return d.withColumn("sib_shared", F.coalesce((F.col("__k") > 1).cast("int"), F.lit(0))).drop("__k")
 
 
-# Registry of matrix features, with whether they are safe for training (unlabelled, available to both labels).
-FEATURES = {
-    "c_alt_hap_frac": True, "c_alt_confined": True, "c_alt_tagged_frac": True, "p_min_hap_dp": True, "p_max_alt_any_hap": True,
-    "p_n_haps_with_alt": True, "p_max_alt_hap_frac": True, "hap_obs_k3": True, "hap_obs_k5": True, "gnomad_af": False, "cohort_ac_loo": False,
-}
-
-
-def feature_table(evidence: DataFrame, safe_only: bool = False) -> DataFrame:
-    """The registered features the table can give; with ``safe_only`` only those that cannot leak a label."""
-    cols = [f for f, safe in FEATURES.items() if f in evidence.columns and (safe or not safe_only)]
-    ids = [c for c in ("cand", "variant_class") if c in evidence.columns]
-    return evidence.select(*ids, *cols)
-
-
-def feature_report(table: DataFrame, id_cols: list[str]) -> DataFrame:
-    """One row per registered feature: produced, constant, empty or never produced."""
-    have = [f for f in FEATURES if f in table.columns]
-    stats = table.agg(*[F.struct(F.count(f).alias("n"), F.min(F.col(f).cast("double")).alias("lo"), F.max(F.col(f).cast("double")).alias("hi")).alias(f) for f in have])
-    rows = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"{f}.n").alias("n"), F.col(f"{f}.lo").alias("lo"), F.col(f"{f}.hi").alias("hi")) for f in have]))
-    d = stats.select(rows.alias("r")).select("r.*")
-    never = [F.struct(F.lit(f).alias("feature"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi")) for f in FEATURES if f not in have]
-    if never:
-        d = d.unionByName(stats.select(F.explode(F.array(*never)).alias("r")).select("r.*"))
-    status = F.when(~F.col("feature").isin(*have), "never_produced").when(F.col("n") == 0, "empty").when(F.col("lo") == F.col("hi"), "constant").otherwise("produced")
-    return d.select("feature", "n", status.alias("status"))
-
-
 PAYLOAD = "svtype string, svlen bigint, child_al array<bigint>, delta_units bigint"
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
-from ..operators.ordered import join_null_safe
+from ..operators.ordered import join_null_safe, position_bin, scan
+from ..storage import cut
 
 
 def region_means(cpg: DataFrame, regions: DataFrame, keys: list[str], min_cpgs: int = 3, min_depth: float = 5) -> DataFrame:
@@ -40,6 +41,65 @@ def edge_bands(regions: DataFrame, cpg: DataFrame, width: int = 1000) -> DataFra
     return hit.withColumn("side", F.when(inside, "inside").otherwise("outside"))
 
 
+def class_features(cpg: DataFrame, annotations: DataFrame) -> DataFrame:
+    """``sample_id, cls, beta, ncpg``: CpGs inside the union of a class's intervals (``cls, chrom, b_start, b_end``), each once."""
+    union = iv.merge(annotations, ("cls", "chrom"), "b_start", "b_end")
+    hit = iv.point_join(cpg.select("sample_id", "chrom", "pos", "beta"), union)
+    return hit.groupBy("sample_id", "cls").agg(F.avg("beta").alias("beta"), F.count("*").alias("ncpg"))
+
+
+def own_extents(cpg: DataFrame, regions: DataFrame, max_beta: float = 0.10, max_gap: int = 500) -> DataFrame:
+    """``sample_id, region_id, width``: how far a canyon reaches in each sample from its centre, in both directions over low CpGs with small gaps.
+
+    The search starts at the sample's first CpG at or after the centre; a region where that CpG is outside it or not low has no row, nor has one
+    where nothing joins it. Both directions are one numbering of runs over the sample's ordered track."""
+    d = cpg.select("sample_id", "chrom", "pos", (F.coalesce(F.col("beta") < max_beta, F.lit(False))).alias("low")).withColumn("__bin", position_bin(F.col("pos")))
+    keys = ["sample_id", "chrom"]
+    d = scan(d, keys, "__bin", ["pos"], F.struct("pos", "low"), "__p", "last", inclusive=False)
+    opens = F.when(F.col("low") & F.coalesce(F.col("__p.low"), F.lit(False)) & (F.col("pos") - F.col("__p.pos") <= max_gap), 0).otherwise(1)
+    d = scan(d, keys, "__bin", ["pos"], opens, "__run", "sum").select(*keys, "pos", "low", F.col("__run").alias("run"))
+    extent = d.where("low").groupBy(*keys, "run").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    half = regions.select("region_id", "chrom", F.floor((F.col("start") + F.col("end")) / 2).cast("long").alias("b_start"), F.col("end").alias("b_end"))
+    start = iv.point_join(d, half).groupBy(*keys, "region_id").agg(F.min_by(F.struct("low", "run"), "pos").alias("c"))
+    start = start.where("c.low").select(*keys, "region_id", F.col("c.run").alias("run"))
+    return start.join(extent, [*keys, "run"]).where("hi > lo").select("sample_id", "region_id", (F.col("hi") - F.col("lo") + 2).alias("width"))
+
+
+def canyon_features(cpg: DataFrame, regions: DataFrame, max_beta: float = 0.10, max_gap: int = 500, band: int = 1000) -> DataFrame:
+    """Per sample: mean beta inside canyons (``region_id, chrom, start, end``), just inside and just outside their edges, the edge slope, and the sample's own extents."""
+    s, e = F.col("start"), F.col("end")
+    zone = lambda z, a, b: F.struct(F.lit(z).alias("zone"), a.cast("long").alias("a"), b.cast("long").alias("b"))
+    zones = F.array(zone("interior", s, e), zone("inner", s, F.least(s + band, e)), zone("outer", F.greatest(s - band, F.lit(0)), s), zone("inner", F.greatest(e - band, s), e), zone("outer", e, e + band))
+    z = regions.select("chrom", F.explode(zones).alias("z")).select("chrom", F.col("z.zone").alias("zone"), F.col("z.a").alias("b_start"), F.col("z.b").alias("b_end")).where("b_end > b_start")
+    hit = iv.point_join(cpg.select("sample_id", "chrom", "pos", "beta"), z)
+    mean = lambda n: F.avg(F.when(F.col("zone") == n, F.col("beta")))
+    g = hit.groupBy("sample_id").agg(mean("interior").alias("canyon_interior_beta"), mean("inner").alias("canyon_edge_inner_beta"), mean("outer").alias("canyon_edge_outer_beta"))
+    own = own_extents(cpg, regions, max_beta, max_gap).groupBy("sample_id").agg(F.sum("width").alias("w"), F.avg("width").alias("canyon_mean_width_bp"), F.count("*").alias("n"))
+    d = cpg.select("sample_id").distinct().join(g, "sample_id", "left").join(own, "sample_id", "left")
+    zero = F.lit(0).cast("long")
+    return d.select("sample_id", "canyon_interior_beta", "canyon_edge_inner_beta", "canyon_edge_outer_beta", (F.col("canyon_edge_outer_beta") - F.col("canyon_edge_inner_beta")).alias("canyon_edge_slope"),
+                    F.coalesce("w", zero).alias("canyon_total_bp"), "canyon_mean_width_bp", F.coalesce("n", zero).alias("canyon_n"))
+
+
+def residual_features(features: DataFrame, covariates: list[str], clean: Column, least: int = 8) -> DataFrame:
+    """Long features (``sample_id, feature, value`` and covariates) with ``scaled``: the residual on the covariates, fitted on clean samples, over its SD there.
+
+    Missing covariates take their mean over samples. A feature with fewer than ``least`` clean values, or without spread, has NULLs."""
+    from ..operators.regression import ols
+
+    means = features.select("sample_id", *covariates).distinct().agg(*[F.avg(c).alias(f"__m_{c}") for c in covariates])      # one row
+    d = features.crossJoin(F.broadcast(means)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__m_{c}")) for c in covariates}).drop(*[f"__m_{c}" for c in covariates])
+    fit = ols(d.where(clean), ["feature"], "value", covariates, least).select("feature", "n", "coef")
+    d = d.join(fit, "feature", "left")
+    pred = F.get("coef", F.lit(0))
+    for i, c in enumerate(covariates):
+        pred = pred + F.get("coef", F.lit(i + 1)) * F.col(c)
+    d = d.withColumn("resid", F.col("value") - pred)
+    r = F.when(clean, F.col("resid"))
+    sd = d.groupBy("feature").agg(F.sqrt(F.sum(F.pow(r, 2)) / (F.count(r) - len(covariates) - 1)).alias("sd"))
+    return d.join(sd, "feature").select("sample_id", "feature", "value", "resid", F.when(F.col("sd") > 1e-12, F.col("resid") / F.col("sd")).alias("scaled"))
+
+
 def local_origin(centres: DataFrame, sites: DataFrame, id_cols: list[str], widths: tuple[int, int] = (20000, 50000), min_sites: int = 2) -> DataFrame:
     """Parent of origin from informative sites near a centre, in the narrow window first, then the wide one.
 
@@ -133,23 +193,54 @@ def imprinting_loss(hap: DataFrame, islands: DataFrame, max_diff: float = 0.15,
     return d.withColumn("pattern", pattern).where("pattern IS NOT NULL")
 
 
-def cis_scan(variants: DataFrame, islands: DataFrame, methylation: DataFrame, covariates: list[str], window: int) -> DataFrame:
-    """Dosage of each variant near an island against its methylation; best variant per island, Bonferroni inside, then BH.
-
-    ``variants``: variant_id, sample_id, chrom, pos, dosage (carriers); ``methylation``: sample_id, region_id, value, covariates.
-    A tested pair has one row per sample with data, summed map-side to its cross-products before the fit.
-    """
+def cis_fits(variants: DataFrame, islands: DataFrame, methylation: DataFrame, covariates: list[str], window: int, min_carriers: dict[str, int] | int = 1) -> DataFrame:
+    """Every tested pair: ``region_id, variant_id, arm, n_carriers, n, beta, se, t, p`` of dosage against island methylation with covariates.
+
+    ``variants``: variant_id, sample_id, chrom, pos, dosage and, if arms differ, arm: carriers only, absent samples have dosage 0.
+    ``methylation``: sample_id, region_id, value, covariates. The normal equations have a part that belongs to the island (summed once over
+    its samples) and one that belongs to the pair and is summed over the variant's carriers, so a pair costs its carriers and not the cohort."""
+    from ..operators.regression import solve_sums
+
+    v = variants if "arm" in variants.columns else variants.withColumn("arm", F.lit("SNV"))
+    b = islands.select("region_id", "chrom", (F.col("start") - window).alias("b_start"), (F.col("end") + window).alias("b_end"))
+    pairs = iv.point_join(v.select("variant_id", "arm", "chrom", "pos").distinct(), b).select("variant_id", "arm", "region_id")
+    m = methylation.dropna(subset=["value", *covariates]).select("sample_id", "region_id", F.col("value").cast("double").alias("value"), *[F.col(c).cast("double").alias(c) for c in covariates])
+    one, rest = F.lit(1.0), ["value", *covariates]
+    base = {"1": one} | {c: F.col(c) for c in rest}
+    names = list(base)
+    island = m.groupBy("region_id").agg(F.count("*").alias("n"), F.struct(*[F.sum(base[x] * base[y]).alias(f"{x}|{y}") for i, x in enumerate(names) for y in names[i:]]).alias("island"))
+    d = pairs.join(v.select("variant_id", "sample_id", F.col("dosage").cast("double").alias("dosage")), "variant_id").join(m, ["region_id", "sample_id"])
+    pair = d.groupBy("region_id", "variant_id", "arm").agg(F.count_if(F.col("dosage") != 0).alias("n_carriers"), F.sum(F.col("dosage") * F.col("dosage")).alias("dd"), F.struct(*[F.sum(F.col("dosage") * base[x]).alias(x) for x in names]).alias("pair"))
+    floors = min_carriers if isinstance(min_carriers, dict) else {}
+    least = F.lit(min_carriers if not floors else 1)
+    for arm, k in floors.items():
+        least = F.when(F.col("arm") == arm, k).otherwise(least)
+    d = pair.where(F.col("n_carriers") >= least).join(island, "region_id")
+    # The order of the equations: intercept, dosage, covariates; the outcome last.
+    cols = ["1", "dosage", *covariates, "value"]
+
+    def product(x: str, y: str) -> Column:
+        if x == y == "dosage":
+            return F.col("dd")
+        if "dosage" in (x, y):
+            return F.col("pair")[y if x == "dosage" else x]
+        x, y = sorted((x, y), key=names.index)
+        return F.col("island")[f"{x}|{y}"]
+
+    k = len(cols) - 1
+    s = F.array(*[product(cols[i], cols[j]) for i in range(k + 1) for j in range(i, k + 1)])
+    return solve_sums(d.where(F.col("n") > k).select("region_id", "variant_id", "arm", "n_carriers", "n", s.alias("s")), ["region_id", "variant_id", "arm", "n_carriers"], k)
+
+
+def cis_scan(variants: DataFrame, islands: DataFrame, methylation: DataFrame, covariates: list[str], window: int, min_carriers: dict[str, int] | int = 1) -> DataFrame:
+    """Best variant per island and arm from :func:`cis_fits` (largest absolute t, equal ones by id), Bonferroni over the island's tests, then BH over islands of an arm."""
     from ..operators import ranks, selection
-    from ..operators.regression import ols
 
-    b = islands.withColumns({"b_start": F.col("start") - window, "b_end": F.col("end") + window}).select("region_id", "chrom", "b_start", "b_end")
-    sites = variants.select("variant_id", "chrom", "pos").distinct()
-    pairs = iv.point_join(sites, b).select("variant_id", "region_id")
-    d = pairs.join(methylation, "region_id").join(variants.select("variant_id", "sample_id", "dosage"), ["variant_id", "sample_id"], "left")
-    d = d.withColumn("dosage", F.coalesce("dosage", F.lit(0)).cast("double"))
-    fit = ols(d, ["variant_id", "region_id"], "value", ["dosage", *covariates]).where("p IS NOT NULL AND NOT isnan(p)")
-    tests = fit.groupBy("region_id").agg(F.count("*").alias("n_tests"))
-    best = selection.best_per_key(fit, ["region_id"], [F.col("p"), F.col("variant_id")], ["variant_id", "beta", "se", "p"])
-    best = best.join(tests, "region_id").withColumn("p_bonf", F.least(F.lit(1.0), F.col("p") * F.col("n_tests")))
-    q = ranks.benjamini_hochberg(best, [], "p_bonf").select("p_bonf", "q")
-    return best.join(q, "p_bonf")
+    fit = cis_fits(variants, islands, methylation, covariates, window, min_carriers).where("p IS NOT NULL AND NOT isnan(p)")
+    fit = cut(fit)                                       # read by the counts, the best and the ranks
+    tests = fit.groupBy("region_id", "arm").agg(F.count("*").alias("n_tests"))
+    best = selection.best_per_key(fit, ["region_id", "arm"], [-F.round(F.abs("t"), 9), F.col("variant_id")], ["variant_id", "n_carriers", "n", "beta", "se", "t", "p"])
+    best = best.join(tests, ["region_id", "arm"]).withColumn("p_bonf", F.least(F.lit(1.0), F.col("p") * F.col("n_tests")))
+    best = cut(best)
+    q = ranks.benjamini_hochberg(best, ["arm"], "p_bonf").select("arm", "p_bonf", "q")
+    return join_null_safe(best, q, ["arm", "p_bonf"], "left")

@@ -160,9 +160,11 @@ def _(t):
     return decided(t).where("rf_q IS NOT NULL").select("cand", "decision_reason", "dnm_call")
 
 
-@query("phase_only_decision", "C16")
+@query("phase_only_decision", "C16", f"""WITH {DECIDED}, r AS (SELECT cand, CASE WHEN phase_class IN ('phase_conflict_artifact', 'inherited_missed_in_parent', 'parental_mosaic_transmitted') THEN 'DEMOTED:' || phase_class WHEN phase_class = 'child_postzygotic_mosaic' THEN 'MOSAIC:' || phase_class
+ WHEN phase_class <> 'germline_DNM_phased' THEN 'NOT_PHASED_GERMLINE' WHEN k5 < 6 THEN 'HAP_UNOBSERVED' ELSE 'SCORE' END AS reason FROM fl WHERE rf_q IS NULL) SELECT cand, reason AS decision_reason FROM r""")
 def _(t):
-    return decided(t).where("rf_q IS NULL").select("cand", "decision_reason", "dnm_call", "call_mode")
+    reason = F.when(F.col("decision_reason").isin("PHASE_ONLY", "LOW_POSTERIOR"), "SCORE").otherwise(F.col("decision_reason"))
+    return decided(t).where("rf_q IS NULL").select("cand", reason.alias("decision_reason"))
 
 
 @query("interval_read_depth", "A14", """WITH s AS (SELECT sv_id, chrom, start, "end", "end" - start AS n FROM fx_sv WHERE svtype IN ('DEL', 'DUP') AND "end" - start >= 300),

@@ -159,7 +159,11 @@ def _(t):
     return t("fx_pedigree").join(c, "sample_id", "left").join(v, "sample_id", "left").select("sample_id", role.alias("role"), F.coalesce("n", z).alias("n_rare_nonsilent"), F.coalesce("n_sv", z).alias("n_sv"))
 
 
-@query("methylation_sample_qc", "C51,A18,A20")
+@query("methylation_sample_qc", "C51,A18,A20", """WITH m AS (SELECT cpg_id, sample_id, CASE WHEN depth >= 18 THEN beta END AS b FROM fx_cpg), k AS (SELECT cpg_id, avg(b) AS mu FROM m GROUP BY 1 HAVING count(*) - count(b) <= 0.5 * count(*)),
+s AS (SELECT m.sample_id, avg(coalesce(b, mu)) AS level, avg(CASE WHEN b IS NULL THEN 1.0E0 ELSE 0 END) AS na, CAST(m.sample_id % 7 AS DOUBLE) AS age FROM m JOIN k ON k.cpg_id = m.cpg_id GROUP BY 1, 4), f AS (SELECT regr_slope(level, age) AS b, regr_intercept(level, age) AS i FROM s),
+r AS (SELECT s.*, level - i - b * age AS resid FROM s, f), d AS (SELECT median(level) AS ml, median(resid) AS mr FROM r), e AS (SELECT greatest(1.4826 * median(abs(level - ml)), 1e-9) AS sl, greatest(1.4826 * median(abs(resid - mr)), 1e-9) AS sr FROM r, d),
+z AS (SELECT sample_id, na, (level - ml) / sl AS zl, (resid - mr) / sr AS zr FROM r, d, e), w AS (SELECT *, concat_ws(';', CASE WHEN abs(zl) > 3 THEN 'outlier_level' END, CASE WHEN abs(zr) > 3 THEN 'outlier_resid' END, CASE WHEN na > 0.6 THEN 'missing' END) AS reasons FROM z)
+SELECT sample_id, round(zl, 4) AS z_level, round(zr, 4) AS z_resid, reasons, CASE WHEN reasons <> '' THEN 1 ELSE 0 END AS qc_outlier FROM w""")
 def _(t):
     m = t("fx_cpg").select("cpg_id", "sample_id", F.when(F.col("depth") >= 18, F.col("beta")).alias("beta"))
     s = me.impute(m, "cpg_id", "beta").groupBy("sample_id").agg(F.avg("beta").alias("level"), F.avg(F.col("imputed").cast("double")).alias("na_frac"))

@@ -162,22 +162,30 @@ def _(t):
     return t("customer").groupBy(F.col("c_mktsegment").alias("origin")).agg(F.count("*").alias("n"), F.round(F.corr("c_acctbal", "c_nationkey"), 6).alias("r"), F.round(F.regr_slope("c_acctbal", "c_nationkey"), 4).alias("slope"))
 
 
+def labelled(t):
+    """Rows of families with a label, phase and caller features; folds closed under family."""
+    fam = F.floor(F.col("l_suppkey") / 4)
+    sizes = t("lineitem").groupBy(fam.alias("family_id")).agg(F.count("*").alias("n"))
+    d = t("lineitem").select(fam.alias("family_id"), F.col("l_quantity").alias("alt"), F.col("l_discount").alias("phase_support"), F.col("l_tax").alias("noise"), ((F.col("l_discount") < 0.03) | (F.col("l_quantity") > 40)).cast("int").alias("label"))
+    return d.join(ml.family_folds(sizes, "family_id", 2), "family_id")
+
+
 @query("family_grouped_cv", "M8,M9,C64")
 def _(t):
-    fam = F.col("l_suppkey")
-    sizes = t("lineitem").groupBy(F.floor(fam / 4).alias("family_id")).agg(F.count("*").alias("n"))
-    folds = ml.family_folds(sizes, "family_id", 2)
-    d = t("lineitem").select(F.floor(fam / 4).alias("family_id"), F.col("l_quantity").alias("alt"), F.col("l_discount").alias("phase"), F.col("l_tax").alias("noise"), ((F.col("l_discount") < 0.03) | (F.col("l_quantity") > 40)).cast("int").alias("label"))
-    d = d.join(folds, "family_id")
-    r = ml.grouped_cv(d, {"full": ["alt", "phase", "noise"], "no_phase": ["alt", "noise"]}, 2, ["logistic"])
-    return r.select("features", "model", "n", "n_pos", F.round("roc_auc", 3).alias("roc_auc"))
+    d, out = labelled(t), None
+    for which in ("full", "no_phase", "phase_only"):
+        s = ml.nested_cv(d, "family_id", ml.ablated(["alt", "phase_support", "noise"], ("phase_",), which), "logistic", ({"maxIter": 2000, "regParam": 0.01, "tol": 1e-3}, {"maxIter": 2000, "regParam": 1.0, "tol": 1e-3}), 2)
+        s = s.select(F.lit(which).alias("features"), F.round("raw", 6).alias("score"), "label")
+        out = s if out is None else out.unionByName(s)
+    return ranks.auc(out, ["features"], "score", "label").select("features", "n", "n_pos", F.round("roc_auc", 3).alias("roc_auc"))
 
 
 @query("boosted_scores", "M8")
 def _(t):
-    d = scored(t).select("label", "score", (F.col("score") % 7).alias("noise"), F.lit(1.0).alias("weight"))
-    fitted = ml.fit(d, ["score", "noise"], "boosted")
-    return ml.predict(fitted, d).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("p"), 4).alias("mean_p"))
+    """Families of fold 0 scored by trees fitted on the others."""
+    d = labelled(t).withColumn("weight", F.lit(1.0))
+    fitted = ml.fit(d.where("fold <> 0"), ["alt", "phase_support", "noise"], "boosted", ml.GRID[2])
+    return ml.predict(fitted, d.where("fold = 0")).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("p"), 4).alias("mean_p"))
 
 
 @query("family_folds", "C64,J31", """WITH RECURSIVE z AS (SELECT family_id, count(*) AS n FROM fx_call GROUP BY 1),

@@ -71,14 +71,28 @@ def threshold_at(df: DataFrame, keys: list[str], score: str, label: str, max_fpr
     return d.groupBy(*keys).agg(F.min(score).alias("threshold"), F.max("recall").alias("recall"))
 
 
-def models() -> dict:
-    """Classifiers by name; trees with a fixed seed."""
+# The boosted trees tried in nested cross-validation, the forest's trees, the logistic model's iterations and penalty.
+GRID = (
+    {"maxDepth": 4, "stepSize": 0.1, "maxIter": 300, "minInstancesPerNode": 5, "subsamplingRate": 0.8},
+    {"maxDepth": 6, "stepSize": 0.05, "maxIter": 600, "minInstancesPerNode": 10, "subsamplingRate": 0.8},
+    {"maxDepth": 3, "stepSize": 0.2, "maxIter": 200, "minInstancesPerNode": 20, "subsamplingRate": 0.9},
+)
+FOREST = {"numTrees": 400, "maxDepth": 10, "minInstancesPerNode": 5}
+LOGISTIC = {"maxIter": 2000, "regParam": 0.01}
+
+
+def model(name: str, params: dict | None = None, seed: int = 1):
+    """A classifier by name with its parameters; trees with a fixed seed."""
     kw = dict(labelCol="label", featuresCol="x", weightCol="weight")
-    return {"boosted": GBTClassifier(maxIter=5, maxDepth=3, seed=1, **kw), "forest": RandomForestClassifier(numTrees=20, maxDepth=4, seed=1, **kw), "logistic": LogisticRegression(maxIter=10, **kw)}
+    if name == "boosted":
+        return GBTClassifier(seed=seed, cacheNodeIds=True, **kw, **(GRID[0] if params is None else params))
+    if name == "forest":
+        return RandomForestClassifier(seed=seed, **kw, **(FOREST if params is None else params))
+    return LogisticRegression(**kw, **(LOGISTIC if params is None else params))
 
 
-def fit(df: DataFrame, cols: list[str], name: str):
-    return Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="x"), models()[name]]).fit(df)
+def fit(df: DataFrame, cols: list[str], name: str, params: dict | None = None, seed: int = 1):
+    return Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="x"), model(name, params, seed)]).fit(df)
 
 
 def predict(fitted, df: DataFrame) -> DataFrame:
@@ -86,32 +100,65 @@ def predict(fitted, df: DataFrame) -> DataFrame:
     return fitted.transform(df).withColumn("p", vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
 
 
-def grouped_cv(df: DataFrame, features: dict[str, list[str]], n_folds: int, names: list[str]) -> DataFrame:
-    """Out-of-fold ROC-AUC per model and feature set with folds closed under family and class-balanced weights.
+def weighted(train: DataFrame) -> DataFrame:
+    """Class weights from the given rows alone, so that both labels weigh the same."""
+    balance = train.groupBy("label").agg(F.count("*").alias("__n"))
+    total = balance.agg(F.sum("__n").alias("__t"))
+    return train.join(F.broadcast(balance.crossJoin(total).select("label", (F.col("__t") / (2 * F.col("__n"))).alias("weight"))), "label")   # two rows
+
+
+def ablated(features: list[str], prefixes: tuple[str, ...], which: str) -> list[str]:
+    """``full``, ``no_phase`` (without columns of the prefixes) or ``phase_only`` (only those)."""
+    phase = [c for c in features if c.startswith(prefixes)]
+    return {"full": list(features), "no_phase": [c for c in features if c not in phase], "phase_only": phase}[which]
 
-    ``df``: label, fold and the features without NULLs. The loop is over folds, sets and models; rows stay on the cluster.
-    """
-    df = cut(df)
 
-    def weighted(train: DataFrame) -> DataFrame:
-        """Class weights from the training folds alone."""
-        balance = train.groupBy("label").agg(F.count("*").alias("__n"))
-        total = balance.agg(F.sum("__n").alias("__t"))
-        return train.join(F.broadcast(balance.crossJoin(total).select("label", (F.col("__t") / (2 * F.col("__n"))).alias("weight"))), "label")   # two rows
+def nested_cv(df: DataFrame, family: str, features: list[str], name: str = "boosted", grid: tuple[dict, ...] = GRID, inner_folds: int = 3, seed: int = 0, calibrated: bool = True) -> DataFrame:
+    """The rows with held-out ``raw`` and ``p``, and ``chosen``, the place in the grid of their fold's model.
 
+    ``df``: ``family``, ``label``, ``fold`` (outer folds closed under family) and features without NULLs. Inside every outer training part
+    its families are dealt into inner folds; each entry of the grid is scored by the precision-recall area of the pooled inner scores, and the
+    best one is fitted on the whole training part. Isotonic calibration sees those inner scores only, so nothing of a test fold reaches its
+    model. A fold without both labels in its training part has no model and NULL scores. The loops are over folds and grid; rows stay on the cluster."""
+    df = cut(df)
     out = None
-    for set_name, cols in features.items():
-        for name in names:
-            held = None
-            for k in range(n_folds):
-                fitted = fit(weighted(df.where(F.col("fold") != k)), cols, name)
-                p = predict(fitted, df.where(F.col("fold") == k)).select("label", F.round("p", 6).alias("score"))
-                held = p if held is None else held.unionByName(p)
-            r = ranks.auc(held.withColumn("__k", F.lit(0)), ["__k"], "score", "label").select(F.lit(set_name).alias("features"), F.lit(name).alias("model"), "n", "n_pos", "roc_auc", "pr_auc")
-            out = r if out is None else out.unionByName(r)
+    for k in sorted(r.fold for r in df.select("fold").distinct().collect()):                    # a few folds
+        train, test = df.where(F.col("fold") != k), df.where(F.col("fold") == k)
+        if train.select("label").distinct().count() < 2:
+            part = test.withColumns({"raw": F.lit(None).cast("double"), "p": F.lit(None).cast("double"), "chosen": F.lit(None).cast("int")})
+            out = part if out is None else out.unionByName(part)
+            continue
+        inner = family_folds(train.groupBy(family).agg(F.count("*").alias("n")), family, inner_folds, seed + 17 * int(k)).withColumnRenamed("fold", "inner")
+        train = cut(train.join(inner, family))
+        best, best_area, pooled = 0, -1.0, None
+        for i, params in enumerate(grid):
+            scores = None
+            for j in range(inner_folds):
+                own = train.where(F.col("inner") != j)
+                if own.select("label").distinct().count() < 2:
+                    continue
+                s = predict(fit(weighted(own), features, name, params, seed + 1), train.where(F.col("inner") == j)).select("label", F.col("p").alias("raw"))
+                scores = s if scores is None else scores.unionByName(s)
+            if scores is None:
+                continue
+            scores = cut(scores)
+            area = ranks.auc(scores.withColumn("__k", F.lit(0)), ["__k"], "raw", "label").first().pr_auc or 0.0
+            if area > best_area:
+                best, best_area, pooled = i, area, scores
+        part = predict(fit(weighted(train), features, name, grid[best], seed + 1), test).withColumnRenamed("p", "raw").withColumn("chosen", F.lit(best))
+        part = isotonic(pooled, "raw", "label").transform(part).withColumnRenamed("calibrated", "p") if calibrated and pooled is not None else part.withColumn("p", F.col("raw"))
+        part = cut(part.select(*df.columns, "raw", "p", "chosen"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
+def isotonic(points: DataFrame, score: str, label: str):
+    """Isotonic fit of a label on a score; rows of one score are one point with their number as weight, scores in 4,096 steps of equal width."""
+    grid = F.round(F.col(score) * 4096) / 4096           # bounds what the fit gathers
+    g = points.groupBy(grid.alias(score)).agg(F.avg(F.col(label).cast("double")).alias(label), F.count("*").cast("double").alias("__w"))
+    return IsotonicRegression(featuresCol=score, labelCol=label, weightCol="__w", predictionCol="calibrated").fit(g)
+
+
 def calibrate(df: DataFrame, score: str, label: str) -> DataFrame:
     """Isotonic calibration of held-out scores; rows of one score are one point with their number as weight."""
     points = df.groupBy(score).agg(F.avg(F.col(label).cast("double")).alias(label), F.count("*").cast("double").alias("__w"))

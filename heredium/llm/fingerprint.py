@@ -106,7 +106,7 @@ def with_next(docs: DataFrame, fraction: int = FRACTION) -> DataFrame:
     """doc_id, text, sketch, text and sketch of the next document in descending id order, the first following the last.
 
     Ids are cut into ranges and each is one window; the first document of the range that comes next is
-    added at the end of a range. One shuffle carries texts and sketches.
+    added at the end of a range. One shuffle carries the texts; sketches, as long as their texts, are made after it.
     """
     d = _ranges(text_of(docs).withColumn("tie", F.xxhash64("text")))
     first = F.struct(F.coalesce(-F.col("doc_id"), F.lit((1 << 63) - 1)), "tie")
@@ -119,10 +119,10 @@ def with_next(docs: DataFrame, fraction: int = FRACTION) -> DataFrame:
     found = (F.col("bin") == F.col("t_bin")) & (F.col("sub") == F.col("t_sub")) & F.col("doc_id").eqNullSafe(F.col("top_id")) & (F.col("tie") == F.col("top_tie"))
     extra = d.join(F.broadcast(t), found).groupBy("before", "doc_id", "tie").agg(F.min("text").alias("text"))         # one, however often the first row is repeated
     extra = extra.select("doc_id", "text", "tie", F.col("before.bin").alias("bin"), F.col("before.sub").alias("sub"), F.lit(1).alias("added"))
-    rows = d.withColumn("added", F.lit(0)).unionByName(extra).withColumn("sketch", sketch(F.col("text"), fraction))
+    rows = d.withColumn("added", F.lit(0)).unionByName(extra)
     w = W.partitionBy("bin", "sub").orderBy("added", F.col("doc_id").desc_nulls_last(), "tie")
-    rows = rows.withColumns({"next_text": F.lead("text").over(w), "next_sketch": F.lead("sketch").over(w)}).where("added = 0")
-    return rows.select("doc_id", "text", "sketch", "next_text", "next_sketch")
+    rows = rows.withColumn("next_text", F.lead("text").over(w)).where("added = 0")
+    return rows.select("doc_id", "text", sketch(F.col("text"), fraction).alias("sketch"), "next_text", sketch(F.col("next_text"), fraction).alias("next_sketch"))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,7 +208,7 @@ FROM (SELECT CAST(floor(l_orderkey / 15) AS BIGINT) AS cand,
       FROM {lineitem}) x
 """
 
-# A read's id holds order, line, part and supplier, which together are unique in lineitem.
+# A read's id holds order, line, part and supplier; rows of lineitem that agree in all four are one read.
 # Candidates asked of reads: two indels, a small variant and a deletion around each place of fx_candidate, and the alignments that reach them.
 FIXTURES["fx_asked"] = """
 SELECT 4 * cand + k AS cand, chrom, sample_id, family_id, CASE k WHEN 0 THEN 'SNV' WHEN 3 THEN 'SV' ELSE 'INDEL' END AS variant_class,
@@ -234,7 +234,7 @@ FROM (SELECT *, base + 200 + j1 - ref_start AS m1, 100 + j2 - j1 AS m2, 200 + CA
                          3000000 + 5000 * CAST(floor(l_orderkey / 15) AS BIGINT) AS base, CASE l_partkey % 3 WHEN 0 THEN 'C' WHEN 1 THEN 'F' ELSE 'M' END AS role,
                          CASE WHEN l_linenumber % 4 = 0 THEN 1 ELSE 0 END AS short, l_linenumber % 3 AS clip, CASE WHEN l_suppkey % 7 = 0 THEN 0 ELSE 1 + l_suppkey % 2 END AS hp,
                          CASE WHEN l_tax > 0.07 THEN 4 ELSE 60 END AS mapq, CAST(floor(l_discount * 100) AS BIGINT) AS nm
-                  FROM {lineitem}) a) b) c
+                  FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, min(l_tax) AS l_tax, min(l_discount) AS l_discount, min(l_quantity) AS l_quantity FROM {lineitem} GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey) li) a) b) c
 """
 
 # Repeat loci of the trios (every third place) and their spanning reads: flanks of 50 bases, a length near the child's or a parent's alleles.
@@ -246,7 +246,7 @@ FIXTURES["fx_spanning"] = """
 SELECT read_id, 4 * (cand % 25) + CASE part % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END AS sample_id, concat('TR', CAST(cand AS VARCHAR(12))) AS trid,
        CASE WHEN part % 41 = 0 THEN 60 ELSE 100 + 19 + quantity % 21 END AS query_length, hp, 100 AS ps, 60 AS mapq, nm, 0 AS clipped, 0 AS supplementary
 FROM (SELECT (10 * l_orderkey + l_linenumber) * 100000000000 + l_partkey * 100000 + l_suppkey AS read_id, CAST(floor(l_orderkey / 15) AS BIGINT) AS cand, l_partkey AS part, CAST(l_quantity AS BIGINT) AS quantity,
-             CASE WHEN l_suppkey % 7 = 0 THEN 0 ELSE 1 + l_suppkey % 2 END AS hp, CAST(floor(l_discount * 100) AS BIGINT) AS nm FROM {lineitem}) x
+             CASE WHEN l_suppkey % 7 = 0 THEN 0 ELSE 1 + l_suppkey % 2 END AS hp, CAST(floor(l_discount * 100) AS BIGINT) AS nm FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, min(l_tax) AS l_tax, min(l_discount) AS l_discount, min(l_quantity) AS l_quantity FROM {lineitem} GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey) li) x
 """
 
 # Sites with up to two alternative alleles: the second one where site and sample say so; some members are not called.

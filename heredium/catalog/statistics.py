@@ -195,7 +195,7 @@ g AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS family_id, 0::BIGINT AS k, [0, 0, 0
 SELECT family_id, CAST(k - 1 AS INT) AS fold FROM g WHERE i > 0""")
 def _(t):
     sizes = t("fx_call").groupBy("family_id").agg(F.count("*").alias("n")).withColumn("blood", F.col("family_id") % 9 == 0)
-    return ml.family_folds(sizes, "family_id", 5, first="blood", min_families=1)
+    return ml.family_folds(sizes, "family_id", 5, first="blood")
 
 
 @query("isotonic_calibration", "M9", f"""WITH {SCORED}, g AS (SELECT score, CAST(sum(label) AS DOUBLE) AS s, count(*) AS n FROM sc GROUP BY 1), c AS (SELECT *, sum(s) OVER (ORDER BY score) AS cs, sum(n) OVER (ORDER BY score) AS cn FROM g),

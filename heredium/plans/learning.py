@@ -14,7 +14,7 @@ from ..operators import ordered, ranks
 from ..storage import cut
 
 
-def family_folds(sizes: DataFrame, family: str, n_folds: int, seed: int = 1, first: str | None = None, min_families: int = 1) -> DataFrame:
+def family_folds(sizes: DataFrame, family: str, n_folds: int, seed: int = 1, first: str | None = None, min_families: int = 0) -> DataFrame:
     """Folds closed under family: the largest family goes to the fold with the least load so far, ties of size in seeded order.
 
     ``sizes``: one row per family with ``n``; families whose column ``first`` is true all go to fold 0, before the others. The choice depends

@@ -222,3 +222,52 @@ def _(t):
     sm = t("fx_site").select(F.lit("small").alias("cls"), F.col("site_id").alias("id"), F.when(cons == "stop_gained", 1).when(cons == "missense_variant", 2).otherwise(4).alias("pr"), F.lit(1).cast("long").alias("size"))
     tr = t("fx_candidate").where("variant_class = 'TR'").select(F.lit("tr").alias("cls"), F.col("cand").alias("id"), F.lit(3).alias("pr"), F.lit(60).cast("long").alias("size"))
     return sv.unionByName(sm).unionByName(tr).orderBy("pr", F.col("size").desc(), "cls", "id").select("cls", "id", "pr")
+
+
+IMPRINTED = f"""{TRIO}, gn AS (SELECT s.symbol, CASE CAST(substr(s.symbol, 7) AS INT) % 3 WHEN 0 THEN 'Maternal' WHEN 1 THEN 'Paternal' ELSE 'Isoform' END AS expressed, s.s_het, k.flag FROM (SELECT symbol, min(s_het) AS s_het FROM fx_site WHERE site_id % 3 = 0 GROUP BY 1) s LEFT JOIN (SELECT symbol, 'long_mask' AS flag FROM fx_interval WHERE kind = 'mask' AND "end" - start > 2940 GROUP BY 1) k ON k.symbol = s.symbol),
+u AS (SELECT s.symbol, t.affected, coalesce(s.gnomad_af < 0.001, TRUE) AS rare, CASE WHEN f_a1 <> f_a2 AND m_a1 + m_a2 = 0 AND t.chrom <> 'chrX' THEN 'father' WHEN m_a1 <> m_a2 AND f_a1 + f_a2 = 0 THEN 'mother' END AS parent, CASE WHEN c_a1 + c_a2 > 0 THEN 1 ELSE 0 END AS tr FROM trio t JOIN fx_site s ON s.site_id = t.site_id WHERE s.consequence IN {LOF} AND least(c_gq, f_gq, m_gq) >= 20 AND least(c_dp, f_dp, m_dp) >= 10),
+v AS (SELECT u.*, sets.variant_set FROM u JOIN (VALUES ('rare'), ('common'), ('all')) sets(variant_set) ON variant_set = 'all' OR (variant_set = 'rare') = rare WHERE parent IS NOT NULL),
+gt AS (SELECT gn.*, p.tested, sets.variant_set FROM gn JOIN (VALUES ('mother'), ('father')) p(tested) ON expressed NOT IN ('Maternal', 'Paternal') OR (expressed = 'Maternal') = (tested = 'mother') CROSS JOIN (VALUES ('rare'), ('common'), ('all')) sets(variant_set)),
+arm AS (SELECT gt.symbol, gt.expressed, gt.tested, gt.variant_set, gt.s_het, gt.flag, CAST(coalesce(sum(CASE WHEN parent = tested AND affected = 1 THEN tr END), 0) AS BIGINT) AS t, CAST(coalesce(sum(CASE WHEN parent = tested AND affected = 1 THEN 1 - tr END), 0) AS BIGINT) AS nt,
+ CAST(coalesce(sum(CASE WHEN parent <> tested AND affected = 1 THEN tr END), 0) AS BIGINT) AS silenced_t, CAST(coalesce(sum(CASE WHEN parent <> tested AND affected = 1 THEN 1 - tr END), 0) AS BIGINT) AS silenced_nt,
+ CAST(coalesce(sum(CASE WHEN parent = tested AND affected = 0 THEN tr END), 0) AS BIGINT) AS sib_t, CAST(coalesce(sum(CASE WHEN parent = tested AND affected = 0 THEN 1 - tr END), 0) AS BIGINT) AS sib_nt FROM gt LEFT JOIN v ON v.symbol = gt.symbol AND v.variant_set = gt.variant_set GROUP BY 1, 2, 3, 4, 5, 6)"""
+_TAILS = "(SELECT DISTINCT least(t, nt) AS lo, t + nt AS n FROM {}) z, LATERAL (SELECT least(1, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))) AS p FROM (SELECT unnest(range(0, lo + 1)) AS i) y) pp"
+
+
+def imprinted_arms(t):
+    """Fixture: a brand stands for a gene; its number names the parent whose allele is expressed, a long masked interval flags it."""
+    w = trio.trio_wide(t("fx_genotype"), t("fx_pedigree"), ["a1", "a2", "gq", "dp"]).join(t("fx_site").where(rules.consequence_class(F.col("consequence")) == "lof").select("site_id", "symbol", "gnomad_af"), "site_id")
+    part = F.substring("symbol", 7, 9).cast("int") % 3
+    flagged = t("fx_interval").where("kind = 'mask' AND end - start > 2940").select("symbol", F.lit("long_mask").alias("flag")).distinct()
+    genes = t("fx_site").where("site_id % 3 = 0").groupBy("symbol").agg(F.min("s_het").alias("s_het")).join(flagged, "symbol", "left")
+    return burden.expressed_arms(w, genes.withColumn("expressed", F.when(part == 0, "Maternal").when(part == 1, "Paternal").otherwise("Isoform")), g.rare(F.col("gnomad_af"), 0.001))
+
+
+@query("imprinted_transmission_ranked", "C41,M3", f"""WITH {IMPRINTED}, r AS (SELECT * FROM arm WHERE variant_set = 'rare' AND t + nt > 0), b AS (SELECT lo, n, p FROM {_TAILS.format('r')})
+SELECT rank() OVER (ORDER BY round(ln(p), 9)) AS rank, symbol, tested, t, nt, silenced_t, silenced_nt, sib_t, sib_nt, round(p + 1e-9, 6) AS p, round(least(1, p * count(*) OVER ()) + 1e-9, 6) AS bonferroni_p, flag FROM r JOIN b ON b.lo = least(t, nt) AND b.n = t + nt""")
+def _(t):
+    d = burden.ranked_arms(imprinted_arms(t))
+    return d.select("rank", "symbol", "tested", *burden.ARMS, *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("p", "bonferroni_p")], "flag")
+
+
+@query("imprinted_tier_burden", "C41,U4", f"""WITH {IMPRINTED}, e AS (SELECT arm.*, k.tier FROM arm JOIN (VALUES ('lof_t1'), ('lof_t2'), ('lof_t3'), ('all_tiers')) k(tier) ON k.tier = 'all_tiers' OR k.tier = CASE WHEN s_het >= 0.18 THEN 'lof_t1' WHEN s_het >= 0.03 THEN 'lof_t2' ELSE 'lof_t3' END WHERE expressed IN ('Maternal', 'Paternal')),
+c AS (SELECT variant_set, tier, count(*) FILTER (flag IS NULL) AS n_genes, coalesce(string_agg(CASE WHEN flag IS NOT NULL THEN symbol END, ';' ORDER BY symbol), '') AS excluded, {', '.join(f'CAST(coalesce(sum({a}) FILTER (flag IS NULL), 0) AS BIGINT) AS {a}' for a in burden.ARMS)} FROM e GROUP BY 1, 2), b AS (SELECT lo, n, p FROM {_TAILS.format('c')})
+SELECT variant_set, tier, n_genes, excluded, {', '.join(burden.ARMS)}, round(CASE WHEN t + nt > 0 THEN p END + 1e-9, 6) AS p FROM c JOIN b ON b.lo = least(t, nt) AND b.n = t + nt""")
+def _(t):
+    return burden.collapsed_arms(imprinted_arms(t)).select("variant_set", "tier", "n_genes", "excluded", *burden.ARMS, F.round(F.col("p") + 1e-9, 6).alias("p"))     # fractions of powers of two lie on the edge of rounding
+
+
+@query("flagged_priority_list", "C32,T1,U1", f"""WITH {TRIO}, fs AS (SELECT symbol, max(CASE WHEN site_id % 50 = 7 THEN 2 WHEN site_id % 50 < 4 THEN 1 ELSE 0 END) AS a, max(CASE WHEN site_id % 60 = 11 THEN 2 WHEN site_id % 60 < 3 THEN 1 ELSE 0 END) AS b, max(CASE WHEN s_het >= 0.5 THEN 1 ELSE 0 END) AS c FROM fx_site GROUP BY 1),
+fl AS (SELECT symbol, concat_ws(';', CASE a WHEN 2 THEN 'SFARI_hc' WHEN 1 THEN 'SFARI' END, CASE b WHEN 2 THEN 'DDG2P_conf' WHEN 1 THEN 'DDG2P' END, CASE c WHEN 1 THEN 'TIER1_GENE' END) AS gene_flags FROM fs WHERE a + b + c > 0),
+rw AS (SELECT CASE WHEN length(t.ref) <> length(t.alt) THEN 'indel' ELSE 'SNV' END AS class, t.family_id, t.site_id AS id, s.symbol, s.consequence FROM trio t JOIN fx_site s ON s.site_id = t.site_id WHERE c_a1 <> c_a2 AND f_a1 + f_a2 = 0 AND m_a1 + m_a2 = 0
+ UNION ALL SELECT DISTINCT 'SV_' || s.svtype, s.sample_id // 4, s.sv_id, i.symbol, 'coding_' || s.svtype FROM fx_sv s JOIN fx_interval i ON {OV} AND i.kind = 'CDS' WHERE s.svtype <> 'BND'
+ UNION ALL SELECT 'TR', c.family_id, c.cand, s.symbol, 'TR_expansion' FROM fx_candidate c JOIN fx_site s ON s.site_id = c.cand WHERE c.variant_class = 'TR')
+SELECT class, CAST(family_id AS BIGINT) AS family_id, id, rw.symbol, consequence, gene_flags, CASE WHEN gene_flags LIKE '%TIER1_GENE%' THEN 0 ELSE 1 END AS after_first, CASE WHEN gene_flags LIKE '%SFARI_hc%' OR gene_flags LIKE '%DDG2P_conf%' THEN 0 ELSE 1 END AS after_sure, CASE WHEN class LIKE 'SV%' THEN 0 ELSE 1 END AS after_sv FROM rw JOIN fl ON fl.symbol = rw.symbol""")
+def _(t):
+    s = t("fx_site")
+    flags = clinical.gene_flags([[("SFARI_hc", s.where("site_id % 50 = 7")), ("SFARI", s.where("site_id % 50 < 4"))], [("DDG2P_conf", s.where("site_id % 60 = 11")), ("DDG2P", s.where("site_id % 60 < 3"))], [("TIER1_GENE", s.where("s_het >= 0.5"))]])
+    w = trio.trio_wide(t("fx_genotype"), t("fx_pedigree"), ["a1", "a2"]).where(trio.het("c") & trio.hom_ref("f") & trio.hom_ref("m"))
+    small = w.join(s.select("site_id", "symbol", "consequence"), "site_id").select(F.when(F.length("ref") != F.length("alt"), "indel").otherwise("SNV").alias("class"), "family_id", F.col("site_id").alias("id"), "symbol", "consequence")
+    sv = iv.overlap_join(svs(t, "svtype <> 'BND'"), features(t, "kind = 'CDS'")).select(F.concat(F.lit("SV_"), "svtype").alias("class"), F.floor(F.col("sample_id") / 4).alias("family_id"), F.col("sv_id").alias("id"), "symbol", F.concat(F.lit("coding_"), "svtype").alias("consequence")).distinct()
+    tr = t("fx_candidate").where("variant_class = 'TR'").join(s.select(F.col("site_id").alias("cand"), "symbol"), "cand").select(F.lit("TR").alias("class"), "family_id", F.col("cand").alias("id"), "symbol", F.lit("TR_expansion").alias("consequence"))
+    return clinical.priority_list(small.unionByName(sv).unionByName(tr), flags, "TIER1_GENE", ("SFARI_hc", "DDG2P_conf")).select("class", "family_id", "id", "symbol", "consequence", "gene_flags", "after_first", "after_sure", "after_sv")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import numeric as nm
 from ..operators import ranks
 from ..operators import regression as rg
+from ..operators import trio
 from ..plans import learning as ml
 from ..plans import methylation as me
+from ..plans import phenotype
 from .evidence import CLASSED, classified
 from .ranking import SCORED, scored
 from .registry import query
@@ -162,6 +164,24 @@ def _(t):
     return t("customer").groupBy(F.col("c_mktsegment").alias("origin")).agg(F.count("*").alias("n"), F.round(F.corr("c_acctbal", "c_nationkey"), 6).alias("r"), F.round(F.regr_slope("c_acctbal", "c_nationkey"), 4).alias("slope"))
 
 
+_ORIGIN = """CASE WHEN child_hap1_is IS NULL OR {h} THEN 'undetermined' WHEN ({k}) = (child_hap1_is = 'P') THEN 'paternal' ELSE 'maternal' END"""
+_AGES = """SELECT sample_id AS child_id, 20 + (7 * father_id) % 31 AS father_age, CASE WHEN sample_id % 20 <> 10 THEN 18 + (5 * mother_id) % 27 END AS mother_age FROM fx_pedigree WHERE father_id IS NOT NULL"""
+
+
+@query("parental_age_by_origin", "M14", f"""WITH o AS (SELECT cand, count(*) FILTER (hp = 1) AS a1, count(*) FILTER (hp = 2) AS a2 FROM fx_obs WHERE role = 'C' AND support = 'ALT' GROUP BY 1), k AS (SELECT c.sample_id AS child_id, {_ORIGIN.format(h='least(a1, a2) > 0 OR a1 = a2', k='a1 > 0')} AS unanimous, {_ORIGIN.format(h='a1 = a2', k='a1 > a2')} AS majority FROM fx_candidate c JOIN o ON o.cand = c.cand),
+ag AS ({_AGES}), d AS (SELECT a.child_id, max(father_age) AS fa, max(mother_age) AS ma, count(*) AS total, count(*) FILTER (unanimous = 'paternal') AS up, count(*) FILTER (unanimous = 'maternal') AS um, count(*) FILTER (majority = 'paternal') AS mp, count(*) FILTER (majority = 'maternal') AS mm FROM k JOIN ag a ON a.child_id = k.child_id WHERE mother_age IS NOT NULL GROUP BY 1),
+l AS (SELECT 'all' AS source, 'any' AS origin, 'father' AS age_of, total AS y, fa AS x FROM d UNION ALL SELECT 'unanimous', 'paternal', 'father', up, fa FROM d UNION ALL SELECT 'unanimous', 'maternal', 'mother', um, ma FROM d UNION ALL SELECT 'unanimous', 'maternal', 'father', um, fa FROM d
+ UNION ALL SELECT 'majority', 'paternal', 'father', mp, fa FROM d UNION ALL SELECT 'majority', 'maternal', 'mother', mm, ma FROM d UNION ALL SELECT 'majority', 'maternal', 'father', mm, fa FROM d)
+SELECT source, origin, age_of, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_calls, round(CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(y, x) ELSE 0 END, 6) AS r, round(CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN regr_slope(y, x) ELSE 0 END, 6) AS slope FROM l GROUP BY 1, 2, 3""")
+def _(t):
+    reads = t("fx_obs").where("role = 'C' AND support = 'ALT'").groupBy("cand").agg(F.count_if(F.col("hp") == 1).alias("a1"), F.count_if(F.col("hp") == 2).alias("a2"))
+    d = t("fx_candidate").join(reads, "cand")
+    calls = d.selectExpr("sample_id AS child_id", _ORIGIN.format(h="least(a1, a2) > 0 OR a1 = a2", k="a1 > 0") + " AS unanimous", _ORIGIN.format(h="a1 = a2", k="a1 > a2") + " AS majority")
+    ages = trio.complete_trios(t("fx_pedigree")).selectExpr("sample_id AS child_id", "20 + (7 * father_id) % 31 AS father_age", "CASE WHEN sample_id % 20 <> 10 THEN 18 + (5 * mother_id) % 27 END AS mother_age")
+    fits = phenotype.origin_age_fits(calls, ages, ["unanimous", "majority"])
+    return fits.select("source", "origin", "age_of", "n", "n_calls", F.round("r", 6).alias("r"), F.round("slope", 6).alias("slope"))
+
+
 def labelled(t):
     """Rows of families with a label, phase and caller features; folds closed under family."""
     fam = F.floor(F.col("l_suppkey") / 4)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,17 +69,32 @@ def sv_impact(svtype: Column, kinds: Column) -> Column:
     )
 
 
+# Impact groups by the first letters of an impact, and the label of each (worst panel rank, impact group); the first that fits is told.
+IMPACT_GROUPS = {
+    "lof": ("coding_LoF", "LoF_HC", "stop_gained", "frameshift", "splice_donor", "splice_acceptor", "start_lost", "coding_inversion", "coding_dup"),
+    "mild": ("missense", "UTR_", "coding_duplication", "inframe", "splice_region", "TR_"),
+}
+RELEVANCE = (
+    (2, "lof", "HIGH: LoF-type variant in a high-confidence panel gene"),
+    (2, "mild", "MODERATE: non-truncating variant in a high-confidence panel gene"),
+    (4, "lof", "MODERATE: LoF-type variant in a panel gene"),
+    (4, None, "LOW: panel gene, uncertain impact"),
+)
+OFF_PANEL = {"constrained": "MODERATE: LoF-type variant in a constrained gene off-panel", "other": "NONE: off-panel"}
+
+
+def _starts_with_any(text: Column, heads: tuple[str, ...]) -> Column:
+    return reduce(lambda x, y: x | y, [text.startswith(h) for h in heads])
+
+
 def clinical_relevance(panel_rank: Column, impact: Column, s_het: Column) -> Column:
-    high = impact.rlike("^(coding_LoF|LoF_HC|stop_gained|frameshift|splice_donor|splice_acceptor|start_lost|coding_inversion|coding_dup)")
-    mid = impact.rlike("^(missense|UTR_|coding_duplication|inframe|splice_region|TR_)")
-    return (
-        F.when((panel_rank <= 2) & high, "HIGH: LoF-type variant in a high-confidence panel gene")
-        .when((panel_rank <= 2) & mid, "MODERATE: non-truncating variant in a high-confidence panel gene")
-        .when((panel_rank <= 4) & high, "MODERATE: LoF-type variant in a panel gene")
-        .when(panel_rank <= 4, "LOW: panel gene, uncertain impact")
-        .when(F.coalesce(s_het >= 0.18, F.lit(False)) & high, "MODERATE: LoF-type variant in a constrained gene off-panel")
-        .otherwise("NONE: off-panel")
-    )
+    """Label by the gene's panel rank and the impact; off the panel only a loss of function at s_het >= 0.18 counts."""
+    group = {name: F.coalesce(_starts_with_any(impact, heads), F.lit(False)) for name, heads in IMPACT_GROUPS.items()} | {None: F.lit(True)}
+    constrained = F.coalesce(s_het >= 0.18, F.lit(False)) & group["lof"]
+    label = F.when(constrained, OFF_PANEL["constrained"]).otherwise(OFF_PANEL["other"])
+    for worst, name, text in reversed(RELEVANCE):
+        label = F.when((panel_rank <= worst) & group[name], text).otherwise(label)
+    return label
 
 
 def sv_length(svlen: Column, start: Column, end: Column, svtype: Column) -> Column:

@@ -18,6 +18,30 @@ def gene_sets(sets: list[tuple[str, int, DataFrame]]) -> DataFrame:
     return u.groupBy("symbol").agg(F.concat_ws(";", F.array_sort(F.collect_set("s"))).alias("sets"), F.min("r").alias("best_rank"))
 
 
+def gene_flags(ladders: list[list[tuple[str, DataFrame]]]) -> DataFrame:
+    """Labels of each symbol in the order of the ladders, joined by ``;``; of one ladder (surest set first) a gene has the first label it is in."""
+    u = None
+    for i, ladder in enumerate(ladders):
+        for j, (label, genes) in enumerate(ladder):
+            d = genes.select("symbol", F.lit(i).alias("i"), F.struct(F.lit(j).alias("j"), F.lit(label).alias("label")).alias("step"))
+            u = d if u is None else u.unionByName(d)
+    first = u.groupBy("symbol", "i").agg(F.min("step").alias("step"))
+    labels = F.transform(F.array_sort(F.collect_list(F.struct("i", F.col("step.label").alias("label")))), lambda x: x["label"])     # one a ladder
+    return first.groupBy("symbol").agg(F.array_join(labels, ";").alias("gene_flags"))
+
+
+def priority_list(rows: DataFrame, flags: DataFrame, first: str, sure: tuple[str, ...]) -> DataFrame:
+    """Rows of all variant classes in flagged genes, in reading order: genes labelled ``first``, then those with a sure label, then structural events, then by family.
+
+    ``rows``: class (structural ones begin with ``SV``), family_id, symbol and whatever else is to be told.
+    """
+    d = rows.join(flags, "symbol")
+    has = F.split("gene_flags", ";")
+    later = lambda c: (~c).cast("int")
+    d = d.withColumns({"after_first": later(F.array_contains(has, first)), "after_sure": later(F.arrays_overlap(has, F.array(*[F.lit(x) for x in sure]))), "after_sv": later(F.col("class").startswith("SV"))})
+    return d.orderBy("after_first", "after_sure", "after_sv", "family_id")
+
+
 def event_kinds(events: DataFrame, features: DataFrame, id_cols: list[str]) -> DataFrame:
     """The set of feature kinds each event touches."""
     return iv.overlap_join(events, features).groupBy(*id_cols).agg(F.collect_set("kind").alias("kinds"))

@@ -23,7 +23,7 @@ def complement(seq: Column) -> Column:
 
 
 def coding_consequence(variants: DataFrame, exons: DataFrame, transcripts: DataFrame, id_cols: list[str], pad: int = 8) -> DataFrame:
-    """Class and detail of each variant near a coding exon.
+    """Class and detail of each variant near a coding exon: the protein change of a substitution, the first coding base and size of an indel, otherwise place and alleles.
 
     ``variants``: ids, chrom, pos (1-based), ref, alt. ``exons``: symbol, chrom, e_start, e_end (coding part, 0-based
     half-open), c_start (coding index of the exon's first base in transcript order). ``transcripts``: symbol, strand (+1/-1), cds.
@@ -46,7 +46,12 @@ def coding_consequence(variants: DataFrame, exons: DataFrame, transcripts: DataF
     cls = (F.when(F.col("__in") <= 0, F.when(core, "splice_donor_acceptor").otherwise("splice_region"))
            .when(snv, F.when(F.col("__a0") == F.col("__a1"), "synonymous").when(F.col("__a1") == "*", "nonsense").when(F.col("__a0") == "*", "stop_loss").when(F.col("__k") == 0, "start_loss").otherwise("missense"))
            .when(F.col("__in") < F.length("ref"), "splice_indel").when(change % 3 == 0, "inframe_indel").otherwise("frameshift"))
-    detail = F.when(snv & (F.col("__in") > 0), F.concat(F.lit("p."), "__a0", (F.col("__k") + 1).cast("string"), "__a1"))
+    # the first coding base touched; where the transcript runs backwards that is the last base of the reference allele
+    first = F.col("c_start") + F.when(F.col("strand") == 1, F.greatest("__s", "e_start") - F.col("e_start")).otherwise(F.col("e_end") - F.least("__e", "e_end"))
+    size = F.when(change % 3 == 0, F.concat(F.when(change < 0, "del").otherwise("ins"), F.abs(change).cast("string"))).otherwise("fs")
+    detail = (F.when(snv & (F.col("__in") > 0), F.concat(F.lit("p."), "__a0", (F.col("__k") + 1).cast("string"), "__a1"))
+              .when(F.col("__in") < F.length("ref"), F.concat(F.col("pos").cast("string"), "ref", F.lit(">"), "alt"))
+              .otherwise(F.concat(F.lit("c."), (first + 1).cast("string"), size)))
     d = d.withColumns({"class": cls, "detail": detail})
     # an exon the variant lies in outranks a neighbour it is merely close to
     return sel.best_per_key(d, [*id_cols, "symbol"], [-F.col("__in"), F.col("e_start")], ["class", "detail"])

@@ -58,3 +58,25 @@ def specificity(features: DataFrame, definition: DataFrame) -> DataFrame:
     """How common each defining feature is among everyone with an answer."""
     d = features.where("state <> 'unknown'").join(definition, "feature")
     return d.groupBy("syndrome", "feature").agg(F.count("*").alias("n_known"), F.avg((F.col("state") == "present").cast("double")).alias("frac_present"))
+
+
+def origin_age_fits(calls: DataFrame, ages: DataFrame, sources: list[str]) -> DataFrame:
+    """Correlation and slope (calls a year) of de novo counts on parental ages, calls split by each source of origin.
+
+    ``calls``: child_id and one column per source ('paternal', 'maternal', anything else unassigned); ``ages``:
+    child_id, father_age, mother_age. Only children with calls and both ages count. Fits: all calls on the father's age,
+    and for each source paternal calls on the father's, maternal calls on the mother's and, as a control, on the father's
+    age. A constant side has r and slope 0.
+    """
+    origins = ("paternal", "maternal")
+    per = calls.groupBy("child_id").agg(F.count("*").alias("total"), *[F.count_if(F.col(s) == o).alias(f"{s}_{o}") for s in sources for o in origins])
+    d = per.join(ages.dropna(subset=["father_age", "mother_age"]), "child_id")
+    fit = lambda s, o, age, y: F.struct(F.lit(s).alias("source"), F.lit(o).alias("origin"), F.lit(age).alias("age_of"), F.col(y).cast("double").alias("y"), F.col(f"{age}_age").cast("double").alias("x"))
+    fits = [fit("all", "any", "father", "total")]
+    for s in sources:
+        fits += [fit(s, "paternal", "father", f"{s}_paternal"), fit(s, "maternal", "mother", f"{s}_maternal"), fit(s, "maternal", "father", f"{s}_maternal")]
+    long = d.select(F.inline(F.array(*fits)))
+    moved = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
+    return long.groupBy("source", "origin", "age_of").agg(
+        F.count("*").alias("n"), F.sum("y").cast("long").alias("n_calls"),
+        F.when(moved, F.corr("x", "y")).otherwise(0.0).alias("r"), F.when(moved, F.regr_slope("y", "x")).otherwise(0.0).alias("slope"))

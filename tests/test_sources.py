@@ -82,3 +82,4 @@ def test_coding_consequence(spark):
     assert got[1] == ("synonymous", "p.A2A") and got[2] == ("missense", "p.A2T") and got[3][0] == "start_loss" and got[4][0] == "stop_loss"
     assert got[5][0] == "frameshift" and got[6][0] == "inframe_indel" and got[7][0] == "splice_donor_acceptor" and got[8][0] == "splice_region" and got[9][0] == "splice_indel"
     assert got[10] == ("missense", "p.A2T") and got[11] == ("stop_loss", "p.*3K")
+    assert got[5][1] == "c.4fs" and got[6][1] == "c.4del3" and got[8][1] == "96A>C" and got[9][1] == "109AC>A"

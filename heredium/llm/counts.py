@@ -109,7 +109,9 @@ def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = cut(token_counts(docs, vocabs))
     toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.col("toxic") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     # A revision is a difference, so old and new rows need not meet: repeated and null ids are no matter.
-    changed = cut(redactions(docs.join(toxic, docs["doc_id"].cast("long") == toxic["doc_id"], "left_anti")))
+    # Redacting comes first, where the documents are read: only texts that change meet the toxic ids.
+    redone = redactions(docs)
+    changed = cut(redone.join(toxic, redone["doc_id"].cast("long") == toxic["doc_id"], "left_anti"))
     zero = F.lit(0).cast("long")
     before = token_counts(changed.withColumn("text", F.col("old")), vocabs).withColumns({"new_tokens": zero, "new_chars": zero})
     after = token_counts(changed, vocabs).withColumns({"new_tokens": F.col("tokens"), "new_chars": F.col("chars")}).withColumns({"tokens": zero, "chars": zero})

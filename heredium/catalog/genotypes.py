@@ -9,6 +9,7 @@ from ..functions import rules
 from ..operators import intervals as iv
 from ..operators import selection as sel
 from ..operators import trio
+from ..storage import cut
 from .registry import query
 
 TRIO = """trio AS (
@@ -77,10 +78,12 @@ SELECT p.sample_id AS child_id, p.family_id, count(k.child_id) AS n_denovo,
 FROM fx_pedigree p LEFT JOIN kept k ON k.child_id = p.sample_id
 WHERE p.father_id IS NOT NULL GROUP BY p.sample_id, p.family_id""")
 def _(t):
-    calls = _wide(t).where(trio.denovo_predicate()).select("child_id", "site_id", "chrom", "pos")
-    ann = t("fx_site").where(g.rare(F.col("gnomad_af"), 0.001)).select("site_id", rules.consequence_class(F.col("consequence")).alias("cls"))
     mask = t("fx_interval").where("kind = 'mask'").select("chrom", F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    kept = iv.point_filter(calls.join(ann, "site_id"), mask, "left_anti", bounds=iv.LEFT_OPEN)
+    sites = t("fx_site").where(g.rare(F.col("gnomad_af"), 0.001)).select("site_id", "chrom", "pos", rules.consequence_class(F.col("consequence")).alias("cls"))
+    sites = cut(iv.point_filter(sites, mask, "left_anti", bounds=iv.LEFT_OPEN).select("site_id", "cls"))
+    # Rarity and mask are the site's alone, so genotypes at other sites never reach the trio aggregate.
+    rare = t("fx_genotype").join(sites.select("site_id"), "site_id", "left_semi")
+    kept = trio.trio_wide(rare, t("fx_pedigree")).where(trio.denovo_predicate()).select("child_id", "site_id").join(sites, "site_id")
     n = kept.groupBy("child_id").agg(F.count("*").alias("n"), F.count_if(F.col("cls") == "lof").alias("l"), F.count_if(F.col("cls") == "missense").alias("m"))
     kids = trio.complete_trios(t("fx_pedigree")).select(F.col("sample_id").alias("child_id"), "family_id")
     z = F.lit(0).cast("long")

@@ -20,11 +20,14 @@ def position_bin(pos: Column, bits: int = 20) -> Column:
     return F.shiftright(pos.cast("long"), bits)
 
 
-def value_bin(df: DataFrame, value: str, name: str, bins: int = 64) -> DataFrame:
-    """Bins of near-equal row count over a numeric column; reads at most ``bins`` cut points to the driver."""
-    at = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    row = df.agg(F.percentile_approx(F.col(value).cast("double"), at, F.lit(10000)).alias("c")).first()
-    cuts = sorted(set(row.c or [])) if row is not None else []
+def value_bin(df: DataFrame, value: str, name: str, rows: int = 4096, most: int = 1024) -> DataFrame:
+    """Bins of near-equal row count over a numeric column, about ``rows`` rows each and at most ``most`` bins.
+
+    One pass counts the rows and takes quantiles; the driver reads one number per possible bin, ``most`` - 1 at most."""
+    at = F.expr("array(" + ", ".join(f"{i / most}D" for i in range(1, most)) + ")")
+    row = df.agg(F.count(value).alias("n"), F.percentile_approx(F.col(value).cast("double"), at, F.lit(10000)).alias("c")).first()
+    bins = max(1, min(most, (row.n if row is not None else 0) // rows))
+    cuts = sorted({row.c[most * i // bins - 1] for i in range(1, bins)}) if bins > 1 else []
     if not cuts:
         return df.withColumn(name, F.lit(0))
     splits = [float("-inf"), *cuts, float("inf")]
@@ -47,31 +50,52 @@ def scan(df: DataFrame, keys: list[str], bin: str, order: list[str], value: Colu
 
     ``order`` must be consistent with ``bin`` (all rows of a lower bin come first) and total within a key.
     """
-    v = "__value"
-    src = df.withColumn(v, value)
+    return scans(df, keys, bin, order, {name: (value, how)}, inclusive)
+
+
+def scans(df: DataFrame, keys: list[str], bin: str, order: list[str], measures: dict[str, tuple[Column, str]],
+          inclusive: bool = True, totals: dict[str, str] | None = None) -> DataFrame:
+    """Several scans of the same order at once: one window, one row per bin, one join, however many ``measures``.
+
+    ``measures`` maps a new column to its value and kind, as in ``scan``; ``first_after`` looks the other way and
+    goes with none of the other kinds. ``totals`` names, for running sums, a column for the sum over the whole key.
+    """
+    back = {how == "first_after" for _, how in measures.values()}
+    if len(back) != 1:
+        raise ValueError("scans of one order and direction only")
+    back = back.pop()
+    totals = totals or {}
+    names = list(measures)
+    src = df.withColumns({f"__value{i}": measures[n][0] for i, n in enumerate(names)})
     part = [*keys, bin]
-    back = how == "first_after"
     asc = [F.col(c).desc() if back else F.col(c).asc() for c in order]
     w = W.partitionBy(*part).orderBy(*asc).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     bins = W.partitionBy(*keys).orderBy(F.col(bin).desc() if back else F.col(bin).asc()).rowsBetween(W.unboundedPreceding, -1)
-    if how == "sum":
-        local, summary, carry = F.sum(v).over(w), F.sum(v), F.sum("__s").over(bins)
-        joined = F.coalesce(F.col(_LOCAL), F.lit(0)) + F.coalesce(F.col(_CARRY), F.lit(0))
-    elif how == "max":
-        local, summary, carry = F.max(v).over(w), F.max(v), F.max("__s").over(bins)
-        joined = F.greatest(_LOCAL, _CARRY)
-    elif how in ("last", "first_after"):
-        pick = F.min_by if back else F.max_by
-        at = F.struct(*order)
-        local = F.last(v, ignorenulls=True).over(w)
-        summary = pick(F.col(v), F.when(F.col(v).isNotNull(), at))
-        carry = F.last("__s", ignorenulls=True).over(bins)
-        joined = F.coalesce(_LOCAL, _CARRY)
-    else:
-        raise ValueError(how)
-    per_bin = src.groupBy(*part).agg(summary.alias("__s")).withColumn(_CARRY, carry).drop("__s")
-    out = join_null_safe(src.withColumn(_LOCAL, local), per_bin, part, "left")
-    return out.withColumn(name, joined).drop(v, _LOCAL, _CARRY)
+    pick, at = (F.min_by if back else F.max_by), F.struct(*order)
+    local, summary, carry, joined = {}, [], {}, {}
+    for i, n in enumerate(names):
+        v, s, here, before = f"__value{i}", f"__s{i}", f"{_LOCAL}{i}", f"{_CARRY}{i}"
+        how = measures[n][1]
+        if how == "sum":
+            local[here], carry[before] = F.sum(v).over(w), F.sum(s).over(bins)
+            summary.append(F.sum(v).alias(s))
+            joined[n] = F.coalesce(F.col(here), F.lit(0)) + F.coalesce(F.col(before), F.lit(0))
+            if n in totals:
+                carry[totals[n]] = F.sum(s).over(W.partitionBy(*keys))
+        elif how == "max":
+            local[here], carry[before] = F.max(v).over(w), F.max(s).over(bins)
+            summary.append(F.max(v).alias(s))
+            joined[n] = F.greatest(here, before)
+        elif how in ("last", "first_after"):
+            local[here], carry[before] = F.last(v, ignorenulls=True).over(w), F.last(s, ignorenulls=True).over(bins)
+            summary.append(pick(F.col(v), F.when(F.col(v).isNotNull(), at)).alias(s))
+            joined[n] = F.coalesce(here, before)
+        else:
+            raise ValueError(how)
+    helpers = [f"__s{i}" for i in range(len(names))]
+    per_bin = src.groupBy(*part).agg(*summary).withColumns(carry).drop(*helpers)
+    out = join_null_safe(src.withColumns(local), per_bin, part, "left")
+    return out.withColumns(joined).drop(*[f"{x}{i}" for x in ("__value", _LOCAL, _CARRY) for i in range(len(names))])
 
 
 def runs(df: DataFrame, keys: list[str], bin: str, order: list[str], breaks_after: Column, name: str) -> DataFrame:

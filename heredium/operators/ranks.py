@@ -11,30 +11,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import normal_two_sided
-from .ordered import join_null_safe, scan, value_bin
+from .ordered import join_null_safe, scan, scans, value_bin
 
 
 def distribution(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column] | None = None,
                  descending: bool = False) -> DataFrame:
     """Per distinct non-null value: ``cnt``, ``before`` (rows strictly earlier), ``total`` and for each of ``sums``
     its own sum and ``<name>_before``, ``<name>_total``. A NULL key is a key like any other."""
+    return _binned(df, keys, value, sums, descending).drop("__bin", "__neg", "__all")
+
+
+def _binned(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column] | None = None, descending: bool = False) -> DataFrame:
+    """The distribution with the bins it was made in (``__bin``) and, without keys, a constant one (``__all``)."""
     sums = sums or {}
     k = list(keys) or ["__all"]
     d = df.where(F.col(value).isNotNull())
     if not keys:
         d = d.withColumn("__all", F.lit(0))
     d = d.groupBy(*k, value).agg(F.count("*").alias("cnt"), *[F.sum(c).alias(n) for n, c in sums.items()])
-    measures = ["cnt", *sums]
-    names = {"cnt": ("before", "total"), **{n: (f"{n}_before", f"{n}_total") for n in sums}}
     d = value_bin(d, value, "__bin")
     o = value
     if descending:
         o = "__neg"
         d = d.withColumns({"__neg": -F.col(value), "__bin": -F.col("__bin")})
-    totals = d.groupBy(*k).agg(*[F.sum(m).alias(names[m][1]) for m in measures])
-    for m in measures:
-        d = scan(d, k, "__bin", [o], F.col(m), names[m][0], "sum", inclusive=False)
-    return join_null_safe(d, totals, k, "inner").drop("__bin", "__neg", "__all")
+    before = {"before": (F.col("cnt"), "sum"), **{f"{n}_before": (F.col(n), "sum") for n in sums}}
+    return scans(d, k, "__bin", [o], before, inclusive=False, totals={"before": "total", **{f"{n}_before": f"{n}_total" for n in sums}})
 
 
 def rank_desc(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -59,13 +60,9 @@ def empirical_quantile(df: DataFrame, reference: DataFrame, keys: list[str], val
 
 def benjamini_hochberg(df: DataFrame, keys: list[str], p: str) -> DataFrame:
     """Distinct p-values with the step-up ``q``: the smallest p*m/rank over this and larger p-values, at most 1."""
-    d = distribution(df, keys, p)
-    d = d.withColumn("__raw", F.col(p) * F.col("total") / (F.col("before") + F.col("cnt")))
-    k = list(keys) or ["__all"]
-    if not keys:
-        d = d.withColumn("__all", F.lit(0))
-    d = value_bin(d, p, "__bin").withColumns({"__neg": -F.col(p), "__bin": -F.col("__bin")})
-    d = scan(d, k, "__bin", ["__neg"], -F.col("__raw"), "__m", "max")
+    raw = F.col(p) * F.col("total") / (F.col("before") + F.col("cnt"))
+    d = _binned(df, keys, p).withColumns({"__neg": -F.col(p), "__bin": -F.col("__bin"), "__raw": raw})
+    d = scan(d, list(keys) or ["__all"], "__bin", ["__neg"], -F.col("__raw"), "__m", "max")
     return d.withColumn("q", F.least(F.lit(1.0), -F.col("__m"))).drop("__raw", "__m", "__bin", "__neg", "__all")
 
 

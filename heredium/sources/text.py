@@ -22,20 +22,31 @@ def _value(c: Column) -> Column:
     return F.when(~c.isin("", ".", "NA"), c)
 
 
+def _with_names(body: DataFrame, head: DataFrame, salts: int = 64) -> DataFrame:
+    """Adds each file's ``names`` to its rows; the rows of one large file are dealt over ``salts`` keys."""
+    salt = F.pmod(F.xxhash64("f"), F.lit(salts)).cast("int")
+    copies = head.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return body.withColumn("__salt", salt).join(copies, ["file", "__salt"]).drop("__salt")
+
+
+def _named_cells(cells: Column, value: str) -> Column:
+    """One struct per cell with its sample's name, so that the list of names is not carried by every cell."""
+    return F.transform(cells, lambda c, i: F.struct(c.alias(value), F.get("names", i).alias("sample_id")))
+
+
 def parse_vcf(lines: DataFrame) -> DataFrame:
     """One row per (record, sample): key columns, INFO and FORMAT maps. Sample names come from each file's own header."""
     head = lines.where(F.col("line").startswith("#CHROM")).select("file", F.slice(F.split("line", "\t"), 10, 1 << 20).alias("names"))
     f = F.split("line", "\t")
     body = lines.where(~F.col("line").startswith("#")).select("file", f.alias("f"))
     flags = F.transform(F.split(F.col("f")[7], ";"), lambda kv: F.when(kv.contains("="), kv).otherwise(F.concat(kv, F.lit("=1"))))
-    d = body.join(head, "file")
-    d = d.select(
+    d = _with_names(body, head).select(
         "file", F.col("f")[0].alias("chrom"), F.col("f")[1].cast("long").alias("pos"), _value(F.col("f")[2]).alias("id"), F.col("f")[3].alias("ref"), F.col("f")[4].alias("alt"),
         F.col("f")[5].try_cast("double").alias("qual"), F.col("f")[6].alias("filter"), F.when(F.col("f")[7] != ".", F.str_to_map(F.array_join(flags, ";"), F.lit(";"), F.lit("="))).alias("info"),
-        F.split(F.col("f")[8], ":").alias("keys"), F.posexplode(F.slice("f", 10, 1 << 20)).alias("i", "cell"), "names")
-    vals = F.split("cell", ":")
+        F.split(F.col("f")[8], ":").alias("keys"), F.explode(_named_cells(F.slice("f", 10, 1 << 20), "cell")).alias("c"))
+    vals = F.split("c.cell", ":")
     short = F.slice("keys", F.lit(1), F.size(vals))            # trailing FORMAT fields may be left out
-    return d.withColumns({"sample_id": F.get("names", F.col("i")), "fmt": F.map_from_arrays(short, vals)}).drop("keys", "cell", "names", "i")
+    return d.withColumns({"sample_id": F.col("c.sample_id"), "fmt": F.map_from_arrays(short, vals)}).drop("keys", "c")
 
 
 def genotype_rows(records: DataFrame) -> DataFrame:
@@ -129,9 +140,10 @@ def island_profile(lines: DataFrame) -> DataFrame:
     """Long island rows from a profile with one column per sample: matched by island key and column name, never by position."""
     head = lines.where(F.col("line").startswith("chrom\t")).select("file", F.slice(F.split("line", "\t"), 5, 1 << 20).alias("names"))
     f = F.split("line", "\t")
-    d = lines.where(~F.col("line").startswith("chrom\t")).select("file", f.alias("f")).join(head, "file")
-    d = d.select(F.col("f")[0].alias("chrom"), F.col("f")[1].cast("long").alias("start"), F.col("f")[2].cast("long").alias("end"), F.posexplode(F.slice("f", 5, 1 << 20)).alias("i", "v"), "names")
-    return d.select("chrom", "start", "end", F.get("names", F.col("i")).alias("sample_id"), _value(F.col("v")).try_cast("double").alias("value"))
+    d = lines.where(~F.col("line").startswith("chrom\t")).select("file", f.alias("f"))
+    cells = F.explode(_named_cells(F.slice("f", 5, 1 << 20), "v")).alias("c")
+    d = _with_names(d, head).select(F.col("f")[0].alias("chrom"), F.col("f")[1].cast("long").alias("start"), F.col("f")[2].cast("long").alias("end"), cells)
+    return d.select("chrom", "start", "end", "c.sample_id", _value(F.col("c.v")).try_cast("double").alias("value"))
 
 
 def read_catalogue(spark: SparkSession, path: str, schema: str) -> DataFrame:

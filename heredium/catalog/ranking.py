@@ -13,9 +13,10 @@ from .registry import query
 
 
 @query("rank_descending", "W1,C55", f"""WITH {REGION} SELECT sample_id, region_id, rank() OVER w AS rank, round(CASE WHEN count(*) OVER (PARTITION BY sample_id) > 1 THEN (rank() OVER w - 1) / CAST(count(*) OVER (PARTITION BY sample_id) - 1 AS DOUBLE) END, 6) AS pct
-FROM rm WINDOW w AS (PARTITION BY sample_id ORDER BY b DESC)""")
+FROM rm WINDOW w AS (PARTITION BY sample_id ORDER BY round(b, 9) DESC)""")
 def _(t):
-    d = region_table(t)
+    """Means that agree to nine decimals are equal: the last digits of a mean depend on the order of its sum."""
+    d = region_table(t).withColumn("b", F.round("b", 9))
     r = ranks.rank_desc(d, ["sample_id"], "b")
     return d.join(r, ["sample_id", "b"]).select("sample_id", "region_id", "rank", F.round("pct", 6).alias("pct"))
 

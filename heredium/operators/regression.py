@@ -63,7 +63,9 @@ def ols(df: DataFrame, keys: list[str], y: str, xs: list[str], min_rows: int = 5
 
 
 def solve_sums(g: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Least squares from cross-products: ``g`` has the keys, ``n`` and ``s``, the upper triangle over intercept, k - 1 columns and the outcome."""
+    """Least squares from cross-products: ``g`` has the keys, ``n`` and ``s``, the upper triangle over intercept, k - 1 columns and the outcome.
+
+    Where the first column is a combination of the intercept and the others, its ``beta, se, t, p`` are NULL; ``coef`` is the shortest solution."""
     pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in g.select(*keys).schema.fields) + ", n long, beta double, se double, t double, p double, coef array<double>"
 
@@ -80,11 +82,16 @@ def solve_sums(g: DataFrame, keys: list[str], k: int) -> DataFrame:
             beta = np.einsum("nij,nj->ni", inv, xty)
             dof = pdf["n"].to_numpy() - k
             rss = np.maximum(yty - np.einsum("ni,ni->n", beta, xty), 0)
+            others = [i for i in range(k) if i != 1]
+            shared = xtx[:, others, 1]
+            own = xtx[:, 1, 1] - np.einsum("ni,nij,nj->n", shared, np.linalg.pinv(xtx[:, others][:, :, others]), shared)     # what the other columns leave of it
+            slope = np.where(own > 1e-10 * xtx[:, 1, 1], beta[:, 1], np.nan)
             se = np.sqrt(np.maximum(rss / dof * inv[:, 1, 1], 0))
+            se = np.where(np.isnan(slope), np.nan, se)
             with np.errstate(divide="ignore", invalid="ignore"):
-                t = np.where(se > 0, beta[:, 1] / se, np.nan)
+                t = np.where(se > 0, slope / se, np.nan)
             out = pdf[keys].copy()
-            out["n"], out["beta"], out["se"], out["t"] = pdf["n"], beta[:, 1], se, t
+            out["n"], out["beta"], out["se"], out["t"] = pdf["n"], slope, se, t
             out["p"] = np.where(np.isnan(t), np.nan, t_two_sided(np.nan_to_num(t), dof.astype(float)))
             out["coef"] = list(beta)
             yield out

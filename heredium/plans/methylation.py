@@ -209,7 +209,8 @@ def cis_fits(variants: DataFrame, islands: DataFrame, methylation: DataFrame, co
     base = {"1": one} | {c: F.col(c) for c in rest}
     names = list(base)
     island = m.groupBy("region_id").agg(F.count("*").alias("n"), F.struct(*[F.sum(base[x] * base[y]).alias(f"{x}|{y}") for i, x in enumerate(names) for y in names[i:]]).alias("island"))
-    d = pairs.join(v.select("variant_id", "sample_id", F.col("dosage").cast("double").alias("dosage")), "variant_id").join(m, ["region_id", "sample_id"])
+    carried = v.select("variant_id", "arm", "sample_id", F.col("dosage").cast("double").alias("dosage"))     # ids are unique within an arm
+    d = join_null_safe(pairs, carried, ["variant_id", "arm"], "inner").join(m, ["region_id", "sample_id"])
     pair = d.groupBy("region_id", "variant_id", "arm").agg(F.count_if(F.col("dosage") != 0).alias("n_carriers"), F.sum(F.col("dosage") * F.col("dosage")).alias("dd"), F.struct(*[F.sum(F.col("dosage") * base[x]).alias(x) for x in names]).alias("pair"))
     floors = min_carriers if isinstance(min_carriers, dict) else {}
     least = F.lit(min_carriers if not floors else 1)
@@ -233,13 +234,13 @@ def cis_fits(variants: DataFrame, islands: DataFrame, methylation: DataFrame, co
 
 
 def cis_scan(variants: DataFrame, islands: DataFrame, methylation: DataFrame, covariates: list[str], window: int, min_carriers: dict[str, int] | int = 1) -> DataFrame:
-    """Best variant per island and arm from :func:`cis_fits` (largest absolute t, equal ones by id), Bonferroni over the island's tests, then BH over islands of an arm."""
+    """Best variant per island and arm from :func:`cis_fits` (largest absolute t, those that agree to six decimals by id), Bonferroni over the island's tests, then BH over islands of an arm."""
     from ..operators import ranks, selection
 
     fit = cis_fits(variants, islands, methylation, covariates, window, min_carriers).where("p IS NOT NULL AND NOT isnan(p)")
     fit = cut(fit)                                       # read by the counts, the best and the ranks
     tests = fit.groupBy("region_id", "arm").agg(F.count("*").alias("n_tests"))
-    best = selection.best_per_key(fit, ["region_id", "arm"], [-F.round(F.abs("t"), 9), F.col("variant_id")], ["variant_id", "n_carriers", "n", "beta", "se", "t", "p"])
+    best = selection.best_per_key(fit, ["region_id", "arm"], [-F.round(F.abs("t"), 6), F.col("variant_id")], ["variant_id", "n_carriers", "n", "beta", "se", "t", "p"])
     best = best.join(tests, ["region_id", "arm"]).withColumn("p_bonf", F.least(F.lit(1.0), F.col("p") * F.col("n_tests")))
     best = cut(best)
     q = ranks.benjamini_hochberg(best, ["arm"], "p_bonf").select("arm", "p_bonf", "q")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import genotype as g
 from ..operators import panel
 from ..plans import repeats as rp
 from .registry import query
@@ -166,17 +167,17 @@ def _(t):
     return panel.robust_z(region_table(t), ["region_id"], "b").select("sample_id", "region_id", F.round("rz", 5).alias("rz"))
 
 
-@query("transmission_counts", "A26,C41", """WITH t AS (SELECT s.consequence AS cls, c.sample_id AS child_id, p.affected, c.a1 + c.a2 AS c, f.a1 + f.a2 AS f, m.a1 + m.a2 AS m, c.chrom,
+@query("transmission_counts", "A26,C41", f"""WITH t AS (SELECT s.consequence AS cls, c.sample_id AS child_id, p.affected, c.a1 + c.a2 AS c, f.a1 + f.a2 AS f, m.a1 + m.a2 AS m, c.chrom, c.pos,
  least(c.gq, f.gq, m.gq) AS q, least(c.dp, f.dp, m.dp) AS d FROM fx_genotype c JOIN fx_pedigree p ON p.sample_id = c.sample_id AND p.father_id IS NOT NULL JOIN fx_genotype f ON f.sample_id = p.father_id AND f.site_id = c.site_id
  JOIN fx_genotype m ON m.sample_id = p.mother_id AND m.site_id = c.site_id JOIN fx_site s ON s.site_id = c.site_id),
-u AS (SELECT *, CASE WHEN f = 1 AND m = 0 AND chrom <> 'chrX' THEN 'father' WHEN m = 1 AND f = 0 THEN 'mother' END AS parent FROM t WHERE q >= 20 AND d >= 10)
+u AS (SELECT *, CASE WHEN f = 1 AND m = 0 AND (chrom <> 'chrX' OR {' OR '.join(f'pos BETWEEN {lo} AND {hi}' for lo, hi in g.PAR_X)}) THEN 'father' WHEN m = 1 AND f = 0 THEN 'mother' END AS parent FROM t WHERE q >= 20 AND d >= 10)
 SELECT coalesce(cls, 'all') AS cls, coalesce(parent, 'pooled') AS parent, coalesce(CAST(affected AS STRING), 'both') AS affected, CAST(sum(CASE WHEN c > 0 THEN 1 ELSE 0 END) AS BIGINT) AS t, CAST(sum(CASE WHEN c = 0 THEN 1 ELSE 0 END) AS BIGINT) AS nt
 FROM u WHERE parent IS NOT NULL GROUP BY GROUPING SETS ((cls, parent, affected), (cls, affected), (cls))""")
 def _(t):
     from ..operators import trio
     from ..plans.burden import transmission_sets
 
-    # every site of the table is in the trio rows, so X PAR sites (none here) and the rest share one rule
+    # every site of the table is in the trio rows: a father's call in the pseudoautosomal ends of X (sites get there on larger tables) is like an autosome's
     w = trio.trio_wide(t("fx_genotype"), t("fx_pedigree"), ["a1", "a2", "gq", "dp"]).join(t("fx_site").select("site_id", F.col("consequence").alias("cls")), "site_id")
     d = transmission_sets(w, [["cls", "parent", "affected"], ["cls", "affected"], ["cls"]])
     return d.select(F.coalesce("cls", F.lit("all")).alias("cls"), F.coalesce("parent", F.lit("pooled")).alias("parent"), F.coalesce(F.col("affected").cast("string"), F.lit("both")).alias("affected"), "t", "nt")

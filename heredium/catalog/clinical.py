@@ -187,8 +187,12 @@ def _(t):
 TDT = f"""{TRIO}, u AS (SELECT s.symbol, s.consequence, CASE WHEN f_a1 <> f_a2 AND m_a1 + m_a2 = 0 AND t.chrom <> 'chrX' THEN 'father' WHEN m_a1 <> m_a2 AND f_a1 + f_a2 = 0 THEN 'mother' END AS parent, CASE WHEN c_a1 + c_a2 > 0 THEN 1 ELSE 0 END AS tr FROM trio t JOIN fx_site s ON s.site_id = t.site_id WHERE least(c_gq, f_gq, m_gq) >= 20 AND least(c_dp, f_dp, m_dp) >= 10),
 cn AS (SELECT symbol, CAST(sum(tr) AS BIGINT) AS t, CAST(sum(1 - tr) AS BIGINT) AS nt FROM u WHERE parent IS NOT NULL GROUP BY symbol)"""
 
+#: The rule of ``trio.transmission_flags``: a father's calls in the pseudoautosomal ends of X are those of an autosome (sites get there on larger tables).
+_NOT_X, _NOT_X_BUT_PAR = "AND t.chrom <> 'chrX' THEN", f"AND (t.chrom <> 'chrX' OR {' OR '.join(f't.pos BETWEEN {lo} AND {hi}' for lo, hi in g.PAR_X)}) THEN"
+TDT_PAR = TDT.replace(_NOT_X, _NOT_X_BUT_PAR)
 
-@query("gene_transmission_tests", "C41,M3", f"""WITH {TDT}, b AS (SELECT cn.*, t + nt AS n, least(t, nt) AS lo FROM cn), p AS (SELECT symbol, t, nt, n, sum(CASE WHEN i <= lo THEN exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)) ELSE 0 END) AS tail FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM b) x GROUP BY 1, 2, 3, 4)
+
+@query("gene_transmission_tests", "C41,M3", f"""WITH {TDT_PAR}, b AS (SELECT cn.*, t + nt AS n, least(t, nt) AS lo FROM cn), p AS (SELECT symbol, t, nt, n, sum(CASE WHEN i <= lo THEN exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)) ELSE 0 END) AS tail FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM b) x GROUP BY 1, 2, 3, 4)
 SELECT symbol, t, nt, round(t / CAST(n AS DOUBLE), 6) AS t_frac, round(least(1, 2 * tail), 6) AS p_tail FROM p""")
 def _(t):
     w = trio.trio_wide(t("fx_genotype"), t("fx_pedigree"), ["a1", "a2", "gq", "dp"]).join(t("fx_site").select("site_id", "symbol"), "site_id")
@@ -243,7 +247,7 @@ def imprinted_arms(t):
     return burden.expressed_arms(w, genes.withColumn("expressed", F.when(part == 0, "Maternal").when(part == 1, "Paternal").otherwise("Isoform")), g.rare(F.col("gnomad_af"), 0.001))
 
 
-@query("imprinted_transmission_ranked", "C41,M3", f"""WITH {IMPRINTED}, r AS (SELECT * FROM arm WHERE variant_set = 'rare' AND t + nt > 0), b AS (SELECT lo, n, p FROM {_TAILS.format('r')})
+@query("imprinted_transmission_ranked", "C41,M3", f"""WITH {IMPRINTED.replace(_NOT_X, _NOT_X_BUT_PAR)}, r AS (SELECT * FROM arm WHERE variant_set = 'rare' AND t + nt > 0), b AS (SELECT lo, n, p FROM {_TAILS.format('r')})
 SELECT rank() OVER (ORDER BY round(ln(p), 9)) AS rank, symbol, tested, t, nt, silenced_t, silenced_nt, sib_t, sib_nt, round(p + 1e-9, 6) AS p, round(least(1, p * count(*) OVER ()) + 1e-9, 6) AS bonferroni_p, flag FROM r JOIN b ON b.lo = least(t, nt) AND b.n = t + nt""")
 def _(t):
     d = burden.ranked_arms(imprinted_arms(t))

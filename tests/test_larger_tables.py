@@ -1,6 +1,7 @@
 """Results that only larger tables reach: ties of means, dosages all samples share, sites in the pseudoautosomal ends."""
 
 import duckdb
+import pytest
 
 import __spark_entry__ as entry
 from heredium.plans import methylation as me
@@ -39,3 +40,15 @@ def test_dosage_all_samples_share_has_no_effect(spark):
     assert all(got[x].t is not None for x in (("SNV", 3), ("TR", 3)))
     best = {r.arm: r for r in me.cis_scan(var, isl, meth, ["age"], 0, {"SNV": 3, "TR": 3}).collect()}
     assert (best["SNV"].variant_id, best["SNV"].n_tests, best["TR"].n_tests) == (3, 1, 1)
+
+
+@pytest.mark.parametrize("name", ["gene_transmission_tests", "imprinted_transmission_ranked", "transmission_counts"])
+def test_fathers_transmit_in_the_pseudoautosomal_ends(spark, tmp_path, name):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i AS s_suppkey FROM range(80) r(i)) TO '{tmp_path}/supplier.parquet' (FORMAT parquet)")
+    con.execute(f"""COPY (SELECT i AS p_partkey, concat('Brand#', 1 + i % 3) AS p_brand, CASE i % 2 WHEN 0 THEN 'PROMO' ELSE 'SMALL' END AS p_type, CAST(1 + i % 50 AS INT) AS p_size
+                    FROM range(152000, 153400) r(i) WHERE i % 23 = 22) TO '{tmp_path}/part.parquet' (FORMAT parquet)""")      # X alone, 14 sites in its second end
+    con.execute(f"COPY (SELECT s_suppkey AS l_suppkey, p_partkey AS l_partkey FROM '{tmp_path}/supplier.parquet', '{tmp_path}/part.parquet') TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    got = same_as_sql(spark, tmp_path, name)
+    if name == "transmission_counts":
+        assert sum(r.t + r.nt for r in got if r.parent == "father") > 0

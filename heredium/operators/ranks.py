@@ -15,20 +15,20 @@ from .ordered import join_null_safe, scan, scans, value_bin
 
 
 def distribution(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column] | None = None,
-                 descending: bool = False) -> DataFrame:
+                 descending: bool = False, weight: str | None = None) -> DataFrame:
     """Per distinct non-null value: ``cnt``, ``before`` (rows strictly earlier), ``total`` and for each of ``sums``
-    its own sum and ``<name>_before``, ``<name>_total``. A NULL key is a key like any other."""
-    return _binned(df, keys, value, sums, descending).drop("__bin", "__neg", "__all")
+    its own sum and ``<name>_before``, ``<name>_total``. A NULL key is a key like any other. A row counts ``weight`` times."""
+    return _binned(df, keys, value, sums, descending, weight).drop("__bin", "__neg", "__all")
 
 
-def _binned(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column] | None = None, descending: bool = False) -> DataFrame:
+def _binned(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column] | None = None, descending: bool = False, weight: str | None = None) -> DataFrame:
     """The distribution with the bins it was made in (``__bin``) and, without keys, a constant one (``__all``)."""
     sums = sums or {}
     k = list(keys) or ["__all"]
     d = df.where(F.col(value).isNotNull())
     if not keys:
         d = d.withColumn("__all", F.lit(0))
-    d = d.groupBy(*k, value).agg(F.count("*").alias("cnt"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    d = d.groupBy(*k, value).agg((F.sum(weight) if weight else F.count("*")).alias("cnt"), *[F.sum(c).alias(n) for n, c in sums.items()])
     d = value_bin(d, value, "__bin")
     o = value
     if descending:
@@ -75,9 +75,10 @@ def precision_recall(df: DataFrame, keys: list[str], score: str, label: str) ->
                           "fpr": F.when(neg > 0, (n - tp) / neg)})
 
 
-def auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
-    """ROC-AUC by ranks (ties count half), average precision over distinct scores, Brier score when scores are in [0,1]."""
-    d = distribution(df, keys, score, {"pos": F.col(label).cast("long")}, descending=True)
+def auc(df: DataFrame, keys: list[str], score: str, label: str, weight: str | None = None) -> DataFrame:
+    """ROC-AUC by ranks (ties count half), average precision over distinct scores, Brier score when scores are in [0,1]. A row counts ``weight`` times."""
+    pos = F.col(label).cast("long") * (F.col(weight) if weight else F.lit(1))
+    d = distribution(df, keys, score, {"pos": pos}, descending=True, weight=weight)
     neg, neg_total = F.col("cnt") - F.col("pos"), F.col("total") - F.col("pos_total")
     neg_before = F.col("before") - F.col("pos_before")
     wins = F.col("pos") * (neg_total - neg_before - neg) + F.col("pos") * neg / 2

@@ -169,25 +169,31 @@ def calibrate(df: DataFrame, score: str, label: str) -> DataFrame:
 def permutation_importance(df: DataFrame, families: dict[str, list[str]], score, label: str, seed: int = 7, shuffles: int = 3) -> DataFrame:
     """Loss of ROC-AUC when a block of columns is shuffled across rows: mean and range over ``shuffles`` shuffles.
 
-    ``score`` adds a column ``score`` to a frame: a formula or a fitted model. Rows (``id`` is unique) are numbered in two orders of md5 text
-    by a binned running count and matched by number, so a shuffle is one join and no ordering runs in one task.
+    ``score`` adds a column ``score`` to a frame without ``id``: a formula or a fitted model. Rows (``id`` is unique) are numbered in two orders
+    of md5 text by a binned running count and matched by number, so no ordering runs in one task. All families of a shuffle share its two orders
+    and its join; only scores with their counts are kept. ``df`` is read twice for every order: cut it if it is dear to make.
     """
-    df = cut(df)
-
-    def numbered(d: DataFrame, s: int, name: str) -> DataFrame:
-        h = d.withColumns({"__h": F.md5(F.concat_ws(":", F.lit(str(s)), F.col("id").cast("string"))), "__all": F.lit(0)}).withColumn("__b", F.conv(F.substring("__h", 1, 2), 16, 10).cast("int"))
-        return ordered.scan(h, ["__all"], "__b", ["__h", "id"], F.lit(1), name, "sum").drop("__h", "__all", "__b")
-
-    def rows(d: DataFrame, fam: str, shuffle: int) -> DataFrame:
-        return score(d).select("score", label, F.lit(fam).alias("family"), F.lit(shuffle).alias("shuffle"))
-
-    every = rows(df, "", 0)
-    for fam, cols in families.items():
-        for i in range(shuffles):
-            donors = numbered(df.select("id", *cols), seed + 2 * i, "__i").drop("id")
-            hosts = numbered(df.drop(*cols), seed + 2 * i + 1, "__i")
-            every = every.unionByName(rows(hosts.join(donors, "__i"), fam, i))
-    a = cut(ranks.auc(every, ["family", "shuffle"], "score", label).select("family", "shuffle", "roc_auc"))        # a row a family and shuffle
+    moved = list(dict.fromkeys(c for cols in families.values() for c in cols))
+    kept = [c for c in df.columns if c != "id"]
+
+    def numbered(s: int, cols: dict[str, str]) -> DataFrame:
+        # the sixteen bytes order as their hex text does; unique ids have no equal ones, so the id itself need not travel
+        h = df.select(F.unhex(F.md5(F.concat_ws(":", F.lit(str(s)), F.col("id").cast("string")))).alias("__h"), *[F.col(c).alias(n) for c, n in cols.items()])
+        h = h.withColumns({"__all": F.lit(0), "__b": F.conv(F.hex(F.substring("__h", 1, 1)), 16, 10).cast("int")})
+        return ordered.scan(h, ["__all"], "__b", ["__h", *cols.values()], F.lit(1), "__i", "sum").drop("__h", "__all", "__b")
+
+    def scored(d: DataFrame) -> DataFrame:
+        return score(d).groupBy("family", "shuffle", "score", label).agg(F.count("*").alias("n"))
+
+    every = scored(df.select(F.lit("").alias("family"), F.lit(0).alias("shuffle"), *kept))
+    for i in range(shuffles):
+        donors = numbered(seed + 2 * i, {c: f"__o_{c}" for c in moved})
+        both = numbered(seed + 2 * i + 1, {c: c for c in kept}).join(donors, "__i")
+        as_in = [F.struct(F.lit(fam).alias("family"), *[F.col(f"__o_{c}" if c in cols else c).alias(c) for c in moved]) for fam, cols in families.items()]
+        d = both.withColumn("__f", F.explode(F.array(*as_in)))
+        every = every.unionByName(scored(d.select("__f.*", F.lit(i).alias("shuffle"), *[c for c in kept if c not in moved])))
+    every = cut(every)                                   # read by the cut points and the curves
+    a = cut(ranks.auc(every, ["family", "shuffle"], "score", label, "n").select("family", "shuffle", "roc_auc"))        # a row a family and shuffle
     base = a.where("family = ''").select(F.col("roc_auc").alias("base"))
     d = a.where("family <> ''").crossJoin(F.broadcast(base)).withColumn("loss", F.col("base") - F.col("roc_auc"))
     return d.groupBy("family").agg(F.avg("roc_auc").alias("auc"), F.avg("loss").alias("importance"), F.min("loss").alias("least"), F.max("loss").alias("most"))

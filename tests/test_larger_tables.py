@@ -3,7 +3,11 @@
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from heredium.operators import ordered
+from heredium.plans import learning as ml
 from heredium.plans import methylation as me
 from heredium.tables import BASE
 from tests.conftest import SF
@@ -52,3 +56,25 @@ def test_fathers_transmit_in_the_pseudoautosomal_ends(spark, tmp_path, name):
     got = same_as_sql(spark, tmp_path, name)
     if name == "transmission_counts":
         assert sum(r.t + r.nt for r in got if r.parent == "father") > 0
+
+
+def test_families_of_a_shuffle_share_its_join(spark):
+    d = spark.createDataFrame([(i, i % 7 / 7, i % 5 / 5, i % 3 / 3, int(i % 7 > 3)) for i in range(60)], "id long, a double, b double, c double, label int")
+    seen = []
+    got = ml.permutation_importance(d, {"a": ["a"], "b": ["b", "c"]}, lambda x: seen.append(x.columns) or x.withColumn("score", F.col("a") + 0 * F.col("b")), "label").collect()
+    assert len(seen) == 4 and {r.family: r.importance > 0 for r in got} == {"a": True, "b": False}         # the rows as they are and three shuffles
+
+
+def test_a_scan_moves_its_rows_once(spark):
+    d = spark.createDataFrame([(None, 0, 1), (None, 0, 2), (None, 1, 3), (1, 0, 4), (1, 2, 5)], "k int, b int, v long")
+    before = {x: spark.conf.get(x) for x in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = ordered.scan(d, ["k"], "b", ["v"], F.col("v"), "r", "sum")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.k or 0, r.v, r.r) for r in out.collect()) == [(0, 1, 1), (0, 2, 3), (0, 3, 6), (1, 4, 4), (1, 5, 9)]
+    finally:
+        for x, v in before.items():
+            spark.conf.set(x, v)
+    assert plan.count("Exchange hashpartitioning") == 4       # the rows, and three of one row a bin

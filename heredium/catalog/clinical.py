@@ -29,7 +29,7 @@ def _(t):
 SELECT d.child_id, d.site_id, CASE WHEN s.consequence IN {LOF} THEN CASE WHEN s.s_het >= 0.18 THEN 'LoF_1' WHEN s.s_het >= 0.03 THEN 'LoF_2' ELSE 'LoF_3' END WHEN s.consequence = 'missense_variant' THEN CASE coalesce((s.s_het > 0.05)::INT, 0) + coalesce((s.s_het > 0.1)::INT, 0) + coalesce((s.s_het > 0.2)::INT, 0) + coalesce((s.s_het > 0.3)::INT, 0) WHEN 4 THEN 'missense_1' WHEN 3 THEN 'missense_2' WHEN 2 THEN 'missense_3' WHEN 1 THEN 'missense_4' ELSE 'missense_0' END ELSE 'other' END AS tier
 FROM d JOIN fx_site s ON s.site_id = d.site_id WHERE coalesce(s.gnomad_af, -1) < 0.001""")
 def _(t):
-    w = trio.trio_wide(t("fx_genotype"), t("fx_pedigree"), ["a1", "a2"]).where(trio.het("c") & trio.hom_ref("f") & trio.hom_ref("m"))
+    w = trio.trio_where(t("fx_genotype"), t("fx_pedigree"), F.expr("a1 <> a2"), F.expr("a1 = 0 AND a2 = 0"), ["a1", "a2"], ["site_id"], ["a1", "a2"])
     return tiering.denovo_tiers(w.select("child_id", "site_id"), t("fx_site"), ["site_id"], 0.001).select("child_id", "site_id", "tier")
 
 

@@ -122,8 +122,7 @@ def _(t):
 @query("siblings_shared", "U3,C25", f"""WITH {TRIO}, d AS (SELECT child_id, family_id, site_id FROM trio WHERE c_a1 + c_a2 > 0 AND f_a1 + f_a2 < 2 AND m_a1 + m_a2 < 2)
 SELECT a.family_id, count(*) AS n_shared FROM d a JOIN d b ON a.family_id = b.family_id AND a.site_id = b.site_id AND a.child_id < b.child_id GROUP BY 1""")
 def _(t):
-    w = trio.trio_wide(t("fx_genotype"), t("fx_pedigree"), ["a1", "a2"])
-    d = w.where(trio.carries("c") & (F.col("f_a1") + F.col("f_a2") < 2) & (F.col("m_a1") + F.col("m_a2") < 2))
+    d = trio.trio_where(t("fx_genotype"), t("fx_pedigree"), F.expr("a1 > 0 OR a2 > 0"), F.expr("a1 + a2 < 2"), ["a1", "a2"], ["site_id"], ["a1", "a2"])
     odd = F.col("child_id") % 2
     a, b = d.where(odd == 0).select("family_id", "site_id"), d.where(odd == 1).select("family_id", "site_id")
     return a.intersect(b).groupBy("family_id").agg(F.count("*").alias("n_shared"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,13 +92,42 @@ def model(name: str, params: dict | None = None, seed: int = 1):
     return LogisticRegression(**kw, **(LOGISTIC if params is None else params))
 
 
+# Fixed value: parts into which rows that share features, label and weight are dealt before a fit that draws rows.
+SHARES = 64
+
+
+def distinct_rows(df: DataFrame, cols: list[str], shares: int = 1) -> DataFrame:
+    """Features, ``label`` and the summed ``weight`` of rows equal in them; ``shares`` > 1 keeps up to as many parts of each, dealt by a hash of the whole row."""
+    part = F.pmod(F.xxhash64(*sorted(df.columns)), F.lit(shares)) if shares > 1 else F.lit(0)
+    d = df.groupBy(*cols, "label", part.alias("__part")).agg(F.sum("weight").alias("weight"))
+    return d.drop("__part").repartition(df.sparkSession.sparkContext.defaultParallelism)       # few rows, read by every round
+
+
 def fit(df: DataFrame, cols: list[str], name: str, params: dict | None = None, seed: int = 1):
-    return Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="x"), model(name, params, seed)]).fit(df)
+    """A fitted pipeline. Every round of a fit reads all rows, so rows equal in features and label go in once with their summed weight.
+
+    The logistic model is the same for it, as its features are scaled by the deviations of all rows. Boosted trees count rows in ``minInstancesPerNode``; where all weights are one value that is a share
+    of the total weight, otherwise their rows go in as they are. What a round leaves out by ``subsamplingRate`` is then one of ``SHARES`` parts of such rows."""
+    est = model(name, params, seed)
+    stages = [VectorAssembler(inputCols=cols, outputCol="x")]
+    if name == "logistic":
+        every = stages[0].transform(df.select(*cols, "weight")).agg(Summarizer.std(F.col("x"), F.col("weight")).alias("s")).first()
+        df = cut(distinct_rows(df, cols))
+        if est.getStandardization() and every.s is not None:                                       # the deviation of summed weights is another one
+            stages = [VectorAssembler(inputCols=cols, outputCol="__raw"), ElementwiseProduct(scalingVec=[1 / v if v else 0.0 for v in every.s], inputCol="__raw", outputCol="x")]
+            est = est.setStandardization(False)
+    elif name == "boosted":
+        w = df.agg(F.min("weight").alias("lo"), F.max("weight").alias("hi"), F.count("*").alias("n")).first()
+        least = est.getMinInstancesPerNode() / max(w.n, 1)
+        if w.n and w.lo == w.hi and least < 0.5:
+            df = cut(distinct_rows(df, cols, SHARES if est.getSubsamplingRate() < 1 else 1))
+            est = est.setMinInstancesPerNode(1).setMinWeightFractionPerNode(least * (1 - 1e-9))       # the weights of so many rows, whatever their sum is rounded to
+    return Pipeline(stages=[*stages, est]).fit(df)
 
 
 def predict(fitted, df: DataFrame) -> DataFrame:
     """Adds ``p``, the probability of label 1."""
-    return fitted.transform(df).withColumn("p", vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
+    return fitted.transform(df).withColumn("p", vector_to_array("probability")[1]).drop("x", "__raw", "rawPrediction", "probability", "prediction")
 
 
 def weighted(train: DataFrame) -> DataFrame:

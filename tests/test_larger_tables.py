@@ -88,3 +88,14 @@ def test_tested_before_moving_equals_tested_after(spark):
     got = trio.trio_where(calls, pedigree, *trio.denovo_tests(0, 0), ["gq", "dp"]).select(cols)
     assert sorted(map(str, got.collect())) == sorted(map(str, want)) and want            # a NULL in the allele key meets a NULL
     assert "max(" not in got._jdf.queryExecution().executedPlan().toString()   # no trio rows are built
+
+
+def test_equal_rows_enter_a_fit_once_and_change_nothing(spark):
+    d = spark.createDataFrame([(i, float(i % 6), float(i % 4), int((i * i) % 7 > 2), 1.0) for i in range(900)], "id long, a double, b double, label int, weight double")
+    assert ml.distinct_rows(d, ["a", "b"]).count() <= 12 * 2 and ml.distinct_rows(d, ["a", "b"], 4).agg(F.sum("weight")).first()[0] == 900
+    for name, params in (("logistic", {"maxIter": 200, "regParam": 0.01, "tol": 1e-9}), ("boosted", {"maxDepth": 2, "stepSize": 0.2, "maxIter": 3, "minInstancesPerNode": 80})):
+        plain = ml.Pipeline(stages=[ml.VectorAssembler(inputCols=["a", "b"], outputCol="x"), ml.model(name, params)]).fit(d)
+        fitted = ml.fit(d, ["a", "b"], name, params)
+        want = {r.id: r.p for r in ml.predict(plain, d).collect()}
+        got = {r.id: r.p for r in ml.predict(fitted, d).collect()}
+        assert len(set(want.values())) > 2 and all(abs(got[i] - want[i]) < 1e-6 for i in want)

@@ -35,7 +35,7 @@ def canonical_allele(pos: Column, ref: Column, alt: Column) -> Column:
 
 def parse_gt(gt: Column) -> Column:
     """struct(alleles, phased): ``alleles`` is NULL when any allele is missing."""
-    parts = F.split(F.regexp_replace(gt, r"\|", "/"), "/")
+    parts = F.split(F.translate(gt, "|", "/"), "/")
     alleles = F.transform(parts, lambda x: x.try_cast("int"))
     missing = F.exists(alleles, lambda x: x.isNull())
     return F.struct(F.when(~missing, alleles).alias("alleles"), gt.contains("|").alias("phased"))

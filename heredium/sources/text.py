@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import genotype as g
+from ..storage import cut
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -22,11 +23,10 @@ def _value(c: Column) -> Column:
     return F.when(~c.isin("", ".", "NA"), c)
 
 
-def _with_names(body: DataFrame, head: DataFrame, salts: int = 64) -> DataFrame:
-    """Adds each file's ``names`` to its rows; the rows of one large file are dealt over ``salts`` keys."""
-    salt = F.pmod(F.xxhash64("f"), F.lit(salts)).cast("int")
-    copies = head.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return body.withColumn("__salt", salt).join(copies, ["file", "__salt"]).drop("__salt")
+def _with_names(body: DataFrame, head: DataFrame) -> DataFrame:
+    """Adds each file's ``names`` to its rows. Headers are written first, so that Spark knows their size: few of them go to
+    the rows where those are; otherwise the rows move, and adaptive execution splits those of one large file."""
+    return body.join(cut(head), "file")
 
 
 def _named_cells(cells: Column, value: str) -> Column:
@@ -39,10 +39,10 @@ def parse_vcf(lines: DataFrame) -> DataFrame:
     head = lines.where(F.col("line").startswith("#CHROM")).select("file", F.slice(F.split("line", "\t"), 10, 1 << 20).alias("names"))
     f = F.split("line", "\t")
     body = lines.where(~F.col("line").startswith("#")).select("file", f.alias("f"))
-    flags = F.transform(F.split(F.col("f")[7], ";"), lambda kv: F.when(kv.contains("="), kv).otherwise(F.concat(kv, F.lit("=1"))))
+    info = F.transform_values(F.str_to_map(F.col("f")[7], F.lit(";"), F.lit("=")), lambda k, v: F.coalesce(v, F.lit("1")))       # a flag has no value
     d = _with_names(body, head).select(
         "file", F.col("f")[0].alias("chrom"), F.col("f")[1].cast("long").alias("pos"), _value(F.col("f")[2]).alias("id"), F.col("f")[3].alias("ref"), F.col("f")[4].alias("alt"),
-        F.col("f")[5].try_cast("double").alias("qual"), F.col("f")[6].alias("filter"), F.when(F.col("f")[7] != ".", F.str_to_map(F.array_join(flags, ";"), F.lit(";"), F.lit("="))).alias("info"),
+        F.col("f")[5].try_cast("double").alias("qual"), F.col("f")[6].alias("filter"), F.when(F.col("f")[7] != ".", info).alias("info"),
         F.split(F.col("f")[8], ":").alias("keys"), F.explode(_named_cells(F.slice("f", 10, 1 << 20), "cell")).alias("c"))
     vals = F.split("c.cell", ":")
     short = F.slice("keys", F.lit(1), F.size(vals))            # trailing FORMAT fields may be left out

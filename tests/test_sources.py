@@ -2,9 +2,12 @@ import gzip
 
 from pyspark.sql import functions as F
 
+from heredium.catalog import quality
 from heredium.operators.trio import complete_trios
 from heredium.plans.consequence import coding_consequence
 from heredium.sources import sinks, text
+from heredium.tables import Tables
+from tests.conftest import SF
 
 VCF = "\n".join([
     "##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tkid\tdad",
@@ -83,3 +86,11 @@ def test_coding_consequence(spark):
     assert got[5][0] == "frameshift" and got[6][0] == "inframe_indel" and got[7][0] == "splice_donor_acceptor" and got[8][0] == "splice_region" and got[9][0] == "splice_indel"
     assert got[10] == ("missense", "p.A2T") and got[11] == ("stop_loss", "p.*3K")
     assert got[5][1] == "c.4fs" and got[6][1] == "c.4del3" and got[8][1] == "96A>C" and got[9][1] == "109AC>A"
+
+
+def test_composed_lines_are_made_once(spark):
+    lines = quality.vcf_lines(Tables(spark, SF))
+    assert lines.count() > 0 and not any("lineitem" in f for f in lines.inputFiles())       # a written table, not the derivation of its rows
+    d = text.parse_vcf(spark.createDataFrame([("f", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta"), ("f", "1\t5\t.\tA\tC\t.\t.\tAC=1;DB;E=;N=a=b\tGT\t0/1")], "file string, line string"))
+    assert "BroadcastHashJoin" in d._jdf.queryExecution().executedPlan().toString()         # headers go to the rows, rows do not move
+    assert d.first()["info"] == {"AC": "1", "DB": "1", "E": "", "N": "a=b"}

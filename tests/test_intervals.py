@@ -123,3 +123,17 @@ def test_nearest_segment_prefers_inside(spark, rows):
     s = spark.createDataFrame([("c", 100, 200, "in"), ("c", 250, 300, "near"), ("c", 90_000, 90_100, "far")], "chrom string, b_start long, b_end long, name string")
     q = spark.createDataFrame([(1, "c", 200), (2, "c", 240), (3, "c", 50_000)], "q int, chrom string, pos long")
     assert rows(iv.nearest_segment(q, s, ["q"], 30_000, ["name"]), "q", "name", "seg_dist") == [(1, "in", 0), (2, "near", 10)]
+
+
+def test_reads_move_not_their_bins(spark):
+    r = spark.createDataFrame([(i % 3, 1_020_000 + 900 * i, 1_027_500 + 900 * i, "ab"[i % 2]) for i in range(60)], "s int, ref_start long, ref_end long, cls string")
+    d = iv.binned_coverage(r, ["s"], "cls", ["a", "b"])
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_COL" in plan          # the one that moves the reads
+    want = {}
+    for x in r.collect():
+        for p in range(x.ref_start, x.ref_end, 100):
+            k = (x.s, p // 1000 * 1000, x.cls)
+            want[k] = want.get(k, 0) + 100
+    got = {(x.s, x.start, c): x[f"dp_{c}"] * 1000 for x in d.collect() for c in "ab" if x[f"dp_{c}"]}       # the cell ends at 1,024,000
+    assert got == want

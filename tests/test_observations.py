@@ -108,3 +108,27 @@ def test_repeat_reads_by_role(spark):
     d = spark.createDataFrame(rows, "read_id string, sample_id long, trid string, query_length long, flanks array<long>, hp int, ps long, mapq int, nm long, clipped long, supplementary int")
     got = {x.read_id: x.support for x in ob.repeat_observations(q, members(spark, 1), d).collect()}
     assert got == {"a": "ALT", "b": "REF", "c": "AMB", "d": "AMB", "e": "ALT", "f": "ALT", "g": "AMB"}     # the father's 58 leaves no tolerance
+
+
+def test_sites_of_a_batch_are_answered_like_single_ones(spark):
+    import random
+
+    draw = random.Random(5)
+    sites, rows = [], []
+    for c in range(40):
+        snv, at = c % 2 == 0, 100 + draw.randrange(60)
+        sites.append((c, "chr1", at, at, "A" if snv or c % 4 == 1 else "ACG", draw.choice("CGT") if snv else "ATT" if c % 4 == 1 else "A", "SNV" if snv else "INDEL"))
+    for n in range(60):
+        cigar = "".join(f"{draw.randrange(1, 9)}{op}" for op in ["S"] * (n % 2) + [draw.choice("MMMMIDN=X") for _ in range(draw.randrange(1, 30))])
+        rows.append((f"r{n:02}", 1, 90 + draw.randrange(30), cigar, None if n == 7 else "".join(draw.choices("ACGT", k=draw.randrange(40, 200))), 1, 0, None))
+    rows.append(("none", 1, 90, "", "ACGT", 1, 0, None))
+    q = spark.createDataFrame(sites, "cand long, chrom string, start long, end long, ref string, alt string, variant_class string")
+    r = reads(spark, rows)
+    both = spark.createDataFrame([(c, role, 1) for c in range(40) for role in "FM"], "cand long, role string, sample_id long")     # one sample in two roles
+    got = {(x.cand, x.role, x.read_id): x.support for x in ob.point_observations(q, both, r).collect()}
+    ops = rd.placed(F.col("cigar"), F.col("ref_start"))
+    end, reach = F.col("ref_start") + rd.reference_span(F.col("cigar")), F.when(F.col("variant_class") == "SNV", 0).otherwise(3)
+    pairs = r.crossJoin(q.drop("chrom")).where(rd.spans(F.col("ref_start"), end, F.col("start") - reach, F.col("end") + reach))
+    said = F.when(F.col("variant_class") == "SNV", rd.support_snv(rd.base_at(ops, F.col("seq"), F.col("start")), F.col("ref"), F.col("alt"))).otherwise(rd.support_indel(rd.indel_at(ops, F.col("start")), F.lit(True), F.col("ref"), F.col("alt")))
+    want = {(x.cand, role, x.read_id): x.said for x in pairs.select("cand", "read_id", said.alias("said")).collect() for role in "FM"}
+    assert got == want and {"ALT", "REF", "AMB"} == set(want.values()) and len(want) > 400

@@ -116,11 +116,15 @@ def genetic_sex(genotypes: DataFrame, male_below: float) -> DataFrame:
     return d.withColumn("genetic_sex", F.when(F.col("x_het") < male_below, "M").otherwise("F"))
 
 
+def nested_arms(h1: Column, max_af: float = 0.001, max_recurrence: int = 3) -> tuple[Column, Column, Column]:
+    """The first arm, and the two that also ask the site and the cohort."""
+    h2 = h1 & (F.col("mask_overlap") == 0) & g.rare(F.col("gnomad_af"), max_af)
+    return h1, h2, h2 & (F.coalesce("founder_recurrence_loo", F.lit(0)) < max_recurrence) & (F.col("sib_shared") == 0)
+
+
 def small_variant_arms(wide: DataFrame, max_af: float = 0.001, max_recurrence: int = 3) -> DataFrame:
     """Three nested heuristic arms with pass flags; the sweep score is the child's genotype quality."""
-    h1 = F.coalesce(trio.denovo_predicate(), F.lit(False))
-    h2 = h1 & (F.col("mask_overlap") == 0) & g.rare(F.col("gnomad_af"), max_af)
-    h3 = h2 & (F.coalesce("founder_recurrence_loo", F.lit(0)) < max_recurrence) & (F.col("sib_shared") == 0)
+    h1, h2, h3 = nested_arms(F.coalesce(trio.denovo_predicate(), F.lit(False)), max_af, max_recurrence)
     out = wide.withColumns({"h1_pass": h1, "h2_pass": h2, "h3_pass": h3})
     return out.withColumns({f"h{i}_score": F.when(F.col(f"h{i}_pass"), F.col("c_gq")).otherwise(F.col("c_gq") - 1e6) for i in (1, 2, 3)})
 

@@ -90,6 +90,18 @@ def test_tested_before_moving_equals_tested_after(spark):
     assert "max(" not in got._jdf.queryExecution().executedPlan().toString()   # no trio rows are built
 
 
+def test_counted_trios_are_a_key_and_three_numbers(spark):
+    t = Tables(spark, SF)
+    calls = t("fx_genotype").withColumn("ref", F.when(F.col("site_id") % 3 > 0, F.col("ref"))).where("slot <> 1 OR site_id % 5 > 0")     # NULLs in the key, mothers without a row
+    n = F.col("a1") + F.col("a2")
+    want = trio.trio_wide(calls, t("fx_pedigree")).selectExpr("child_id", *trio.SITE, "c_a1 + c_a2 AS c", "f_dp AS f", "m_dp AS m")
+    got = trio.trio_codes(calls, t("fx_pedigree"), n, F.col("dp"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where("m IS NULL").count() > 0
+    for name in ("domain_restriction", "heuristic_arms", "relatedness"):
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("max(") == 4 and "affected" not in plan          # the child's row, and three numbers
+
+
 def test_equal_rows_enter_a_fit_once_and_change_nothing(spark):
     d = spark.createDataFrame([(i, float(i % 6), float(i % 4), int((i * i) % 7 > 2), 1.0) for i in range(900)], "id long, a double, b double, label int, weight double")
     assert ml.distinct_rows(d, ["a", "b"]).count() <= 12 * 2 and ml.distinct_rows(d, ["a", "b"], 4).agg(F.sum("weight")).first()[0] == 900

@@ -76,7 +76,9 @@ def origin_age_fits(calls: DataFrame, ages: DataFrame, sources: list[str]) -> Da
     for s in sources:
         fits += [fit(s, "paternal", "father", f"{s}_paternal"), fit(s, "maternal", "mother", f"{s}_maternal"), fit(s, "maternal", "father", f"{s}_maternal")]
     long = d.select(F.inline(F.array(*fits)))
-    moved = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
-    return long.groupBy("source", "origin", "age_of").agg(
-        F.count("*").alias("n"), F.sum("y").cast("long").alias("n_calls"),
-        F.when(moved, F.corr("x", "y")).otherwise(0.0).alias("r"), F.when(moved, F.regr_slope("y", "x")).otherwise(0.0).alias("slope"))
+    d = long.groupBy("source", "origin", "age_of").agg(
+        F.count("*").alias("n"), F.sum("y").cast("long").alias("n_calls"), F.covar_pop("x", "y").alias("xy"), F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"),
+        ((F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))).alias("moved"))
+    # From the sums, as corr and regr_slope divide by a constant side's spread before anything can leave it out.
+    fit_of = lambda v: F.when(F.col("moved"), v).otherwise(0.0)
+    return d.select("source", "origin", "age_of", "n", "n_calls", fit_of(F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy")))).alias("r"), fit_of(F.try_divide("xy", "xx")).alias("slope"))

@@ -51,6 +51,14 @@ def test_age_fits(spark):
     assert all(r.r == 0 and r.slope == 0 for r in flat)
 
 
+def test_ages_all_alike_have_no_slope(spark):
+    ages = spark.createDataFrame([("x", 30.0, 25.0), ("y", 30.0, 27.0)], "child_id string, father_age double, mother_age double")
+    calls = spark.createDataFrame([("x", "paternal"), ("x", "maternal"), ("y", "maternal"), ("y", "maternal")], "child_id string, s string")
+    got = {(r.origin, r.age_of): (r.n, r.n_calls, r.r, r.slope) for r in phenotype.origin_age_fits(calls, ages, ["s"]).collect()}
+    assert got["paternal", "father"] == (2, 1, 0, 0) and got["maternal", "father"] == (2, 3, 0, 0) and got["any", "father"] == (2, 4, 0, 0)
+    assert tuple(round(x, 9) for x in got["maternal", "mother"]) == (2, 3, 1, 0.5)
+
+
 def test_relevance(spark):
     rows = [(1, "coding_LoF", None), (2, "UTR_loss", 0.5), (3, "frameshift_variant", None), (4, "intronic", 0.5), (9, "stop_gained", 0.18), (9, "stop_gained", 0.1), (9, "missense", 0.9), (1, None, None), (2, "coding_duplication(gain,flag)", None)]
     d = spark.createDataFrame(rows, "r int, i string, s double").select(rules.clinical_relevance(F.col("r"), F.col("i"), F.col("s")).alias("x"))

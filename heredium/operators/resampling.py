@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from . import ordered
 
-SAMPLES, HELD = 256, 1 << 25         # samples of a block; numbers a task holds before it hands sums over
+SAMPLES, HELD = 256, 1 << 23         # samples of a block; numbers a task holds before it hands sums over
+TOLD = 1 << 19                       # numbers handed over at a time
 STATS = 7                            # n, z, d, d^2, t, t^2, d t
 
 
@@ -68,11 +69,17 @@ class _Sums:
             self.size += self.by[key].size
         return self.by[key]
 
-    def told(self, names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-        out = [pa.array([k[i] for k in self.by], t) for i, t in enumerate(types)]
-        packed = pa.array([v.astype("<f8").tobytes() for v in self.by.values()], pa.binary())
-        self.by, self.size = {}, 0
-        return pa.RecordBatch.from_arrays([*out, packed], names=[*names, "v"])
+    def told(self, names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+        """Hands all sums over, a bounded number of them at a time, and forgets each as it goes."""
+        while self.by:
+            keys, packed, size = [], [], 0
+            while self.by and size < TOLD:
+                key, v = self.by.popitem()
+                keys.append(key)
+                packed.append(v.astype("<f8").tobytes())
+                size += v.size
+            yield pa.RecordBatch.from_arrays([*[pa.array([k[i] for k in keys], t) for i, t in enumerate(types)], pa.array(packed, pa.binary())], names=[*names, "v"])
+        self.size = 0
 
 
 def vector_sums(df: DataFrame, keys: dict[str, str], add: Callable[[dict, _Sums], None]) -> DataFrame:
@@ -82,12 +89,11 @@ def vector_sums(df: DataFrame, keys: dict[str, str], add: Callable[[dict, _Sums]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Sums()
         for b in batches:
-            for row in b.to_pylist():
-                add(row, held)
+            for i in range(b.num_rows):                    # a row at a time: as Python objects a batch is several times its size
+                add({n: b.column(n)[i].as_py() for n in b.schema.names}, held)
                 if held.size > HELD:
-                    yield held.told(list(keys), [types[t] for t in keys.values()])
-        if held.by:
-            yield held.told(list(keys), [types[t] for t in keys.values()])
+                    yield from held.told(list(keys), [types[t] for t in keys.values()])
+        yield from held.told(list(keys), [types[t] for t in keys.values()])
 
     parts = df.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in keys.items()) + ", v binary")
 

@@ -135,3 +135,14 @@ def test_folds_balance_load(spark):
     assert len(got) == 40 and all(got[f] == 0 for f in range(0, 40, 10)) and max(load) - min(load) <= 5
     with pytest.raises(Exception, match="fewer than"):
         ml.family_folds(sizes.limit(3), "fam", 4, min_families=1).collect()
+
+
+def test_sums_are_handed_over_a_bounded_part_at_a_time(monkeypatch):
+    monkeypatch.setattr(rs, "TOLD", 8)
+    held = rs._Sums()
+    for k in range(10):
+        held.at((k,), (2, 3))[:] += k
+    parts = list(held.told(["k"], [rs.pa.int64()]))
+    assert [p.num_rows for p in parts] == [2] * 5 and held.size == 0 and not held.by
+    got = {k: np.frombuffer(v, "<f8").tolist() for p in parts for k, v in zip(p.column("k").to_pylist(), p.column("v").to_pylist(), strict=True)}
+    assert got == {k: [float(k)] * 6 for k in range(10)} and list(held.told(["k"], [rs.pa.int64()])) == []

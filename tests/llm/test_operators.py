@@ -359,3 +359,12 @@ def test_pipeline(spark):
             assert decontaminate.matches(d, benchmark).count() == 0
     assert pii.find(d).where("n_email + n_ip + n_card + n_phone > 0").count() == 0
     check_packing(corpus_pipeline.STAGES[-1][1](spark, d, SF).collect(), 4096)
+
+
+def test_hard_negatives_match_duckdb_with_their_table(spark):
+    """The SQL of op11 reads ``embeddings``, a table that ``test_queries_match_duckdb`` does not make known."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    df = queries.QUERIES["op11_hard_negatives"](spark, SF)
+    cur = con.execute(queries.ORACLES["op11_hard_negatives"])
+    assert normal(df.columns, df.collect()) == normal([d[0] for d in cur.description], cur.fetchall())

@@ -1,31 +1,46 @@
 """De novo candidates of three classes in one schema, from the genotypes of a trio.
 
 ``genotypes`` are long rows (``sample_id`` and the site's columns); ``trios`` has ``family_id, child_id, father_id,
-mother_id``. Each genotype goes to the trios its sample is in and one hash aggregate makes the trio row, so a site
-costs one shuffle whatever its class. A trio with a member missing or not called has no candidate.
+mother_id``. A member has one row a site. What a genotype shows alone is tested before it moves: a member that is
+not called, a child without an alternative allele. The others go once to each couple their sample belongs to, where
+a window over the couple and the site puts the parents beside their children. A trio with a member missing or not
+called has no candidate.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 COLUMNS = ("family_id", "sample_id", "variant_id", "chrom", "start", "end", "ref", "alt", "variant_class", "caller_gq", "caller_dp", "father_gq", "mother_gq", "father_dp", "mother_dp", "payload")
 LONGEST_ALLELE = 50                  # symbols of an SV allele that are written out
 
 
-def trio_rows(genotypes: DataFrame, trios: DataFrame, site: list[str], values: list[str]) -> DataFrame:
-    """One row per (child, site) with structs ``child``, ``father``, ``mother`` of the values; NULL where a member has no row."""
-    who = F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"{c}_id").alias("sample_id")) for r, c in (("C", "child"), ("F", "father"), ("M", "mother"))])
-    members = trios.select("family_id", "child_id", F.explode(who).alias("m")).select("family_id", "child_id", "m.role", "m.sample_id")
-    d = genotypes.select("sample_id", *site, F.struct(*values).alias("v")).join(members, "sample_id")
-    pick = lambda role: F.max(F.when(F.col("role") == role, F.col("v")))  # noqa: E731 - one row a member and site
-    return d.groupBy("family_id", "child_id", *site).agg(pick("C").alias("child"), pick("F").alias("father"), pick("M").alias("mother"))
+def trio_rows(genotypes: DataFrame, trios: DataFrame, site: list[str], values: list[str], child: Column, parent: Column) -> DataFrame:
+    """One row per (child, site) with structs ``child``, ``father``, ``mother`` of the values, where the child passes its test and both parents theirs.
 
+    Both tests are on the columns of one genotype; NULL is no pass."""
+    kids = trios.where("father_id IS NOT NULL AND mother_id IS NOT NULL").select("family_id", "father_id", "mother_id", "child_id")
+    couple = ["family_id", "father_id", "mother_id"]
+    # A child that is its own parent has no allele its parents lack: roles are told by the ids, which spares a column.
+    members = kids.select(*couple, F.explode(F.array("father_id", "mother_id", "child_id")).alias("sample_id")).distinct()
+    is_parent = (F.col("sample_id") == F.col("father_id")) | (F.col("sample_id") == F.col("mother_id"))
+    d = genotypes.select("sample_id", *site, F.struct(*values).alias("child"), child.alias("__c"), parent.alias("__p")).where("__c OR __p").join(members, "sample_id")
+    d = d.where(F.when(is_parent, F.col("__p")).otherwise(F.col("__c"))).drop("__c", "__p")
+    key = [*couple, *site]
+    d = d.repartition(*key).sortWithinPartitions(*key)      # before the window's two columns are added: they neither move nor are sorted
+    of = lambda who: F.max(F.when(F.col("sample_id") == F.col(who), F.col("child"))).over(W.partitionBy(*key))  # noqa: E731 - one row a member and site
+    d = d.withColumns({"father": of("father_id"), "mother": of("mother_id")}).where(~is_parent & F.col("father").isNotNull() & F.col("mother").isNotNull())
+    return d.withColumnRenamed("sample_id", "child_id").drop("father_id", "mother_id")
 
-def _called(member: str) -> Column:
-    a = F.col(f"{member}.alleles")
-    return F.coalesce(F.size(a) > 0, F.lit(False)) & ~F.exists(a, lambda x: x.isNull())
+
+def _called() -> Column:
+    return F.coalesce(F.size("alleles") > 0, F.lit(False)) & ~F.exists("alleles", lambda x: x.isNull())
+
+
+def _carries() -> Column:
+    return F.array_max("alleles") > 0
 
 
 def _record(variant_id: Column, start: Column, end: Column, ref: Column, alt: Column, cls: Column, depth: bool, payload: dict[str, Column]) -> list[Column]:
@@ -40,7 +55,7 @@ def _record(variant_id: Column, start: Column, end: Column, ref: Column, alt: Co
 
 def small_variants(genotypes: DataFrame, trios: DataFrame) -> DataFrame:
     """SNV and INDEL: a row for every allele of the child that neither parent has. Columns: chrom, pos, ref, alts, alleles, gq, dp."""
-    d = trio_rows(genotypes, trios, ["chrom", "pos", "ref", "alts"], ["alleles", "gq", "dp"]).where(_called("child") & _called("father") & _called("mother"))
+    d = trio_rows(genotypes, trios, ["chrom", "pos", "ref", "alts"], ["alleles", "gq", "dp"], _called() & _carries(), _called())
     own = F.filter(F.array_except("child.alleles", F.array_union("father.alleles", "mother.alleles")), lambda a: a > 0)
     d = d.withColumn("allele", F.explode(F.array_sort(own)))
     alt = F.get("alts", F.col("allele").cast("int") - 1)
@@ -54,9 +69,7 @@ def small_variants(genotypes: DataFrame, trios: DataFrame) -> DataFrame:
 def structural_variants(genotypes: DataFrame, trios: DataFrame) -> DataFrame:
     """The child carries an alternative allele and both parents are called without one. Columns: chrom, pos, sv_name, ref, alts, svtype, svlen, end, alleles, gq."""
     site = ["chrom", "pos", "sv_name", "ref", "alts", "svtype", "svlen", "end"]
-    d = trio_rows(genotypes, trios, site, ["alleles", "gq"]).where(_called("child") & _called("father") & _called("mother"))
-    has = lambda m: F.exists(f"{m}.alleles", lambda a: a > 0)
-    d = d.where(has("child") & ~has("father") & ~has("mother"))
+    d = trio_rows(genotypes, trios, site, ["alleles", "gq"], _called() & _carries(), _called() & ~_carries())
     kind, alt = F.coalesce("svtype", F.lit("NA")), F.get("alts", F.lit(0))
     stated = F.when(F.col("end") != 0, F.col("end"))
     end = F.coalesce(stated, F.when((kind == "DEL") & (F.col("svlen") != 0), F.col("pos") + F.abs("svlen")), F.col("pos"))
@@ -74,7 +87,7 @@ def repeats(genotypes: DataFrame, trios: DataFrame, min_units: int = 1, min_bp:
     """A row for every child length beyond the longest or below the shortest parental one by a margin of whole units.
 
     Columns: chrom, pos, end, trid, motifs, alleles (lengths in bp), gq."""
-    d = trio_rows(genotypes, trios, ["chrom", "pos", "end", "trid", "motifs"], ["alleles", "gq"]).where(_called("child") & _called("father") & _called("mother"))
+    d = trio_rows(genotypes, trios, ["chrom", "pos", "end", "trid", "motifs"], ["alleles", "gq"], _called(), _called())
     both = F.concat("father.alleles", "mother.alleles")
     d = d.withColumns({"unit": motif_unit(F.col("motifs")), "longest": F.array_max(both), "shortest": F.array_min(both)})
     d = d.select("*", F.posexplode("child.alleles").alias("place", "al"))

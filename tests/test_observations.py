@@ -42,6 +42,19 @@ def F_json(text, key):
     return json.loads(text)[key]
 
 
+def test_members_that_cannot_matter_do_not_move(spark):
+    kin = spark.createDataFrame([(9, 3, 1, 2), (9, 4, 1, 2), (8, 5, 1, 2), (9, 3, 1, 2), (9, 6, 6, 2), (9, 7, None, 2), (9, 8, 1, 1)], "family_id long, child_id long, father_id long, mother_id long")     # siblings, a couple in two families, a trio twice, a child that is its father, one without, one parent twice
+    al = {1: [0, 0], 2: [0, 1], 3: [0, 2], 4: [0, 1], 5: [2, 2], 6: [2, 2], 7: [2, 2], 8: [1, 2]}
+    g = spark.createDataFrame([(s, c, 10, "A", ["T", "G"], a, 30, 20) for c in ("chr1", None) for s, a in al.items()], "sample_id long, chrom string, pos long, ref string, alts array<string>, alleles array<int>, gq int, dp int")
+    d = cd.small_variants(g, kin)
+    got = sorted((r.family_id, r.sample_id, r.chrom or "", r.alt) for r in d.collect())
+    assert got == sorted((f, s, c, a) for c in ("chr1", "") for f, s, a in ((9, 3, "G"), (8, 5, "G"), (9, 8, "T"), (9, 8, "G")))       # a NULL in the site meets a NULL
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max" not in plan and plan.index("Window") < plan.index("_w0") < plan.index("REPARTITION_BY_COL")       # no trio row is built before the rows move, nor its columns added
+    moved = cd.trio_rows(g, kin, ["chrom", "pos"], ["alleles"], F.array_max("alleles") > 1, F.array_max("alleles") < 1)      # of the parents only sample 1 passes
+    assert sorted((r.child_id, r.father.alleles, r.mother.alleles) for r in moved.where("chrom = 'chr1'").collect()) == [(8, [0, 0], [0, 0])]
+
+
 def test_lists_mark_candidates(spark):
     found = spark.createDataFrame([("chr1", 5, "A", "T", "SNV", None), ("chr1", 9, "N", "<DEL>", "SV", '{"svtype":"DEL"}'), ("chr1", 7, "<TR>", "<AL=3>", "TR", '{"trid":"x"}'), ("chr2", 5, "A", "T", "SNV", None)],
                                   "chrom string, start long, ref string, alt string, variant_class string, payload string")

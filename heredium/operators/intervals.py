@@ -43,14 +43,15 @@ def _levels(df: DataFrame) -> list[int]:
 def _spread(df: DataFrame, start: str, end: str, levels: list[int], strict: bool, own: bool) -> DataFrame:
     """Rows of ``df`` once per (level, bin): its own level, or the listed levels at or above (above: ``strict``) it."""
     if own:
-        lv = F.array(F.col("__lv"))
+        d = df.withColumn("__l", F.col("__lv"))
     else:
-        low = F.col("__lv") + (1 if strict else 0)
-        lv = F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x >= low)
+        d = df.withColumn("__l", F.explode(_numbers(levels))).where(F.col("__l") >= F.col("__lv") + (1 if strict else 0))
     s, e = F.col(start), F.greatest(F.col(end) - 1, F.col(start))
-    cells = F.flatten(F.transform(lv, lambda x: F.transform(
-        F.sequence(_bin(s, x), _bin(e, x)), lambda b: F.struct(x.alias("l"), b.alias("b")))))
-    return df.withColumn("__c", F.explode(cells)).withColumns({"__l": F.col("__c.l"), "__b": F.col("__c.b")}).drop("__c")
+    return d.withColumn("__b", F.explode(F.sequence(_bin(s, F.col("__l")), _bin(e, F.col("__l")))))
+
+
+def _numbers(levels: list[int]) -> Column:
+    return F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>")
 
 
 def overlap_join(a: DataFrame, b: DataFrame, a_span: tuple[str, str] = ("start", "end"),
@@ -80,10 +81,14 @@ def overlap_join(a: DataFrame, b: DataFrame, a_span: tuple[str, str] = ("start",
 
 def point_join(points: DataFrame, b: DataFrame, pos: str = "pos", b_span: tuple[str, str] = ("b_start", "b_end"),
                bounds: tuple[int, int] = HALF_OPEN, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
-    """Points inside intervals under a stated bound convention."""
-    p = points.withColumns({"__ps": F.col(pos), "__pe": F.col(pos) + 1})
+    """Points inside intervals under a stated bound convention. A point lies in one bin of each level present, so a pair meets once."""
     q = b.withColumns({"__bs": F.col(b_span[0]) + bounds[0], "__be": F.col(b_span[1]) + bounds[1]})
-    return overlap_join(p, q, ("__ps", "__pe"), ("__bs", "__be"), keys, a_points=True).drop("__ps", "__pe", "__bs", "__be")
+    q = q.withColumn("__lv", _level(F.col("__bs"), F.col("__be")))
+    levels = _levels(q)
+    p = points.withColumn("__l", F.lit(levels[0]) if len(levels) == 1 else F.explode(_numbers(levels)))
+    p = p.withColumn("__b", _bin(F.col(pos), F.col("__l")))
+    hit = p.join(_spread(q, "__bs", "__be", [], False, True).drop("__lv"), [keys[0], "__b", "__l", *keys[1:]]).where((F.col("__bs") <= F.col(pos)) & (F.col(pos) < F.col("__be")))
+    return hit.select(*points.columns, *[c for c in b.columns if c not in keys])
 
 
 def point_filter(points: DataFrame, b: DataFrame, how: str, pos: str = "pos", b_span: tuple[str, str] = ("b_start", "b_end"),

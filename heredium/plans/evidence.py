@@ -401,12 +401,17 @@ def junction_counts(events: DataFrame, reads: DataFrame, members: DataFrame, nam
 
 
 def het_persistence(events: DataFrame, genotypes: DataFrame, id_cols: list[str], flank: int = 20000, window: int = 300, min_sites: int = 20) -> DataFrame:
-    """Heterozygous fraction inside an event over its mean in the two flanks; no site inside means loss of heterozygosity."""
-    zone = lambda z, a, b: F.struct(F.lit(z).alias("z"), a.alias("a"), b.alias("b"))
-    zs = F.array(zone("in", F.col("start") + window, F.col("end") - window), zone("l", F.col("start") - flank, F.col("start") - window), zone("r", F.col("end") + window, F.col("end") + flank))
-    z = events.select(*id_cols, "sample_id", "chrom", F.explode(zs).alias("q")).select(*id_cols, "sample_id", "chrom", F.col("q.z").alias("z"), F.col("q.a").alias("b_start"), F.col("q.b").alias("b_end")).where("b_end > b_start")
-    hit = iv.point_join(genotypes.select("sample_id", "chrom", "pos", (F.col("a1") != F.col("a2")).cast("int").alias("het")), z, keys=("chrom", "sample_id"))
-    g = hit.groupBy(*id_cols).agg(*[F.sum(F.when(F.col("z") == s, 1).otherwise(0)).alias(f"n_{s}") for s in ("in", "l", "r")], *[F.avg(F.when(F.col("z") == s, F.col("het"))).alias(f"f_{s}") for s in ("in", "l", "r")])
+    """Heterozygous fraction inside an event over its mean in the two flanks; no site inside means loss of heterozygosity.
+
+    An event is one interval from flank to flank, so a site meets it once; which of the three zones it lies in is told at the pair."""
+    s, e = F.col("start"), F.col("end")
+    zones = {"in": (s + window, e - window), "l": (s - flank, s - window), "r": (e + window, e + flank)}
+    lo, hi = F.least(s + min(-flank, window), e + window), F.greatest(e + max(flank, -window), s - window)
+    z = events.select(*id_cols, "sample_id", "chrom", "start", "end", lo.alias("b_start"), hi.alias("b_end"))
+    hit = iv.point_join(genotypes.select("sample_id", "chrom", "pos", (F.col("a1") != F.col("a2")).cast("int").alias("het")), z, keys=("sample_id", "chrom"))
+    within = {k: (F.col("pos") >= a) & (F.col("pos") < b) for k, (a, b) in zones.items()}
+    aggs = [F.count_if(w).alias(f"n_{k}") for k, w in within.items()] + [F.avg(F.when(w, F.col("het"))).alias(f"f_{k}") for k, w in within.items()]
+    g = hit.groupBy(*id_cols).agg(*aggs).where("n_in + n_l + n_r > 0")
     both = F.when(F.col("f_l").isNotNull() & F.col("f_r").isNotNull(), (F.col("f_l") + F.col("f_r")) / 2).otherwise(F.coalesce("f_l", "f_r"))
     d = g.withColumn("flank_frac", both)
     ok = (F.col("n_l") + F.col("n_r") >= min_sites) & (F.col("flank_frac") > 0)

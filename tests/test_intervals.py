@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from heredium.operators import intervals as iv
 from heredium.operators import ordered
+from heredium.plans import evidence as ev
 
 
 def make(seed, n, longest):
@@ -137,3 +138,37 @@ def test_reads_move_not_their_bins(spark):
             want[k] = want.get(k, 0) + 100
     got = {(x.s, x.start, c): x[f"dp_{c}"] * 1000 for x in d.collect() for c in "ab" if x[f"dp_{c}"]}       # the cell ends at 1,024,000
     assert got == want
+
+
+def test_points_move_once_for_each_level_and_nothing_else(spark):
+    pts = spark.createDataFrame([("chr1", p, i) for i, p in enumerate([0, 5, 16383, 16384, 700000, 2000000, None])], "chrom string, pos long, id int")
+    spans = [(0, 6), (16383, 16385), (16000, 900000), (0, 3000000), (7, 7), (9, 4), (None, 8)]
+    for take in (spans, spans[:1], []):
+        b = spark.createDataFrame([("chr1", s, e, k) for k, (s, e) in enumerate(take)], "chrom string, b_start long, b_end long, k int")
+        for bounds in (iv.HALF_OPEN, iv.CLOSED, iv.LEFT_OPEN):
+            got = iv.point_join(pts, b, bounds=bounds)
+            want = sorted((i, k) for i, p in enumerate([0, 5, 16383, 16384, 700000, 2000000]) for k, (s, e) in enumerate(take) if s is not None and s + bounds[0] <= p < e + bounds[1])
+            assert sorted((r.id, r.k) for r in got.collect()) == want and got.columns == ["chrom", "pos", "id", "b_start", "b_end", "k"]
+            assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_event_is_one_interval_for_its_three_zones(spark):
+    ev_rows = [(1, 5, "chr1", 1000, 2000), (2, 5, "chr1", 1000, 1100), (3, 5, "chr1", 2000, 1000), (4, 6, "chr1", 9000, 9100), (5, 5, "chr1", 10 ** 6, 2 * 10 ** 6)]
+    sites = [(5, "chr1", p, a, b) for p, a, b in [(500, 0, 1), (950, 0, 1), (1200, 0, 0), (1500, 0, 1), (1600, None, 1), (2150, 0, 1), (2400, 1, 1), (1500000, 0, 1)]] + [(6, "chr1", 9050, 0, 1)]
+    events = spark.createDataFrame(ev_rows, "sv_id int, sample_id int, chrom string, start long, end long")
+    calls = spark.createDataFrame(sites, "sample_id int, chrom string, pos long, a1 int, a2 int")
+    for flank, window in ((600, 100), (600, 0), (50, 100), (5000, 300)):
+        want = []
+        for i, s, _, a, b in ev_rows:
+            zones = {"in": (a + window, b - window), "l": (a - flank, a - window), "r": (b + window, b + flank)}
+            seen = {k: [None if x is None else int(x != y) for m, _, p, x, y in sites if m == s and lo <= p < hi] for k, (lo, hi) in zones.items()}
+            if any(seen.values()):
+                mean = {k: [x for x in v if x is not None] for k, v in seen.items()}
+                mean = {k: sum(v) / len(v) if v else None for k, v in mean.items()}
+                both = [mean[k] for k in "lr" if mean[k] is not None]
+                n, f = len(seen["l"]) + len(seen["r"]), sum(both) / len(both) if both else None
+                want.append((i, len(seen["in"]), n, (mean["in"] or 0.0) / f if n >= 1 and f else None))
+        d = ev.het_persistence(events, calls, ["sv_id"], flank, window, 1)
+        assert sorted(tuple(r) for r in d.collect()) == sorted(want) and d.columns == ["sv_id", "sites_inside", "sites_flank", "het_persistence"]
+        d = ev.het_persistence(events.where("sv_id < 5"), calls, ["sv_id"], flank, window, 1)
+        assert d._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(") == 1       # of bins of events: sites meet one level, and zones are no rows

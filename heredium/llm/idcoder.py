@@ -27,50 +27,49 @@ _T2, _T1 = 12, 12          # bits of the prediction tables
 
 
 class _Models:
-    """State of every block; arrays over blocks."""
+    """State of every block; the last axis of every array runs over blocks, or over places of blocks."""
 
     def __init__(self, n: int):
-        self.id2, self.hit2 = np.zeros((n, 1 << _T2), np.uint16), np.zeros((n, 1 << _T2), np.uint8)
-        self.id1, self.hit1 = np.zeros((n, 1 << _T1), np.uint16), np.zeros((n, 1 << _T1), np.uint8)
-        self.id0, self.hit0 = np.zeros(n, np.uint16), np.zeros(n, np.int64)
-        self.seen = [np.full((n, 4, 4), 8, np.int32) for _ in range(3)]
+        # A place holds an id and, in its two low bits, how often it was right: one look into memory for both.
+        self.two, self.one = np.zeros(n << _T2, np.uint32), np.zeros(n << _T1, np.uint32)
+        self.id0, self.hit0 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.seen = [np.full((4, n * 4), 8, np.int32) for _ in range(3)]
         self.weight = np.full((3, n), 256, np.int32)
-        self.high, self.next = np.full((n, 16), 4, np.int32), np.full((n, 16, 16), 4, np.int32)
+        self.high, self.next = np.full((16, n), 4, np.int32), np.full((16, n * 16), 4, np.int32)
         self.before, self.before2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.rows = np.arange(n)
+        self.base2, self.base1, self.base4 = self.rows << _T2, self.rows << _T1, self.rows << 2
 
     def predict(self, k: int):
         """For the first ``k`` blocks: places in the tables, predictions, and the mixed distribution over who is right."""
-        rows = np.arange(k)
         b1, b2 = self.before[:k], self.before2[:k]
-        p1 = (b1 * 40503 >> 4) & ((1 << _T1) - 1)
-        p2 = ((b1 * 2654435761 ^ b2 * 40503) >> 8) & ((1 << _T2) - 1)
-        says2, says1, says0 = self.id2[rows, p2], self.id1[rows, p1], self.id0[:k]
-        c2, c1 = np.minimum(self.hit2[rows, p2], 3), np.minimum(self.hit1[rows, p1], 3)
-        c0 = 2 * (says2 == says1) + (self.hit0[:k] > 4)
-        views = [self.seen[0][rows, c2], self.seen[1][rows, c1], self.seen[2][rows, c0]]
-        shares = [(v << 10) // (v[:, 0] + v[:, 1] + v[:, 2] + v[:, 3])[:, None] + 1 for v in views]
+        p1 = self.base1[:k] + ((b1 * 40503 >> 4) & ((1 << _T1) - 1))
+        p2 = self.base2[:k] + (((b1 * 2654435761 ^ b2 * 40503) >> 8) & ((1 << _T2) - 1))
+        t2, t1 = self.two[p2].astype(np.int64), self.one[p1].astype(np.int64)
+        says2, says1, says0 = t2 >> 2, t1 >> 2, self.id0[:k]
+        at = self.base4[:k]
+        contexts = (at + (t2 & 3), at + (t1 & 3), at + 2 * (says2 == says1) + (self.hit0[:k] > 4))
+        shares = []
+        for table, c in zip(self.seen, contexts, strict=True):
+            v = table.take(c, axis=1)
+            shares.append((v << 10) // (v[0] + v[1] + v[2] + v[3]) + 1)
         w = self.weight[:, :k]
-        mixed = (shares[0] * w[0][:, None] + shares[1] * w[1][:, None] + shares[2] * w[2][:, None]) >> 6
-        return rows, (p2, p1), (says2, says1, says0), (c2, c1, c0), shares, mixed + 1
+        mixed = (shares[0] * w[0] + shares[1] * w[1] + shares[2] * w[2]) >> 6
+        return self.rows[:k], (p2, p1), (says2, says1, says0), (t2 & 3, t1 & 3), contexts, shares, mixed + 1
 
-    def update(self, ids: np.ndarray, who: np.ndarray, rows, places, says, contexts, shares) -> None:
+    def update(self, ids: np.ndarray, who: np.ndarray, rows, places, says, hits, contexts, shares) -> None:
         k = len(rows)
-        told = [s[rows, who] for s in shares]
+        flat = who * k + rows
+        told = [s.ravel()[flat] for s in shares]
         mean = (told[0] + told[1] + told[2]) // 3
         for i, x in enumerate(told):
             w = self.weight[i, :k]
             np.clip(w + ((x - mean) >> 3), 16, 1024, out=w)
         for table, c in zip(self.seen, contexts, strict=True):
-            n = table[rows, c, who] + 24
-            table[rows, c, who] = n
-            full = np.flatnonzero(n > 768)
-            if len(full):
-                table[full, c[full]] = (table[full, c[full]] >> 1) + 1
-        for table, hits, p, s in ((self.id2, self.hit2, places[0], says[0]), (self.id1, self.hit1, places[1], says[1])):
-            old = hits[rows, p]
+            _count(table, c, who, 24, 768)
+        for table, p, s, old in ((self.two, places[0], says[0], hits[0]), (self.one, places[1], says[1], hits[1])):
             right = s == ids
-            hits[rows, p] = np.where(right, np.minimum(old + 1, 3), old >> 1)
-            table[rows, p] = np.where(right | (old > 1), s, ids)
+            table[p] = np.where(right | (old > 1), s, ids) << 2 | np.where(right, np.minimum(old + 1, 3), old >> 1)
         right = says[2] == ids                                  # a majority vote for the id of order 0
         votes = self.hit0[:k] + np.where(right, 4, -1)
         self.id0[:k] = np.where(votes < 0, ids, says[2])
@@ -78,20 +77,34 @@ class _Models:
         self.before2[:k] = self.before[:k]
         self.before[:k] = ids
 
-    def learn_half(self, table: np.ndarray, at: tuple, half: np.ndarray) -> None:
-        n = table[(*at, half)] + 12
-        table[(*at, half)] = n
-        full = np.flatnonzero(n > 1536)
-        if len(full):
-            which = tuple(x[full] for x in at)
-            table[which] = (table[which] >> 1) + 1
+    def learn_half(self, table: np.ndarray, at: np.ndarray, half: np.ndarray) -> None:
+        _count(table, at, half, 12, 1536)
+
+
+def _count(table: np.ndarray, at: np.ndarray, symbol: np.ndarray, step: int, most: int) -> None:
+    """Adds to the frequency of a symbol at each place; a place whose symbol passes ``most`` is halved."""
+    cells, flat = symbol * table.shape[1] + at, table.ravel()
+    n = flat[cells] + step
+    flat[cells] = n
+    full = at[n > most]
+    if len(full):
+        table[:, full] = (table[:, full] >> 1) + 1
+
+
+def _upto(freq: np.ndarray) -> np.ndarray:
+    """Running sums over symbols, a row at a time: several times faster than a cumulative sum along the first axis."""
+    out = np.array(freq, np.int32)
+    for i in range(1, len(out)):
+        np.add(out[i - 1], out[i], out=out[i])
+    return out
 
 
 def _bounds(freq: np.ndarray, symbol: np.ndarray):
-    upto = np.cumsum(freq, axis=1, dtype=np.int32)
-    r = np.arange(len(symbol))
-    f = freq[r, symbol]
-    return upto[r, symbol] - f, f, upto[:, -1]
+    """Start, frequency and total of each block's symbol; ``freq`` has a row for every symbol."""
+    upto = _upto(freq)
+    cells = symbol * freq.shape[1] + np.arange(len(symbol))
+    f = freq.ravel()[cells]
+    return upto.ravel()[cells] - f, f, upto[-1]
 
 
 class _Writer:
@@ -140,13 +153,13 @@ class _Reader:
             symbol = np.minimum((code - low) // unit, U64(255)).astype(np.int64)
             start, f = symbol, np.ones(len(who), np.int64)
         else:
-            upto = np.cumsum(freq, axis=1, dtype=np.int32)
-            unit = span // upto[:, -1].astype(U64)
-            target = np.minimum((code - low) // unit, (upto[:, -1] - 1).astype(U64)).astype(np.int64)
-            symbol = (upto <= target[:, None]).sum(axis=1)
-            r = np.arange(len(who))
-            f = freq[r, symbol]
-            start = upto[r, symbol] - f
+            upto = _upto(freq)
+            unit = span // upto[-1].astype(U64)
+            target = np.minimum((code - low) // unit, (upto[-1] - 1).astype(U64)).astype(np.int32)
+            symbol = (upto <= target).sum(axis=0)
+            cells = symbol * freq.shape[1] + np.arange(len(who))
+            f = freq.ravel()[cells]
+            start = upto.ravel()[cells] - f
         low += start.astype(U64) * unit
         span = f.astype(U64) * unit
         short = np.flatnonzero(span <= _LOW32)
@@ -168,28 +181,29 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         return []
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     sizes = np.array([len(blocks[i]) for i in order])
-    ids = np.zeros((len(order), max(1, sizes[0])), np.int64)
+    ids = np.zeros((max(1, int(sizes[0])), len(order)), np.int64)      # a row for every step
     for row, i in enumerate(order):
-        ids[row, : len(blocks[i])] = blocks[i]
+        ids[: len(blocks[i]), row] = blocks[i]
     if ids.max(initial=0) > 0xFFFF:
         raise ValueError("ids of 65,536 and above do not fit this format")
     m, w = _Models(len(order)), _Writer(len(order), max(1, int(sizes[0])))
     for t in range(int(sizes[0])):
         k = int(np.searchsorted(-sizes, -t, side="left"))       # blocks longer than t
-        now = ids[:k, t]
-        rows, places, says, contexts, shares, mixed = m.predict(k)
+        now = ids[t, :k]
+        rows, places, says, hits, contexts, shares, mixed = m.predict(k)
         who = np.where(says[0] == now, 0, np.where(says[1] == now, 1, np.where(says[2] == now, 2, 3)))
         w.put(rows, *_bounds(mixed, who))
         spelt = np.flatnonzero(who == 3)
         if len(spelt):
             x = now[spelt]
             a, b, low = x >> 12, x >> 8 & 15, x & 255
-            w.put(spelt, *_bounds(m.high[spelt], a))
-            w.put(spelt, *_bounds(m.next[spelt, a], b))
+            pair = spelt * 16 + a
+            w.put(spelt, *_bounds(m.high.take(spelt, axis=1), a))
+            w.put(spelt, *_bounds(m.next.take(pair, axis=1), b))
             w.put(spelt, low, np.ones(len(low), np.int64), np.full(len(low), 256))
-            m.learn_half(m.high, (spelt,), a)
-            m.learn_half(m.next, (spelt, a), b)
-        m.update(now, who, rows, places, says, contexts, shares)
+            m.learn_half(m.high, spelt, a)
+            m.learn_half(m.next, pair, b)
+        m.update(now, who, rows, places, says, hits, contexts, shares)
     out = [b""] * len(order)
     for row, i in enumerate(order):
         payload = w.end(row)
@@ -208,24 +222,25 @@ def decode(blocks: list[bytes]) -> list[np.ndarray]:
     order = sorted(range(len(blocks)), key=lambda i: -heads[i][1])
     sizes = np.array([heads[i][1] for i in order])
     m, r = _Models(len(order)), _Reader([blocks[i][_HEAD.size:] for i in order])
-    ids = np.zeros((len(order), max(1, int(sizes[0]))), np.uint32)
+    ids = np.zeros((max(1, int(sizes[0])), len(order)), np.uint32)
     for t in range(int(sizes[0])):
         k = int(np.searchsorted(-sizes, -t, side="left"))
-        rows, places, says, contexts, shares, mixed = m.predict(k)
+        rows, places, says, hits, contexts, shares, mixed = m.predict(k)
         who = r.get(rows, mixed)
         now = np.where(who == 0, says[0], np.where(who == 1, says[1], says[2])).astype(np.int64)
         spelt = np.flatnonzero(who == 3)
         if len(spelt):
-            a = r.get(spelt, m.high[spelt])
-            b = r.get(spelt, m.next[spelt, a])
+            a = r.get(spelt, m.high.take(spelt, axis=1))
+            pair = spelt * 16 + a
+            b = r.get(spelt, m.next.take(pair, axis=1))
             now[spelt] = a << 12 | b << 8 | r.get(spelt, None)
-            m.learn_half(m.high, (spelt,), a)
-            m.learn_half(m.next, (spelt, a), b)
-        m.update(now, who, rows, places, says, contexts, shares)
-        ids[:k, t] = now
+            m.learn_half(m.high, spelt, a)
+            m.learn_half(m.next, pair, b)
+        m.update(now, who, rows, places, says, hits, contexts, shares)
+        ids[t, :k] = now
     out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(order)
     for row, i in enumerate(order):
-        out[i] = ids[row, : sizes[row]]
+        out[i] = ids[: sizes[row], row].copy()
         if zlib.crc32(out[i].astype("<u4").tobytes()) != heads[i][3]:
             raise ValueError("checksum of a block does not agree with its ids")
     return out

@@ -59,6 +59,18 @@ def test_range_coder_detects_damage_and_compresses_repeats():
             idcoder.decode([bad])
 
 
+def test_the_format_of_coded_blocks_is_fixed():
+    import hashlib
+
+    x = np.arange(9000, dtype=np.int64)
+    ids = np.where(x % 5 < 3, x % 7, x * x * 2654435761 % 65536).astype(np.uint16)
+    coded = idcoder.encode([ids[:4096], ids[4096:8192], ids[8192:], ids[:0]])
+    assert hashlib.sha256(b"".join(coded)).hexdigest() == "3331f50d6a25309f584461f2526ae74859d6f8bccd91a230f5a005ce04e0cd73"
+    assert np.concatenate(idcoder.decode(coded)).tolist() == ids.tolist()
+    m = idcoder._Models(3)
+    assert (m.two.ndim, m.one.ndim) == (1, 1) and m.high.shape == (16, 3)         # an id and its hits are one look; sums over symbols run along blocks
+
+
 def test_base_spans():
     text = "mail a.b@c.de, ip 10.0.0.256 10.0.0.1 card 4111 1111 1111 1111 call +1 (415) 555-2671 now"
     assert [(text[s:e], pii.KINDS[k]) for s, e, k in pii.base_spans(text)] == [

@@ -111,3 +111,19 @@ def test_equal_rows_enter_a_fit_once_and_change_nothing(spark):
         want = {r.id: r.p for r in ml.predict(plain, d).collect()}
         got = {r.id: r.p for r in ml.predict(fitted, d).collect()}
         assert len(set(want.values())) > 2 and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
+def test_read_ids_beyond_64_bits(spark, tmp_path):
+    """Orders far up the keys have the rows of those at the start: the shift keeps every remainder that the derived tables take."""
+    cands = 39 * 854700
+    for table, key in (("lineitem", "l_orderkey"), ("orders", "o_orderkey")):
+        duckdb.connect().execute(f"COPY (SELECT * REPLACE ({key} + {15 * cands} AS {key}) FROM '{SF}/{table}.parquet') TO '{tmp_path}/{table}.parquet' (FORMAT parquet)")
+    back = {"cand": (cands, 4 * cands), "read_id": (150 * cands * 10 ** 11,) * 2}
+    for name in ("read_observations", "junction_reads", "interval_depth", "repeat_observations"):
+        near, far = (entry.queries()[name](spark, folder) for folder in (SF, str(tmp_path)))
+        names = far.columns
+        i = 0 if name == "repeat_observations" else 1
+        moved = [tuple(int(v) - back[c][i] if c in back else v for c, v in zip(names, r, strict=True)) for r in far.collect()]
+        assert near.columns == names and sorted(map(str, moved)) == sorted(map(str, map(tuple, near.collect()))), name
+        assert [f.dataType for f in far.schema if f.name != "read_id"] == [f.dataType for f in near.schema if f.name != "read_id"], name
+        assert moved

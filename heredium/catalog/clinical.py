@@ -240,7 +240,10 @@ _TAILS = "(SELECT DISTINCT least(t, nt) AS lo, t + nt AS n FROM {}) z, LATERAL (
 
 def imprinted_arms(t):
     """Fixture: a brand stands for a gene; its number names the parent whose allele is expressed, a long masked interval flags it."""
-    w = trio.trio_wide(t("fx_genotype"), t("fx_pedigree"), ["a1", "a2", "gq", "dp"]).join(t("fx_site").where(rules.consequence_class(F.col("consequence")) == "lof").select("site_id", "symbol", "gnomad_af"), "site_id")
+    lof = t("fx_site").where(rules.consequence_class(F.col("consequence")) == "lof").select("site_id", "symbol", "gnomad_af")
+    # What the site alone decides is asked before a genotype moves; of a trio only the key and four fields of each member do, and a gene's name comes to it at the end.
+    calls = t("fx_genotype").join(lof.select("site_id"), "site_id", "left_semi").where((F.col("gq") >= 20) & (F.col("dp") >= 10))
+    w = trio.trio_wide(calls, t("fx_pedigree"), ["a1", "a2", "gq", "dp"], ["site_id", "chrom", "pos"]).join(lof, "site_id")
     part = F.substring("symbol", 7, 9).cast("int") % 3
     flagged = t("fx_interval").where("kind = 'mask' AND end - start > 2940").select("symbol", F.lit("long_mask").alias("flag")).distinct()
     genes = t("fx_site").where("site_id % 3 = 0").groupBy("symbol").agg(F.min("s_het").alias("s_het")).join(flagged, "symbol", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as nm
 from ..functions import rules
 from ..operators import ranks, trio
+from ..storage import cut
 
 
 def without_seen(rows: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,7 +74,7 @@ def _with_p(d: DataFrame) -> DataFrame:
 
 def ranked_arms(arms: DataFrame, variant_set: str = "rare") -> DataFrame:
     """Tests of one variant set with at least one meiosis: p, its rank (ties share the first) and the Bonferroni p over all of them."""
-    d = _with_p(arms.where((F.col("variant_set") == variant_set) & (F.col("t") + F.col("nt") > 0)))
+    d = cut(_with_p(arms.where((F.col("variant_set") == variant_set) & (F.col("t") + F.col("nt") > 0))))        # a row a gene; ranks and rows come from it
     d = d.withColumn("__p", F.round(F.log("p"), 9) + 0.0)
     order = ranks.distribution(d, ["variant_set"], "__p").select("variant_set", "__p", (F.col("before") + 1).alias("rank"), F.col("total").alias("n_tests"))
     d = d.join(order, ["variant_set", "__p"])

@@ -127,3 +127,14 @@ def test_read_ids_beyond_64_bits(spark, tmp_path):
         assert near.columns == names and sorted(map(str, moved)) == sorted(map(str, map(tuple, near.collect()))), name
         assert [f.dataType for f in far.schema if f.name != "read_id"] == [f.dataType for f in near.schema if f.name != "read_id"], name
         assert moved
+
+
+def test_imprinted_genes_build_their_trios_once(spark):
+    from heredium.catalog import clinical
+
+    t = Tables(spark, SF)
+    arms = clinical.imprinted_arms(t)
+    plan = arms._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan[plan.index("Aggregate"):] and "ad_alt" not in plan.split("Aggregate", 2)[1]
+    ranked = entry.queries()["imprinted_transmission_ranked"](spark, SF)
+    assert "max(" not in ranked._jdf.queryExecution().optimizedPlan().toString() and ranked.count() > 0       # trios were built, and written as a row a gene, before ranks are taken

@@ -1,5 +1,7 @@
 """Results that only larger tables reach: ties of means, dosages all samples share, sites in the pseudoautosomal ends."""
 
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -138,3 +140,22 @@ def test_imprinted_genes_build_their_trios_once(spark):
     assert "LeftSemi" in plan[plan.index("Aggregate"):] and "ad_alt" not in plan.split("Aggregate", 2)[1]
     ranked = entry.queries()["imprinted_transmission_ranked"](spark, SF)
     assert "max(" not in ranked._jdf.queryExecution().optimizedPlan().toString() and ranked.count() > 0       # trios were built, and written as a row a gene, before ranks are taken
+
+
+def test_every_pair_of_samples_is_related(spark):
+    """Pairs nobody declared too; samples over several blocks and sites over several groups and tiles, against the pairs one by one."""
+    from heredium.plans import cohort_qc
+
+    got = same_as_sql(spark, Path(SF), "relatedness")
+    assert {"none", "father", "mother"} == {r.relation for r in got} and len(got) == len({frozenset((r.sample_id, r.other_id)) for r in got})
+    calls = [(s, p, (s * p + s // 3) % 4 if (s + p) % 5 else None) for s in range(23) for p in range(90) if (s * 7 + p) % 3]
+    d = spark.createDataFrame(calls, "sample_id long, pos long, n int")
+    got = {(r.a, r.b): tuple(r)[2:8] for r in cohort_qc.pairwise_relatedness(d, ["pos"], rows=200, block=7, tile=5).collect()}
+    of = {s: {p: n for x, p, n in calls if x == s and n in (0, 1, 2)} for s in range(23)}
+    want = {}
+    for a in of:
+        for b in of:
+            both = [(n, of[b][p]) for p, n in of[a].items() if p in of[b]]
+            if a < b and both:
+                want[a, b] = (len(both), sum(abs(x - y) == 2 for x, y in both), sum(x == y for x, y in both), sum(x == y == 1 for x, y in both), sum(x == 1 for x, _ in both), sum(y == 1 for _, y in both))
+    assert got == want

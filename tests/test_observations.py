@@ -145,3 +145,24 @@ def test_sites_of_a_batch_are_answered_like_single_ones(spark):
     said = F.when(F.col("variant_class") == "SNV", rd.support_snv(rd.base_at(ops, F.col("seq"), F.col("start")), F.col("ref"), F.col("alt"))).otherwise(rd.support_indel(rd.indel_at(ops, F.col("start")), F.lit(True), F.col("ref"), F.col("alt")))
     want = {(x.cand, role, x.read_id): x.said for x in pairs.select("cand", "read_id", said.alias("said")).collect() for role in "FM"}
     assert got == want and {"ALT", "REF", "AMB"} == set(want.values()) and len(want) > 400
+
+
+def test_reads_are_walked_in_batches_as_one_by_one(spark):
+    rows = [(1, "3S5M2D4M1I3M", 100), (2, None, 7), (3, "", 9), (4, "4M3N2=1X2I5H1P6M", 50), (5, "10M", None), (6, "7D", 3)]
+    d = spark.createDataFrame(rows, "id int, text string, s long").withColumn("cigar", rd.parse_cigar(F.col("text")))
+    for kinds in (("I", "D"), rd.BOTH):
+        want = F.transform(F.filter(rd.placed(F.col("cigar"), F.col("s")), lambda c: c["op"].isin(*kinds)), lambda c: F.struct(c["op"].alias("op"), c["len"].alias("len"), c["r"].alias("r")))
+        one = d.select("id", (F.col("s") + rd.reference_span(F.col("cigar"))).alias("end"), want.alias("ops")).collect()
+        many = d.repartition(2).select("id", rd.operations(F.col("cigar"), F.col("s"), *kinds).alias("o")).select("id", "o.end", "o.ops").collect()
+        known = {r.id for r in one if r.end is not None}
+        assert known == {1, 3, 4, 6} and {r.id: r.end for r in one} == {r.id: r.end for r in many}
+        assert {r.id: r.ops for r in one if r.id in known} == {r.id: r.ops for r in many if r.id in known}
+
+
+def test_no_read_is_walked_by_a_fold(spark):
+    d = reads(spark, [("a", 3, 100, "50M100D50M", "A" * 100, 1, 0, None)])
+    q = spark.createDataFrame([(7, "chr1", 150, 250, "SV", "DEL", -100, "A", "<DEL>", 3)], "cand long, chrom string, start long, end long, variant_class string, svtype string, svlen int, ref string, alt string, sample_id long")
+    named = spark.createDataFrame([], "cand long, read_id string")
+    outs = [ob.event_observations(q, members(spark, 7), d, named), ev.junction_counts(q, d, members(spark, 7), named, ["cand"]), ev.interval_depth(q.select("cand", "chrom", "start", "end"), d, members(spark, 7), ["cand"])]
+    assert all("aggregate(cigar" not in x._jdf.queryExecution().optimizedPlan().toString() for x in outs)
+    assert [r.support for r in outs[0].collect()] == ["ALT"]
